@@ -43,12 +43,49 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .perplexity import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import vector_duplicates
+
+    return vector_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated_pairs
+
+    return contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
-    "op2_shards": op2_shards,
-    "op3_packing": op3_packing,
-    "op5_token_counts": op5_token_counts,
-    "op7_toxicity": op7_toxicity,
-}
+    f.__name__: f
+    for f in (
+        op1_near_dedup, op2_shards, op3_packing, op4_quality, op5_token_counts,
+        op6_vector_dedup, op7_toxicity, op8_licenses, op9_html_text, op10_decontamination,
+    )
+}
 
 #: DuckDB has no crc32, no tokenizers and no training: these operators are tested against brute force instead.
 ORACLE_SQL: dict[str, str] = {}
