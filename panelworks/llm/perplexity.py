@@ -230,7 +230,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, shard_rows: int = 2_000_000
     return whole.join(mean, "lang", "left").select("doc_id", "lang", "trusted", "n_chars", F.exp(-drawn).alias("perplexity"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.1, **options) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.2, **options) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold, kept of every document.
 
     A document is rejected if its perplexity exceeds ``margin`` times the

@@ -179,3 +179,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **optio
     return docs.select(
         "doc_id", F.coalesce(~in_training_fold(F.col("doc_id")), F.lit(False)).alias("held_out"), toxicity_score(F.col("text"), model).alias("score")
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
+    """``docs`` without the documents that score ``threshold`` or more; learns as :func:`toxicity` does."""
+    model = train_toxicity(docs, labels.where(in_training_fold(F.col("doc_id"))), **options)
+    return docs.where(toxicity_score(F.col("text"), model) < threshold)
