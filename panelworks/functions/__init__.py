@@ -1 +1 @@
-
+"""Column expressions, window builders and grouped recursions."""

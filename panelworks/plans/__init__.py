@@ -1 +1 @@
-
+"""Whole jobs built from the operators, and the registered queries with their DuckDB oracles."""

@@ -1 +1 @@
-
+"""Reading, writing and normalising of panels."""

@@ -1 +1 @@
-
+"""Recurring jobs as Structured Streaming queries, each with its batch twin."""
