@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import pct_rank
@@ -97,9 +97,7 @@ def _t_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
-def spearman_p(ic: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided p value of a rank correlation over ``n`` pairs."""
+def _p_values(ic: pd.Series, n: pd.Series) -> pd.Series:
     r, nu = ic.to_numpy(dtype=float), n.to_numpy(dtype=float) - 2
     ok = np.isfinite(r) & (nu > 0)
     out = np.full(len(r), np.nan)
@@ -107,11 +105,17 @@ def spearman_p(ic: pd.Series, n: pd.Series) -> pd.Series:
     out[sure] = 0.0
     rest = ok & ~sure
     out[rest] = _t_tail(r[rest] * np.sqrt(nu[rest] / (1 - r[rest] ** 2)), nu[rest])
-    return pd.Series(out).where(np.isfinite(out), None).astype(float)
+    return pd.Series(out)
+
+
+def spearman_p(ic: Column, n: Column) -> Column:
+    """Two-sided p value of a rank correlation over ``n`` pairs; NULL where it has none."""
+    p = F.pandas_udf(_p_values, "double")(ic, n)
+    return F.when(~F.isnan(p), p)
 
 
 def ic_p_values(daily: DataFrame) -> DataFrame:
     """``daily`` (ic, n) with p_value: one row a date."""
-    return daily.withColumn("p_value", spearman_p("ic", "n"))
+    return daily.withColumn("p_value", spearman_p(F.col("ic"), F.col("n")))
 
 

@@ -95,23 +95,23 @@ def min_width(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def market_width(df: DataFrame) -> DataFrame:
-    """market_dispersion and breadth of every date, from one aggregate per date joined back."""
-    spread = F.coalesce(F.greatest(F.stddev_samp("return"), F.lit(1e-6)), F.lit(0.0))
-    up = F.coalesce(F.avg(F.when(F.col("return") > 0, 1.0).otherwise(0.0)), F.lit(0.5))
-    return df.join(df.groupBy("date").agg(spread.alias("market_dispersion"), up.alias("breadth")), "date")
+    """market_dispersion and breadth of every date."""
+    w = by_date()
+    spread = F.coalesce(F.greatest(F.stddev_samp("return").over(w), F.lit(1e-6)), F.lit(0.0))
+    up = F.coalesce(F.avg(F.when(F.col("return") > 0, 1.0).otherwise(0.0)).over(w), F.lit(0.5))
+    return df.withColumns({"market_dispersion": spread, "breadth": up})
 
 
 def cs_winsorize(df: DataFrame, cols: list[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    """Each value clipped to its date's interpolated quantiles; one aggregate for all columns."""
-    ends = [F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(f"_{c}") for c in cols]
-    rows = df.join(df.groupBy("date").agg(*ends), "date")
-    return rows.withColumns({c: F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(clip(F.col(c), F.col(f"_{c}")[0], F.col(f"_{c}")[1])) for c in cols}).drop(*[f"_{c}" for c in cols])
+    """Each value clipped to its date's interpolated quantiles; one window over the date for all columns."""
+    rows = df.withColumns({f"_{c}": F.percentile(c, F.array(F.lit(lo), F.lit(hi))).over(by_date()) for c in cols})
+    return rows.withColumns({c: clip(F.col(c), F.col(f"_{c}")[0], F.col(f"_{c}")[1]) for c in cols}).drop(*[f"_{c}" for c in cols])
 
 
 def cs_zscore(df: DataFrame, cols: list[str]) -> DataFrame:
     """``{col}_z``: standardised within the date, missing 0, held to +-5."""
-    stats = [x.alias(n) for c in cols for x, n in ((F.avg(c), f"_m_{c}"), (F.stddev_samp(c), f"_s_{c}"))]
-    rows = df.join(df.groupBy("date").agg(*stats), "date")
+    w = by_date()
+    rows = df.withColumns({f"_{k}_{c}": f(c).over(w) for c in cols for k, f in (("m", F.avg), ("s", F.stddev_samp))})
 
     def z(c: str) -> Column:
         return F.coalesce(clip((F.col(c) - F.col(f"_m_{c}")) / (F.greatest(F.col(f"_s_{c}"), F.lit(1e-6)) + _TINY), -5, 5), F.lit(0.0))

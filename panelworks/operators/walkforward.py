@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip
+from ..functions.lineage import checkpointed
 
 _EPS = 1e-9
 
@@ -156,14 +157,14 @@ def walk_forward(panel: DataFrame, score: Column | Trainer, window: int = 252, s
     score: a column expression, which needs no fit and keeps all folds in one
     job, or a trainer, called once a fold with the fold's training rows, whose
     result adds ``score`` to the fold's test rows. The panel is read several
-    times: cache it.
+    times: hand over a table or a checkpointed frame.
     """
-    dates = date_index(panel)
-    plan = folds(dates, window, step, **plan_options)
-    trades = rebalance_dates(plan, dates)
+    dates = checkpointed(date_index(panel))  # a row a date, a fold, a period
+    plan = checkpointed(folds(dates, window, step, **plan_options))
+    trades = checkpointed(rebalance_dates(plan, dates))
     if isinstance(score, Column):
         scored = panel.select("ticker", "date", score.alias("score"))
-        positions = long_short_positions(scored, trades).cache()  # a few names a period
+        positions = long_short_positions(scored, trades)
     else:
         parts = None
         for row in sorted(plan.select("fold").collect()):  # tens of folds
@@ -173,7 +174,8 @@ def walk_forward(panel: DataFrame, score: Column | Trainer, window: int = 252, s
             got = long_short_positions(test, trades.where(F.col("fold") == row["fold"]))
             parts = got if parts is None else parts.unionByName(got)
         positions = parts
-    periods = period_returns(positions, panel).cache()  # a row a period
-    each = fold_metrics(periods, turnover(positions))
+    positions = checkpointed(positions)  # a few names a period
+    periods = checkpointed(period_returns(positions, panel))
+    each = fold_metrics(periods, checkpointed(turnover(positions)))
     curve = equity_from_log_returns(periods)
     return {"positions": positions, "periods": periods, "folds": each, "curve": curve, "summary": walk_forward_metrics(each, curve)}

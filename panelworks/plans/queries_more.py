@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpointed
 from ..operators import drift, fingerprint, model, performance, scoring, walkforward
 from ..operators.features import MODEL_FEATURES, feature_pipeline, window_features
 from ..operators.targets import cs_target
@@ -69,7 +70,7 @@ state AS (SELECT *, CASE WHEN severity >= 10 THEN 'hard' WHEN severity >= 4 THEN
 
 
 def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = window_features(bars(s, d)).select("ticker", "date", *H)
+    f = checkpointed(window_features(bars(s, d)).select("ticker", "date", *H))
     return f.where("date < '2000-01-01'"), f.where("date >= '2000-01-01'")
 
 
@@ -88,7 +89,7 @@ def q_h2(s: SparkSession, d: str) -> DataFrame:
 def q_h3(s: SparkSession, d: str) -> DataFrame:
     before, after = _halves(s, d)
     rows = after.orderBy(F.desc("date"), F.desc("ticker")).limit(800)
-    return out(drift.psi(drift.long(drift.sigma_clip(rows, H), H, []), drift.drift_baseline(before, H)))
+    return out(drift.psi(drift.long(drift.sigma_clip(rows, H), H, []), checkpointed(drift.drift_baseline(before, H))))
 
 
 @register("h4_time_weighted_mean", f"WITH {_CUR} SELECT feature, {rnd('tw_mean', 5)} AS tw_mean, n FROM tw")
@@ -101,19 +102,19 @@ def q_h4(s: SparkSession, d: str) -> DataFrame:
 @register("h5_drift_report", f"WITH {_CUR} SELECT feature, {nums(['z', 'variance_ratio', 'psi'], 5)}, drift FROM rep WHERE cnt >= 25")
 def q_h5(s: SparkSession, d: str) -> DataFrame:
     before, after = _halves(s, d)
-    return out(drift.drift_report(after, drift.drift_baseline(before, H), H), digits=5)
+    return out(drift.drift_report(after, checkpointed(drift.drift_baseline(before, H)), H), digits=5)
 
 
 @register("h6_drift_state", f"WITH {_CUR}, {_state('', 'rep', 25)} SELECT severity, drift_detected, {rnd('coverage')} AS coverage, drift_state, {rnd('least(1.0, severity / 15)')} AS confidence, CAST(exposure_scale AS DOUBLE) AS exposure_scale FROM state")
 def q_h6(s: SparkSession, d: str) -> DataFrame:
     before, after = _halves(s, d)
-    return out(drift.drift_state(drift.drift_report(after, drift.drift_baseline(before, H), H), len(H)))
+    return out(drift.drift_state(drift.drift_report(after, checkpointed(drift.drift_baseline(before, H)), H), len(H)))
 
 
 @register("h7_drift_history", f"WITH {_HIST}, {_state('date, ', 'rep', 10)} SELECT date, severity, drift_detected, {rnd('coverage')} AS coverage, drift_state, {rnd('least(1.0, severity / 15)')} AS confidence, CAST(exposure_scale AS DOUBLE) AS exposure_scale FROM state")
 def q_h7(s: SparkSession, d: str) -> DataFrame:
     before, after = _halves(s, d)
-    return out(drift.drift_history(after, drift.drift_baseline(before, H), H, ["date"], least=10))
+    return out(drift.drift_history(after, checkpointed(drift.drift_baseline(before, H)), H, ["date"], least=10))
 
 
 @register("h8_retrain_decisions")
@@ -127,7 +128,8 @@ def q_h8(s: SparkSession, d: str) -> DataFrame:
 
 @register("i1_i2_fit_predict")
 def q_i1(s: SparkSession, d: str) -> DataFrame:
-    panel = feature_pipeline(bars(s, d)).drop("close").cache()
+    panel = feature_pipeline(bars(s, d)).drop("close")
+    panel = checkpointed(panel)
     rows = cs_target(bars(s, d)).select("ticker", "date", "target").join(panel, ["ticker", "date"])
     some = MODEL_FEATURES[:12]
     fitted = model.fit_model(rows.where("date < '2000-01-01'"), some, trees=5)
@@ -362,7 +364,7 @@ fm AS (SELECT fold, sum(r) AS strategy_return, CASE WHEN stddev_pop(r) < 1e-9 TH
 
 def _walk(s: SparkSession, d: str) -> dict[str, DataFrame]:
     scored = predictions(s, d).select("ticker", "date", "score").join(bars(s, d).select("ticker", "date", "close"), ["ticker", "date"], "right")
-    return walkforward.walk_forward(scored.cache(), F.col("score"), 120, 30)
+    return walkforward.walk_forward(checkpointed(scored), F.col("score"), 120, 30)
 
 
 def _plan(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
