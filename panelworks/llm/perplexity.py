@@ -36,34 +36,42 @@ def ngrams(text: str) -> np.ndarray:
 
 
 class _Lookup:
-    """Values by 64-bit keys: an open-addressing table that is read for whole arrays."""
+    """Places of 64-bit keys, all of them known: an open-addressing table that is read for whole arrays.
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
+    ``columns`` hold the values at the places.
+    """
+
+    def __init__(self, keys: np.ndarray, *columns: np.ndarray):
         self.mask = np.uint64((1 << max(4, int(2 * len(keys) + 1).bit_length())) - 1)
         self.keys = np.full(int(self.mask) + 1, -1, np.int64)
-        self.values = np.zeros(int(self.mask) + 1)
-        at, k, v = self._slot(keys), keys, values
-        while len(k):
+        self.columns = [np.zeros(int(self.mask) + 1, c.dtype) for c in columns]
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
             free = self.keys[at] == -1
-            self.keys[at[free]] = k[free]  # the last of equals wins; the others go on
-            done = self.keys[at] == k
-            self.values[at[done]] = v[done]
-            at, k, v = (at[~done] + np.uint64(1)) & self.mask, k[~done], v[~done]
+            self.keys[at[free]] = keys[left[free]]  # the last of those that want a place gets it
+            done = self.keys[at] == keys[left]
+            for own, c in zip(self.columns, columns):
+                own[at[done]] = c[left[done]]
+            at, left = (at[~done] + np.uint64(1)) & self.mask, left[~done]
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return mix(keys.view(np.uint64)) & self.mask
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = self._slot(keys)
-        out = self.values[at]
-        left = np.flatnonzero(self.keys[at] != keys)
-        at = at[left]
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of ``keys``, and whether each is known."""
+        out = self._slot(keys)
+        there = self.keys[out]
+        known = there == keys
+        left = np.flatnonzero(~known & (there != -1))
+        at = out[left]
         while len(left):
             at = (at + np.uint64(1)) & self.mask
-            out[left] = self.values[at]
-            miss = self.keys[at] != keys[left]
-            left, at = left[miss], at[miss]
-        return out
+            there = self.keys[at]
+            hit = there == keys[left]
+            out[left[hit]], known[left[hit]] = at[hit], True
+            on = ~hit & (there != -1)
+            left, at = left[on], at[on]
+        return out, known
 
 
 def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +125,7 @@ def _discounts(counts: DataFrame) -> DataFrame:
 
 
 def kneser_ney(raw: DataFrame) -> DataFrame:
-    """lang, g, logp: the model's log probability of each n-gram's last character.
+    """lang, g, n, logp, back: the log probability of each n-gram's last character, and what it is without the n-gram's own count.
 
     raw: lang, g, n over all n-grams to score; the model is estimated from those
     with n > 0. The highest order has counts, each lower one the number of
@@ -146,11 +154,12 @@ def kneser_ney(raw: DataFrame) -> DataFrame:
         else:
             rows = rows.join(p.select("lang", F.col("g").alias("low"), F.col("p").alias("lower")), ["lang", "low"], "left")
             lower = F.col("lower")
-        value = F.when(F.col("total").isNull(), lower).otherwise((n - cut) / F.col("total") + kept / F.col("total") * lower)
-        p = rows.select("lang", "g", value.alias("p"))
+        back = F.when(F.col("total").isNull(), lower).otherwise(kept / F.col("total") * lower)
+        value = F.when(F.col("total").isNull(), lower).otherwise((n - cut) / F.col("total") + back)
+        p = rows.select("lang", "g", value.alias("p"), n.alias("n"), back.alias("back"))
         if order in (2, 4):
             p = checkpoint(p)
-    return p.select("lang", "g", F.log("p").alias("logp"))
+    return p.select("lang", "g", "n", F.log("p").cast("float").alias("logp"), F.log("back").cast("float").alias("back"))
 
 
 def _flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -183,19 +192,42 @@ def gathered(rows: DataFrame) -> DataFrame:
     return each.groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
+def _by_language(table: pa.Table) -> dict[str, list[np.ndarray]]:
+    """lang -> n-grams, their counts, log probabilities and those without the own count."""
+    lang = table.column("lang").combine_chunks().dictionary_encode()
+    if isinstance(lang, pa.ChunkedArray):
+        lang = lang.combine_chunks()
+    at = lang.indices.to_numpy(zero_copy_only=False)
+    cols = [table.column("g").to_numpy(), np.minimum(table.column("n").to_numpy(), 1 << 30).astype(np.int32), table.column("logp").to_numpy(), table.column("back").to_numpy()]
+    return {name: [c[at == i] for c in cols] for i, name in enumerate(lang.dictionary.to_pylist())}
+
+
 def _text_logp(shared: Broadcast):
-    """A UDF (lang, text) -> sum of what a shard of the model (lang -> n-grams, log probabilities) knows of the text."""
+    """A UDF (lang, text, trusted) -> sum of what a shard of the model knows of the text.
+
+    A trusted text is part of the model's counts: n-grams that stand nowhere else
+    are scored without their own count, as in a text that the model has not seen.
+    """
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         tables: dict[str, _Lookup] = {}
-        for langs, texts in batches:
+        for langs, texts, trusted in batches:
             out = np.zeros(len(texts))
-            for i, (lang, text) in enumerate(zip(langs, texts)):
+            for i, (lang, text, own) in enumerate(zip(langs, texts, trusted)):
                 if lang not in tables and lang in shared.value:
                     tables[lang] = _Lookup(*shared.value[lang])
                 if text and lang in tables:
-                    out[i] = tables[lang](ngrams(text)).sum()
+                    g = ngrams(text)
+                    n, logp, back = tables[lang].columns
+                    if own:
+                        g, times = np.unique(g, return_counts=True)
+                        at, known = tables[lang](g)
+                        v = np.where(n[at] > times, logp[at], back[at]).astype(np.float64) * times
+                    else:
+                        at, known = tables[lang](g)
+                        v = logp[at].astype(np.float64)
+                    out[i] = v[known].sum()
             yield pd.Series(out)
 
     return score
@@ -217,11 +249,12 @@ def perplexities(docs: DataFrame, labels: DataFrame, shard_rows: int = 2_000_000
     key = F.xxhash64("text")
     parts = None
     for shard in range(shards):
-        some = model.where(F.pmod(F.xxhash64("lang", "g"), F.lit(shards)) == shard).toPandas()
-        shared = context.broadcast({lang: (t["g"].to_numpy(), t["logp"].to_numpy()) for lang, t in some.groupby("lang")})
+        some = model.where(F.pmod(F.xxhash64("lang", "g"), F.lit(shards)) == shard).toArrow()
+        shared = context.broadcast(_by_language(some))
         del some
+        pa.default_memory_pool().release_unused()
 
-        scored = rows.select("doc_id", "lang", "trusted", key.alias("key"), F.length("text").alias("n_chars"), _text_logp(shared)("lang", "text").alias("logp"))
+        scored = rows.select("doc_id", "lang", "trusted", key.alias("key"), F.length("text").alias("n_chars"), _text_logp(shared)("lang", "text", "trusted").alias("logp"))
         parts = scored if parts is None else parts.unionByName(scored)
     same = ["doc_id", "lang", "trusted", "key"]
     whole = checkpoint(parts.groupBy(*same).agg((F.sum("logp") * shards / F.count("*")).alias("logp"), F.max("n_chars").cast("long").alias("n_chars")))
@@ -234,8 +267,8 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin:
     """doc_id, lang, n_chars, perplexity, threshold, kept of every document.
 
     A document is rejected if its perplexity exceeds ``margin`` times the
-    ``quantile`` of the trusted documents' perplexities in its language; the
-    margin makes up for these being the model's own training texts. A language
+    ``quantile`` of the trusted documents' perplexities in its language, which
+    leave out n-grams that a document alone has put into the model. A language
     without trusted documents has no model and no threshold: its documents are
     kept. Null and empty texts have the mean perplexity and are kept. A null
     language is one of its own. Equal rows give one row; null doc_ids are scored.
