@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,16 +126,43 @@ def linked_pairs(units: DataFrame, cosine: float, tables: int, blocks: int, scal
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
 
-    def compare(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        own = f["own"].to_numpy(dtype=bool)
-        ids = f["id"].to_numpy()
-        x = np.stack([np.frombuffer(u, np.float64) for u in f["unit"]])
-        a, b = np.nonzero(x[own] @ x.T >= cosine)
-        a, b = ids[own][a], ids[b]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; the last group of a batch waits for the next one."""
+        rest: pa.Table | None = None
+
+        def pairs(t: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+            own, ids = t.column("own").to_numpy(zero_copy_only=False), t.column("id").to_numpy()
+            units = t.column("unit").combine_chunks()
+            at = np.frombuffer(units.buffers()[1], np.int32)[units.offset : units.offset + len(units) + 1] // 8
+            data = np.frombuffer(units.buffers()[2], np.float64)
+            found, start = [], 0
+            for end in ends:
+                home = own[start:end]
+                if end - start > 1 and home.any():
+                    x, group = data[at[start] : at[end]].reshape(end - start, -1), ids[start:end]
+                    a, b = np.nonzero(x[home] @ x.T >= cosine)
+                    a, b = group[home][a], group[b]
+                    keep = a != b
+                    if keep.any():
+                        found.append(np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]], 1), axis=0))
+                start = end
+            out = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
-    return rows.groupBy("cell", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+            key = np.stack([t.column(c).to_numpy() for c in ("cell", "lo", "hi")])
+            ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            if len(ends):
+                yield pairs(t.slice(0, int(ends[-1])).combine_chunks(), ends)
+                t = t.slice(int(ends[-1]))
+            rest = t
+        if rest is not None and len(rest):
+            yield pairs(rest.combine_chunks(), np.array([len(rest)]))
+
+    sorted_ = rows.select("cell", "lo", "hi", "own", "id", "unit").repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
+    return sorted_.mapInArrow(compare, "a long, b long").distinct()
 
 
 def vector_duplicates(vectors: DataFrame, cosine: float = 0.95, tables: int = 10, blocks: int = 2, scale: float = 0.45) -> DataFrame:
