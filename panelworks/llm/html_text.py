@@ -49,7 +49,8 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
                 bad, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                out.append((line, max(0, len(line) - linked), bad, inside))
+                own = len(line) - linked
+                out.append((line, own if 4 * own >= len(line) else 0, bad, inside))  # a little between links is none
             text.clear()
         linked = 0
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,16 +24,20 @@ IDENTITY_TERMS = (
 
 
 def word_features(word: bytes) -> list[int]:
-    """Hashed features of a word: itself and its beginnings of 3 to 6 characters, so that inflected forms share some."""
+    """Hashed features of a word: itself and its beginnings of 3 to 8 characters, so that inflected forms share some."""
     text = word.decode("utf-8", "replace")
-    return [crc32(word), *(crc32(b"^" + text[:k].encode()) for k in range(3, min(6, len(text) - 1) + 1))]
+    return [crc32(word), *(crc32(b"^" + text[:k].encode()) for k in range(3, min(8, len(text) - 1) + 1))]
+
+
+def again(feature: int, times: int) -> int:
+    """The feature that ``feature`` stands in two or three different words or more."""
+    return (feature * 2654435761 + times * 40503) & 0xFFFFFFFF
 
 
 def features(ws: set[bytes]) -> set[int]:
-    out: set[int] = set()
-    for w in ws:
-        out.update(word_features(w))
-    return out
+    """Features of a text's different words, and of being in several of them."""
+    n = Counter(f for w in ws for f in word_features(w))
+    return {*n, *(again(f, t) for t in (2, 3) for f, k in n.items() if k >= t)}
 
 
 @dataclass(frozen=True)
@@ -47,26 +53,29 @@ class ToxicityModel:
         weights, bias = self.weights, self.bias
 
         def score(text: str | None) -> float:
-            found: set[int] = set()
+            found: list[int] = []
             for w in set(words(text or "")):
                 f = kept.get(w)
                 if f is None:
-                    f = tuple(i for i in word_features(w) if i in weights)
+                    f = tuple(i for i in word_features(w) if i in weights or again(i, 2) in weights or again(i, 3) in weights)
                     if len(kept) < 500_000:
                         kept[w] = f
                 if f:
-                    found.update(f)
-            z = bias + sum(map(weights.__getitem__, sorted(found)))
+                    found += f
+            n = Counter(found)
+            used = {*n, *(again(i, t) for t in (2, 3) for i, k in n.items() if k >= t)}
+            z = bias + sum(weights[i] for i in sorted(used) if i in weights)
             return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
         return score
 
 
 def fit_logistic(
-    rows: list[np.ndarray], swapped: list[np.ndarray], labels: np.ndarray, n: int, ridge: float, penalty: float, steps: int = 250
+    rows: list[np.ndarray], swapped: list[np.ndarray], labels: np.ndarray, n: int, ridge: float, penalty: float, weight: float = 3.0, steps: int = 250
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise log loss + ridge |w|^2 / 2 + penalty x mean squared score change under swaps.
 
+    Toxic rows count ``weight`` times, as missing one costs more than a false alarm.
     rows, swapped: each row's feature numbers below ``n``, as they are and with identity terms exchanged.
     """
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -81,7 +90,7 @@ def fit_logistic(
     first, second = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):  # Adam on the whole sample: no dependence on an order
         z = b + np.bincount(at, w[f], m)[: len(labels)] if len(f) else np.full(len(labels), b)
-        gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / m
+        gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * np.where(labels > 0, weight, 1.0) / m
         grad = np.r_[np.bincount(f, gap[at], n) + ridge * w, gap.sum()]
         if changed:
             move = np.bincount(d_at, w[d_f] * d_sign, len(changed))
@@ -92,6 +101,15 @@ def fit_logistic(
     return w, float(b)
 
 
+def _rows(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as arrays; null lists are empty."""
+    out: list[np.ndarray] = []
+    for chunk in column.chunks:
+        lengths = np.where(chunk.is_valid(), chunk.value_lengths().fill_null(0), 0)
+        out += np.split(chunk.flatten().to_numpy().astype(np.int64), np.cumsum(lengths)[:-1]) if len(lengths) else []
+    return out
+
+
 def train_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -99,6 +117,7 @@ def train_toxicity(
     most_rows: int = 12_000,
     most_features: int = 6_000,
     least_rows: int = 4,
+    least_z: float = 6.0,
     ridge: float = 1e-4,
     penalty: float = 1.0,
 ) -> ToxicityModel:
@@ -106,8 +125,10 @@ def train_toxicity(
 
     labels: doc_id and toxic (0/1; null: unlabelled). Features are found on the
     executors; those kept are the ``most_features`` that tell the classes apart
-    best among those in at least ``least_rows`` documents, and only their numbers
-    reach the driver. Texts that name a group also give a copy in which each
+    best among those in at least ``least_rows`` documents whose share of toxic
+    ones lies ``least_z`` standard errors or more from the sample's, so that words
+    that stand in few documents by chance weigh nothing. Only their numbers reach
+    the driver. Texts that name a group also give a copy in which each
     identity term is exchanged for the next one, whose score must not differ.
     Without labels every score is 0.5; with one class, that class's prior.
     """
@@ -136,18 +157,18 @@ def train_toxicity(
     gap = (F.col("t") / F.col("n") - share) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-6)) / F.col("n"))
     forced = [i for t in terms for i in word_features(t)]
     order = [F.col("f").isin(forced).desc(), F.abs(gap).desc(), F.col("f")]
-    chosen = [r["f"] for r in each.where((F.col("n") >= least_rows) | F.col("f").isin(forced)).orderBy(*order).limit(most_features).collect()]
+    chosen = [r["f"] for r in each.where((F.col("n") >= least_rows) & (F.abs(gap) >= least_z) | F.col("f").isin(forced)).orderBy(*order).limit(most_features).collect()]
     number = {f: i for i, f in enumerate(chosen)}
 
     @F.pandas_udf("array<int>")
     def numbered(lists: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else [number[f] for f in x if f in number] for x in lists])
 
-    got = sample.select("doc_id", "toxic", numbered("own").alias("own"), numbered("swapped").alias("swapped")).toPandas()
-    got = got.sort_values("doc_id", kind="stable")
-    own = [np.asarray(x, dtype=np.int64) for x in got["own"]]
-    swapped = [o if s is None else np.asarray(s, dtype=np.int64) for o, s in zip(own, got["swapped"])]
-    w, b = fit_logistic(own, swapped, got["toxic"].to_numpy(dtype=float), max(len(chosen), 1), ridge, penalty)
+    got = sample.select("doc_id", "toxic", numbered("own").alias("own"), numbered("swapped").alias("swapped")).toArrow().sort_by("doc_id")
+    own = _rows(got.column("own"))
+    named = got.column("swapped").is_valid().to_numpy()
+    swapped = [s if has else o for o, s, has in zip(own, _rows(got.column("swapped")), named)]
+    w, b = fit_logistic(own, swapped, got.column("toxic").to_numpy().astype(float), max(len(chosen), 1), ridge, penalty)
     return ToxicityModel({f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-6}, b)
 
 
