@@ -8,7 +8,7 @@ from panelworks.plans import queries_more  # noqa: F401
 from panelworks.plans.queries import ORACLE_SQL, QUERIES
 
 #: Slow to plan and run; compared at a larger scale outside the suite.
-SLOW = {"k8_positions", "k9_period_returns", "k10_turnover", "k11_equity", "k12_fold_metrics", "i1_i2_fit_predict", "h3_psi", "h6_drift_state", "e5_zscore"}
+SLOW = {"k8_positions", "k9_period_returns", "k10_turnover", "k11_equity", "k12_fold_metrics", "i1_i2_fit_predict", "h3_psi", "h4_time_weighted_mean", "h6_drift_state", "e4_winsorize", "e5_zscore"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
