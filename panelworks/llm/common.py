@@ -6,7 +6,7 @@ import tempfile
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that belong to words: 0-9, a-z and every byte of a non-ASCII character.
@@ -28,6 +28,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def compact(df: DataFrame, rows: int = 50_000, least: int = 8) -> DataFrame:
+    """``df`` checkpointed, in partitions of about ``rows`` rows: few rows in very many partitions cost a file each at every shuffle."""
+    df = checkpoint(df)
+    parts = max(least, df.count() // rows)
+    return df.coalesce(parts)
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a broadcast hint if it holds at most ``most`` rows, else ``df`` as it is.
 
@@ -73,27 +80,21 @@ def signed(x: np.ndarray) -> np.ndarray:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node that it reaches.
 
-    Alternating large-star and small-star rounds on DataFrames; each round is
-    checkpointed, and only a fingerprint of the edges reaches the driver.
-    Nodes must not be null; self loops are ignored.
+    Alternating large-star and small-star rounds on DataFrames, each of them
+    checkpointed, until every node hangs on one root; only whether that is so
+    reaches the driver. Nodes must not be null; self loops are ignored.
     """
-    spark: SparkSession = edges.sparkSession
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = checkpoint(e)
-    nodes = None
-    before = None
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small_ = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = checkpoint(small_.union(low.select("a", F.col("m").alias("b"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        near = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = compact(near.union(low.select("a", F.col("m").alias("b"))).distinct())
+        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("x"))
+        each = ends.groupBy("x.node").agg(F.sum("x.up").alias("up"), F.min("x.up").alias("root"))
+        if not each.where("up > 1 or (up = 1 and root = 0)").limit(1).count():
             break
-        before = tuple(now)
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return nodes.union(roots)
+    return nodes.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
