@@ -110,56 +110,119 @@ def _low(g: Column, order: int) -> Column:
     return g.bitwiseAND(F.lit((1 << (_BITS * order)) - 1))
 
 
-def _discounts(counts: DataFrame) -> DataFrame:
-    """lang, d1, d2, d3: modified Kneser-Ney discounts from the numbers of n-grams seen once to four times."""
-    n = [F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
-    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-
-    def discount(i: int) -> Column:
-        d = i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
-        ok = (F.col("n1") > 0) & (d > 0) & (d < i)
-        return F.when(ok, d).otherwise(F.lit(0.5 + 0.25 * (i - 1)))
+def _discount(i: int, n1: Column, n2: Column, n3: Column, n4: Column) -> Column:
+    """Modified Kneser-Ney discount for a count of i (3: or more), from the numbers of n-grams seen once to four times."""
+    n = [n1, n2, n3, n4]
+    d = i - (i + 1) * F.try_divide(n1.cast("double"), n1 + 2 * n2) * F.try_divide(n[i].cast("double"), n[i - 1])
+    return F.when((n1 > 0) & (d > 0) & (d < i), d).otherwise(F.lit(0.25 + 0.25 * i))
 
-    ones = counts.groupBy("lang").agg(*n)
-    return ones.where("n1 + n2 > 0").select("lang", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
 
+def _discounts(counts: DataFrame) -> DataFrame:
+    """lang, d1, d2, d3 of a table of counts."""
+    ones = counts.groupBy("lang").agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)])
+    return ones.select("lang", *[_discount(i, *[F.col(f"n{j}") for j in (1, 2, 3, 4)]).alias(f"d{i}") for i in (1, 2, 3)])
 
-def kneser_ney(raw: DataFrame) -> DataFrame:
-    """lang, g, n, logp, back: the log probability of each n-gram's last character, and what it is without the n-gram's own count.
 
-    raw: lang, g, n over all n-grams to score; the model is estimated from those
-    with n > 0. The highest order has counts, each lower one the number of
-    different characters before an n-gram. Every order is a join of the wanted
-    n-grams with the counts and with their contexts' totals, sharded by n-gram.
-    """
-    counts = raw.where("n > 0").select("lang", "g", "n")
-    tables = {ORDER: counts}
-    for order in range(ORDER - 1, 0, -1):
-        tables[order] = tables[order + 1].groupBy("lang", _low(F.col("g"), order).alias("g")).agg(F.count("*").alias("n"))
+def _short_orders(raw: DataFrame) -> DataFrame:
+    """lang, low, p2: probabilities of the wanted 2-grams, by joins of the 1- and 2-gram tables."""
+    threes = raw.where("n > 0").select("lang", _low(F.col("g"), 3).alias("g")).distinct()
+    twos = checkpoint(threes.groupBy("lang", _low(F.col("g"), 2).alias("g")).agg(F.count("*").alias("n")))
+    ones = twos.groupBy("lang", _low(F.col("g"), 1).alias("g")).agg(F.count("*").alias("n"))
     p: DataFrame | None = None
-    for order in range(1, ORDER + 1):
-        c = tables[order]
-        d = _discounts(c)
+    for order, c in ((1, ones), (2, twos)):
         context = c.groupBy("lang", F.shiftright("g", _BITS).alias("ctx")).agg(
             F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("c1"), F.count_if(F.col("n") == 2).alias("c2"), F.count_if(F.col("n") > 2).alias("c3")
         )
-        want = raw.select("lang", _low(F.col("g"), order).alias("g"))
-        want = (want.distinct() if order < ORDER else want).withColumn("ctx", F.shiftright("g", _BITS)).withColumn("low", _low(F.col("g"), order - 1))
-        rows = want.join(c, ["lang", "g"], "left").join(context, ["lang", "ctx"], "left").join(d, "lang", "left")
+        want = raw.select("lang", _low(F.col("g"), order).alias("g")).distinct()
+        want = want.withColumn("ctx", F.shiftright("g", _BITS)).withColumn("low", _low(F.col("g"), order - 1))
+        rows = want.join(c, ["lang", "g"], "left").join(context, ["lang", "ctx"], "left").join(_discounts(c), "lang", "left")
         n = F.coalesce(F.col("n"), F.lit(0))
-        cut = F.when(n == 0, 0.0).when(n == 1, F.coalesce("d1", F.lit(0.5))).when(n == 2, F.coalesce("d2", F.lit(0.75))).otherwise(F.coalesce("d3", F.lit(1.0)))
-        kept = F.coalesce(F.col("d1"), F.lit(0.5)) * F.col("c1") + F.coalesce(F.col("d2"), F.lit(0.75)) * F.col("c2") + F.coalesce(F.col("d3"), F.lit(1.0)) * F.col("c3")
-        if p is None:
-            lower: Column = F.lit(1.0 / _CLASSES)
-        else:
+        d1, d2, d3 = (F.coalesce(F.col(f"d{i}"), F.lit(v)) for i, v in ((1, 0.5), (2, 0.75), (3, 1.0)))
+        cut = F.when(n == 0, 0.0).when(n == 1, d1).when(n == 2, d2).otherwise(d3)
+        kept = d1 * F.col("c1") + d2 * F.col("c2") + d3 * F.col("c3")
+        lower = F.lit(1.0 / _CLASSES)
+        if p is not None:
             rows = rows.join(p.select("lang", F.col("g").alias("low"), F.col("p").alias("lower")), ["lang", "low"], "left")
             lower = F.col("lower")
-        back = F.when(F.col("total").isNull(), lower).otherwise(kept / F.col("total") * lower)
-        value = F.when(F.col("total").isNull(), lower).otherwise((n - cut) / F.col("total") + back)
-        p = rows.select("lang", "g", value.alias("p"), n.alias("n"), back.alias("back"))
-        if order in (2, 4):
-            p = checkpoint(p)
-    return p.select("lang", "g", "n", F.log("p").cast("float").alias("logp"), F.log("back").cast("float").alias("back"))
+        value = F.when(F.col("total").isNull(), lower).otherwise((n - cut) / F.col("total") + kept / F.col("total") * lower)
+        p = checkpoint(rows.select("lang", "g", value.alias("p")))
+    return p.select("lang", F.col("g").alias("two"), F.col("p").alias("p2"))
+
+
+def _local_tables(g: np.ndarray, n: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Order -> sorted n-grams and their counts, for orders 5 (as given), 4 and 3 (different characters before)."""
+    seen = n > 0
+    order = np.argsort(g[seen])
+    tables = {ORDER: (g[seen][order], n[seen][order])}
+    for k in (4, 3):
+        tables[k] = np.unique(tables[k + 1][0] & ((1 << _BITS * k) - 1), return_counts=True)
+    return tables
+
+
+_GROUP = ["lang", "mid"]
+
+
+def _grouped(raw: DataFrame, shards: int) -> DataFrame:
+    """Rows with a shard number from the third- and second-last characters of the
+    n-gram: its suffixes of 3 and 4, and the contexts of all three, have the same two."""
+    return raw.withColumn("mid", F.pmod(F.xxhash64(F.shiftright("g", _BITS).bitwiseAND(F.lit((1 << 2 * _BITS) - 1))), F.lit(shards)))
+
+
+def kneser_ney(raw: DataFrame) -> DataFrame:
+    """lang, g, n, logp, back: the log probability of each n-gram's last character, and what it is without the n-gram's own count.
+
+    raw: lang, g, n over all n-grams to score; the model is estimated from those
+    with n > 0. The highest order has counts, each lower one the number of
+    different characters before an n-gram. Orders 1 and 2 are joined tables; the
+    counts of orders 3 to 5 meet in shards by language and the two characters
+    that an n-gram, its suffixes and their contexts share, so one shuffle brings
+    together all that these orders need.
+    """
+
+    def tally(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for k, (_, n) in _local_tables(f["g"].to_numpy(), f["n"].to_numpy()).items():
+            out.append((key[0], k, *((n == i).sum() for i in (1, 2, 3, 4))))
+        return pd.DataFrame(out, columns=["lang", "k", "n1", "n2", "n3", "n4"])
+
+    shards = 16 + raw.count() // 50_000
+    counted = raw.where("n > 0")
+    tallies = _grouped(counted, shards).groupBy(*_GROUP).applyInPandas(tally, "lang string, k int, n1 long, n2 long, n3 long, n4 long")
+    sums = tallies.groupBy("lang").agg(*[F.sum(F.when(F.col("k") == k, F.col(f"n{i}"))).alias(f"n{i}_{k}") for k in (3, 4, 5) for i in (1, 2, 3, 4)])
+    cuts = sums.select("lang", *[_discount(i, *[F.col(f"n{j}_{k}") for j in (1, 2, 3, 4)]).alias(f"d{i}_{k}") for k in (3, 4, 5) for i in (1, 2, 3)])
+    # One row a language and one a pair of characters: broadcast behind a count.
+    rows = raw.withColumn("two", _low(F.col("g"), 2)).join(small(_short_orders(raw), 500_000), ["lang", "two"]).drop("two")
+    rows = rows.join(small(checkpoint(cuts), 10_000), "lang", "left")
+
+    def score(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        g, n = f["g"].to_numpy(), f["n"].to_numpy()
+        p = f["p2"].to_numpy(dtype=float)
+        back, tables = p, _local_tables(g, n)
+        for k in (3, 4, 5):
+            keys, counts = tables[k]
+            d = np.array([0.0, *(f[f"d{i}_{k}"].iloc[0] for i in (1, 2, 3))])
+            d = np.where(np.isnan(d), [0.0, 0.5, 0.75, 1.0], d)
+            contexts, at = np.unique(keys >> _BITS, return_inverse=True)
+            total = np.bincount(at, counts, len(contexts))
+            kept = np.bincount(at, d[np.minimum(counts, 3)], len(contexts))
+            own = g & ((1 << _BITS * k) - 1)
+            c = _find(keys, counts, own)
+            i = np.searchsorted(contexts, own >> _BITS)
+            known = (i < len(contexts)) & (contexts[np.minimum(i, len(contexts) - 1)] == own >> _BITS) if len(contexts) else np.zeros(len(g), bool)
+            i = np.where(known, i, 0)
+            back = np.where(known, kept[i] / total[i] * p, p) if len(contexts) else p
+            p = np.where(known, (c - d[np.minimum(c, 3)]) / total[i], 0.0) + back if len(contexts) else p
+        return pd.DataFrame({"lang": f["lang"], "g": g, "n": n, "logp": np.log(p).astype(np.float32), "back": np.log(back).astype(np.float32)})
+
+    return _grouped(rows, shards).groupBy(*_GROUP).applyInPandas(score, "lang string, g long, n long, logp float, back float")
+
+
+def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of the wanted keys, 0 where there are none; ``keys`` are sorted."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[i] == wanted, values[i], 0)
 
 
 def _flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
