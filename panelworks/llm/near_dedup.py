@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, compact, connected_components, mix, shingles, signed, small, word_hashes, words
@@ -154,16 +154,33 @@ def sketches(docs: DataFrame, k: int, samples: int) -> DataFrame:
     return rows.mapInArrow(emit, "doc_id long, text_key binary, n_words int, sketch array<long>")
 
 
-def _hashed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, w): the texts of the documents in ``ids`` as 4-byte word hashes."""
+def histogram(w: np.ndarray, k: int) -> np.ndarray:
+    """Distinct ``k``-word shingles in each of 256 bins, 255 standing for all larger counts.
+
+    Two texts share at most the sum of the lesser counts of each bin.
+    """
+    bins = np.bincount((np.unique(shingles(w, k)) >> np.uint64(56)).astype(np.intp), minlength=256)
+    return np.minimum(bins, 255).astype(np.uint8)
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether texts of histograms ``a`` and ``b``, row by row, can share enough shingles for a similarity of ``threshold``."""
+    most = np.minimum(a, b).sum(1, dtype=np.int64)
+    enough = most >= threshold * (a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64) - most) - 1e-9
+    return enough | (a == 255).any(1) | (b == 255).any(1)
+
+
+def _hashed_texts(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, w, bins): the texts of the documents in ``ids`` as 4-byte word hashes, and their histograms."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [word_hashes(words(t.as_py() or "")).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "w"])
+            out = [word_hashes(words(t.as_py() or "")) for t in batch.column(1)]
+            cols = [pa.array([w.tobytes() for w in out], pa.binary()), pa.array([histogram(w, k).tobytes() for w in out], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "w", "bins"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(ids, 1_000_000), "id", "left_semi")
-    return checkpoint(texts.mapInArrow(hashed, "id long, w binary").dropDuplicates(["id"]))
+    return checkpoint(texts.mapInArrow(hashed, "id long, w binary, bins binary").dropDuplicates(["id"]))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -182,6 +199,53 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> D
     return both.select("a", "b", "wa", "wb").mapInArrow(check, "a long, b long")
 
 
+def _joined(clusters: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, cluster) of the documents in ``clusters``, by all links."""
+    found = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("now"))
+    named = clusters.select("doc_id").join(found, "doc_id", "left")
+    return compact(named.select("doc_id", F.coalesce("now", "doc_id").alias("cluster")))
+
+
+def _across(cells: DataFrame, sketched: DataFrame, clusters: DataFrame, least: int, threshold: float, block: int = 128) -> DataFrame:
+    """(a, b): every two documents of different clusters that share at least ``least`` samples and may reach ``threshold``.
+
+    Buckets are compared block by block, so a large one is many rows of two blocks
+    each; a pair comes from the bucket of the first sample that it shares.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def plain(x: pa.StructScalar) -> list[np.ndarray]:
+            rows = x.values
+            ids, of = (np.asarray(rows.field(c)) for c in ("doc_id", "cluster"))
+            bins = np.frombuffer(b"".join(rows.field("bins").to_pylist()), np.uint8)
+            return [ids, of, np.asarray(rows.field("sketch").flatten()).reshape(len(ids), -1), bins.reshape(len(ids), -1)]
+
+        for batch in batches:
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for t, one, xs, ys in zip(*(batch.column(i) for i in range(4))):
+                (ia, ca, sa, ha), (ib, cb, sb, hb) = plain(xs), plain(ys)
+                same = sa[:, None, :] == sb[None, :, :]
+                keep = (ca[:, None] != cb[None, :]) & (same.sum(2) >= least) & (same.argmax(2) == t.as_py())
+                if one.as_py():
+                    keep = np.triu(keep, 1)
+                i, j = np.nonzero(keep)
+                near = may_reach(ha[i], hb[j], threshold)
+                i, j = i[near], j[near]
+                a.append(np.minimum(ia[i], ib[j]))
+                b.append(np.maximum(ia[i], ib[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    named = cells.select("t", "h", "doc_id").join(clusters, "doc_id")
+    mixed = named.groupBy("t", "h").agg(F.count("*").alias("n"), F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x < y")
+    rows = named.join(mixed.select("t", "h", "n"), ["t", "h"]).join(sketched, "doc_id")
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / block)).cast("int").alias("part")
+    parts = compact(rows.groupBy("t", "h", part).agg(F.collect_list(F.struct("doc_id", "cluster", "sketch", "bins")).alias("rows")), 2_000)
+    left = parts.select("t", "h", F.col("part").alias("p"), F.col("rows").alias("xs"))
+    right = parts.select("t", "h", F.col("part").alias("q"), F.col("rows").alias("ys"))
+    both = left.join(right, ["t", "h"]).where("p < q or (p = q and size(xs) > 1)")
+    return both.select("t", F.expr("p = q").alias("one"), "xs", "ys").mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, samples: int = 16, least: int = 3, rounds: int = 3) -> DataFrame:
     """Groups of near-duplicate documents: doc_id, class_id, cluster_id, kept.
 
@@ -193,8 +257,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, samples
     ``threshold``, may become the centre of a next round, which compares it with all
     members that are not of its cluster yet.
     Linked classes are joined into clusters (smallest doc_id), in which the one
-    of that doc_id is kept. A bucket gives one pair a member and round, never all
-    pairs, and no member of a large bucket is left out.
+    of that doc_id is kept. After ``rounds`` rounds, which give one pair a member and
+    bucket, every remaining pair that shares ``least`` samples and lies in two
+    clusters is aligned too, unless their histograms show that it cannot reach the
+    threshold, in three waves, between which clusters grow and pairs inside one drop
+    out: no candidate is left untested but those whose link could join nothing.
 
     Similarity: distinct ``k``-word shingles brought together by a banded word
     alignment over all of both texts. Texts of fewer than ``k`` words link with
@@ -211,7 +278,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, samples
     full = cells.groupBy("t", "h").agg(F.count("*").alias("n")).where("n > 1")
     cells = compact(cells.join(full, ["t", "h"]))
     weight = compact(cells.groupBy("doc_id").agg(F.sum("n").alias("weight")))
-    texts = _hashed_texts(docs, weight.select(F.col("doc_id").alias("id")))
+    texts = _hashed_texts(docs, weight.select(F.col("doc_id").alias("id")), k)
     cells = compact(cells.join(weight, "doc_id").select("t", "h", "doc_id", "weight"))
     shared = compact(one.join(weight, "doc_id", "left_semi"))
     sa = shared.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"))
@@ -236,11 +303,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, samples
         seen = pairs if seen is None else seen.union(pairs)
         good = compact(_verified(pairs, texts, k, threshold))
         links = good if links is None else links.union(good)
-        found = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("now"))
-        clusters = clusters.select("doc_id").join(found, "doc_id", "left")
-        clusters = compact(clusters.select("doc_id", F.coalesce("now", "doc_id").alias("cluster")))
+        clusters = _joined(clusters, links)
         now = centre.select("t", "h", F.col("a").alias("doc_id"))
         tried = now if tried is None else tried.union(now)
+    sketched = shared.select("doc_id", "sketch").join(texts.select(F.col("id").alias("doc_id"), "bins"), "doc_id")
+    rest = _across(cells, sketched, clusters, least, threshold)
+    if seen is not None:
+        tested = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        rest = rest.join(tested, ["a", "b"], "left_anti")
+    turn = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b")).alias("turn")
+    rest = compact(rest.select("a", "b", turn))
+    for low, high in ((0, 4), (4, 32), (32, None)):
+        wave = rest.where(F.col("turn") > low)
+        wave = wave.where(F.col("turn") <= high) if high else wave
+        ca, cb = clusters.toDF("a", "ca"), clusters.toDF("b", "cb")
+        wave = compact(wave.join(ca, "a").join(cb, "b").where("ca <> cb").select("a", "b"))
+        if not wave.limit(1).count():
+            continue
+        good = compact(_verified(wave, texts, k, threshold))
+        if good.limit(1).count():
+            links = good if links is None else links.union(good)
+            clusters = _joined(clusters, links)
     lowest = keys.groupBy("text_key").agg(F.min("doc_id").alias("class_id"))
     member = keys.groupBy("doc_id").agg(F.min("text_key").alias("text_key")).join(lowest, "text_key")
     groups = clusters.select(F.col("doc_id").alias("class_id"), "cluster")

@@ -179,6 +179,31 @@ def test_near_duplicates_match_brute_force(spark):
     assert sum(r["kept"] for r in got.values()) == near_dedup.deduplicate(table(spark, rows)).count()
 
 
+def test_copies_around_the_threshold_inside_a_shared_passage(spark):
+    rng = random.Random(8)
+    passage = prose(77, 90, 5000)
+    rows = []
+    for g in range(30):  # families on both sides of 0.8 that all hold one passage
+        base = prose(500 + g, 110, 5000).split()
+        for _ in range(14):
+            words = list(base)
+            for at in rng.sample(range(len(words)), rng.choice((2, 3, 4, 5))):
+                words[at] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), f"{passage} {' '.join(words)}"))
+    got = {r["doc_id"]: r["cluster_id"] for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
+    assert got == closure(dict(rows), jaccard_links(rows))
+
+
+def test_histograms_never_rule_out_a_similar_pair():
+    rng = random.Random(2)
+    for _ in range(300):
+        a = prose(rng.randrange(9), rng.randrange(2, 400), 50).split()
+        b = [w if rng.random() > 0.03 else "new" for w in a] if rng.random() < 0.8 else prose(rng.randrange(9), 50, 50).split()
+        x, y = (common.word_hashes([w.encode() for w in ws]) for ws in (a, b))
+        if near_dedup.similarity(x, y) >= 0.8:
+            assert near_dedup.may_reach(*(near_dedup.histogram(w, 5)[None] for w in (x, y)), 0.8).all()
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, empty):
     got = {r["doc_id"]: r["cluster_id"] for r in near_dedup.near_duplicates(odd).collect()}
     assert set(got) == {i for i, _ in ODD if i is not None} and all(i == c for i, c in got.items())
