@@ -23,9 +23,12 @@ _MARKED = frozenset(
     "masthead menu modal nav navbar navigation newsletter notice notices notification pagination paywall popup promo promoted promotion "
     "recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Comments, scripts and styles run to the end of the page if nothing closes them; other elements that show no text are
+#: left out only up to their own end tag.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|select|textarea|button|math|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(noscript|template|svg|iframe|select|textarea|canvas|audio|video)(?=[\s/>])[^>]*(?<!/)>[^<]*+(?:<(?!/?\2[\s/>])[^<]*+)*+</\2\s*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>|</?[a-zA-Z][^<>]*>",
     re.S | re.I,
@@ -60,22 +63,22 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             if link:
                 linked += len(part)
         at = m.end()
-        tag = m[3]
+        tag = m[4]
         if not tag:
             continue
         tag = tag.lower()
         if tag == "a":
-            link = 0 if m[2] else 1
+            link = 0 if m[3] else 1
         elif tag == "br":
             text.append(" ")
         elif tag in _BLOCK:
             flush()
             if tag in _CONTAINER:
-                if m[2]:
+                if m[3]:
                     if any(s[0] == tag for s in stack):
                         while stack.pop()[0] != tag:
                             pass
-                elif not m[4].rstrip().endswith("/"):
+                elif not m[5].rstrip().endswith("/"):
                     _, bad, inside = stack[-1] if stack else ("", False, False)
                     if tag in ("article", "main", "body"):
                         marked = False
@@ -83,7 +86,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                             bad = False  # a menu or advert that was never closed
                         inside = inside or tag != "body"
                     else:
-                        attributes = m[4]
+                        attributes = m[5]
                         marked = tag in _BOILERPLATE and not (tag == "header" and inside)
                         if attributes and not marked:
                             names = {w.lower() for a in _NAMES.findall(attributes) for w in _PARTS.findall("".join(a))}

@@ -415,6 +415,18 @@ def test_main_text():
     assert html_text.main_text("<p title='a>" * 2000) is not None
 
 
+@pytest.mark.parametrize(
+    "tag",
+    ["<audio-player src=x></audio-player>", "<video-js>", "<button-group></button-group>", "<select-menu/>", "<math-field>", "<object-x>",
+     "<svg viewBox='0 0 1 1'/>", "<math/>", "<iframe src=x />", "<object data=x />", "<video src=x>", "<svg><path/></svg>", "<select><option>No</select>", "<video src=x><p>Between</p><video>no</video>"],
+)
+def test_pages_keep_the_text_after_any_element(tag):
+    text = html_text.main_text(f"<p>a</p>{tag}<article><p>Text of the article.</p>{tag}<p>Its <math><mi>x</mi></math> end.</p></article>")
+    inside = ["Between"] if "Between" in tag else []
+    assert text.split("\n") == ["Text of the article.", *inside, "Its x end."]
+    assert html_text.main_text("<article><p>Text</p><script>var x = '<p>no</p>'") == "Text"
+
+
 def test_pages_keep_every_row(spark):
     rows = [(1, "u", None), (2, None, "<p>Hello there</p>"), (2, None, "<p>Hello there</p>"), (None, "v", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
