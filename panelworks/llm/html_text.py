@@ -106,28 +106,27 @@ def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     weigh, and each at least 1, so that short paragraphs count; elsewhere a line
     window must hold ``surge`` characters for text to begin. Text begins where the sum
     over the next ``window`` lines surges from a line that weighs, and ends where
-    it dives to zero; runs far smaller than the largest are other parts of the page.
+    it dives to zero; every run that surges is kept, however small beside the largest.
     """
     rows = lines(page or "")
     marked = any(inside and not bad for _, _, bad, inside in rows)
     weight = [0 if bad or (marked and not inside) else (max(n, 1) if marked else n) for _, n, bad, inside in rows]
     sums = [sum(weight[i : i + window]) for i in range(len(weight))]
     need = 1 if marked else surge
-    runs: list[tuple[int, int, int]] = []
+    runs: list[tuple[int, int]] = []
     i = 0
     while i < len(rows):
         if weight[i] and sums[i] >= need:
             j = i
             while j < len(rows) and sums[j] > 0:
                 j += 1
-            runs.append((sum(weight[i:j]), i, j))
+            runs.append((i, j))
             i = j
         else:
             i += 1
     if not runs and any(weight):  # a short page: all its text
-        runs = [(1, 0, len(rows))]
-    most = max((r[0] for r in runs), default=0)
-    return "\n".join(rows[k][0] for n, i, j in runs if marked or 4 * n >= most for k in range(i, j) if weight[k])
+        runs = [(0, len(rows))]
+    return "\n".join(rows[k][0] for i, j in runs for k in range(i, j) if weight[k])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -427,6 +427,15 @@ def test_pages_keep_the_text_after_any_element(tag):
     assert html_text.main_text("<article><p>Text</p><script>var x = '<p>no</p>'") == "Text"
 
 
+def test_sections_on_both_sides_of_adverts_are_kept():
+    def section(name, chars):
+        return "".join(f"<p>{name} {i} {'has a sentence that is text. ' * 5}</p>" for i in range(chars // 150))
+
+    adverts = "<div class=ad>Buy now and save</div>" * 2 + "<p><a href=/x>Read more about it</a></p>" * 3
+    text = html_text.main_text(f"<body>{section('First', 3000)}{adverts}{section('Last', 500)}</body>")
+    assert text.count("First") == 20 and text.count("Last") == 3 and "Buy" not in text and "Read" not in text
+
+
 def test_pages_keep_every_row(spark):
     rows = [(1, "u", None), (2, None, "<p>Hello there</p>"), (2, None, "<p>Hello there</p>"), (None, "v", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
