@@ -286,6 +286,12 @@ def q_j11(s: SparkSession, d: str) -> DataFrame:
     return out(scoring.headline_score(headlines(s, d).withColumn("title", F.substring(F.trim("title"), 1, 200)), _LEX), "doc_id", "risk")
 
 
+@register("j11_headline_score_whole")
+def q_j11_whole(s: SparkSession, d: str) -> DataFrame:
+    """The operator as it is, without the cut to 200 characters that ``j11_headline_score`` shares with its oracle."""
+    return out(scoring.headline_score(headlines(s, d), _LEX), "doc_id", "risk")
+
+
 @register(
     "j12_political_risk",
     f"""WITH {_HEAD}, r AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY risk DESC, doc_id) AS b, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS e FROM hs WHERE length(title) > 0),

@@ -198,3 +198,12 @@ def test_walk_forward_with_a_trainer(spark):
     assert got["num_windows"] == want["num_windows"] == 2 and abs(got["final_equity"] - want["final_equity"]) < 1e-6
     assert seen[0] < START + dt.timedelta(days=145)
     assert -1 <= got["max_drawdown"] <= 0 and 0 <= got["avg_win_rate"] <= 1
+
+
+def test_headlines_are_scored_to_their_end(spark, tmp_path):
+    from panelworks.plans.queries import QUERIES
+
+    rows = [(1, "x" * 300 + " Schule", "de", "s"), (2, "x" * 300, "de", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["risk"] for r in QUERIES["j11_headline_score_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: 0.4, 2: 0.0}
