@@ -6,7 +6,7 @@ import tempfile
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that belong to words: 0-9, a-z and every byte of a non-ASCII character.
@@ -18,16 +18,30 @@ _C = np.uint64(0xBF58476D1CE4E5B9)
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that lost executors cost no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests, notebooks) a local folder is made.
+    The folder is the session's ``spark.checkpoint.dir``.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset, a local folder in a session whose executors are threads
+    of this process (tests, notebooks); elsewhere an error, as executors could not
+    read one another's files.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master.startswith("local") and "cluster" not in master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def compact(df: DataFrame, rows: int = 50_000, least: int = 8) -> DataFrame:
     """``df`` checkpointed, in partitions of about ``rows`` rows: few rows in very many partitions cost a file each at every shuffle."""
     df = checkpoint(df)
@@ -43,6 +57,23 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def join_on_hot(left: DataFrame, right: DataFrame, key: str, size: str, hot: int = 1_000) -> DataFrame:
+    """``left`` joined to ``right`` (one row a ``key``; ``size``: how many rows of ``left`` have it).
+
+    Keys of over ``hot`` rows would each fill one task of a shuffled join; their
+    rows of ``right`` are few and broadcast, if a count bears that out. ``right``
+    should be checkpointed.
+    """
+    most = 500_000
+    heavy = right.where(F.col(size) > hot)
+    n = heavy.limit(most + 1).count()
+    if not 0 < n <= most:
+        return left.join(right, key)
+    one = left.join(F.broadcast(heavy), key)
+    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(right.where(F.col(size) <= hot), key)
+    return one.unionByName(rest)
+
+
 def words(text: str, lower: bool = True) -> list[bytes]:
     """UTF-8 words of a text: runs of digits, letters and non-ASCII characters, lower-cased."""
     return (text.lower() if lower else text).encode("utf-8", "replace").translate(_WORD_BYTES).split()

@@ -98,35 +98,63 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
-    """The blocks between surge and dive points of the text distribution, joined by newlines.
-
-    A line's weight is its length outside links; lines of menus, headers, footers
-    and the like weigh nothing. Where a page marks its article, only lines inside
-    weigh, and each at least 1, so that short paragraphs count; elsewhere a line
-    window must hold ``surge`` characters for text to begin. Text begins where the sum
-    over the next ``window`` lines surges from a line that weighs, and ends where
-    it dives to zero; every run that surges is kept, however small beside the largest.
+def weights(rows: list[tuple[str, int, bool, bool]], lift: int) -> list[int]:
+    """The weight of each line of :func:`lines` in the text distribution.
+
+    Its characters outside links, and none for a line of a menu, header, footer,
+    advert and the like. Markup is a weight as well: where a page says which part
+    is its article (``<article>``, ``<main>``), a line inside weighs its whole
+    length and ``lift`` more, and other lines weigh nothing.
     """
-    rows = lines(page or "")
     marked = any(inside and not bad for _, _, bad, inside in rows)
-    weight = [0 if bad or (marked and not inside) else (max(n, 1) if marked else n) for _, n, bad, inside in rows]
-    sums = [sum(weight[i : i + window]) for i in range(len(weight))]
-    need = 1 if marked else surge
-    runs: list[tuple[int, int]] = []
-    i = 0
-    while i < len(rows):
-        if weight[i] and sums[i] >= need:
-            j = i
-            while j < len(rows) and sums[j] > 0:
-                j += 1
-            runs.append((i, j))
-            i = j
+    out = []
+    for text, own, bad, inside in rows:
+        if bad:
+            out.append(0)
+        elif marked:
+            out.append(len(text) + lift if inside else 0)
         else:
-            i += 1
-    if not runs and any(weight):  # a short page: all its text
-        runs = [(0, len(rows))]
-    return "\n".join(rows[k][0] for i, j in runs for k in range(i, j) if weight[k])
+            out.append(own)
+    return out
+
+
+def text_runs(weight: list[int], window: int, surge: int) -> list[tuple[int, int]]:
+    """(start, end) of every stretch of text: from a surge point to the next dive point.
+
+    A line surges if it weighs and the sum of the weights in the window that it
+    begins reaches ``surge``; text dives at the first line whose window holds
+    nothing. If no window of the page reaches ``surge``, half of its largest one
+    has to do, so that short pages have text too.
+    """
+    total = [0]
+    for w in weight:
+        total.append(total[-1] + w)
+    n = len(weight)
+    sums = [total[min(i + window, n)] - total[i] for i in range(n)]
+    most = max(sums, default=0)
+    need = surge if most >= surge else max(1, most / 2)
+    out: list[tuple[int, int]] = []
+    start = None
+    for i in range(n):
+        if start is None:
+            if weight[i] and sums[i] >= need:
+                start = i
+        elif not sums[i]:
+            out.append((start, i))
+            start = None
+    return out if start is None else [*out, (start, n)]
+
+
+def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
+    """The blocks between surge and dive points of a page's text distribution, joined by newlines.
+
+    Between the two points every block stays, however short or full of links,
+    but those of menus, headers, footers, adverts and the like, which :func:`lines`
+    tells by their elements and names.
+    """
+    rows = lines(page or "")
+    runs = text_runs(weights(rows, surge), window, surge)
+    return "\n".join(rows[k][0] for i, j in runs for k in range(i, j) if not rows[k][2])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, compact, connected_components, mix, shingles, signed, small, word_hashes, words
+from .common import checkpoint, compact, connected_components, join_on_hot, mix, shingles, signed, small, word_hashes, words
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_BINS = 256
 
 
 def labelled(s: np.ndarray) -> np.ndarray:
@@ -46,92 +48,97 @@ def order_minhash(s: np.ndarray, samples: int, seeds: np.ndarray) -> np.ndarray:
     return out
 
 
-def align(a: np.ndarray, b: np.ndarray, band: int) -> list[tuple[int, int, int]] | None:
-    """Runs (i, j, length) of equal words in a best alignment of two word sequences within a band.
+def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Edits (words put in, left out or exchanged) that turn ``a`` into ``b``; None if over ``most``.
 
-    Unit costs; None if no alignment of at most ``band`` edits exists. For each
-    number of edits, the furthest word reached on each diagonal of the band, from
-    the neighbouring diagonals with one edit less and then along equal words.
+    For each number of edits, the furthest word reached on each diagonal of the
+    band from which the end is still in reach: from the neighbouring diagonals
+    with one edit less, then along equal words. A whole band is one array.
     """
     n, m = len(a), len(b)
     end = m - n
-    if abs(end) > band:
+    if abs(end) > most:
         return None
-    xs, ys, xb, yb = a.tolist(), b.tolist(), a.tobytes(), b.tobytes()
-
-    def slide(i: int, j: int) -> int:
-        while i + 32 <= n and j + 32 <= m and xb[4 * i : 4 * i + 128] == yb[4 * j : 4 * j + 128]:
-            i, j = i + 32, j + 32
-        while i < n and j < m and xs[i] == ys[j]:
-            i, j = i + 1, j + 1
+    pad = 128
+    x = np.concatenate([a.astype(np.int64), np.full(pad + 1, -1)])
+    y = np.concatenate([b.astype(np.int64), np.full(pad + 1, -2)])
+    ahead = np.arange(pad)
+
+    def slide(i: np.ndarray, d: np.ndarray) -> np.ndarray:
+        on = np.flatnonzero(x[i] == y[i + d])
+        while len(on):
+            width = pad if len(on) < 16 else 16
+            same = x[i[on, None] + ahead[:width]] == y[(i + d)[on, None] + ahead[:width]]
+            run = np.where(same.all(1), width, same.argmin(1))
+            i[on] += run
+            on = on[run == width]
         return i
 
-    reached = [{0: slide(0, 0)}]
-    while reached[-1].get(end, -1) < n:
-        last, edits = reached[-1], len(reached)
-        if edits > band:
+    low, reach = 0, slide(np.zeros(1, np.int64), np.zeros(1, np.int64))  # reach[k]: on diagonal low + k
+    edits = 0
+    while not (low <= end < low + len(reach)) or reach[end - low] < n:
+        edits += 1
+        if edits > most:
             return None
-        now = {}
-        for d in range(max(-edits, end - band + edits), min(edits, end + band - edits) + 1):
-            i = max(last.get(d, -2) + 1, last.get(d - 1, -2), last.get(d + 1, -2) + 1)
-            i = min(i, n, m - d)
-            if i >= 0 and i + d >= 0:
-                now[d] = slide(i, i + d)
-        reached.append(now)
-    runs, d, top = [], end, n
-    for edits in range(len(reached) - 1, -1, -1):
-        if not edits:
-            start, before = 0, (0, 0)
-        else:
-            last = reached[edits - 1]
-            ways = [(last.get(d, -2) + 1, d, last.get(d, -2)), (last.get(d - 1, -2), d - 1, last.get(d - 1, -2)), (last.get(d + 1, -2) + 1, d + 1, last.get(d + 1, -2))]
-            got, back, at = max(ways, key=lambda w: w[0])
-            start, before = min(got, n, m - d), (back, at)
-        if top > start:
-            runs.append((start, start + d, top - start))
-        if edits:
-            d, top = before
-    return runs[::-1]
-
-
-def similarity(a: np.ndarray, b: np.ndarray, k: int = 5, threshold: float = 0.8) -> float:
-    """Share of distinct ``k``-word shingles that a banded alignment of two texts brings together.
-
-    Shingles that the alignment matches word for word, over all shingles of both.
-    With similarity ``t`` at most ``(1 - t) / (1 + t)`` of the shingles lie
-    outside; each edit takes at least one, which bounds the band. Common ends are
-    cut first; the band grows until the alignment fits or the bound is reached.
-    0 if no alignment can reach ``threshold``.
+        first = max(-edits, end - (most - edits), -n)
+        last = min(edits, end + (most - edits), m)
+        wide = np.full(last - first + 3, -2, np.int64)  # diagonals first - 1 .. last + 1 of the step before
+        lo, hi = max(low, first - 1), min(low + len(reach) - 1, last + 1)
+        if lo <= hi:
+            wide[lo - first + 1 : hi - first + 2] = reach[lo - low : hi - low + 1]
+        d = np.arange(first, last + 1)
+        i = np.maximum(np.maximum(wide[1:-1] + 1, wide[:-2]), wide[2:] + 1)
+        i = np.minimum(np.minimum(i, n), m - d)
+        ok = (i >= 0) & (i + d >= 0)
+        i[ok] = slide(i[ok], d[ok])
+        i[~ok] = -2
+        low, reach = first, i
+    return edits
+
+
+def similarity(a: np.ndarray, b: np.ndarray, threshold: float = 0.8) -> float:
+    """1 - edits / length of the longer text, by a banded alignment of two word sequences; 0 if under ``threshold``.
+
+    The threshold bounds the edits and so the band. Words that two texts have in
+    common, in any order, bound the similarity too: texts that share too few are
+    not aligned. Common ends are cut first. Two texts without words are equal.
     """
-    if len(a) < k or len(b) < k:
-        return 1.0 if len(a) == len(b) and (a == b).all() else 0.0
-    sa, sb = shingles(a, k), shingles(b, k)
-    ua, ub = np.unique(sa), np.unique(sb)
-    shared = len(np.intersect1d(ua, ub, assume_unique=True))
-    if shared < threshold * (len(ua) + len(ub) - shared) - 1e-9:
-        return 0.0  # the alignment cannot bring together more than they share
+    longer = max(len(a), len(b))
+    if not longer:
+        return 1.0
+    most = math.floor((1 - threshold) * longer + 1e-9)
+    if longer - min(len(a), len(b)) > most:
+        return 0.0
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
     head = int(differ[0]) if len(differ) else n
     differ = np.flatnonzero(a[::-1][: n - head] != b[::-1][: n - head])
     tail = int(differ[0]) if len(differ) else n - head
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    most = max(len(x), len(y))
-    band, runs = max(8, abs(len(x) - len(y))), None
-    while runs is None:
-        runs = align(x, y, min(band, most))  # as many edits as words always suffice
-        band *= 4
-    where = np.full(len(a), -1, np.int64)
-    where[:head] = np.arange(head)
-    for i, j, length in runs:
-        where[head + i : head + i + length] = np.arange(head + j, head + j + length)
-    where[len(a) - tail :] = np.arange(len(b) - tail, len(b))
-    start = where[: len(a) - k + 1]
-    whole = start >= 0
-    for i in range(1, k):
-        whole &= where[i : len(a) - k + 1 + i] == start + i
-    together = len(np.unique(sa[whole]))
-    return together / (len(ua) + len(ub) - together)
+    if max(len(x), len(y)) > most:
+        (u, nu), (v, nv) = (np.unique(w, return_counts=True) for w in (x, y))
+        _, iu, iv = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+        if max(len(x), len(y)) - int(np.minimum(nu[iu], nv[iv]).sum()) > most:
+            return 0.0
+    edits = banded_distance(x, y, most)
+    return 0.0 if edits is None else 1 - edits / longer
+
+
+def histogram(w: np.ndarray) -> np.ndarray:
+    """Words in each of 256 bins, 65535 standing for all larger counts. Two texts share at most the sum of the lesser counts."""
+    return np.minimum(np.bincount((w >> np.uint32(24)).astype(np.intp), minlength=_BINS), 65_535).astype(np.uint16)
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether texts of histograms ``a`` and ``b`` and ``n`` and ``m`` words, row by row, can have a similarity of ``threshold``."""
+    longer, shorter = np.maximum(n, m), np.minimum(n, m)
+    shared = np.minimum(np.minimum(a, b).sum(1, dtype=np.int64), shorter)
+    return (shared >= threshold * longer - 1e-9) | (shorter >= threshold * longer - 1e-9) & ((a == 65_535).any(1) | (b == 65_535).any(1))
+
+
+def text_key(text: Column, doc_id: Column) -> Column:
+    """Equal for equal texts; a null text has a key of its own doc_id."""
+    return F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.concat(F.lit("null ").cast("binary"), doc_id.cast("string").cast("binary")))
 
 
 def sketches(docs: DataFrame, k: int, samples: int) -> DataFrame:
@@ -149,189 +156,241 @@ def sketches(docs: DataFrame, k: int, samples: int) -> DataFrame:
             cols = [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(out, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "n_words", "sketch"])
 
-    key = F.coalesce(F.unhex(F.md5(F.col("text").cast("binary"))), F.concat(F.lit("null ").cast("binary"), F.col("doc_id").cast("string").cast("binary")))
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), key.alias("text_key"), "text")
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.where("doc_id is not null").select(doc_id.alias("doc_id"), text_key(F.col("text"), doc_id).alias("text_key"), "text")
     return rows.mapInArrow(emit, "doc_id long, text_key binary, n_words int, sketch array<long>")
 
 
-def histogram(w: np.ndarray, k: int) -> np.ndarray:
-    """Distinct ``k``-word shingles in each of 256 bins, 255 standing for all larger counts.
-
-    Two texts share at most the sum of the lesser counts of each bin.
-    """
-    bins = np.bincount((np.unique(shingles(w, k)) >> np.uint64(56)).astype(np.intp), minlength=256)
-    return np.minimum(bins, 255).astype(np.uint8)
-
-
-def may_reach(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether texts of histograms ``a`` and ``b``, row by row, can share enough shingles for a similarity of ``threshold``."""
-    most = np.minimum(a, b).sum(1, dtype=np.int64)
-    enough = most >= threshold * (a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64) - most) - 1e-9
-    return enough | (a == 255).any(1) | (b == 255).any(1)
-
-
-def _hashed_texts(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, w, bins): the texts of the documents in ``ids`` as 4-byte word hashes, and their histograms."""
+def _hashed_texts(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """(node, n, w, bins) of the texts of the classes in ``wanted`` (node, text_key, doc_id): 4-byte word hashes and their histograms."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [word_hashes(words(t.as_py() or "")) for t in batch.column(1)]
-            cols = [pa.array([w.tobytes() for w in out], pa.binary()), pa.array([histogram(w, k).tobytes() for w in out], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "w", "bins"])
+            cols = [pa.array([len(w) for w in out], pa.int32()), pa.array([w.tobytes() for w in out], pa.binary()), pa.array([histogram(w).tobytes() for w in out], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["node", "n", "w", "bins"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(ids, 1_000_000), "id", "left_semi")
-    return checkpoint(texts.mapInArrow(hashed, "id long, w binary, bins binary").dropDuplicates(["id"]))
+    doc_id = F.col("doc_id").cast("long")
+    texts = docs.select(doc_id.alias("doc_id"), "text").join(small(wanted, 500_000), "doc_id")
+    texts = texts.where(text_key(F.col("text"), F.col("doc_id")) == F.col("text_key")).select("node", "text")
+    out = texts.mapInArrow(hashed, "node long, n int, w binary, bins binary")
+    return checkpoint(out.dropDuplicates(["node"]) if repeated else out)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts align."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [
-                similarity(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), k, threshold) >= threshold - 1e-9
+                similarity(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), threshold) >= threshold - 1e-9
                 for x, y in zip(batch.column(2), batch.column(3))
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb")), "b")
+    both = both.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
     return both.select("a", "b", "wa", "wb").mapInArrow(check, "a long, b long")
 
 
 def _joined(clusters: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, cluster) of the documents in ``clusters``, by all links."""
-    found = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("now"))
-    named = clusters.select("doc_id").join(found, "doc_id", "left")
-    return compact(named.select("doc_id", F.coalesce("now", "doc_id").alias("cluster")))
+    """(node, cluster) of the nodes in ``clusters``, by all links."""
+    found = connected_components(links).withColumnRenamed("component", "now")
+    named = clusters.select("node").join(found, "node", "left")
+    return compact(named.select("node", F.coalesce("now", "node").alias("cluster")))
+
 
+def _named_cells(shared: DataFrame, clusters: DataFrame, *more: str) -> DataFrame:
+    """(node, cluster, t, h): the buckets of every node, with ``more`` columns."""
+    return shared.join(clusters, "node").select("node", "cluster", *more, F.inline("cells"))
 
-def _across(cells: DataFrame, sketched: DataFrame, clusters: DataFrame, least: int, threshold: float, block: int = 128) -> DataFrame:
-    """(a, b): every two documents of different clusters that share at least ``least`` samples and may reach ``threshold``.
 
-    Buckets are compared block by block, so a large one is many rows of two blocks
-    each; a pair comes from the bucket of the first sample that it shares.
+def _across(shared: DataFrame, sketched: DataFrame, clusters: DataFrame, least: int, threshold: float, block: int = 128) -> DataFrame:
+    """(a, b): every two nodes of different clusters that share at least ``least`` samples and may reach ``threshold``.
+
+    A bucket is split by text length, in bands so wide that two texts over the
+    threshold lie in the same or neighbouring ones, and each band into blocks;
+    blocks are compared two by two, each a row. A pair comes from the bucket of
+    the first sample that it shares.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def plain(x: pa.StructScalar) -> list[np.ndarray]:
+        def plain(x: pa.StructScalar) -> tuple[np.ndarray, ...]:
             rows = x.values
-            ids, of = (np.asarray(rows.field(c)) for c in ("doc_id", "cluster"))
-            bins = np.frombuffer(b"".join(rows.field("bins").to_pylist()), np.uint8)
-            return [ids, of, np.asarray(rows.field("sketch").flatten()).reshape(len(ids), -1), bins.reshape(len(ids), -1)]
+            ids, of, n = (np.asarray(rows.field(c)) for c in ("node", "cluster", "n"))
+            bins = np.frombuffer(b"".join(rows.field("bins").to_pylist()), np.uint16)
+            return ids, of, n, np.asarray(rows.field("sketch").flatten()).reshape(len(ids), -1), bins.reshape(len(ids), -1)
 
         for batch in batches:
             a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for t, one, xs, ys in zip(*(batch.column(i) for i in range(4))):
-                (ia, ca, sa, ha), (ib, cb, sb, hb) = plain(xs), plain(ys)
-                same = sa[:, None, :] == sb[None, :, :]
-                keep = (ca[:, None] != cb[None, :]) & (same.sum(2) >= least) & (same.argmax(2) == t.as_py())
+                (ia, ca, na, sa, ha), (ib, cb, nb, sb, hb) = plain(xs), plain(ys)
+                same = np.zeros((len(ia), len(ib)), np.uint16)
+                for k, (u, v) in enumerate(zip(sa.T, sb.T)):
+                    equal = u[:, None] == v[None, :]
+                    if k == t.as_py():
+                        keep = equal & (same == 0)
+                    same += equal
+                keep &= (same >= least) & (ca[:, None] != cb[None, :])
                 if one.as_py():
                     keep = np.triu(keep, 1)
                 i, j = np.nonzero(keep)
-                near = may_reach(ha[i], hb[j], threshold)
+                near = may_reach(ha[i], hb[j], na[i], nb[j], threshold)
                 i, j = i[near], j[near]
                 a.append(np.minimum(ia[i], ib[j]))
                 b.append(np.maximum(ia[i], ib[j]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    named = cells.select("t", "h", "doc_id").join(clusters, "doc_id")
-    mixed = named.groupBy("t", "h").agg(F.count("*").alias("n"), F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x < y")
-    rows = named.join(mixed.select("t", "h", "n"), ["t", "h"]).join(sketched, "doc_id")
-    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / block)).cast("int").alias("part")
-    parts = compact(rows.groupBy("t", "h", part).agg(F.collect_list(F.struct("doc_id", "cluster", "sketch", "bins")).alias("rows")), 2_000)
-    left = parts.select("t", "h", F.col("part").alias("p"), F.col("rows").alias("xs"))
-    right = parts.select("t", "h", F.col("part").alias("q"), F.col("rows").alias("ys"))
-    both = left.join(right, ["t", "h"]).where("p < q or (p = q and size(xs) > 1)")
+    band = F.floor(F.log(F.col("n")) / -math.log(threshold)).cast("int")
+    named = _named_cells(shared, clusters, band.alias("band"))
+    sizes = named.groupBy("t", "h", "band").agg(F.count("*").alias("size"), F.min("cluster").alias("x"), F.max("cluster").alias("y"))
+    sizes = compact(sizes)
+    mixed = sizes.groupBy("t", "h").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x < y").select("t", "h")
+    wide = sizes.select("t", "h", "band", "size").join(mixed, ["t", "h"])
+    rows = named.join(wide, ["t", "h", "band"]).join(sketched, "node")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).cast("int").alias("part")
+    parts = compact(rows.groupBy("t", "h", "band", part).agg(F.collect_list(F.struct("node", "cluster", "n", "sketch", "bins")).alias("rows")), 2_000)
+    left = parts.select("t", "h", F.struct("band", "part").alias("p"), F.col("rows").alias("xs"))
+    right = parts.select("t", "h", F.struct("band", "part").alias("q"), F.col("rows").alias("ys"))
+    both = left.join(right, ["t", "h"]).where("q.band <= p.band + 1 and (p < q or (p = q and size(xs) > 1))")
     return both.select("t", F.expr("p = q").alias("one"), "xs", "ys").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, samples: int = 16, least: int = 3, rounds: int = 3) -> DataFrame:
-    """Groups of near-duplicate documents: doc_id, class_id, cluster_id, kept.
+def _classes(docs: DataFrame, k: int, samples: int) -> tuple[DataFrame, DataFrame]:
+    """Members (text_key, doc_id, copies) and classes (node, text_key, doc_id, size, n, sketch) of equal texts.
 
-    Equal texts form a class, named by its smallest doc_id; only that one goes
-    on. Each of ``samples`` Order MinHash samples (two minimum labelled ``k``-word
-    shingles in text order) puts it into a bucket. A bucket's members are compared
-    with its centre, the member that shares most of its samples with others; who
-    shares under ``least`` samples with it, or does not align with a similarity of
-    ``threshold``, may become the centre of a next round, which compares it with all
-    members that are not of its cluster yet.
-    Linked classes are joined into clusters (smallest doc_id), in which the one
-    of that doc_id is kept. After ``rounds`` rounds, which give one pair a member and
-    bucket, every remaining pair that shares ``least`` samples and lies in two
-    clusters is aligned too, unless their histograms show that it cannot reach the
-    threshold, in three waves, between which clusters grow and pairs inside one drop
-    out: no candidate is left untested but those whose link could join nothing.
-
-    Similarity: distinct ``k``-word shingles brought together by a banded word
-    alignment over all of both texts. Texts of fewer than ``k`` words link with
-    texts of the same words. Empty texts are equal to each other; null texts and
-    texts without words link with nothing else. Rows with null doc_ids give no
-    row; repeated doc_ids give one, of the smallest text key.
+    ``node`` numbers a class, whatever the doc_ids; doc_id is the class's smallest.
     """
-    rows = sketches(docs, k, samples)
-    first = F.min_by(F.struct("doc_id", "n_words", "sketch"), "doc_id")
-    keys = checkpoint(rows)
-    one = keys.groupBy("text_key").agg(first.alias("s")).select("s.*").where("sketch is not null")
-    one = compact(one.dropDuplicates(["doc_id"]))
-    cells = one.select("doc_id", F.posexplode("sketch").alias("t", "h"))
-    full = cells.groupBy("t", "h").agg(F.count("*").alias("n")).where("n > 1")
-    cells = compact(cells.join(full, ["t", "h"]))
-    weight = compact(cells.groupBy("doc_id").agg(F.sum("n").alias("weight")))
-    texts = _hashed_texts(docs, weight.select(F.col("doc_id").alias("id")), k)
-    cells = compact(cells.join(weight, "doc_id").select("t", "h", "doc_id", "weight"))
-    shared = compact(one.join(weight, "doc_id", "left_semi"))
-    sa = shared.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"))
-    sb = shared.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+    keys = checkpoint(sketches(docs, k, samples))
+    members = checkpoint(keys.groupBy("text_key", "doc_id").agg(F.count("*").alias("copies")))
+    first = F.min_by(F.struct("doc_id", F.col("n_words").alias("n"), "sketch"), "doc_id").alias("s")
+    classes = keys.groupBy("text_key").agg(first, F.count("*").alias("size"))
+    return members, checkpoint(classes.select(F.monotonically_increasing_id().alias("node"), "text_key", "size", "s.*"))
+
+
+def _clusters(docs: DataFrame, classes: DataFrame, repeated: bool, threshold: float, least: int, rounds: int) -> DataFrame | None:
+    """(node, cluster) of all classes that share a bucket with another one; None if there are none."""
+    one = classes.where("sketch is not null")
+    cells = one.select("node", F.posexplode("sketch").alias("t", "h"))
+    full = cells.groupBy("t", "h").agg(F.count("*").alias("size")).where("size > 1")
+    shared = cells.join(full, ["t", "h"]).groupBy("node").agg(F.collect_list(F.struct("t", "h")).alias("cells"), F.sum("size").alias("weight"))
+    shared = compact(shared.join(one.select("node", "n"), "node"))  # at most a row a sample in a group
+    if not shared.limit(1).count():
+        return None
+    wanted = shared.select("node").join(classes.select("node", "text_key", "doc_id"), "node")
+    texts = _hashed_texts(docs, checkpoint(wanted), repeated)
+    clusters = shared.select("node", F.col("node").alias("cluster"))
     links = tried = seen = None
-    clusters = weight.select("doc_id", F.col("doc_id").alias("cluster"))
+
+    def add(pairs: DataFrame) -> None:
+        nonlocal links, clusters
+        good = compact(_verified(pairs, texts, threshold))
+        if good.limit(1).count():
+            links = good if links is None else links.union(good)
+            clusters = _joined(clusters, links)
+
     for _ in range(rounds):
-        named = cells.join(clusters, "doc_id") if tried is not None else cells.withColumn("cluster", F.col("doc_id"))
+        named = _named_cells(shared, clusters, "weight")
         free = named
         if tried is not None:
-            done = tried.join(clusters, "doc_id").select("t", "h", "cluster").distinct()
+            done = tried.join(clusters, "node").select("t", "h", "cluster").distinct()
             free = named.join(done, ["t", "h", "cluster"], "left_anti")
-        centre = free.groupBy("t", "h").agg(F.max_by(F.struct("doc_id", "cluster"), F.struct("weight", -F.col("doc_id"))).alias("c"))
-        centre = compact(centre.select("t", "h", F.col("c.doc_id").alias("a"), F.col("c.cluster").alias("of")))
-        pairs = named.join(centre, ["t", "h"]).where("cluster <> of").select("a", F.col("doc_id").alias("b")).distinct()
+        centre = free.groupBy("t", "h").agg(F.max_by(F.struct("node", "cluster"), F.struct("weight", -F.col("node"))).alias("c"))
+        centre = compact(centre.select("t", "h", F.col("c.node").alias("a"), F.col("c.cluster").alias("of")))
+        pairs = named.join(centre, ["t", "h"]).where("cluster <> of").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = compact(pairs.join(sb, "b").join(sa, "a").where(agree >= least).select("a", "b"))
+        pairs = compact(pairs)
         if not pairs.limit(1).count():
             break
         seen = pairs if seen is None else seen.union(pairs)
-        good = compact(_verified(pairs, texts, k, threshold))
-        links = good if links is None else links.union(good)
-        clusters = _joined(clusters, links)
-        now = centre.select("t", "h", F.col("a").alias("doc_id"))
+        add(pairs)
+        now = centre.select("t", "h", F.col("a").alias("node"))
         tried = now if tried is None else tried.union(now)
-    sketched = shared.select("doc_id", "sketch").join(texts.select(F.col("id").alias("doc_id"), "bins"), "doc_id")
-    rest = _across(cells, sketched, clusters, least, threshold)
+    sketched = texts.select("node", "n", "bins").join(one.select("node", "sketch"), "node")
+    rest = _across(shared, sketched, clusters, least, threshold)
     if seen is not None:
-        tested = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = rest.join(tested, ["a", "b"], "left_anti")
+        rest = rest.join(seen, ["a", "b"], "left_anti")
     turn = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b")).alias("turn")
     rest = compact(rest.select("a", "b", turn))
     for low, high in ((0, 4), (4, 32), (32, None)):
         wave = rest.where(F.col("turn") > low)
         wave = wave.where(F.col("turn") <= high) if high else wave
-        ca, cb = clusters.toDF("a", "ca"), clusters.toDF("b", "cb")
-        wave = compact(wave.join(ca, "a").join(cb, "b").where("ca <> cb").select("a", "b"))
         if not wave.limit(1).count():
-            continue
-        good = compact(_verified(wave, texts, k, threshold))
-        if good.limit(1).count():
-            links = good if links is None else links.union(good)
-            clusters = _joined(clusters, links)
-    lowest = keys.groupBy("text_key").agg(F.min("doc_id").alias("class_id"))
-    member = keys.groupBy("doc_id").agg(F.min("text_key").alias("text_key")).join(lowest, "text_key")
-    groups = clusters.select(F.col("doc_id").alias("class_id"), "cluster")
-    out = member.join(groups, "class_id", "left").withColumn("cluster_id", F.coalesce("cluster", "class_id"))
-    return out.select("doc_id", "class_id", "cluster_id", (F.col("doc_id") == F.col("cluster_id")).alias("kept"))
+            break
+        ca, cb = clusters.toDF("a", "ca"), clusters.toDF("b", "cb")
+        add(compact(wave.join(ca, "a").join(cb, "b").where("ca <> cb").select("a", "b")))
+    return clusters
+
+
+def _grouped(docs: DataFrame, k: int = 5, threshold: float = 0.8, samples: int = 64, least: int = 2, rounds: int = 2) -> DataFrame:
+    """(doc_id, text_key, copies, class_id, cluster_id, kept) of every different (doc_id, text)."""
+    members, classes = _classes(docs, k, samples)
+    repeated = members.where("copies > 1").limit(1).count() > 0
+    clusters = _clusters(docs, classes, repeated, threshold, least, rounds)
+    named = classes.select("node", "text_key", "size", F.col("doc_id").alias("class_id"))
+    first = F.struct(F.col("class_id").alias("cluster_id"), F.col("text_key").alias("cluster_key"))
+    if clusters is None:
+        named = named.select("text_key", "size", "class_id", first.alias("first"))
+    else:
+        inside = compact(named.join(clusters, "node"))
+        firsts = inside.groupBy("cluster").agg(F.min(first).alias("first"))
+        inside = inside.join(firsts, "cluster").select("node", "first")
+        named = named.join(inside, "node", "left").select("text_key", "size", "class_id", F.coalesce("first", first).alias("first"))
+    out = join_on_hot(members, checkpoint(named), "text_key", "size")
+    kept = (F.col("doc_id") == F.col("first.cluster_id")) & (F.col("text_key") == F.col("first.cluster_key"))
+    return out.select("doc_id", "text_key", "copies", "class_id", "first.cluster_id", kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """Groups of near-duplicate documents: doc_id, class_id, cluster_id, kept.
+
+    Options: k (5), threshold (0.8), samples (64), least (2), rounds (2).
+
+    Equal texts form a class, named by its smallest doc_id, of which one goes
+    on. Each of ``samples`` Order MinHash samples (two minimum labelled ``k``-word
+    shingles in text order) puts it into a bucket. A bucket's members are aligned
+    with its centre, the member that shares most of its samples with others; a
+    second round aligns those that are not of its cluster with a centre of their
+    own. Linked classes are joined into clusters, named by their smallest doc_id.
+    After the rounds, which give one pair a member and bucket, every remaining
+    pair that shares ``least`` samples and lies in two clusters is aligned too,
+    unless the lengths or word histograms show that it cannot reach the
+    threshold, in three waves, between which clusters grow and pairs inside one
+    drop out: no candidate is left untested but those whose link could join nothing.
+
+    Similarity: 1 - word edits / words of the longer text, by a banded alignment
+    of both whole texts. Texts of fewer than ``k`` words link with texts of the
+    same words. Empty texts are equal to each other; null texts and texts without
+    words link with nothing else. Rows with null doc_ids give no row; each
+    different (doc_id, text) gives one row, and one row of a cluster is kept: that
+    of the smallest doc_id, of its texts that with the smallest key. Other columns
+    are not read.
+    """
+    return _grouped(docs, **options).drop("text_key", "copies")
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group; rows with null doc_ids stay."""
-    drop = near_duplicates(docs, **options).where("not kept").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with exactly one row of each cluster of :func:`near_duplicates`.
+
+    Rows are told apart by doc_id and text, so a repeated doc_id takes no other
+    text along; of rows with the same doc_id and text one stays. Rows with null
+    doc_ids stay.
+    """
+    rows = _grouped(docs, **options).where("not kept or copies > 1")
+    rows = checkpoint(rows.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "kept"))
+    doc_id, key = F.col("doc_id").cast("long"), "_text_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.when(doc_id.isNotNull(), text_key(F.col("text"), doc_id)))
+
+    def same(rows: DataFrame) -> Column:
+        return (keyed["doc_id"].cast("long") == rows["id"]) & (keyed[key] == rows["key"])
+
+    out = keyed.join(rows, same(rows), "left_anti")
+    twice = checkpoint(rows.where("kept"))  # kept, but more than one row of it
+    if twice.limit(1).count():
+        twice = small(twice, 500_000)
+        out = out.unionByName(keyed.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", key]))
+    return out.select(*docs.columns)

@@ -74,36 +74,37 @@ class _Lookup:
         return out, known
 
 
-def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
+_Table = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def _merge(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _counted(parts: list[np.ndarray], trusted: bool) -> _Table:
+    keys, m = np.unique(np.concatenate(parts) if parts else np.empty(0, np.int64), return_counts=True)
+    return keys, m if trusted else np.zeros_like(m), m
+
+
+def _merge(tables: list[_Table]) -> _Table:
     if len(tables) == 1:
         return tables[0]
-    keys, at = np.unique(np.concatenate([k for k, _ in tables]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in tables]), len(keys)).astype(np.int64)
+    keys, at = np.unique(np.concatenate([t[0] for t in tables]), return_inverse=True)
+    return keys, *(np.bincount(at, np.concatenate([t[i] for t in tables]), len(keys)).astype(np.int64) for i in (1, 2))
 
 
-def block_counts(texts: pa.Array, trusted: list[bool], chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of some texts and how often each stands in trusted ones."""
-    kinds: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
+def block_counts(texts: pa.Array, trusted: list[bool], chunk: int = 1_000_000) -> _Table:
+    """The distinct n-grams of some texts, how often each stands in trusted ones and in all."""
+    parts: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    done: list[_Table] = []
     sizes = {True: 0, False: 0}
     for text, good in zip(texts, trusted):
         if text.as_py():
-            kinds[good][0].append(g := ngrams(text.as_py()))
+            parts[good].append(g := ngrams(text.as_py()))
             sizes[good] += len(g)
             if sizes[good] > chunk:
-                kinds[good][1].append(_counted(kinds[good][0]))
-                kinds[good][0].clear()
+                done.append(_counted(parts[good], good))
+                parts[good].clear()
                 sizes[good] = 0
-                if len(kinds[good][1]) > 8:
-                    kinds[good][1][:] = [_merge(kinds[good][1])]
-    tables = []
-    for good, (rest, done) in kinds.items():
-        table = _merge([*done, _counted(rest)])
-        tables.append(table if good else (table[0], np.zeros(len(table[0]), np.int64)))
-    return _merge(tables)
+                if len(done) > 8:
+                    done[:] = [_merge(done)]
+    return _merge([*done, *(_counted(rest, good) for good, rest in parts.items())])
 
 
 def _low(g: Column, order: int) -> Column:
@@ -169,10 +170,10 @@ def _grouped(raw: DataFrame, shards: int) -> DataFrame:
 
 
 def kneser_ney(raw: DataFrame) -> DataFrame:
-    """lang, g, n, logp, back: the log probability of each n-gram's last character, and what it is without the n-gram's own count.
+    """lang, g, n, m, logp, back: the log probability of each n-gram's last character, and what it is without the n-gram's own count.
 
-    raw: lang, g, n over all n-grams to score; the model is estimated from those
-    with n > 0. The highest order has counts, each lower one the number of
+    raw: lang, g, n (times in trusted texts), m (times in all) over all n-grams to
+    score; the model is estimated from those with n > 0. The highest order has counts, each lower one the number of
     different characters before an n-gram. Orders 1 and 2 are joined tables; the
     counts of orders 3 to 5 meet in shards by language and the two characters
     that an n-gram, its suffixes and their contexts share, so one shuffle brings
@@ -212,9 +213,9 @@ def kneser_ney(raw: DataFrame) -> DataFrame:
             i = np.where(known, i, 0)
             back = np.where(known, kept[i] / total[i] * p, p) if len(contexts) else p
             p = np.where(known, (c - d[np.minimum(c, 3)]) / total[i], 0.0) + back if len(contexts) else p
-        return pd.DataFrame({"lang": f["lang"], "g": g, "n": n, "logp": np.log(p).astype(np.float32), "back": np.log(back).astype(np.float32)})
+        return pd.DataFrame({"lang": f["lang"], "g": g, "n": n, "m": f["m"], "logp": np.log(p).astype(np.float32), "back": np.log(back).astype(np.float32)})
 
-    return _grouped(rows, shards).groupBy(*_GROUP).applyInPandas(score, "lang string, g long, n long, logp float, back float")
+    return _grouped(rows, shards).groupBy(*_GROUP).applyInPandas(score, "lang string, g long, n long, m long, logp float, back float")
 
 
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -225,17 +226,25 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarra
     return np.where(keys[i] == wanted, values[i], 0)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """_row (all columns), _id, _lang ('' if null), _key (of the text, null as empty)."""
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang"), F.unhex(F.md5(text)).alias("_key"),
+    )
+
+
 def _flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang ('' if null), text, trusted (labelled with quality 1)."""
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, lang, text_key, text, trusted (labelled with quality 1)."""
+    rows = _keyed(docs).select(F.col("_id").alias("doc_id"), F.col("_lang").alias("lang"), F.col("_key").alias("text_key"), F.coalesce("_row.text", F.lit("")).alias("text"))
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
     good = small(checkpoint(good.withColumn("trusted", F.lit(True))), 1_000_000)
     return rows.join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
 
 
 def gathered(rows: DataFrame) -> DataFrame:
-    """lang, g, n: every n-gram of the texts, with its count in the trusted ones; summed in each task before the shuffle."""
+    """lang, g, n, m: every n-gram of the texts, with its count in the trusted ones and in all; summed in each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, list] = {}
@@ -246,13 +255,13 @@ def gathered(rows: DataFrame) -> DataFrame:
                 part = batch.take(at)
                 table = block_counts(part.column(1), part.column(2).to_pylist())
                 tables[lang] = [_merge([*tables.get(lang, []), table])]
-        for lang, [(g, n)] in tables.items():
-            for i in range(0, len(g), 500_000):
-                cols = [pa.array([lang] * len(g[i : i + 500_000])), pa.array(g[i : i + 500_000]), pa.array(n[i : i + 500_000])]
-                yield pa.RecordBatch.from_arrays(cols, names=["lang", "g", "n"])
+        for lang, [table] in tables.items():
+            for i in range(0, len(table[0]), 500_000):
+                cols = [pa.array(c[i : i + 500_000]) for c in table]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cols[0])), *cols], names=["lang", "g", "n", "m"])
 
-    each = rows.select("lang", "text", "trusted").mapInArrow(count, "lang string, g long, n long")
-    return each.groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    each = rows.select("lang", "text", "trusted").mapInArrow(count, "lang string, g long, n long, m long")
+    return each.groupBy("lang", "g").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def _by_language(table: pa.Table) -> dict[str, list[np.ndarray]]:
@@ -265,85 +274,112 @@ def _by_language(table: pa.Table) -> dict[str, list[np.ndarray]]:
     return {name: [c[at == i] for c in cols] for i, name in enumerate(lang.dictionary.to_pylist())}
 
 
-def _text_logp(shared: Broadcast):
-    """A UDF (lang, text, trusted) -> sum of what a shard of the model knows of the text.
+def _value(n: Column, times: Column, trusted: Column, logp: Column, back: Column) -> Column:
+    return times * F.when(trusted & (n <= times), back).otherwise(logp).cast("double")
+
+
+def _head(model: DataFrame, most: int) -> tuple[dict[str, list[np.ndarray]], int]:
+    """The commonest n-grams of the model by language, at most ``most``, and the least number of occurrences that they have."""
+    sizes = model.groupBy(F.floor(F.log2(F.col("m").cast("double"))).cast("int").alias("e")).count().collect()  # at most 64 rows
+    least, n = 64, 0
+    for e, count in sorted(((r["e"], r["count"]) for r in sizes), reverse=True):
+        n += count
+        if n > most:
+            break
+        least = e
+    head = model.where(F.col("m") >= F.lit(float(2**least))).select("lang", "g", "n", "logp", "back")
+    return _by_language(head.toArrow()), least
+
+
+def text_scores(rows: DataFrame, model: DataFrame, most_shared: int = 500_000) -> DataFrame:
+    """doc_id, lang, trusted, text_key, n_chars, logp of every row: the log probability of its whole text.
+
+    The texts are read once and never shuffle. The commonest n-grams, at most
+    ``most_shared``, are broadcast to the tasks that read the texts; each text's
+    other n-grams, which are rare by that choice and so never a hot key, are
+    joined to the model and summed by text.
 
     A trusted text is part of the model's counts: n-grams that stand nowhere else
     are scored without their own count, as in a text that the model has not seen.
     """
+    head, least = _head(model, most_shared)
+    shared: Broadcast = rows.sparkSession.sparkContext.broadcast(head)
+    del head
+    pa.default_memory_pool().release_unused()
+    empty = np.empty(0, np.int64)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, _Lookup] = {}
-        for langs, texts, trusted in batches:
-            out = np.zeros(len(texts))
-            for i, (lang, text, own) in enumerate(zip(langs, texts, trusted)):
-                if lang not in tables and lang in shared.value:
-                    tables[lang] = _Lookup(*shared.value[lang])
-                if text and lang in tables:
-                    g = ngrams(text)
-                    n, logp, back = tables[lang].columns
-                    if own:
-                        g, times = np.unique(g, return_counts=True)
-                        at, known = tables[lang](g)
-                        v = np.where(n[at] > times, logp[at], back[at]).astype(np.float64) * times
-                    else:
-                        at, known = tables[lang](g)
-                        v = logp[at].astype(np.float64)
-                    out[i] = v[known].sum()
-            yield pd.Series(out)
-
-    return score
-
-
-def perplexities(docs: DataFrame, labels: DataFrame, shard_rows: int = 2_000_000, prior: float = 40.0) -> DataFrame:
-    """doc_id, lang, trusted, n_chars, perplexity of every document under the model of the trusted ones in its language.
-
-    The model's probabilities are found by joins sharded by n-gram. They reach
-    the texts in shards of at most ``shard_rows`` n-grams, each broadcast for one
-    pass that adds up what it knows of each document, so the texts never shuffle.
+        for batch in batches:
+            sums, rest_g, rest_n = [], [], []
+            for lang, text, own in zip(batch.column(1).to_pylist(), batch.column(5), batch.column(2).to_pylist()):
+                if lang not in tables:
+                    tables[lang] = _Lookup(*shared.value.get(lang, [empty, empty, empty.astype(np.float32), empty.astype(np.float32)]))
+                g, times = np.unique(ngrams(text.as_py()), return_counts=True)
+                at, known = tables[lang](g)
+                n, logp, back = (c[at[known]] for c in tables[lang].columns)
+                few = times[known]
+                v = np.where(n > few, logp, back) if own else logp
+                sums.append(float((v.astype(np.float64) * few).sum()))
+                rest_g.append(g[~known])
+                rest_n.append(times[~known])
+            ends = np.cumsum([0, *map(len, rest_g)]).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([empty, *c])) for c in (rest_g, rest_n)], names=["g", "times"])
+            cols = [*batch.columns[:5], pa.array(sums, pa.float64()), pa.ListArray.from_arrays(pa.array(ends), pairs)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", "trusted", "text_key", "n_chars", "logp", "rest"])
+
+    found = rows.select("doc_id", "lang", "trusted", "text_key", F.length("text").cast("long").alias("n_chars"), "text")
+    found = found.mapInArrow(score, "doc_id long, lang string, trusted boolean, text_key binary, n_chars long, logp double, rest array<struct<g:long,times:long>>")
+    found = checkpoint(found.withColumn("row", F.monotonically_increasing_id()))
+    shared.destroy()
+    tail = found.where(F.size("rest") > 0).select("row", "lang", "trusted", F.inline("rest"))
+    tail = tail.join(model.where(F.col("m") < F.lit(float(2**least))), ["lang", "g"])
+    more = tail.groupBy("row").agg(F.sum(_value(F.col("n"), F.col("times"), F.col("trusted"), F.col("logp"), F.col("back"))).alias("more"))
+    whole = found.drop("rest").join(more, "row", "left")
+    return whole.select("doc_id", "lang", "trusted", "text_key", "n_chars", (F.col("logp") + F.coalesce("more", F.lit(0.0))).alias("logp"))
+
+
+def perplexities(docs: DataFrame, labels: DataFrame, prior: float = 40.0, **options) -> DataFrame:
+    """doc_id, lang, trusted, text_key, n_chars, perplexity of every row under the model of the trusted ones in its language.
+
     The mean is drawn to the language's own by ``prior`` characters, so that a
     text of a few words is not judged by chance.
     """
     rows = _flagged(docs, labels)
     model = checkpoint(kneser_ney(checkpoint(gathered(rows))))
-    shards = max(1, math.ceil(model.count() / shard_rows))
-    context = docs.sparkSession.sparkContext
-    key = F.xxhash64("text")
-    parts = None
-    for shard in range(shards):
-        some = model.where(F.pmod(F.xxhash64("lang", "g"), F.lit(shards)) == shard).toArrow()
-        shared = context.broadcast(_by_language(some))
-        del some
-        pa.default_memory_pool().release_unused()
-
-        scored = rows.select("doc_id", "lang", "trusted", key.alias("key"), F.length("text").alias("n_chars"), _text_logp(shared)("lang", "text", "trusted").alias("logp"))
-        parts = scored if parts is None else parts.unionByName(scored)
-    same = ["doc_id", "lang", "trusted", "key"]
-    whole = checkpoint(parts.groupBy(*same).agg((F.sum("logp") * shards / F.count("*")).alias("logp"), F.max("n_chars").cast("long").alias("n_chars")))
+    whole = checkpoint(text_scores(rows, model, **options))
     mean = whole.groupBy("lang").agg((F.sum(F.when(F.col("trusted"), F.col("logp"))) / F.sum(F.when(F.col("trusted"), F.col("n_chars")))).alias("mean"))
     drawn = (F.col("logp") + prior * F.coalesce("mean", F.lit(-math.log(_CLASSES)))) / (F.col("n_chars") + prior)
-    return whole.join(mean, "lang", "left").select("doc_id", "lang", "trusted", "n_chars", F.exp(-drawn).alias("perplexity"))
+    return whole.join(small(checkpoint(mean), 10_000), "lang", "left").select("doc_id", "lang", "trusted", "text_key", "n_chars", F.exp(-drawn).alias("perplexity"))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.2, **options) -> DataFrame:
+    scored = checkpoint(perplexities(docs, labels, **options))
+    limits = scored.where("trusted").groupBy("lang").agg((margin * F.percentile_approx("perplexity", quantile, 10_000)).alias("threshold"))
+    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    return scored.join(small(checkpoint(limits), 10_000), "lang", "left").withColumn("kept", kept)
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.2, **options) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold, kept of every document.
 
+    Options: quantile (0.99), margin (1.2), prior (40), most_shared (500,000).
+
     A document is rejected if its perplexity exceeds ``margin`` times the
     ``quantile`` of the trusted documents' perplexities in its language, which
     leave out n-grams that a document alone has put into the model. A language
     without trusted documents has no model and no threshold: its documents are
     kept. Null and empty texts have the mean perplexity and are kept. A null
-    language is one of its own. Equal rows give one row; null doc_ids are scored.
-    labels: doc_id, quality (1: trusted).
+    language is one of its own. Repeated rows each give a row; null doc_ids are
+    scored. labels: doc_id, quality (1: trusted).
     """
-    scored = checkpoint(perplexities(docs, labels, **options))
-    limits = scored.where("trusted").groupBy("lang").agg((margin * F.percentile_approx("perplexity", quantile, 10_000)).alias("threshold"))
-    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return scored.join(limits, "lang", "left").select("doc_id", "lang", "n_chars", "perplexity", "threshold", kept.alias("kept"))
+    return _judged(docs, labels, **options).select("doc_id", "lang", "n_chars", "perplexity", "threshold", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that :func:`quality` rejects."""
-    bad = checkpoint(quality(docs, labels, **options).where("not kept and doc_id is not null").select("doc_id").distinct())
-    return docs.join(small(bad, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents that :func:`quality` rejects; rows are told apart by doc_id, language and text."""
+    bad = checkpoint(_judged(docs, labels, **options).where("not kept").select("doc_id", "lang", "text_key").distinct())
+    bad = small(bad, 1_000_000)
+    rows = _keyed(docs)
+    same = rows["_id"].eqNullSafe(bad["doc_id"]) & (rows["_lang"] == bad["lang"]) & (rows["_key"] == bad["text_key"])
+    return rows.join(bad, same, "left_anti").select("_row.*")

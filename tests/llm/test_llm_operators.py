@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -139,10 +140,26 @@ def test_every_prefix_has_its_exact_count(spark):
 # Near duplicates
 
 
-def jaccard_links(rows, threshold=0.8):
-    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, common.words(t or "")) for i, t in rows)}
-    ids = [i for i in sets if sets[i]]
-    return {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+def edits(a, b):
+    """Edit distance of two word lists, a row of the whole table at a time."""
+    row = np.arange(len(b) + 1)
+    other = np.array([hash(x) for x in b])
+    for i, x in enumerate(a, 1):
+        new = np.r_[i, np.minimum(row[1:] + 1, row[:-1] + (other != hash(x)))]
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return int(row[-1])
+
+
+def edit_links(rows, threshold=0.8):
+    texts = [(i, common.words(t or "")) for i, t in rows]
+    bags = {i: Counter(w) for i, w in texts}
+    out = set()
+    for n, (i, a) in enumerate(texts):
+        for j, b in texts[n + 1 :]:
+            longer = max(len(a), len(b))
+            if a and b and (bags[i] & bags[j]).total() >= threshold * longer and longer - edits(a, b) >= threshold * longer:
+                out.add((i, j))
+    return out
 
 
 def closure(ids, links):
@@ -164,74 +181,107 @@ def test_near_duplicates_match_brute_force(spark):
     rows, n = [], 0
     for g in range(12):
         base = prose(g, 120 + 40 * g, 5000).split()
-        for edits in (0, 0, 1, 2, 40, 3):
+        for changes in (0, 0, 1, 2, 60 + 20 * g, 5 + g):  # the fifth is another text
             words = list(base)
-            for _ in range(edits):
-                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+            for at in rng.sample(range(len(words)), min(changes, len(words))):
+                words[at] = rng.choice(["", f"new{rng.randrange(10**6)}", f"{words[at]} new{rng.randrange(10**6)}"])
             rows.append((n, " ".join(words)))
             n += 1
     shared = prose(99, 60, 5000)
     rows += [(n + i, f"{prose(1000 + i, 150, 5000)} {shared}") for i in range(20)]
     got = {r["doc_id"]: r for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
-    want = closure(dict(rows), jaccard_links(rows))
+    want = closure(dict(rows), edit_links(rows))
     assert {i: r["cluster_id"] for i, r in got.items()} == want
     assert all(r["kept"] == (i == r["cluster_id"]) for i, r in got.items())
     assert sum(r["kept"] for r in got.values()) == near_dedup.deduplicate(table(spark, rows)).count()
 
 
+def test_near_duplicates_find_the_pairs_of_the_given_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["cluster_id"] for r in near_dedup.near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    texts = {i: common.words(t or "") for i, t in rows}
+    having = defaultdict(set)  # pairs over the threshold share a run of five words, or are very short
+    for i, w in texts.items():
+        for k in range(len(w) - 4):
+            having[tuple(w[k : k + 5])].add(i)
+    near = {(a, b) for ids in having.values() if len(ids) < 100 for a in ids for b in ids if a < b}
+    links = {(a, b) for a, b in near if (Counter(texts[a]) & Counter(texts[b])).total() >= 0.8 * (n := max(len(texts[a]), len(texts[b]))) and n - edits(texts[a], texts[b]) >= 0.8 * n}
+    assert len(links) > 60
+    assert sum(got[a] == got[b] for a, b in links) >= 0.95 * len(links)
+    want = closure(texts, links | {p for ids in by_text(rows) for p in zip(ids, ids[1:])})
+    assert all(want[i] == want[c] for i, c in got.items())  # nothing is joined that brute force leaves apart
+
+
+def by_text(rows):
+    same = defaultdict(list)
+    for i, t in rows:
+        if t is not None:
+            same[t].append(i)
+    return same.values()
+
+
 def test_copies_around_the_threshold_inside_a_shared_passage(spark):
     rng = random.Random(8)
-    passage = prose(77, 90, 5000)
+    passage = prose(77, 40, 5000)
     rows = []
-    for g in range(30):  # families on both sides of 0.8 that all hold one passage
+    for g in range(20):  # families on both sides of 0.8 that all hold one passage
         base = prose(500 + g, 110, 5000).split()
-        for _ in range(14):
+        for _ in range(12):
             words = list(base)
-            for at in rng.sample(range(len(words)), rng.choice((2, 3, 4, 5))):
+            for at in rng.sample(range(len(words)), rng.choice((4, 10, 14, 18))):
                 words[at] = f"new{rng.randrange(10**6)}"
             rows.append((len(rows), f"{passage} {' '.join(words)}"))
     got = {r["doc_id"]: r["cluster_id"] for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
-    assert got == closure(dict(rows), jaccard_links(rows))
+    assert got == closure(dict(rows), edit_links(rows))
 
 
 def test_histograms_never_rule_out_a_similar_pair():
     rng = random.Random(2)
     for _ in range(300):
         a = prose(rng.randrange(9), rng.randrange(2, 400), 50).split()
-        b = [w if rng.random() > 0.03 else "new" for w in a] if rng.random() < 0.8 else prose(rng.randrange(9), 50, 50).split()
+        b = [w if rng.random() > 0.15 else "new" for w in a] if rng.random() < 0.8 else prose(rng.randrange(9), 50, 50).split()
         x, y = (common.word_hashes([w.encode() for w in ws]) for ws in (a, b))
         if near_dedup.similarity(x, y) >= 0.8:
-            assert near_dedup.may_reach(*(near_dedup.histogram(w, 5)[None] for w in (x, y)), 0.8).all()
+            bins = (near_dedup.histogram(w)[None] for w in (x, y))
+            assert near_dedup.may_reach(*bins, np.array([len(x)]), np.array([len(y)]), 0.8).all()
 
 
 def test_near_duplicates_of_odd_rows(spark, odd, empty):
-    got = {r["doc_id"]: r["cluster_id"] for r in near_dedup.near_duplicates(odd).collect()}
-    assert set(got) == {i for i, _ in ODD if i is not None} and all(i == c for i, c in got.items())
+    got = sorted((r["doc_id"], r["cluster_id"], r["kept"]) for r in near_dedup.near_duplicates(odd).collect())
+    assert got == sorted((i, i, True) for i, _ in {r for r in ODD if r[0] is not None})
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.deduplicate(empty).count() == 0
-    assert near_dedup.deduplicate(odd).where("doc_id is null").count() == 1
+    out = near_dedup.deduplicate(odd)
+    assert out.columns == odd.columns and out.where("doc_id is null").count() == 1
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(set(ODD))  # (4, 'a') stands there twice
 
 
-def test_alignment_is_an_edit_distance():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
+def test_a_repeated_doc_id_takes_no_other_text_along(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    out = near_dedup.deduplicate(table(spark, [(3, a), (8, a), (8, b), (9, b), (9, b), (3, a)]).withColumn("_text_key", F.lit("mine")))
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(3, a), (8, b)]
+    assert {r["_text_key"] for r in out.collect()} == {"mine"}
+
 
+def test_alignment_is_an_edit_distance():
     rng = random.Random(1)
-    for _ in range(200):
-        a = [rng.randrange(4) for _ in range(rng.randrange(30))]
+    for _ in range(400):
+        a = [rng.randrange(4) for _ in range(rng.randrange(40))]
         b = [x for x in a if rng.random() > 0.1] + [7] * rng.randrange(3)
-        d = distance(a, b)
+        d = edits(a, b)
         x, y = np.array(a, np.uint32), np.array(b, np.uint32)
-        assert d == 0 or near_dedup.align(x, y, d - 1) is None
-        cost = i = j = 0
-        for p, q, n in [*near_dedup.align(x, y, d), (len(a), len(b), 0)]:
-            cost, i, j = cost + max(p - i, q - j), p + n, q + n
-        assert cost == d
+        assert near_dedup.banded_distance(x, y, d) == d == near_dedup.banded_distance(x, y, d + 5)
+        assert d == 0 or near_dedup.banded_distance(x, y, d - 1) is None
+        n = max(len(a), len(b), 1)
+        assert near_dedup.similarity(x, y, 0.8) == pytest.approx(1 - d / n if d <= 0.2 * n + 1e-9 else 0)
+
+
+def test_alignment_of_long_texts_is_quick():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 5000, 20_000).astype(np.uint32)
+    b = a.copy()
+    b[rng.choice(len(a), 1500, replace=False)] = rng.integers(0, 5000, 1500)
+    began = time.time()
+    assert 0.92 < near_dedup.similarity(a, b) < 0.94 and time.time() - began < 5
 
 
 def test_components(spark):
@@ -275,6 +325,38 @@ def test_contamination_is_exact_containment(spark, odd, empty):
 # Quality
 
 
+class DirectModel:
+    """Interpolated modified Kneser-Ney by its definition, from the 5-grams of trusted texts and how often each stands there."""
+
+    def __init__(self, counts):
+        self.counts = {5: dict(counts)}
+        for order in range(4, 0, -1):
+            self.counts[order] = Counter(k & ((1 << 12 * order) - 1) for k in self.counts[order + 1])
+        self.cuts, self.after = {}, {}
+        for order, c in self.counts.items():
+            of = Counter(c.values())
+            y = of[1] / (of[1] + 2 * of[2]) if of[1] + 2 * of[2] else None
+            d = {0: 0.0}
+            for i, default in ((1, 0.5), (2, 0.75), (3, 1.0)):
+                v = i - (i + 1) * y * of[i + 1] / of[i] if y is not None and of[i] and of[1] else -1
+                d[i] = v if 0 < v < i else default
+            self.cuts[order] = d
+            self.after[order] = defaultdict(list)
+            for k, n in c.items():
+                self.after[order][k >> 12].append(n)
+
+    def p(self, k, order=5, own=True):
+        """Of the last character after those before it; without the n-gram's own count if not ``own``."""
+        if not order:
+            return 1 / 4096
+        c, d, k = self.counts[order], self.cuts[order], k & ((1 << 12 * order) - 1)
+        same, low = self.after[order].get(k >> 12), self.p(k, order - 1)
+        if not same:
+            return low
+        n = c.get(k, 0) if own else 0
+        return (n - d[min(n, 3)] + sum(d[min(v, 3)] for v in same) * low) / sum(same)
+
+
 def test_kneser_ney_sums_to_one_and_matches_a_direct_model(spark):
     texts = ["abracadabra abra cadabra", "the cat sat on the mat the cat", "abab cdcd abab"]
     g = np.concatenate([perplexity.ngrams(t) for t in texts])
@@ -283,34 +365,44 @@ def test_kneser_ney_sums_to_one_and_matches_a_direct_model(spark):
     wanted = {int(k): int(c) for k, c in zip(keys, n)}
     for c in range(4096):
         wanted.setdefault((context << 12) | c, 0)
-    raw = spark.createDataFrame([("en", k, c) for k, c in wanted.items()], "lang string, g long, n long")
+    raw = spark.createDataFrame([("en", k, c, max(c, 1)) for k, c in wanted.items()], "lang string, g long, n long, m long")
     got = {r["g"]: np.exp(r["logp"]) for r in perplexity.kneser_ney(raw).collect()}
     assert abs(sum(p for k, p in got.items() if k >> 12 == context) - 1) < 1e-4
-    counts = {5: dict(zip(map(int, keys), map(int, n)))}
-    for order in range(4, 0, -1):
-        counts[order] = Counter(k & ((1 << 12 * order) - 1) for k in counts[order + 1])
-
-    def p(k, order):
-        if not order:
-            return 1 / 4096
-        c, k = counts[order], k & ((1 << 12 * order) - 1)
-        of = Counter(c.values())
-        y = of[1] / (of[1] + 2 * of[2]) if of[1] + 2 * of[2] else None
-        d = {0: 0.0}
-        for i, default in ((1, 0.5), (2, 0.75), (3, 1.0)):
-            v = i - (i + 1) * y * of[i + 1] / of[i] if y is not None and of[i] and of[1] else -1
-            d[i] = v if 0 < v < i else default
-        same = [v for q, v in c.items() if q >> 12 == k >> 12]
-        low = p(k, order - 1)
-        if not same:
-            return low
-        return (c.get(k, 0) - d[min(c.get(k, 0), 3)] + sum(d[min(v, 3)] for v in same) * low) / sum(same)
-
+    direct = DirectModel(zip(map(int, keys), map(int, n)))
     for k in [*map(int, keys[:40]), (context << 12) | 77]:
-        assert got[k] == pytest.approx(p(k, 5), rel=1e-4)
-
-
-def test_quality_rejects_other_text_and_shards_agree(spark, odd, empty):
+        assert got[k] == pytest.approx(direct.p(k), rel=1e-4)
+
+
+@pytest.mark.parametrize("most_shared", [500_000, 60, 0])
+def test_perplexity_of_every_document_by_hand(spark, most_shared):
+    rng = random.Random(11)
+    syllables = {"en": "ba ce di fo gu".split(), "xx": "漢 字 仮 名 交 い".split(), "": "zi zo".split()}
+    rows = [(i, " ".join("".join(rng.choice(syllables[lang]) for _ in range(3)) for _ in range(rng.randrange(0, 30))), lang or None) for i, lang in enumerate(["en", "xx", ""] * 25)]
+    rows += [(75, None, "en"), (0, "another text with the id of a trusted one", "en"), (0, "another text with the id of a trusted one", "en"), (None, "ba ce di", "en")]
+    docs = spark.createDataFrame([(i, t, g, "s", 0) for i, t, g in rows], DOCS)
+    trusted = {i for i in range(0, 60, 2)}
+    labels = spark.createDataFrame([(i, 1) for i in trusted] + [(1, 0), (61, None)], "doc_id long, quality int")
+    got = Counter((r["doc_id"], r["lang"], r["n_chars"], round(r["perplexity"], 2), r["kept"]) for r in perplexity.quality(docs, labels, most_shared=most_shared).collect())
+    want = Counter()
+    for lang in ("en", "xx", ""):
+        mine = [(i, t or "", i in trusted) for i, t, g in rows if (g or "") == lang]
+        counts = Counter(k for _, t, good in mine if good for k in map(int, perplexity.ngrams(t)))
+        direct = DirectModel(counts)
+        sums = []
+        for _, t, good in mine:
+            own = Counter(map(int, perplexity.ngrams(t)))
+            sums.append(sum(n * np.log(direct.p(k, own=not good or counts[k] > n)) for k, n in own.items()))
+        mean = sum(s for s, (_, _, good) in zip(sums, mine) if good) / sum(len(t) for _, t, good in mine if good)
+        values = [np.exp(-(s + 40 * mean) / (len(t) + 40)) for s, (_, t, _) in zip(sums, mine)]
+        best = sorted(v for v, (_, _, good) in zip(values, mine) if good)
+        limit = 1.2 * best[int(np.ceil(0.99 * len(best))) - 1]
+        want.update((i, lang, len(t), round(v, 2), bool(v <= limit)) for v, (i, t, _) in zip(values, mine))
+    near = lambda c: Counter((i, g, n, k) for i, g, n, _, k in c.elements())
+    assert near(got) == near(want)
+    assert all(abs(a[3] - b[3]) <= 0.02 + 1e-3 * b[3] for a, b in zip(sorted(got.elements(), key=str), sorted(want.elements(), key=str)))
+
+
+def test_quality_rejects_other_text_and_keeps_odd_rows(spark, odd, empty):
     rng = random.Random(4)
     syllables = "ba ce di fo gu la me ni ro su".split()
     clean = [(i, " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(2, 80)))) for i in range(300)]
@@ -320,11 +412,14 @@ def test_quality_rejects_other_text_and_shards_agree(spark, odd, empty):
     got = {r["doc_id"]: r for r in perplexity.quality(docs, labels).collect()}
     assert len(got) == 320 and not any(got[i]["kept"] for i, _ in junk)
     assert sum(got[i]["kept"] for i, _ in clean) >= 297
-    split = {r["doc_id"]: r["perplexity"] for r in perplexity.quality(docs, labels, shard_rows=100).collect()}
-    assert all(split[i] == pytest.approx(r["perplexity"], rel=1e-6) for i, r in got.items())
-    assert perplexity.keep_good(docs, labels).count() == sum(r["kept"] for r in got.values())
-    assert all(r["kept"] for r in perplexity.quality(odd, labels.limit(0)).collect())
-    assert perplexity.quality(empty, labels).count() == 0
+    clash = docs.withColumns({c: F.lit(7) for c in ("trusted", "kept", "text_key", "threshold", "_row", "_lang", "n", "g")})
+    kept = perplexity.keep_good(clash, labels)
+    assert kept.columns == clash.columns and kept.count() == sum(r["kept"] for r in got.values()) and kept.where("_row <> 7").count() == 0
+    twice = perplexity.keep_good(docs.union(docs.where("doc_id = 3").withColumn("text", F.lit(junk[0][1]))), labels)
+    assert [r["text"] for r in twice.where("doc_id = 3").collect()] == [clean[3][1]]  # the other text of the same doc_id goes alone
+    assert perplexity.quality(odd, labels.limit(0)).count() == len(ODD) and all(r["kept"] for r in perplexity.quality(odd, labels.limit(0)).collect())
+    assert perplexity.keep_good(odd, labels).count() >= 1
+    assert perplexity.quality(empty, labels).count() == 0 and perplexity.keep_good(empty, labels).count() == 0
 
 
 # Toxicity
@@ -415,6 +510,38 @@ def test_main_text():
     assert html_text.main_text("<p title='a>" * 2000) is not None
 
 
+@pytest.mark.parametrize("around", ["article", "main", "div", "section"])
+def test_text_lies_between_surge_and_dive_whatever_the_markup(around):
+    paragraphs = [f"Paragraph {i} {'with words that make it text. ' * (1 + i % 3)}".strip() for i in range(9)] + ["Short.", "See the source of it"]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs[:-1]) + f"<p><a href=/s>{paragraphs[-1]}</a></p><p>And a last paragraph that is long enough.</p>"
+    links = "<div><a href=/>Home</a> <a href=/b>News</a></div>" * 3
+    page = f"<body>{links}<div class='cookie-notice'>{'We use cookies. ' * 20}</div><{around}><h1>The headline</h1>{body}</{around}>{links}<div id=footer>Imprint</div></body>"
+    assert html_text.main_text(page).split("\n") == ["The headline", *paragraphs, "And a last paragraph that is long enough."]
+
+
+def test_runs_match_a_scan_of_all_windows():
+    def scan(weight, window, surge):
+        inside, out = False, []
+        need = surge if any(sum(weight[i : i + window]) >= surge for i in range(len(weight))) else max(1, max((sum(weight[i : i + window]) for i in range(len(weight))), default=0) / 2)
+        for i in range(len(weight)):
+            ahead = sum(weight[i : i + window])
+            inside = ahead > 0 if inside else weight[i] > 0 and ahead >= need
+            out.append(inside)
+        return out
+
+    rng = random.Random(2)
+    for _ in range(500):
+        weight = [rng.choice([0, 0, 0, 5, 30, 90, 400]) for _ in range(rng.randrange(30))]
+        runs = html_text.text_runs(weight, 3, 80)
+        assert [any(a <= i < b for a, b in runs) for i in range(len(weight))] == scan(weight, 3, 80)
+
+
+def test_long_and_deep_pages(spark):
+    page = "<article>" + "<div>" * 3000 + "".join(f"<p>Line {i} of a very long page</p>" for i in range(20_000)) + "</div>" * 3000 + "</article><footer>x</footer>"
+    assert html_text.main_text(page).count("\n") == 19_999
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 @pytest.mark.parametrize(
     "tag",
     ["<audio-player src=x></audio-player>", "<video-js>", "<button-group></button-group>", "<select-menu/>", "<math-field>", "<object-x>",
