@@ -49,6 +49,11 @@ def compact(df: DataFrame, rows: int = 50_000, least: int = 8) -> DataFrame:
     return df.coalesce(parts)
 
 
+def parts_of(df: DataFrame) -> int:
+    """Partitions of a checkpointed table, 1 at least: as many tasks serve what is joined to it."""
+    return max(1, df.rdd.getNumPartitions())
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a broadcast hint if it holds at most ``most`` rows, else ``df`` as it is.
 
@@ -115,14 +120,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     checkpointed, until every node hangs on one root; only whether that is so
     reaches the driver. Nodes must not be null; self loops are ignored.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    e = compact(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     while True:
+        parts = parts_of(e)  # few edges need few tasks, whatever the number of shuffle partitions
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(parts)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         near = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = compact(near.union(low.select("a", F.col("m").alias("b"))).distinct())
+        e = compact(near.coalesce(parts).union(low.coalesce(parts).select("a", F.col("m").alias("b"))).distinct())
         ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("x"))
         each = ends.groupBy("x.node").agg(F.sum("x.up").alias("up"), F.min("x.up").alias("root"))
         if not each.where("up > 1 or (up = 1 and root = 0)").limit(1).count():

@@ -123,6 +123,14 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, k: int = 5, threshold:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows with null doc_ids stay."""
-    found = checkpoint(contaminated_pairs(docs, items, **options).select("doc_id").distinct())
-    return docs.join(small(found, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents that hold a benchmark item.
+
+    A text decides by itself: rows are told apart by a 64-bit hash of their texts,
+    so repeated and null doc_ids take no other text along. Null texts stay.
+    """
+    text, key = F.col("text"), "_text_hash"
+    while key in docs.columns:
+        key += "_"
+    texts = docs.where("text is not null").select(F.xxhash64(text).alias("doc_id"), "text")
+    found = checkpoint(contaminated_pairs(texts, items, **options).select(F.col("doc_id").alias(key)).distinct())
+    return docs.withColumn(key, F.when(text.isNotNull(), F.xxhash64(text))).join(small(found, 1_000_000), key, "left_anti").select(*docs.columns)

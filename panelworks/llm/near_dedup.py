@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, compact, connected_components, join_on_hot, mix, shingles, signed, small, word_hashes, words
+from .common import checkpoint, compact, connected_components, join_on_hot, mix, parts_of, shingles, signed, small, word_hashes, words
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BINS = 256
@@ -125,15 +125,15 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = 0.8) -> float:
 
 
 def histogram(w: np.ndarray) -> np.ndarray:
-    """Words in each of 256 bins, 65535 standing for all larger counts. Two texts share at most the sum of the lesser counts."""
-    return np.minimum(np.bincount((w >> np.uint32(24)).astype(np.intp), minlength=_BINS), 65_535).astype(np.uint16)
+    """Words in each of 256 bins, 255 standing for all larger counts. Two texts share at most the sum of the lesser counts."""
+    return np.minimum(np.bincount((w >> np.uint32(24)).astype(np.intp), minlength=_BINS), 255).astype(np.uint8)
 
 
 def may_reach(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
     """Whether texts of histograms ``a`` and ``b`` and ``n`` and ``m`` words, row by row, can have a similarity of ``threshold``."""
     longer, shorter = np.maximum(n, m), np.minimum(n, m)
     shared = np.minimum(np.minimum(a, b).sum(1, dtype=np.int64), shorter)
-    return (shared >= threshold * longer - 1e-9) | (shorter >= threshold * longer - 1e-9) & ((a == 65_535).any(1) | (b == 65_535).any(1))
+    return (shared >= threshold * longer - 1e-9) | (shorter >= threshold * longer - 1e-9) & ((a == 255).any(1) | (b == 255).any(1))
 
 
 def text_key(text: Column, doc_id: Column) -> Column:
@@ -202,8 +202,9 @@ def _joined(clusters: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _named_cells(shared: DataFrame, clusters: DataFrame, *more: str) -> DataFrame:
-    """(node, cluster, t, h): the buckets of every node, with ``more`` columns."""
-    return shared.join(clusters, "node").select("node", "cluster", *more, F.inline("cells"))
+    """(node, cluster, h): the buckets of every node, with ``more`` columns."""
+    parts = parts_of(shared)
+    return shared.join(clusters, "node").coalesce(parts).select("node", "cluster", *more, F.explode("cells").alias("h"))
 
 
 def _across(shared: DataFrame, sketched: DataFrame, clusters: DataFrame, least: int, threshold: float, block: int = 128) -> DataFrame:
@@ -219,17 +220,18 @@ def _across(shared: DataFrame, sketched: DataFrame, clusters: DataFrame, least:
         def plain(x: pa.StructScalar) -> tuple[np.ndarray, ...]:
             rows = x.values
             ids, of, n = (np.asarray(rows.field(c)) for c in ("node", "cluster", "n"))
-            bins = np.frombuffer(b"".join(rows.field("bins").to_pylist()), np.uint16)
+            bins = np.frombuffer(b"".join(rows.field("bins").to_pylist()), np.uint8)
             return ids, of, n, np.asarray(rows.field("sketch").flatten()).reshape(len(ids), -1), bins.reshape(len(ids), -1)
 
         for batch in batches:
             a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for t, one, xs, ys in zip(*(batch.column(i) for i in range(4))):
+            for h, one, xs, ys in zip(*(batch.column(i) for i in range(4))):
                 (ia, ca, na, sa, ha), (ib, cb, nb, sb, hb) = plain(xs), plain(ys)
+                here = int((sa[0] == h.as_py()).argmax())  # the sample whose bucket this is
                 same = np.zeros((len(ia), len(ib)), np.uint16)
                 for k, (u, v) in enumerate(zip(sa.T, sb.T)):
                     equal = u[:, None] == v[None, :]
-                    if k == t.as_py():
+                    if k == here:
                         keep = equal & (same == 0)
                     same += equal
                 keep &= (same >= least) & (ca[:, None] != cb[None, :])
@@ -243,18 +245,19 @@ def _across(shared: DataFrame, sketched: DataFrame, clusters: DataFrame, least:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     band = F.floor(F.log(F.col("n")) / -math.log(threshold)).cast("int")
-    named = _named_cells(shared, clusters, band.alias("band"))
-    sizes = named.groupBy("t", "h", "band").agg(F.count("*").alias("size"), F.min("cluster").alias("x"), F.max("cluster").alias("y"))
+    named = checkpoint(_named_cells(shared, clusters, band.alias("band")))
+    parts = parts_of(named)
+    sizes = named.groupBy("h", "band").agg(F.count("*").alias("size"), F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("size > 0")
     sizes = compact(sizes)
-    mixed = sizes.groupBy("t", "h").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x < y").select("t", "h")
-    wide = sizes.select("t", "h", "band", "size").join(mixed, ["t", "h"])
-    rows = named.join(wide, ["t", "h", "band"]).join(sketched, "node")
+    mixed = sizes.groupBy("h").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x < y").select("h")
+    wide = sizes.select("h", "band", "size").join(mixed, "h").coalesce(parts)
+    rows = named.join(wide, ["h", "band"]).coalesce(parts).join(sketched, "node").coalesce(parts)
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).cast("int").alias("part")
-    parts = compact(rows.groupBy("t", "h", "band", part).agg(F.collect_list(F.struct("node", "cluster", "n", "sketch", "bins")).alias("rows")), 2_000)
-    left = parts.select("t", "h", F.struct("band", "part").alias("p"), F.col("rows").alias("xs"))
-    right = parts.select("t", "h", F.struct("band", "part").alias("q"), F.col("rows").alias("ys"))
-    both = left.join(right, ["t", "h"]).where("q.band <= p.band + 1 and (p < q or (p = q and size(xs) > 1))")
-    return both.select("t", F.expr("p = q").alias("one"), "xs", "ys").mapInArrow(compare, "a long, b long")
+    blocks = compact(rows.groupBy("h", "band", part).agg(F.collect_list(F.struct("node", "cluster", "n", "sketch", "bins")).alias("rows")), 2_000)
+    left = blocks.select("h", F.struct("band", "part").alias("p"), F.col("rows").alias("xs"))
+    right = blocks.select("h", F.struct("band", "part").alias("q"), F.col("rows").alias("ys"))
+    both = left.join(right, "h").where("q.band <= p.band + 1 and (p < q or (p = q and size(xs) > 1))")
+    return both.select("h", F.expr("p = q").alias("one"), "xs", "ys").mapInArrow(compare, "a long, b long")
 
 
 def _classes(docs: DataFrame, k: int, samples: int) -> tuple[DataFrame, DataFrame]:
@@ -272,10 +275,10 @@ def _classes(docs: DataFrame, k: int, samples: int) -> tuple[DataFrame, DataFram
 def _clusters(docs: DataFrame, classes: DataFrame, repeated: bool, threshold: float, least: int, rounds: int) -> DataFrame | None:
     """(node, cluster) of all classes that share a bucket with another one; None if there are none."""
     one = classes.where("sketch is not null")
-    cells = one.select("node", F.posexplode("sketch").alias("t", "h"))
-    full = cells.groupBy("t", "h").agg(F.count("*").alias("size")).where("size > 1")
-    shared = cells.join(full, ["t", "h"]).groupBy("node").agg(F.collect_list(F.struct("t", "h")).alias("cells"), F.sum("size").alias("weight"))
-    shared = compact(shared.join(one.select("node", "n"), "node"))  # at most a row a sample in a group
+    cells = one.select("node", F.explode("sketch").alias("h"))  # samples have seeds of their own: h tells them apart
+    full = cells.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    shared = cells.join(full, "h").groupBy("node").agg(F.collect_list("h").alias("cells"), F.sum("size").alias("weight"))
+    shared = compact(shared.join(one.select("node", "n"), "node"), 10_000)  # at most a row a sample in a group
     if not shared.limit(1).count():
         return None
     wanted = shared.select("node").join(classes.select("node", "text_key", "doc_id"), "node")
@@ -291,14 +294,15 @@ def _clusters(docs: DataFrame, classes: DataFrame, repeated: bool, threshold: fl
             clusters = _joined(clusters, links)
 
     for _ in range(rounds):
-        named = _named_cells(shared, clusters, "weight")
+        named = checkpoint(_named_cells(shared, clusters, "weight"))
+        parts = parts_of(named)
         free = named
         if tried is not None:
-            done = tried.join(clusters, "node").select("t", "h", "cluster").distinct()
-            free = named.join(done, ["t", "h", "cluster"], "left_anti")
-        centre = free.groupBy("t", "h").agg(F.max_by(F.struct("node", "cluster"), F.struct("weight", -F.col("node"))).alias("c"))
-        centre = compact(centre.select("t", "h", F.col("c.node").alias("a"), F.col("c.cluster").alias("of")))
-        pairs = named.join(centre, ["t", "h"]).where("cluster <> of").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+            done = tried.join(clusters, "node").coalesce(parts).select("h", "cluster").distinct()
+            free = named.join(done, ["h", "cluster"], "left_anti").coalesce(parts)
+        centre = free.groupBy("h").agg(F.max_by(F.struct("node", "cluster"), F.struct("weight", -F.col("node"))).alias("c"))
+        centre = compact(centre.select("h", F.col("c.node").alias("a"), F.col("c.cluster").alias("of")))
+        pairs = named.join(centre, "h").where("cluster <> of").coalesce(parts).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = compact(pairs)
@@ -306,25 +310,23 @@ def _clusters(docs: DataFrame, classes: DataFrame, repeated: bool, threshold: fl
             break
         seen = pairs if seen is None else seen.union(pairs)
         add(pairs)
-        now = centre.select("t", "h", F.col("a").alias("node"))
+        now = centre.select("h", F.col("a").alias("node"))
         tried = now if tried is None else tried.union(now)
     sketched = texts.select("node", "n", "bins").join(one.select("node", "sketch"), "node")
-    rest = _across(shared, sketched, clusters, least, threshold)
+    rest = compact(_across(shared, sketched, clusters, least, threshold))
     if seen is not None:
-        rest = rest.join(seen, ["a", "b"], "left_anti")
-    turn = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b")).alias("turn")
-    rest = compact(rest.select("a", "b", turn))
-    for low, high in ((0, 4), (4, 32), (32, None)):
-        wave = rest.where(F.col("turn") > low)
-        wave = wave.where(F.col("turn") <= high) if high else wave
-        if not wave.limit(1).count():
-            break
+        rest = compact(rest.join(seen, ["a", "b"], "left_anti"))
+    turn = F.pmod(F.xxhash64("a", "b"), F.lit(100))
+    for low, high in ((0, 2), (2, 20), (20, 100)):  # a few of a dense group's pairs join it, and its others drop out
         ca, cb = clusters.toDF("a", "ca"), clusters.toDF("b", "cb")
-        add(compact(wave.join(ca, "a").join(cb, "b").where("ca <> cb").select("a", "b")))
+        wave = rest.where(turn.between(low, high - 1)).join(ca, "a").join(cb, "b").where("ca <> cb")
+        wave = compact(wave.select("a", "b"))
+        if wave.limit(1).count():
+            add(wave)
     return clusters
 
 
-def _grouped(docs: DataFrame, k: int = 5, threshold: float = 0.8, samples: int = 64, least: int = 2, rounds: int = 2) -> DataFrame:
+def _grouped(docs: DataFrame, k: int = 5, threshold: float = 0.8, samples: int = 32, least: int = 1, rounds: int = 2) -> DataFrame:
     """(doc_id, text_key, copies, class_id, cluster_id, kept) of every different (doc_id, text)."""
     members, classes = _classes(docs, k, samples)
     repeated = members.where("copies > 1").limit(1).count() > 0
@@ -346,7 +348,7 @@ def _grouped(docs: DataFrame, k: int = 5, threshold: float = 0.8, samples: int =
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """Groups of near-duplicate documents: doc_id, class_id, cluster_id, kept.
 
-    Options: k (5), threshold (0.8), samples (64), least (2), rounds (2).
+    Options: k (5), threshold (0.8), samples (32), least (1), rounds (2).
 
     Equal texts form a class, named by its smallest doc_id, of which one goes
     on. Each of ``samples`` Order MinHash samples (two minimum labelled ``k``-word

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Below this code point, letters and digits are classed from unicodedata and
 #: texts are lower-cased here; other texts go through the tokenizer's own normaliser.
 _LATIN = 0x250
+#: Text without the white space of Unicode, which a tokenizer's ``\\s`` stands for.
+_STRETCH = re.compile("[^\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -147,31 +149,69 @@ class PrefixCounter:
             return len(parts) - 1 + sum(map(self._plain_count, parts))
         return self._plain_count(text)
 
+    def _piece_counts(self, piece: str, word: str) -> list[int]:
+        """Token counts of the prefixes of a pre-tokenizer's piece, character by character; ``word`` is the piece as byte-level characters."""
+        counts, at, out = self.prefix_counts(word), 0, []
+        for c in piece:
+            at += 1 if c.isascii() else len(c.encode())
+            out.append(counts[at - 1])
+        if piece in ("'re", "'ve", "'ll"):  # of a contraction's first two characters each is a word
+            out[1] = self.word(self._bytes(piece[0])) + self.word(self._bytes(piece[1]))
+        return out
+
+    def _normal_counts(self, text: str) -> list[int]:
+        """Token counts of all prefixes of a normalised stretch without white space."""
+        out, done = [], 0
+        for word, (start, stop) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
+            out += [done + n for n in self._piece_counts(text[start:stop], word)]
+            done = out[-1]
+        return out
+
+    def _stretch_counts(self, stretch: str) -> list[int]:
+        """Token counts of all prefixes of a stretch without white space.
+
+        Where normalising works character by character, an original prefix is a
+        prefix of the normalised stretch; where characters are composed or put in
+        order, each prefix is normalised and counted by itself.
+        """
+        if self.plain.match(stretch) and unicodedata.is_normalized("NFC", stretch) and len(low := stretch.lower()) == len(stretch):
+            out, done = [], 0
+            for p in self.pieces.findall(low):
+                out += [done + n for n in self._piece_counts(p, self._bytes(p))]
+                done = out[-1]
+            return out
+        normal = self.tokenizer.normalizer.normalize_str
+        parts = [normal(c) for c in stretch]
+        whole = normal(stretch)
+        if "".join(parts) == whole:
+            counts, at, out = [0, *self._normal_counts(whole)], 0, []
+            for part in parts:
+                at += len(part)
+                out.append(counts[at])
+            return out
+        return [self._plain_count(stretch[: i + 1]) for i in range(len(stretch))]
+
     def steps(self, text: str | None) -> list[tuple[int, int]]:
         """(characters, tokens) at every prefix of the text where the count may change.
 
-        The prefix ends inside and behind each word; between two entries the
-        count is that of the former. A prefix that ends in white space counts as
-        the one before it. Special strings count one when complete.
+        Between two entries the count is that of the former: a prefix that ends in
+        white space counts as the one before it. A special string counts one when
+        complete; a part of it counts as the text that it is.
         """
-        out, done = [(0, 0)], 0
-        at = 0
+        out, done, at = [(0, 0)], 0, 0
         text = text or ""
-        spans = [(m.start(), m.end(), m[0]) for m in self.split_special.finditer(text)] if self.split_special else []
-        for start, stop, _ in [*spans, (len(text), len(text), "")]:
-            for m in re.finditer(r"\S+", text[at:start]):
-                low = m[0].lower()
-                if len(low) != len(m[0]) or not self.plain.match(m[0]):
-                    low = self.tokenizer.normalizer.normalize_str(m[0])
-                begin = at + m.start()
-                for p in self.pieces.finditer(low):
-                    word, chars = self._bytes(p[0]), 0
-                    counts = self.prefix_counts(word)
-                    for i, c in enumerate(p[0]):
-                        chars += 1 if c.isascii() else len(c.encode())
-                        out.append((min(begin + p.start() + i + 1, at + m.end()), done + counts[chars - 1]))
-                    done += counts[-1]
+        spans = [(m.start(), m.end()) for m in self.split_special.finditer(text)] if self.split_special else []
+        for start, stop in [*spans, (len(text), len(text))]:
+            open_at, before = start, done  # the stretch that a special string's beginning would go on
+            for m in _STRETCH.finditer(text, at, start):
+                open_at, before = (m.start(), done) if m.end() == start else (start, done)
+                counts = self._stretch_counts(m[0])
+                out += [(m.start() + i + 1, done + n) for i, n in enumerate(counts)]
+                done += counts[-1]
+            if open_at == start:
+                before = done
             if stop > start:
+                out += [(i, before + self._plain_count(text[open_at:i])) for i in range(start + 1, stop)]
                 done += 1
                 out.append((stop, done))
             at = stop

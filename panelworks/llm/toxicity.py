@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, words
 
-#: Neutral names of groups whose exchange must not move a score.
+#: Neutral names of groups whose exchange must not move a score; only names of one language and class stand for each other.
 IDENTITY_TERMS = (
-    "women", "men", "muslims", "christians", "jews", "hindus", "gay", "straight", "black", "white", "immigrants", "disabled",
-    "frauen", "männer", "muslime", "christen", "juden", "femmes", "hommes", "musulmans", "chrétiens", "juifs",
-    "mujeres", "hombres", "musulmanes", "cristianos", "judíos",
+    ("women", "men"), ("muslims", "christians", "jews", "hindus"), ("gay", "straight"), ("black", "white"), ("immigrants", "locals"), ("disabled", "elderly"),
+    ("frauen", "männer"), ("muslime", "christen", "juden"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"),
+    ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
 
 
@@ -42,7 +42,7 @@ def features(ws: set[bytes]) -> set[int]:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Weights of hashed features (at most ``most_features``) and a bias."""
+    """Weights of hashed features and a bias."""
 
     weights: dict[int, float]
     bias: float
@@ -113,9 +113,8 @@ def _rows(column: pa.ChunkedArray) -> list[np.ndarray]:
 def train_toxicity(
     docs: DataFrame,
     labels: DataFrame,
-    identity_terms: tuple[str, ...] = IDENTITY_TERMS,
+    identity_terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS,
     most_rows: int = 12_000,
-    most_features: int = 6_000,
     least_rows: int = 4,
     least_z: float = 6.0,
     ridge: float = 1e-4,
@@ -124,19 +123,20 @@ def train_toxicity(
     """Fit on at most ``most_rows`` labelled documents, those with the smallest hashes of their doc_ids.
 
     labels: doc_id and toxic (0/1; null: unlabelled). Features are found on the
-    executors; those kept are the ``most_features`` that tell the classes apart
-    best among those in at least ``least_rows`` documents whose share of toxic
-    ones lies ``least_z`` standard errors or more from the sample's, so that words
-    that stand in few documents by chance weigh nothing. Only their numbers reach
-    the driver. Texts that name a group also give a copy in which each
-    identity term is exchanged for the next one, whose score must not differ.
-    Without labels every score is 0.5; with one class, that class's prior.
+    executors; those kept stand in at least ``least_rows`` documents of the sample
+    and have a share of toxic ones that lies ``least_z`` standard errors or more
+    from the sample's, so that words that stand in few documents by chance weigh
+    nothing. All of these are kept; the sample bounds their number. Only numbers
+    reach the driver. Texts that name a group also give a copy in which each
+    identity term is exchanged for the next one of its language and class, whose
+    score must not differ: the mean squared change costs ``penalty``. Without
+    labels every score is 0.5; with one class, that class's prior.
     """
     marked = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int"))
     marked = marked.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # at most most_rows rows of 12 bytes
-    terms = [t.lower().encode() for t in identity_terms]
-    swap = dict(zip(terms, terms[1:] + terms[:1]))
+    groups = [[t.lower().encode() for t in group] for group in identity_terms]
+    swap = {a: b for group in groups for a, b in zip(group, group[1:] + group[:1])}
 
     @F.pandas_udf("struct<own:array<long>,swapped:array<long>>")
     def extract(texts: pd.Series) -> pd.DataFrame:
@@ -155,9 +155,8 @@ def train_toxicity(
     each = sample.select("toxic", F.explode("own").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
     share = F.lit(positive / n)
     gap = (F.col("t") / F.col("n") - share) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-6)) / F.col("n"))
-    forced = [i for t in terms for i in word_features(t)]
-    order = [F.col("f").isin(forced).desc(), F.abs(gap).desc(), F.col("f")]
-    chosen = [r["f"] for r in each.where((F.col("n") >= least_rows) & (F.abs(gap) >= least_z) | F.col("f").isin(forced)).orderBy(*order).limit(most_features).collect()]
+    forced = [i for t in swap for i in word_features(t)]
+    chosen = [r["f"] for r in each.where((F.col("n") >= least_rows) & (F.abs(gap) >= least_z) | F.col("f").isin(forced)).orderBy("f").collect()]
     number = {f: i for i, f in enumerate(chosen)}
 
     @F.pandas_udf("array<int>")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, mix, signed
+from .common import checkpoint, connected_components, join_on_hot, mix, signed
 
 
 def e8_points(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,56 +98,97 @@ def prepared(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(prepare, "vec_id long, key binary, unit binary")
 
 
-def linked_pairs(units: DataFrame, cosine: float, tables: int, blocks: int, scale: float, block: int = 1500) -> DataFrame:
-    """Pairs (a < b) of vectors with at least ``cosine`` that share a cell, or one's cell with the other's probe."""
+def placed(units: DataFrame, tables: int, blocks: int, scale: float) -> DataFrame:
+    """(id, n, unit, cells): every vector's cells, table by table, its own one before those that it probes."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            raw = batch.column(1).to_pylist()
+            raw = batch.column(2).to_pylist()
             sizes = np.array([len(u) for u in raw])
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
                 for part in np.array_split(at, max(1, len(at) * tables * (1 + blocks) // 100_000)):
                     unit = np.stack([np.frombuffer(raw[i], np.float64) for i in part])
-                    c = cells(unit, tables, blocks, scale)
-                    n, per = len(part), tables * (1 + blocks)
-                    own = np.tile(np.arange(1 + blocks) == 0, n * tables)
-                    u = np.repeat(np.array([raw[i] for i in part], dtype=object), per)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(c.reshape(-1))), pa.array(own), pa.array(np.repeat(ids[part], per)), pa.array(u, pa.binary())], names=["cell", "own", "id", "unit"]
-                    )
-
-    rows = units.mapInArrow(place, "cell long, own boolean, id long, unit binary")
-    many = rows.select("cell", "own").groupBy("cell").agg(F.count("*").alias("n"), F.count_if("own").alias("homes")).where("n > 1 and homes > 0")
-    rows = rows.join(many, "cell").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+                    c = signed(cells(unit, tables, blocks, scale).reshape(-1))
+                    ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * (tables * (1 + blocks)))
+                    some = batch.take(pa.array(part))
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.ListArray.from_arrays(ends, pa.array(c))], names=["id", "n", "unit", "cells"])
+
+    return units.select("id", "n", "unit").mapInArrow(place, "id long, n long, unit binary, cells array<long>")
+
+
+def group_links(ids: np.ndarray, n: np.ndarray, own: np.ndarray, part: np.ndarray | None, x: np.ndarray, c: np.ndarray, cell: int, cosine: float) -> tuple[np.ndarray, ...]:
+    """(ids, others, roots) of the vectors of a cell that link here: the vectors linked, copies included, and the smallest id reached.
+
+    A pair meets here if one's own cell is this one. It counts only in the first
+    cell, in the order of the tables, in which it meets, and, if the rows are of
+    two parts of a large cell (``part``), only across them. c: each vector's cells, (rows, tables, 1 + probes).
+    """
+    home = np.flatnonzero(own)
+    i, j = np.nonzero(x[home] @ x.T >= cosine)
+    i = home[i]
+    keep = (i != j) & ~(own[j] & (i > j))  # of two own ones, one order
+    if part is not None:
+        keep &= part[i] != part[j]
+    i, j = i[keep], j[keep]
+    a, b = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+    here = np.zeros(len(a), bool)
+    for k in range(0, len(a), 20_000):
+        p, q = c[a[k : k + 20_000]], c[b[k : k + 20_000]]
+        mine = (p[:, :, :1] == q).any(2)  # the first one's own cell is one of the other's
+        meet = mine | (q[:, :, :1] == p[:, :, 1:]).any(2)
+        rows, first = np.arange(len(p)), meet.argmax(1)
+        here[k : k + 20_000] = np.where(mine[rows, first], p[rows, first, 0], q[rows, first, 0]) == cell
+    a, b = a[here], b[here]
+    root = ids.copy()
+    while len(a):
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        if (low == root).all():
+            break
+        root = low
+    others = np.zeros(len(ids), np.int64)
+    np.add.at(others, a, n[b])
+    np.add.at(others, b, n[a])
+    linked = others > 0
+    return ids[linked], others[linked], root[linked]
+
+
+def linked(units: DataFrame, cosine: float, tables: int, blocks: int, scale: float, block: int = 1500) -> DataFrame:
+    """(id, others, root) of vectors (id, n, unit) with a cosine of ``cosine`` or more that share a cell, or one's cell with the other's probe.
+
+    A row for every cell in which a vector has links: how many vectors it links
+    to there, copies included, and the smallest id that these links reach there.
+    Every pair counts in one cell, so sums are exact and no pair leaves its task.
+    """
+    rows = checkpoint(placed(units, tables, blocks, scale))
+    thin = rows.select("id", F.posexplode("cells").alias("pos", "cell")).select("id", "cell", (F.col("pos") % (1 + blocks) == 0).alias("own"))
+    many = thin.groupBy("cell").agg(F.count("*").alias("size"), F.count_if("own").alias("homes")).where("size > 1 and homes > 0")
+    met = thin.join(many, "cell").withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
+    met = met.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # A large cell is compared part by part: each row meets every part once, in a task of its own.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("id", "cell", "own", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by group; the last group of a batch waits for the next one."""
         rest: pa.Table | None = None
 
-        def pairs(t: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
-            own, ids = t.column("own").to_numpy(zero_copy_only=False), t.column("id").to_numpy()
+        def links(t: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+            own, ids, n, part, cell, lo, hi = (t.column(c).to_numpy() for c in ("own", "id", "n", "part", "cell", "lo", "hi"))
             units = t.column("unit").combine_chunks()
             at = np.frombuffer(units.buffers()[1], np.int32)[units.offset : units.offset + len(units) + 1] // 8
             data = np.frombuffer(units.buffers()[2], np.float64)
-            found, start = [], 0
+            placed = np.asarray(t.column("cells").combine_chunks().flatten()).reshape(len(ids), tables, 1 + blocks)
+            found, start = [[np.empty(0, np.int64)] * 3], 0
             for end in ends:
-                home = own[start:end]
-                if end - start > 1 and home.any():
-                    x, group = data[at[start] : at[end]].reshape(end - start, -1), ids[start:end]
-                    a, b = np.nonzero(x[home] @ x.T >= cosine)
-                    a, b = group[home][a], group[b]
-                    keep = a != b
-                    if keep.any():
-                        found.append(np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]], 1), axis=0))
+                s = slice(start, end)
+                if end - start > 1 and own[s].any():
+                    x = data[at[start] : at[end]].reshape(end - start, -1)
+                    found.append(group_links(ids[s], n[s], own[s], part[s] if lo[start] != hi[start] else None, x, placed[s], cell[start], cosine))
                 start = end
-            out = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["id", "others", "root"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -155,17 +196,17 @@ def linked_pairs(units: DataFrame, cosine: float, tables: int, blocks: int, scal
             key = np.stack([t.column(c).to_numpy() for c in ("cell", "lo", "hi")])
             ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
             if len(ends):
-                yield pairs(t.slice(0, int(ends[-1])).combine_chunks(), ends)
+                yield links(t.slice(0, int(ends[-1])).combine_chunks(), ends)
                 t = t.slice(int(ends[-1]))
             rest = t
         if rest is not None and len(rest):
-            yield pairs(rest.combine_chunks(), np.array([len(rest)]))
+            yield links(rest.combine_chunks(), np.array([len(rest)]))
 
-    sorted_ = rows.select("cell", "lo", "hi", "own", "id", "unit").repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
-    return sorted_.mapInArrow(compare, "a long, b long").distinct()
+    full = met.join(rows, "id").select("cell", "lo", "hi", "part", "own", "id", "n", "unit", "cells")
+    return full.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi").mapInArrow(compare, "id long, others long, root long")
 
 
-def vector_duplicates(vectors: DataFrame, cosine: float = 0.95, tables: int = 10, blocks: int = 2, scale: float = 0.45) -> DataFrame:
+def vector_duplicates(vectors: DataFrame, cosine: float = 0.95, tables: int = 10, blocks: int = 2, scale: float = 0.45, block: int = 1500) -> DataFrame:
     """Links of near-equal vectors: vec_id, n_links, component_id, kept.
 
     Vectors of equal values form a class and are compared once. Unit vectors are
@@ -173,23 +214,23 @@ def vector_duplicates(vectors: DataFrame, cosine: float = 0.95, tables: int = 10
     are decoded to a point of the E8 lattice scaled by ``scale``; the points name
     the cell. A vector also looks into the cells with one block at its second
     nearest point. Vectors that meet are compared by cosine in double precision,
-    large cells part by part, and linked from ``cosine`` on. n_links counts the
-    other vectors linked, copies one by one; a component is named by its smallest
-    vec_id, and that one is kept.
+    large cells ``block`` by ``block``, and linked from ``cosine`` on. n_links
+    counts the other vectors linked, copies one by one; a component is named by
+    its smallest vec_id, and that one is kept.
 
     Null, zero or empty vectors, and those with null or non-finite components,
     link with nothing; vectors of different lengths do not link. Rows with null
     vec_ids give no row; repeated vec_ids give one, linked as its smallest key.
     """
     rows = checkpoint(prepared(vectors))
-    classes = checkpoint(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("n"), F.first("unit").alias("unit")))
-    pairs = checkpoint(linked_pairs(classes.select(F.col("rep").alias("id"), "unit"), cosine, tables, blocks, scale))
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    size = classes.select("rep", "n")
-    links = both.join(size.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    found = connected_components(pairs).select(F.col("node").alias("rep"), "component")
     each = rows.groupBy("vec_id").agg(F.min("key").alias("key"))
-    out = each.join(classes.select("key", "rep", "n"), "key", "left").join(links, "rep", "left").join(found, "rep", "left")
-    out = out.withColumn("component_id", F.coalesce("component", "rep", "vec_id"))
-    n = F.coalesce(F.col("others"), F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))
-    return out.select("vec_id", n.cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    valid = rows.where("key is not null")
+    classes = checkpoint(valid.groupBy("key").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("n"), F.first("unit").alias("unit")))
+    found = checkpoint(linked(classes.select(F.col("rep").alias("id"), "n", "unit"), cosine, tables, blocks, scale, block))
+    links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("others").alias("others"))
+    component = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
+    named = classes.select("key", "rep", "n").join(links, "rep", "left").join(component, "rep", "left")
+    named = checkpoint(named.select("key", "n", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    out = join_on_hot(each.where("key is not null"), named, "key", "n").select("vec_id", "n_links", "component_id")
+    out = out.union(each.where("key is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
