@@ -144,15 +144,3 @@ def decide(rows: pd.DataFrame, cooldown: int, triggered: int | None = None) -> t
             out.append("triggered")
             triggered = int(t)
     return out, triggered
-
-
-def retrain_decisions(events: DataFrame, cooldown: int = 3600, key: str = "key") -> DataFrame:
-    """(key, t, severity, decision, retrain_required) of severity events in time order; sequential per key."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("t", kind="stable")
-        decision, _ = decide(f, cooldown)
-        return f.assign(decision=decision, retrain_required=f["severity"] >= 10)
-
-    rows = events.select(F.col(key).cast("string").alias("key"), F.col("t").cast("long").alias("t"), F.col("severity").cast("int").alias("severity"))
-    return rows.groupBy("key").applyInPandas(run, "key string, t long, severity int, decision string, retrain_required boolean")

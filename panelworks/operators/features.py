@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ewm import ewm, per_entity, rsi
 from ..functions.expr import clip, median3, pct_rank, ratio, with_least
+from ..functions.lineage import checkpointed, small
 from ..functions.windows import by_date, by_entity, ranked, trailing
-from .quality import fill_missing, price_gates
+from .quality import price_gates
 from .regimes import regime_by_date
 
 #: The order of the model's columns.
@@ -74,19 +75,19 @@ def window_features(bars: DataFrame) -> DataFrame:
     return df.drop("_r", "_volume", "_illiquid")
 
 
-def recursive_features(df: DataFrame) -> DataFrame:
-    """rsi, ema_10, ema_50 and ema_ratio of every ticker, in one grouped pass."""
+def _recursions(f: pd.DataFrame) -> dict[str, pd.Series]:
+    fast, slow = ewm(f["close"], span=10), ewm(f["close"], span=50)
+    return {"rsi": rsi(f["close"]).clip(0, 100), "ema_10": fast, "ema_50": slow, "ema_ratio": (fast / (slow + _TINY)).clip(0.5, 1.5)}
 
-    def make(f: pd.DataFrame) -> dict[str, pd.Series]:
-        fast, slow = ewm(f["close"], span=10), ewm(f["close"], span=50)
-        return {"rsi": rsi(f["close"]).clip(0, 100), "ema_10": fast, "ema_50": slow, "ema_ratio": (fast / (slow + _TINY)).clip(0.5, 1.5)}
 
-    return per_entity(df, make, ["rsi", "ema_10", "ema_50", "ema_ratio"])
+def recursive_features(df: DataFrame) -> DataFrame:
+    """rsi, ema_10, ema_50 and ema_ratio of every ticker, in one grouped pass."""
+    return per_entity(df, _recursions, ["rsi", "ema_10", "ema_50", "ema_ratio"])
 
 
 def core_features(bars: DataFrame) -> DataFrame:
     """Window and recursive features and the market regime of every (ticker, date)."""
-    return regime_by_date(recursive_features(window_features(bars)))
+    return regime_by_date(checkpointed(recursive_features(window_features(bars))))
 
 
 def min_width(df: DataFrame, n: int = 5) -> DataFrame:
@@ -114,7 +115,8 @@ def cs_zscore(df: DataFrame, cols: list[str]) -> DataFrame:
     rows = df.withColumns({f"_{k}_{c}": f(c).over(w) for c in cols for k, f in (("m", F.avg), ("s", F.stddev_samp))})
 
     def z(c: str) -> Column:
-        return F.coalesce(clip((F.col(c) - F.col(f"_m_{c}")) / (F.greatest(F.col(f"_s_{c}"), F.lit(1e-6)) + _TINY), -5, 5), F.lit(0.0))
+        x = clip((F.col(c) - F.col(f"_m_{c}")) / (F.greatest(F.col(f"_s_{c}"), F.lit(1e-6)) + _TINY), -5, 5)
+        return F.when(F.abs(x) > 1e-9, x).otherwise(0.0)  # the rounding of a mean of equal values is no deviation
 
     return rows.withColumns({f"{c}_z": z(c) for c in cols}).drop(*[f"_{k}_{c}" for c in cols for k in "ms"])
 
@@ -131,23 +133,39 @@ def cross_section(df: DataFrame, cols: list[str]) -> DataFrame:
     return out.withColumns({c: F.col(f"_raw_{c}") for c in cols}).drop(*[f"_raw_{c}" for c in cols])
 
 
+def _with_fills(f: pd.DataFrame, cols: list[str], window: int = 20) -> dict[str, pd.Series]:
+    """Recursive features of one ticker, and for rows of wide dates each column in ``cols`` with its holes filled, as :func:`fill_missing` does."""
+    made = _recursions(f)
+    wide = f["_wide"].to_numpy()
+    for c in cols:
+        x = made[c] if c in made else f[c]
+        full = x[wide]
+        if full.isna().any():
+            full = full.fillna(full.rolling(window, min_periods=1).median()).fillna(0.0)
+        made[f"_f_{c}"] = full.reindex(f.index)
+    return made
+
+
 def feature_pipeline(bars: DataFrame, width: int = 5, gate: bool = True) -> DataFrame:
     """ticker, date, close and the 64 model columns of every bar on dates of at least ``width`` tickers.
 
-    One shuffle by ticker and one by date: a date's width is counted on the thin
-    bars and joined, so missing values are filled while rows still lie by
-    ticker, and the unfilled columns feed the cross-section.
+    The bars are checkpointed once, and their dates counted on them. One exchange
+    by ticker serves all windows of its history and the one pandas pass, which
+    adds the recursions and fills holes. That panel is checkpointed, as its
+    returns give the dates' regimes before they join it. One exchange by date
+    serves the cross-section, which reads the unfilled columns.
     """
+    bars = checkpointed(bars.select("ticker", "date", "close", "volume"))
     if gate and not price_gates(bars).first()["ok"]:
         raise ValueError("too few bars, or closes of 0 or less")
-    wide = bars.groupBy("date").agg(F.count("*").alias("_w")).where(F.col("_w") >= width).select("date")
-    df = core_features(bars).join(wide, "date", "left_semi")
+    dates = checkpointed(bars.groupBy("date").agg((F.count("*") >= width).alias("_wide")))
+    rows = window_features(bars).join(small(dates), "date")
     filled = [c for c in CORE_FEATURES if c not in ("market_dispersion", "breadth", "regime_multiplier")]
-    df = df.withColumns({f"_f_{c}": F.col(c) for c in filled})
-    df = fill_missing(df, [f"_f_{c}" for c in filled])
+    names = ["rsi", "ema_10", "ema_50", "ema_ratio", *(f"_f_{c}" for c in filled)]
+    panel = checkpointed(per_entity(rows, lambda f: _with_fills(f, filled), names))
+    df = regime_by_date(panel).where("_wide")
     df = cross_section(market_width(df), CROSS_SECTIONAL)
-    df = df.withColumns({c: F.col(f"_f_{c}") for c in filled})
-    return df.select("ticker", "date", "close", *[c for c in MODEL_FEATURES])
+    return df.select("ticker", "date", "close", *[F.col(f"_f_{c}").alias(c) if c in filled else c for c in MODEL_FEATURES])
 
 
 def standardize_scores(df: DataFrame, score: str = "score", by: str | list[str] = "date") -> DataFrame:

@@ -12,21 +12,28 @@ from ..functions.expr import clip
 from .features import standardize_scores
 
 
-def fit_model(train: DataFrame, features: list[str], target: str = "target", valid: float = 0.15, trees: int = 20, depth: int = 3, eta: float = 0.1, seed: int = 42) -> PipelineModel:
-    """Boosted trees on ``features``; the last ``valid`` share of dates is for early stopping.
-
-    Fails on fewer than 80 rows or a target that hardly varies; targets are held to +-50.
+def fit_model(
+    train: DataFrame, features: list[str], target: str = "target", valid: float = 0.15, trees: int = 2000, depth: int = 3, eta: float = 0.01, seed: int = 42, least_gain: float = 1e-4
+) -> PipelineModel:
+    """Boosted trees on ``features``; the last ``valid`` share of dates decides when to stop.
+
+    Trees are added, at most ``trees``, until the error on the held dates falls by
+    less than ``least_gain`` of itself. Fails on fewer than 80 rows or a target
+    that hardly varies; targets are held to +-50.
     """
-    rows = train.select("date", *features, clip(F.col(target), -50, 50).alias("label")).where("label is not null").cache()
-    n, spread = rows.agg(F.count("*"), F.stddev_samp("label")).first()
-    if n < 80 or (spread or 0.0) < 1e-6:
-        raise ValueError(f"{n} rows with a target spread of {spread}: too little to fit")
-    dates = rows.select("date").distinct()
-    share = F.percent_rank().over(Window.orderBy("date"))  # a row a date
-    rows = rows.join(dates.select("date", (share > 1 - valid).alias("held")), "date")
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
-    gbt = GBTRegressor(maxDepth=depth, maxIter=trees, stepSize=eta, seed=seed, validationIndicatorCol="held", predictionCol="score")
-    return PipelineModel([assembler, gbt.fit(assembler.transform(rows))])
+    rows = train.select("date", *features, clip(F.col(target), -50, 50).alias("label")).where("label is not null").persist()
+    try:
+        n, spread = rows.agg(F.count("*"), F.stddev_samp("label")).first()
+        if n < 80 or (spread or 0.0) < 1e-6:
+            raise ValueError(f"{n} rows with a target spread of {spread}: too little to fit")
+        dates = rows.select("date").distinct()
+        share = F.percent_rank().over(Window.orderBy("date"))  # a row a date
+        held = rows.join(dates.select("date", (share > 1 - valid).alias("held")), "date")
+        assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
+        gbt = GBTRegressor(maxDepth=depth, maxIter=trees, stepSize=eta, seed=seed, validationIndicatorCol="held", validationTol=least_gain, predictionCol="score")
+        return PipelineModel([assembler, gbt.fit(assembler.transform(held))])
+    finally:
+        rows.unpersist()
 
 
 def predict(model: PipelineModel | Column, df: DataFrame, features: list[str], by: str = "date") -> DataFrame:

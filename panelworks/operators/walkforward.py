@@ -35,12 +35,12 @@ def folds(dates: DataFrame, window: int = 252, step: int = 63, embargo: int = 5,
 
 
 def assign(panel: DataFrame, dates: DataFrame, plan: DataFrame, part: str = "test") -> DataFrame:
-    """Rows of each fold's train or test range; a range join with the folds, at most tens of rows."""
-    rows = panel.join(dates, "date")
-    inside = F.col("idx").between(F.col(f"{part}_lo"), F.col(f"{part}_hi"))
+    """Rows of each fold's train or test range: the folds' date numbers, a row each, joined to those of the panel."""
+    held = plan.select("fold", "train_end", F.explode(F.sequence(f"{part}_lo", f"{part}_hi")).alias("idx"))
+    rows = panel.join(dates, "date").join(held, "idx")
     if part == "train":
-        inside &= F.col("date") < F.col("train_end")
-    return rows.join(F.broadcast(plan), inside).select("fold", "idx", *panel.columns)
+        rows = rows.where(F.col("date") < F.col("train_end"))
+    return rows.select("fold", "idx", *panel.columns)
 
 
 def rebalance_dates(plan: DataFrame, dates: DataFrame, horizon: int = 5) -> DataFrame:

@@ -94,7 +94,7 @@ def cross_section(cols: list[str], source: str = "feat") -> str:
     wide = "SELECT date, " + ", ".join(f'quantile_cont("{c}", 0.01) AS "lo_{c}", quantile_cont("{c}", 0.99) AS "hi_{c}"' for c in cols) + f" FROM {source} GROUP BY date"
     held = ", ".join(f'CASE WHEN s."{c}" IS NOT NULL THEN greatest(q."lo_{c}", least(q."hi_{c}", s."{c}")) END AS "{c}"' for c in cols)
     z = ", ".join(
-        f'CASE WHEN ("{c}" - avg("{c}") OVER d) / (greatest(stddev_samp("{c}") OVER d, 1e-6) + 1e-9) IS NULL THEN 0 ELSE greatest(-5, least(5, ("{c}" - avg("{c}") OVER d) / (greatest(stddev_samp("{c}") OVER d, 1e-6) + 1e-9))) END AS "{c}_z"'
+        f'CASE WHEN coalesce(abs("{c}" - avg("{c}") OVER d) / (greatest(stddev_samp("{c}") OVER d, 1e-6) + 1e-9), 0) <= 1e-9 THEN 0 ELSE greatest(-5, least(5, ("{c}" - avg("{c}") OVER d) / (greatest(stddev_samp("{c}") OVER d, 1e-6) + 1e-9))) END AS "{c}_z"'
         for c in cols
     )
     rank = ", ".join(
@@ -119,3 +119,55 @@ IC = PREDICTIONS + """, icr AS (
 ), ic AS (
   SELECT date, corr(a, b) AS ic, count(*) AS n FROM icr GROUP BY date HAVING count(*) >= 5 AND min(forward_return) < max(forward_return)
 )"""
+
+
+def recursion(name: str, source: str, means: dict[str, tuple[str, float]]) -> str:
+    """CTEs up to ``name``: (ticker, i, ...) with an exponential mean of each expression of ``source`` (ticker, date, ...), step by step.
+
+    means: column -> (expression, alpha); a mean begins with its first value. Needs WITH RECURSIVE.
+    """
+    columns = ", ".join(f"CAST({x} AS DOUBLE) AS x_{c}" for c, (x, _) in means.items())
+    step = ", ".join(f"CASE WHEN e.{c} IS NULL THEN n.x_{c} WHEN n.x_{c} IS NULL THEN e.{c} ELSE {a!r} * n.x_{c} + (1 - {a!r}) * e.{c} END" for c, (_, a) in means.items())
+    start = ", ".join(f"x_{c} AS {c}" for c in means)
+    return f"""{name}_n AS MATERIALIZED (SELECT *, {columns} FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, count(*) OVER (PARTITION BY ticker) AS len FROM {source})),
+{name} AS (SELECT ticker, i, {start} FROM {name}_n WHERE i = 1 UNION ALL SELECT n.ticker, n.i, {step} FROM {name} e JOIN {name}_n n ON n.ticker = e.ticker AND n.i = e.i + 1)"""
+
+
+def _span(n: int) -> float:
+    return 2 / (n + 1)
+
+
+#: ewm: rsi, exponential means and MACD of every bar.
+EWM = (
+    f"stepped AS (SELECT ticker, date, close, close - lag(close) {W} AS step FROM bars), "
+    + recursion("r1", "stepped", {
+        "gain": ("CASE WHEN step > 0 THEN step WHEN step <= 0 THEN 0 END", 1 / 14), "loss": ("CASE WHEN step < 0 THEN -step WHEN step >= 0 THEN 0 END", 1 / 14), "e10": ("close", _span(10)), "e12": ("close", _span(12)),
+        "e20": ("close", _span(20)), "e26": ("close", _span(26)), "e50": ("close", _span(50)),
+    })
+    + f""", lined AS (SELECT n.ticker, n.date, n.i AS k, n.len AS n, r1.* EXCLUDE (ticker, i), e12 - e26 AS line FROM r1 JOIN r1_n n ON n.ticker = r1.ticker AND n.i = r1.i), """
+    + recursion("r2", "lined", {"sig": ("line", _span(9))})
+    + f""", ewm AS (SELECT n.ticker, n.date, CASE WHEN n.len < 14 OR n.i < 15 THEN 50 ELSE greatest(0, least(100, 100 - 100 / (1 + gain / (loss + 1e-9)))) END AS rsi,
+  e10 AS ema_10, e50 AS ema_50, greatest(0.5, least(1.5, e10 / (e50 + {_TINY}))) AS ema_ratio, e20 AS ema, greatest(-500, least(500, line)) AS macd, greatest(-500, least(500, sig)) AS macd_signal
+  FROM r2 JOIN r2_n n ON n.ticker = r2.ticker AND n.i = r2.i)"""
+)
+
+
+def confirmed(name: str, source: str, days: int) -> str:
+    """CTEs up to ``name``: (ticker, i, held) of ``source`` (ticker, date, label), row by row. Needs WITH RECURSIVE."""
+    turn = f"n.label <> e.held AND e.streak + 1 >= {days}"
+    return f"""{name}_n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM {source}),
+{name} AS (SELECT ticker, i, label AS held, 0 AS streak FROM {name}_n WHERE i = 1 UNION ALL
+  SELECT n.ticker, n.i, CASE WHEN {turn} THEN n.label ELSE e.held END, CASE WHEN n.label = e.held OR {turn} THEN 0 ELSE e.streak + 1 END FROM {name} e JOIN {name}_n n ON n.ticker = e.ticker AND n.i = e.i + 1)"""
+
+
+#: The regime of each ticker by its own trend and volatility, confirmed over four bars: asset_n JOIN asset.
+ASSET = (
+    f"""moved AS (SELECT ticker, date, close, close / nullif(lag(close) {W}, 0) - 1 AS change, CASE WHEN count(close) {trail(150)} >= 150 THEN avg(close) {trail(150)} END AS mean FROM bars),
+odd AS (SELECT *, (close - mean) / (mean + 1e-8) AS gap, max(CASE WHEN close IS NULL OR close <= 0 OR abs(change) > 0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY ticker) AS unfit FROM moved), """
+    + recursion("a1", "odd", {"trend": ("gap", _span(8)), "e5": ("change", _span(5))})
+    + f""", spread AS (SELECT n.ticker, n.date, gap, unfit, trend, CASE WHEN count(e5) OVER w >= 40 THEN stddev_samp(e5) OVER w END AS sd FROM a1 JOIN a1_n n ON n.ticker = a1.ticker AND n.i = a1.i WINDOW w AS (PARTITION BY n.ticker ORDER BY n.date ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)), """
+    + recursion("a2", "spread", {"vol": ("sd", _span(10))})
+    + """, labelled0 AS (SELECT n.*, greatest(vol, 0.005) AS v FROM a2 JOIN a2_n n ON n.ticker = a2.ticker AND n.i = a2.i),
+labelled AS (SELECT ticker, date, CASE WHEN unfit = 1 OR gap IS NULL OR v IS NULL THEN 'SIDEWAYS' WHEN v > 0.053 THEN 'CRISIS' WHEN trend > 0.007 AND v < 0.03 THEN 'BULL' WHEN trend < -0.007 AND v > 0.03 THEN 'BEAR' ELSE 'SIDEWAYS' END AS label FROM labelled0), """
+    + confirmed("asset", "labelled", 4)
+)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import rounded
+from ..functions.lineage import checkpointed, shared_folder
 from ..operators import evaluate, features, indicators, quality, regimes, targets
 from ..sources import feeds
 from ..sources.tables import bars, table
@@ -114,6 +116,27 @@ def q_a3(s: SparkSession, d: str) -> DataFrame:
     return out(feeds.read_features(store, _STORED, "v1", "1997-01-01"))
 
 
+@register("a3_write_features", f"WITH {O.FEATURES} SELECT ticker, date, {', '.join(f'{rnd(f'coalesce({c}, 0)')} AS {c}' for c in _STORED)} FROM feat")
+def q_a3w(s: SparkSession, d: str) -> DataFrame:
+    """Written in two parts that overlap, the whole once more, and read again: nothing stands there twice."""
+    path = f"{shared_folder(s)}/store-{uuid.uuid4().hex}"
+    rows = checkpointed(features.window_features(bars(s, d)).select("ticker", "date", *_STORED))
+    for part in (rows.where("date < '1998-01-01'"), rows.where("date >= '1997-01-01'"), rows):
+        feeds.write_features(part, _STORED, "v1", path)
+    feeds.write_features(rows, ["amihud"], "v2", path)
+    return out(feeds.read_features(feeds.read_store(s, path), _STORED, "v1"))
+
+
+@register("a4_stored_or_computed", f"WITH {O.FEATURES} SELECT ticker, date, {', '.join(f'{rnd(f'coalesce({c}, 0)', 5)} AS {c}' for c in _STORED)} FROM feat")
+def q_a4s(s: SparkSession, d: str) -> DataFrame:
+    """The store has the bars before 2000; the others are computed from 253 weekly bars before them on, and stored."""
+    path = f"{shared_folder(s)}/store-{uuid.uuid4().hex}"
+    rows = checkpointed(bars(s, d))
+    for some in (rows.where("date < '2000-01-01'"), rows):
+        df = feeds.stored_or_computed(some, path, "v1", _STORED, features.window_features, days=7 * 300)
+    return out(df, digits=5)
+
+
 @register(
     "a4_missing_features",
     f"""WITH {O.BARS}, miss AS (SELECT ticker, date FROM bars WHERE NOT (date < DATE '2000-01-01' AND volume > 50)),
@@ -176,22 +199,25 @@ def q_a9(s: SparkSession, d: str) -> DataFrame:
 
 @register("a10_universe", "SELECT upper(trim(n_name)) AS ticker FROM nation ORDER BY 1")
 def q_a10(s: SparkSession, d: str) -> DataFrame:
+    """A universe document, written as JSON over several lines and read from there."""
     names = table(s, d, "nation").agg(F.collect_list(F.concat(F.lit(" "), F.lower("n_name"))).alias("tickers"))
     docs = names.select(F.lit("1").alias("version"), F.lit("2022-01-03").alias("created_utc"), F.lit("nations").alias("description"), F.lit(120).alias("min_history_days"), "tickers")
-    return feeds.read_universe(docs)
+    path = f"{shared_folder(s)}/universe-{uuid.uuid4().hex}"
+    docs.select(F.to_json(F.struct("*"), {"pretty": "true"})).coalesce(1).write.text(path)
+    return feeds.read_universe_file(s, path)
 
 
 @register(
     "a12_pick_provider",
-    f"""WITH {O.RAW}, ok AS (SELECT ticker FROM raw WHERE year(date) = 1996 GROUP BY ticker HAVING count(close) >= 52 AND coalesce(min(close), 0) > 100)
+    f"""WITH {O.RAW}, ok AS (SELECT ticker FROM raw GROUP BY ticker HAVING count(close) >= 52 AND coalesce(min(close), 0) > 42)
 SELECT b.ticker, b.date, {rnd('b.close')} AS close, CASE WHEN b.ticker IN (SELECT ticker FROM ok) THEN 'one' ELSE 'two' END AS provider
-FROM raw r JOIN bars b ON r.ticker = b.ticker AND r.date = b.date WHERE year(b.date) = 1996 AND b.ticker NOT IN (SELECT ticker FROM ok)
-UNION ALL SELECT ticker, date, {rnd('close')}, 'one' FROM raw WHERE year(date) = 1996 AND ticker IN (SELECT ticker FROM ok)""",
+FROM raw r JOIN bars b ON r.ticker = b.ticker AND r.date = b.date WHERE b.ticker NOT IN (SELECT ticker FROM ok)
+UNION ALL SELECT ticker, date, {rnd('close')}, 'one' FROM raw WHERE ticker IN (SELECT ticker FROM ok)""",
 )
 def q_a12(s: SparkSession, d: str) -> DataFrame:
-    one = raw_feed(s, d).where("year(date) = 1996").select("ticker", "date", "close")
-    two = bars(s, d).where("year(date) = 1996").select("ticker", "date", "close")
-    gate = (F.count("close") >= 52) & (F.coalesce(F.min("close"), F.lit(0.0)) > 100) | (F.first("provider") == "two")
+    one = raw_feed(s, d).select("ticker", "date", "close")
+    two = bars(s, d).select("ticker", "date", "close")
+    gate = (F.count("close") >= 52) & (F.coalesce(F.min("close"), F.lit(0.0)) > 42) | (F.first("provider") == "two")
     return out(feeds.pick_provider({"one": one, "two": two}, ["one", "two"], gate), "ticker", "date", "close", "provider")
 
 
@@ -375,20 +401,35 @@ for _name, _cols in _C.items():
     register(_name, f"WITH {O.FEATURES} SELECT ticker, date, {nums(_cols, 5)} FROM feat")(_feature_query(_cols))
 
 
-@register("c12_rsi")
+@register("c12_rsi", f"WITH RECURSIVE {O.BARS}, {O.EWM} SELECT ticker, date, {rnd('rsi', 5)} AS rsi FROM ewm")
 def q_c12(s: SparkSession, d: str) -> DataFrame:
-    return out(features.recursive_features(bars(s, d)), "ticker", "date", "rsi")
+    return out(features.recursive_features(bars(s, d)), "ticker", "date", "rsi", digits=5)
 
 
-@register("c13_ema_ratio")
+@register("c13_ema_ratio", f"WITH RECURSIVE {O.BARS}, {O.EWM} SELECT ticker, date, {nums(['ema_10', 'ema_50', 'ema_ratio'], 4)} FROM ewm")
 def q_c13(s: SparkSession, d: str) -> DataFrame:
-    return out(features.recursive_features(bars(s, d)), "ticker", "date", "ema_10", "ema_50", "ema_ratio")
+    return out(features.recursive_features(bars(s, d)), "ticker", "date", "ema_10", "ema_50", "ema_ratio", digits=4)
+
+
+_CORE = [c for c in features.CORE_FEATURES if c not in ("market_dispersion", "breadth")]
+_LABEL = "CASE WHEN sd > 2 * ref AND up / n < 0.30 THEN 'CRISIS' WHEN up / n > 0.60 AND s / n > 0 THEN 'BULL' WHEN up / n < 0.40 AND s / n < 0 THEN 'BEAR' ELSE 'SIDEWAYS' END"
+_DAILY = 'daily AS (SELECT date, count("return") AS n, count(*) FILTER ("return" > 0) AS up, sum("return") AS s, sum("return" * "return") AS q FROM feat GROUP BY date)'
 
 
-@register("c17_core_features")
+def _dated(reference: str) -> str:
+    """CTEs up to dated: the regime of each date and its multiplier."""
+    past = "(ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    ref = "sd" if reference == "window" else "refh"
+    return f"""{_DAILY}, roll AS (SELECT date, sum(n) OVER w AS n, sum(up) OVER w AS up, sum(s) OVER w AS s,
+  sqrt(greatest((sum(q) OVER w - (sum(s) OVER w) * (sum(s) OVER w) / sum(n) OVER w) / (sum(n) OVER w - 1), 0)) AS sd,
+  sqrt(greatest((sum(q) OVER {past} - (sum(s) OVER {past}) * (sum(s) OVER {past}) / sum(n) OVER {past}) / (sum(n) OVER {past} - 1), 0)) AS refh
+  FROM daily WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), dated0 AS (SELECT date, {_LABEL.replace("ref", ref)} AS regime FROM roll),
+dated AS (SELECT date, regime, regime AS market_regime, CASE regime WHEN 'BULL' THEN 1.2 WHEN 'BEAR' THEN 0.6 WHEN 'CRISIS' THEN 0.3 ELSE 1.0 END::DOUBLE AS regime_multiplier FROM dated0)"""
+
+
+@register("c17_core_features", f"WITH RECURSIVE {O.FEATURES}, {O.EWM}, {_dated('window')} SELECT f.ticker, f.date, {nums(_CORE, 4)} FROM feat f JOIN ewm ON ewm.ticker = f.ticker AND ewm.date = f.date JOIN dated ON dated.date = f.date")
 def q_c17(s: SparkSession, d: str) -> DataFrame:
-    names = [c for c in features.CORE_FEATURES if c not in ("market_dispersion", "breadth")]
-    return out(features.core_features(bars(s, d)), "ticker", "date", *names)
+    return out(features.core_features(bars(s, d)), "ticker", "date", *_CORE, digits=4)
 
 
 # Indicators
@@ -399,14 +440,14 @@ def q_d1(s: SparkSession, d: str) -> DataFrame:
     return out(indicators.sma(bars(s, d)), "ticker", "date", "sma")
 
 
-@register("d2_ema")
+@register("d2_ema", f"WITH RECURSIVE {O.BARS}, {O.EWM} SELECT ticker, date, {nums(['ema'], 4)} FROM ewm")
 def q_d2(s: SparkSession, d: str) -> DataFrame:
-    return out(indicators.ema(bars(s, d)), "ticker", "date", "ema")
+    return out(indicators.ema(bars(s, d)), "ticker", "date", "ema", digits=4)
 
 
-@register("d3_rsi")
+@register("d3_rsi", f"WITH RECURSIVE {O.BARS}, {O.EWM} SELECT ticker, date, {nums(['rsi'], 4)} FROM ewm")
 def q_d3(s: SparkSession, d: str) -> DataFrame:
-    return out(indicators.rsi(bars(s, d)), "ticker", "date", "rsi")
+    return out(indicators.rsi(bars(s, d)), "ticker", "date", "rsi", digits=4)
 
 
 _BB = f"CASE WHEN count(close) {O.trail(20)} >= 20 THEN avg(close) {O.trail(20)} END"
@@ -418,9 +459,9 @@ def q_d4(s: SparkSession, d: str) -> DataFrame:
     return out(indicators.bollinger(bars(s, d)), "ticker", "date", "bb_mid", "bb_upper", "bb_lower")
 
 
-@register("d5_macd")
+@register("d5_macd", f"WITH RECURSIVE {O.BARS}, {O.EWM} SELECT ticker, date, {nums(['macd', 'macd_signal'], 4)} FROM ewm")
 def q_d5(s: SparkSession, d: str) -> DataFrame:
-    return out(indicators.macd(bars(s, d)), "ticker", "date", "macd", "macd_signal")
+    return out(indicators.macd(bars(s, d)), "ticker", "date", "macd", "macd_signal", digits=4)
 
 
 @register(
@@ -471,7 +512,7 @@ def q_e5(s: SparkSession, d: str) -> DataFrame:
     return out(features.cs_zscore(features.cs_winsorize(_frame(s, d), _X), _X), "ticker", "date", *_Z, digits=4)
 
 
-_R = [f"{c}_rank" for c in ("momentum_20", "momentum_60", "return_mean_20", "volume_momentum", "dollar_volume", "amihud")]
+_R = [f"{c}_rank" for c in _X]
 
 
 @register("e6_pct_rank", f"WITH {O.FEATURES}, {O.cross_section([r[:-5] for r in _R])} SELECT ticker, date, {nums(_R)} FROM xs")
@@ -480,9 +521,18 @@ def q_e6(s: SparkSession, d: str) -> DataFrame:
     return out(features.cs_pct_rank(features.cs_winsorize(_frame(s, d), cols), cols), "ticker", "date", *_R)
 
 
-@register("e7_feature_pipeline")
+_FILLED = [c for c in features.CORE_FEATURES if c not in ("market_dispersion", "breadth", "regime_multiplier")]
+#: CTEs up to mf: ticker, date, close and the 64 model columns. Needs WITH RECURSIVE.
+MODEL = f"""{O.FEATURES}, {O.EWM}, {_dated('window')}, core AS MATERIALIZED (SELECT f.*, rsi, ema_ratio, regime_multiplier,
+  coalesce(greatest(stddev_samp("return") OVER (PARTITION BY f.date), 1e-6), 0) AS market_dispersion, coalesce(avg(CASE WHEN "return" > 0 THEN 1.0 ELSE 0 END) OVER (PARTITION BY f.date), 0.5) AS breadth
+  FROM feat f JOIN ewm ON ewm.ticker = f.ticker AND ewm.date = f.date JOIN dated ON dated.date = f.date QUALIFY count(*) OVER (PARTITION BY f.date) >= 5), {O.cross_section(features.CROSS_SECTIONAL, "core")},
+fi AS (SELECT ticker, date, close, market_dispersion, breadth, regime_multiplier, {", ".join(f'coalesce("{c}", quantile_cont("{c}", 0.5) {O.trail(20)}, 0) AS "{c}"' for c in _FILLED)} FROM core),
+mf AS MATERIALIZED (SELECT fi.*, {", ".join(f'"{c}_{k}"' for k in ("z", "rank") for c in features.CROSS_SECTIONAL)} FROM fi JOIN xs ON xs.ticker = fi.ticker AND xs.date = fi.date)"""
+
+
+@register("e7_feature_pipeline", f"WITH RECURSIVE {MODEL} SELECT ticker, date, {nums(['close', *features.MODEL_FEATURES], 4)} FROM mf")
 def q_e7(s: SparkSession, d: str) -> DataFrame:
-    return out(features.feature_pipeline(bars(s, d)))
+    return out(features.feature_pipeline(bars(s, d)), digits=4)
 
 
 @register(
@@ -495,23 +545,19 @@ def q_e8(s: SparkSession, d: str) -> DataFrame:
     return out(features.standardize_scores(df), "ticker", "date", "score")
 
 
-_S = ["momentum_20", "volatility", "amihud", "return_skew_20"]
+_STATS = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, " + ", ".join(f"""{rnd(x.replace("@", f'"{c}"'), 4)} AS {k}""" for k, x in {"mean": "avg(@)", "std": "stddev_samp(@)", "low": "min(@)", "high": "max(@)", "missing": "avg(CASE WHEN @ IS NULL THEN 1.0 ELSE 0 END)"}.items()) + " FROM mf"
+    for c in features.MODEL_FEATURES
+)
 
 
-@register(
-    "e9_feature_stats",
-    f"WITH {O.FEATURES} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, {rnd(f'avg({c})')} AS mean, {rnd(f'stddev_samp({c})')} AS std, {rnd(f'min({c})')} AS low, {rnd(f'max({c})')} AS high, {rnd(f'avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0 END)')} AS missing FROM feat" for c in _S),
-)
+@register("e9_feature_stats", f"WITH RECURSIVE {MODEL} {_STATS}")
 def q_e9(s: SparkSession, d: str) -> DataFrame:
-    return out(features.feature_stats(_frame(s, d), _S))
+    return out(features.feature_stats(features.feature_pipeline(bars(s, d)), features.MODEL_FEATURES), digits=4)
 
 
 # Regimes
 
-_LABEL = "CASE WHEN sd > 2 * ref AND up / n < 0.30 THEN 'CRISIS' WHEN up / n > 0.60 AND s / n > 0 THEN 'BULL' WHEN up / n < 0.40 AND s / n < 0 THEN 'BEAR' ELSE 'SIDEWAYS' END"
-_DAILY = 'daily AS (SELECT date, count("return") AS n, count(*) FILTER ("return" > 0) AS up, sum("return") AS s, sum("return" * "return") AS q FROM feat GROUP BY date)'
-
-
 @register(
     "f1_market_regime",
     f"""WITH {O.FEATURES}, {_DAILY}, recent AS (SELECT * FROM daily ORDER BY date DESC LIMIT 20),
@@ -524,14 +570,7 @@ def q_f1(s: SparkSession, d: str) -> DataFrame:
 
 
 def _f2(reference: str) -> str:
-    past = "(ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    ref = "sd" if reference == "window" else "refh"
-    return f"""WITH {O.FEATURES}, {_DAILY}, roll AS (SELECT date, sum(n) OVER w AS n, sum(up) OVER w AS up, sum(s) OVER w AS s,
-  sqrt(greatest((sum(q) OVER w - (sum(s) OVER w) * (sum(s) OVER w) / sum(n) OVER w) / (sum(n) OVER w - 1), 0)) AS sd,
-  sqrt(greatest((sum(q) OVER {past} - (sum(s) OVER {past}) * (sum(s) OVER {past}) / sum(n) OVER {past}) / (sum(n) OVER {past} - 1), 0)) AS refh
-  FROM daily WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), labelled AS (SELECT date, {_LABEL.replace("ref", ref)} AS regime FROM roll)
-SELECT f.ticker, f.date, regime, regime AS market_regime, CASE regime WHEN 'BULL' THEN 1.2 WHEN 'BEAR' THEN 0.6 WHEN 'CRISIS' THEN 0.3 ELSE 1.0 END::DOUBLE AS regime_multiplier
-FROM feat f JOIN labelled l ON f.date = l.date"""
+    return f"WITH {O.FEATURES}, {_dated(reference)} SELECT f.ticker, f.date, regime, market_regime, regime_multiplier FROM feat f JOIN dated ON f.date = dated.date"
 
 
 @register("f2_regime_by_date", _f2("window"))
@@ -544,12 +583,20 @@ def q_f2h(s: SparkSession, d: str) -> DataFrame:
     return regimes.regime_by_date(_frame(s, d), vol_reference="history").select("ticker", "date", "regime", "market_regime", "regime_multiplier")
 
 
-@register("f3_asset_regime")
+@register(
+    "f3_asset_regime",
+    f"""WITH RECURSIVE {O.BARS}, {O.ASSET} SELECT n.ticker, n.date, held AS regime, CASE held WHEN 'BULL' THEN 1.2 WHEN 'BEAR' THEN 0.8 WHEN 'CRISIS' THEN 0.4 ELSE 1.0 END::DOUBLE AS regime_multiplier
+FROM asset JOIN asset_n n ON n.ticker = asset.ticker AND n.i = asset.i""",
+)
 def q_f3(s: SparkSession, d: str) -> DataFrame:
     return regimes.asset_regime(bars(s, d)).select("ticker", "date", "regime", "regime_multiplier")
 
 
-@register("f4_confirm_regime")
+@register(
+    "f4_confirm_regime",
+    f"""WITH RECURSIVE {O.FEATURES}, lb AS (SELECT ticker, date, CASE WHEN "return" > 0.01 THEN 'BULL' WHEN "return" < -0.01 THEN 'BEAR' ELSE 'SIDEWAYS' END AS label FROM feat), {O.confirmed("cf", "lb", 2)}
+SELECT n.ticker, n.date, label, held AS confirmed, CASE held WHEN 'BULL' THEN 1.2 WHEN 'BEAR' THEN 0.8 ELSE 1.0 END::DOUBLE AS multiplier FROM cf JOIN cf_n n ON n.ticker = cf.ticker AND n.i = cf.i""",
+)
 def q_f4(s: SparkSession, d: str) -> DataFrame:
     label = F.when(F.col("return") > 0.01, "BULL").when(F.col("return") < -0.01, "BEAR").otherwise("SIDEWAYS")
     return regimes.confirm_regime(_frame(s, d).select("ticker", "date", label.alias("label")), 2)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import checkpointed
+from ..functions.lineage import checkpointed, shared_folder
 from ..operators import drift, fingerprint, model, performance, scoring, walkforward
 from ..operators.features import MODEL_FEATURES, feature_pipeline, window_features
 from ..operators.targets import cs_target
@@ -17,12 +17,12 @@ from ..sources.tables import bars, table
 from ..streaming import jobs
 from . import oracles as O
 from .oracles import nums, rnd
-from .queries import forward, out, pairs, predictions, register
+from .queries import MODEL, QUERIES, forward, out, pairs, predictions, register  # noqa: F401
 from .snapshot import agents, scored_panel, snapshot_all_dates
 
 # Drift
 
-H = ["return", "return_mean_20", "momentum_20", "momentum_60", "volatility", "vol_of_vol", "return_skew_20", "volume_momentum", "dollar_volume", "amihud", "dist_from_52w_high", "regime_feature"]
+H = MODEL_FEATURES
 _HQ = ", ".join(f'"{c}"' for c in H)
 
 
@@ -32,13 +32,13 @@ def _clipped(name: str, source: str) -> str:
     return f"{name}_s AS (SELECT {stats} FROM {source}), {name} AS (SELECT ticker, date, {held} FROM {source}, {name}_s)"
 
 
-_BASE = f"""{O.FEATURES}, before AS (SELECT * FROM feat WHERE date < DATE '2000-01-01'), after AS (SELECT * FROM feat WHERE date >= DATE '2000-01-01'),
-{_clipped("bc", "before")}, bl AS (SELECT feature, x FROM (UNPIVOT (SELECT {_HQ} FROM bc) ON {_HQ} INTO NAME feature VALUE x)),
-st AS (SELECT feature, avg(x) AS mean, stddev_samp(x) AS std, var_samp(x) AS variance, min(x) AS lo, max(x) AS hi, count(*) AS n FROM bl GROUP BY feature),
-bins AS (SELECT feature, least(CAST(floor(20 * ((x - lo) / (hi - lo))) AS INT) + 1, 20) AS bin, count(*) AS e FROM bl JOIN st USING (feature) GROUP BY ALL),
-grid AS (SELECT feature, CAST(b AS INT) AS bin, coalesce(e, 0) AS e, n FROM (SELECT feature, n, unnest(range(1, 21)) AS b FROM st) g LEFT JOIN bins USING (feature) WHERE bins.bin = b OR bins.bin IS NULL),
+_BIN = "least(CAST(floor(20 * (x - lo) / (hi - lo)) AS INT) + 1, 20)"
+_BASE = f"""{MODEL}, before AS (SELECT * FROM mf WHERE date < DATE '2000-01-01'), after AS (SELECT * FROM mf WHERE date >= DATE '2000-01-01'),
+{_clipped("bc", "before")}, bl AS MATERIALIZED (SELECT feature, x FROM (UNPIVOT (SELECT {_HQ} FROM bc) ON {_HQ} INTO NAME feature VALUE x)),
+st0 AS (SELECT feature, avg(x) AS mean, stddev_samp(x) AS std, var_samp(x) AS variance, min(x) AS a, max(x) AS b, count(*) AS n FROM bl GROUP BY feature),
+st AS MATERIALIZED (SELECT feature, mean, std, variance, CASE WHEN a = b THEN a - 0.5 ELSE a END AS lo, CASE WHEN a = b THEN b + 0.5 ELSE b END AS hi, n FROM st0),
+bins AS (SELECT feature, {_BIN} AS bin, count(*) AS e FROM bl JOIN st USING (feature) GROUP BY ALL),
 full_grid AS (SELECT s.feature, CAST(r.b AS INT) AS bin, coalesce(bins.e, 0) AS e, s.n FROM st s CROSS JOIN (SELECT unnest(range(1, 21)) AS b) r LEFT JOIN bins ON bins.feature = s.feature AND bins.bin = r.b)"""
-_BASE = _BASE[: _BASE.index("grid AS (SELECT feature, CAST")] + _BASE[_BASE.index("full_grid AS") :]
 
 
 def _report(keys: list[str], rows: str) -> str:
@@ -47,7 +47,7 @@ def _report(keys: list[str], rows: str) -> str:
     same = "".join(f" AND a.{c} = b.{c}" for c in keys)
     return f"""w AS (SELECT {k}feature, x, count(*) OVER (PARTITION BY {k}feature) AS n, row_number() OVER (PARTITION BY {k}feature ORDER BY date, ticker) - 1 AS i FROM {rows}),
 tw AS (SELECT {k}feature, sum(x * CASE WHEN n < 5 THEN 1.0 ELSE 1.0 + 0.5 * i / (n - 1) END) / sum(CASE WHEN n < 5 THEN 1.0 ELSE 1.0 + 0.5 * i / (n - 1) END) AS tw_mean, max(n) AS n, var_samp(x) AS v FROM w GROUP BY ALL),
-ab AS (SELECT {k}feature, CASE WHEN x BETWEEN lo AND hi THEN least(CAST(floor(20 * ((x - lo) / (hi - lo))) AS INT) + 1, 20) END AS bin FROM {rows} JOIN st USING (feature)),
+ab AS (SELECT {k}feature, CASE WHEN x BETWEEN lo AND hi THEN {_BIN} END AS bin FROM {rows} JOIN st USING (feature)),
 att AS (SELECT {k}feature, count(*) AS all_n, count(bin) AS inside FROM ab GROUP BY ALL), ac AS (SELECT {k}feature, bin, count(*) AS c FROM ab WHERE bin IS NOT NULL GROUP BY ALL),
 terms AS (SELECT {"".join(f"a.{c}, " for c in keys)}a.feature, a.all_n, greatest(coalesce(b.c / nullif(a.inside, 0), 0), 0.01) AS p, greatest(g.e / g.n, 0.01) AS q FROM att a JOIN full_grid g ON g.feature = a.feature
   LEFT JOIN ac b ON b.feature = a.feature AND b.bin = g.bin{same}),
@@ -70,70 +70,104 @@ state AS (SELECT *, CASE WHEN severity >= 10 THEN 'hard' WHEN severity >= 4 THEN
 
 
 def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = checkpointed(window_features(bars(s, d)).select("ticker", "date", *H))
+    f = checkpointed(feature_pipeline(bars(s, d)).select("ticker", "date", *H))
     return f.where("date < '2000-01-01'"), f.where("date >= '2000-01-01'")
 
 
-@register("h1_sigma_clip", f"WITH {O.FEATURES}, {_clipped('bc', 'feat')} SELECT ticker, date, {nums(H, 5)} FROM bc")
+@register("h1_sigma_clip", f"WITH RECURSIVE {MODEL}, {_clipped('bc', 'mf')} SELECT ticker, date, {nums(H, 4)} FROM bc")
 def q_h1(s: SparkSession, d: str) -> DataFrame:
-    return out(drift.sigma_clip(window_features(bars(s, d)).select("ticker", "date", *H), H), digits=5)
+    return out(drift.sigma_clip(checkpointed(feature_pipeline(bars(s, d)).select("ticker", "date", *H)), H), digits=4)
 
 
-@register("h2_drift_baseline", f"WITH {_BASE} SELECT feature, bin, {rnd('mean')} AS mean, {rnd('std')} AS std, CAST(e AS BIGINT) AS expected FROM full_grid JOIN st USING (feature)")
+@register("h2_drift_baseline", f"WITH RECURSIVE {_BASE} SELECT feature, bin, {rnd('mean', 4)} AS mean, {rnd('std', 4)} AS std, CAST(e AS BIGINT) AS expected FROM full_grid JOIN st USING (feature)")
 def q_h2(s: SparkSession, d: str) -> DataFrame:
     base = drift.drift_baseline(_halves(s, d)[0], H)
-    return out(base.select("feature", "mean", "std", F.posexplode("counts").alias("bin", "expected")).withColumn("bin", F.col("bin") + 1))
+    return out(base.select("feature", "mean", "std", F.posexplode("counts").alias("bin", "expected")).withColumn("bin", F.col("bin") + 1), digits=4)
 
 
-@register("h3_psi", f"WITH {_CUR} SELECT feature, {rnd('psi')} AS psi FROM ps")
+@register("h3_psi", f"WITH RECURSIVE {_CUR} SELECT feature, {rnd('psi')} AS psi FROM ps")
 def q_h3(s: SparkSession, d: str) -> DataFrame:
     before, after = _halves(s, d)
     rows = after.orderBy(F.desc("date"), F.desc("ticker")).limit(800)
     return out(drift.psi(drift.long(drift.sigma_clip(rows, H), H, []), checkpointed(drift.drift_baseline(before, H))))
 
 
-@register("h4_time_weighted_mean", f"WITH {_CUR} SELECT feature, {rnd('tw_mean', 5)} AS tw_mean, n FROM tw")
+@register("h4_time_weighted_mean", f"WITH RECURSIVE {_CUR} SELECT feature, {rnd('tw_mean', 4)} AS tw_mean, n FROM tw")
 def q_h4(s: SparkSession, d: str) -> DataFrame:
     rows = _halves(s, d)[1].orderBy(F.desc("date"), F.desc("ticker")).limit(800)
     long = drift.long(drift.sigma_clip(rows, H), H, ["ticker", "date"])
-    return out(drift.time_weighted_mean(long, ["date", "ticker"]), "feature", "tw_mean", "n", digits=5)
+    return out(drift.time_weighted_mean(long, ["date", "ticker"]), "feature", "tw_mean", "n", digits=4)
 
 
-@register("h5_drift_report", f"WITH {_CUR} SELECT feature, {nums(['z', 'variance_ratio', 'psi'], 5)}, drift FROM rep WHERE cnt >= 25")
+@register("h5_drift_report", f"WITH RECURSIVE {_CUR} SELECT feature, {nums(['z', 'variance_ratio', 'psi'], 5)}, drift FROM rep WHERE cnt >= 25")
 def q_h5(s: SparkSession, d: str) -> DataFrame:
     before, after = _halves(s, d)
     return out(drift.drift_report(after, checkpointed(drift.drift_baseline(before, H)), H), digits=5)
 
 
-@register("h6_drift_state", f"WITH {_CUR}, {_state('', 'rep', 25)} SELECT severity, drift_detected, {rnd('coverage')} AS coverage, drift_state, {rnd('least(1.0, severity / 15)')} AS confidence, CAST(exposure_scale AS DOUBLE) AS exposure_scale FROM state")
+@register("h6_drift_state", f"WITH RECURSIVE {_CUR}, {_state('', 'rep', 25)} SELECT severity, drift_detected, {rnd('coverage')} AS coverage, drift_state, {rnd('least(1.0, severity / 15)')} AS confidence, CAST(exposure_scale AS DOUBLE) AS exposure_scale FROM state")
 def q_h6(s: SparkSession, d: str) -> DataFrame:
     before, after = _halves(s, d)
     return out(drift.drift_state(drift.drift_report(after, checkpointed(drift.drift_baseline(before, H)), H), len(H)))
 
 
-@register("h7_drift_history", f"WITH {_HIST}, {_state('date, ', 'rep', 10)} SELECT date, severity, drift_detected, {rnd('coverage')} AS coverage, drift_state, {rnd('least(1.0, severity / 15)')} AS confidence, CAST(exposure_scale AS DOUBLE) AS exposure_scale FROM state")
+@register("h7_drift_history", f"WITH RECURSIVE {_HIST}, {_state('date, ', 'rep', 10)} SELECT date, severity, drift_detected, {rnd('coverage')} AS coverage, drift_state, {rnd('least(1.0, severity / 15)')} AS confidence, CAST(exposure_scale AS DOUBLE) AS exposure_scale FROM state")
 def q_h7(s: SparkSession, d: str) -> DataFrame:
     before, after = _halves(s, d)
     return out(drift.drift_history(after, checkpointed(drift.drift_baseline(before, H)), H, ["date"], least=10))
 
 
-@register("h8_retrain_decisions")
+_DECIDED = """WITH RECURSIVE hours AS (SELECT event_type AS key, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS t, CAST(count(*) % 16 AS INT) AS severity FROM events GROUP BY ALL),
+ev AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t) AS i FROM hours),
+dc AS (SELECT key, t, severity, i, CASE WHEN severity < 6 THEN 'none' WHEN severity < 8 THEN 'logged' ELSE 'triggered' END AS decision, CASE WHEN severity >= 8 THEN t END AS last FROM ev WHERE i = 1 UNION ALL
+  SELECT n.key, n.t, n.severity, n.i, CASE WHEN n.severity < 6 THEN 'none' WHEN n.severity < 8 THEN 'logged' WHEN coalesce(n.t - e.last < 10800, false) THEN 'suppressed' ELSE 'triggered' END,
+    CASE WHEN n.severity >= 8 AND NOT coalesce(n.t - e.last < 10800, false) THEN n.t ELSE e.last END FROM dc e JOIN ev n ON n.key = e.key AND n.i = e.i + 1)
+SELECT key, t, severity, decision, severity >= 10 AS retrain_required FROM dc"""
+
+
+def _severities(s: SparkSession, d: str) -> DataFrame:
+    hourly = table(s, d, "events").groupBy(F.date_trunc("hour", "ts").alias("h"), F.col("event_type").alias("key")).agg((F.count("*") % 16).cast("int").alias("severity"))
+    return hourly.select("key", F.unix_timestamp("h").alias("t"), "severity")
+
+
+def _streamed(s: SparkSession, rows: DataFrame, early: Column, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``job`` makes of ``rows`` as a stream of two files, ``early`` ones first."""
+    root = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    rows = checkpointed(rows)
+    for part in (rows.where(early), rows.where(~early)):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    source = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    job(source).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{root}/out")
+
+
+@register("h8_retrain_decisions", _DECIDED)
 def q_h8(s: SparkSession, d: str) -> DataFrame:
-    hourly = table(s, d, "events").groupBy(F.date_trunc("hour", "ts").alias("h"), F.col("event_type").alias("key")).agg((F.count("*") % 16).alias("severity"))
-    return drift.retrain_decisions(hourly.withColumn("t", F.unix_timestamp("h")), 3 * 3600)
+    return jobs.retrain_decisions(_severities(s, d), 3 * 3600)
+
+
+@register("h8_stream_decisions", _DECIDED)
+def q_h8s(s: SparkSession, d: str) -> DataFrame:
+    rows = _severities(s, d)
+    middle = rows.agg(((F.min("t") + F.max("t")) / 2).cast("long")).first()[0] or 0
+    return _streamed(s, rows, F.col("t") < middle, lambda stream: jobs.stream_retrain_decisions(stream, 3 * 3600))
 
 
 # Models
 
 
+def _training(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The model columns of all bars, and those with a target before 2000."""
+    panel = checkpointed(feature_pipeline(bars(s, d)).drop("close"))
+    rows = cs_target(bars(s, d)).select("ticker", "date", "target").join(panel, ["ticker", "date"])
+    return panel, rows.where("date < '2000-01-01'")
+
+
 @register("i1_i2_fit_predict")
 def q_i1(s: SparkSession, d: str) -> DataFrame:
-    panel = feature_pipeline(bars(s, d)).drop("close")
-    panel = checkpointed(panel)
-    rows = cs_target(bars(s, d)).select("ticker", "date", "target").join(panel, ["ticker", "date"])
-    some = MODEL_FEATURES[:12]
-    fitted = model.fit_model(rows.where("date < '2000-01-01'"), some, trees=5)
-    return out(model.predict(fitted, panel.where("date >= '2000-01-01'"), some), "ticker", "date", "score")
+    panel, train = _training(s, d)
+    fitted = model.fit_model(train, MODEL_FEATURES)
+    return out(model.predict(fitted, panel.where("date >= '2000-01-01'"), MODEL_FEATURES), "ticker", "date", "score")
 
 
 @register("i2_predict_column", f"WITH {O.FEATURES}, c AS (SELECT ticker, date, greatest(-50, least(50, momentum_20 - volatility)) AS s FROM feat WHERE momentum_20 IS NOT NULL) SELECT ticker, date, {rnd('CASE WHEN stddev_pop(s) OVER d > 1e-6 THEN (s - avg(s) OVER d) / (stddev_pop(s) OVER d + 1e-12) ELSE s END')} AS score FROM c WINDOW d AS (PARTITION BY date)")
@@ -144,9 +178,7 @@ def q_i2(s: SparkSession, d: str) -> DataFrame:
 
 @register("i3_importance")
 def q_i3(s: SparkSession, d: str) -> DataFrame:
-    some = ["momentum_20", "volatility", "amihud", "volume_momentum"]
-    rows = cs_target(window_features(bars(s, d))).dropna(subset=some)
-    return model.feature_importance(model.fit_model(rows, some, trees=3), some, s)
+    return model.feature_importance(model.fit_model(_training(s, d)[1], MODEL_FEATURES), MODEL_FEATURES, s)
 
 
 # Scoring
@@ -162,17 +194,17 @@ sa1 AS (SELECT *, abs(sc) AS a, least(1, abs(sc) / 2) * (CASE WHEN volatility <=
   CASE WHEN regime_feature > 1.5 THEN 'high_volatility' WHEN regime_feature < -0.5 THEN 'low_volatility' ELSE 'normal' END AS sa_volatility_regime,
   CASE WHEN regime_feature > 1.5 THEN 'elevated' WHEN abs(sc) < 0.5 THEN 'high' WHEN abs(sc) < 1 THEN 'moderate' ELSE 'low' END AS sa_risk,
   CASE WHEN political_label = 'CRITICAL' THEN 'NEUTRAL' ELSE signal END AS sa_signal,
-  list_filter([CASE WHEN score_std < 0.05 THEN 'Low cross-sectional dispersion' END, CASE WHEN signal = 'LONG' AND momentum_20_z < -0.5 THEN 'Momentum contradicts LONG signal' END,
-    CASE WHEN signal = 'SHORT' AND momentum_20_z > 0.5 THEN 'Momentum contradicts SHORT signal' END, CASE WHEN drift_state IN ('soft', 'hard') THEN 'Drift detected: ' || drift_state END,
-    CASE WHEN political_label = 'CRITICAL' THEN 'Political risk CRITICAL: no trades' END], lambda x: x IS NOT NULL) AS sa_warnings FROM sa0),
+  list_filter([CASE WHEN score_std < 0.05 THEN 'narrow_dispersion' END, CASE WHEN signal = 'LONG' AND momentum_20_z < -0.5 THEN 'momentum_against_long' END,
+    CASE WHEN signal = 'SHORT' AND momentum_20_z > 0.5 THEN 'momentum_against_short' END, CASE WHEN drift_state IN ('soft', 'hard') THEN 'drift' END,
+    CASE WHEN political_label = 'CRITICAL' THEN 'political_block' END], lambda x: x IS NOT NULL) AS sa_warnings FROM sa0),
 sa2 AS (SELECT *, least(1, greatest(0, 0.5 * sa_confidence + 0.3 * sa_alignment / 2 + CASE WHEN drift_state IN ('soft', 'hard') THEN 0 ELSE 0.2 END)) AS sa_score,
   sa_signal <> 'NEUTRAL' AND sa_confidence > CASE WHEN sa_volatility_regime = 'low_volatility' THEN 0.2 ELSE 0.3 END AND drift_state NOT IN ('soft', 'hard') AND political_label <> 'CRITICAL' AS sa_approved,
   least(1, greatest(0, sa_confidence * CASE sa_risk WHEN 'elevated' THEN 0.7 WHEN 'high' THEN 0.8 ELSE 1 END * CASE sa_volatility_regime WHEN 'high_volatility' THEN 0.7 WHEN 'low_volatility' THEN 1.1 ELSE 1 END)) AS sa_position_size FROM sa1),
 ta0 AS (SELECT *, least(1, abs(momentum_20_z) / 3) AS strength, CASE WHEN dollar_volume < 5e5 THEN 0.5 ELSE 1 END * CASE drift_state WHEN 'soft' THEN 0.85 WHEN 'hard' THEN 0.7 ELSE 1 END * CASE WHEN regime_feature > 1.5 THEN 0.7 WHEN regime_feature < -0.5 THEN 1.1 ELSE 1 END AS gate FROM sa2),
 ta AS (SELECT *, least(1, greatest(0, (strength + 0 + 1) / 3 * gate)) AS ta_score, least(1, greatest(0, (CAST(strength > 0.5 AS INT) + 1) / 3 * gate)) AS ta_confidence,
   CASE WHEN momentum_20_z > 1 THEN 'bullish' WHEN momentum_20_z < -1 THEN 'bearish' ELSE 'neutral' END AS ta_bias,
-  list_filter([CASE WHEN abs(momentum_20_z) < 0.5 THEN 'Low momentum: no direction' END, CASE WHEN regime_feature > 1.5 THEN 'High volatility regime' END,
-    CASE WHEN dollar_volume < 5e5 THEN 'Low liquidity: volume=' || CAST(floor(dollar_volume + 0.00005) AS BIGINT) END, CASE drift_state WHEN 'soft' THEN 'Soft drift: signal quality reduced' WHEN 'hard' THEN 'Hard drift: signal quality heavily reduced' END], lambda x: x IS NOT NULL) AS ta_warnings FROM ta0),
+  list_filter([CASE WHEN abs(momentum_20_z) < 0.5 THEN 'weak_momentum' END, CASE WHEN regime_feature > 1.5 THEN 'high_volatility' END,
+    CASE WHEN dollar_volume < 5e5 THEN 'low_liquidity' END, CASE drift_state WHEN 'soft' THEN 'soft_drift' WHEN 'hard' THEN 'hard_drift' END], lambda x: x IS NOT NULL) AS ta_warnings FROM ta0),
 hy0 AS (SELECT *, greatest(-1, least(1, 0.5 * score + 0.3 * sa_score + 0.2 * ta_score)) AS mixed FROM ta),
 hy1 AS (SELECT *, CASE political_label WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN mixed * 0.5 ELSE mixed END AS h FROM hy0),
 sig AS (SELECT *, round(h, 6) AS hybrid, round(greatest(-1, least(1, h * exposure_scale)), 6) AS weight FROM hy1)"""
@@ -227,13 +259,20 @@ def q_j6(s: SparkSession, d: str) -> DataFrame:
 
 @register(
     "j7_rationale",
-    f"""WITH {_PANEL} SELECT date, ticker, array_to_string(list_filter([CASE WHEN sa_score > 0.3 AND sa_risk <> 'high' THEN 'SignalAgent' END, CASE WHEN ta_score > 0.3 THEN 'TechnicalRiskAgent' END,
-  CASE WHEN political_label NOT IN ('HIGH', 'CRITICAL') THEN 'PoliticalRiskAgent' END], lambda x: x IS NOT NULL), ',') AS approved,
-  3 - (CAST(sa_score > 0.3 AND sa_risk <> 'high' AS INT) + CAST(ta_score > 0.3 AS INT) + CAST(political_label NOT IN ('HIGH', 'CRITICAL') AS INT)) AS n_flagged FROM sig QUALIFY row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) <= 5""",
+    f"""WITH {_PANEL}, tk AS (SELECT *, CAST(row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS INT) AS rank, sa_score > 0.3 AND sa_risk <> 'high' AS ok_s, ta_score > 0.3 AS ok_t, political_label NOT IN ('HIGH', 'CRITICAL') AS ok_p,
+  list_sort(list_distinct(list_concat(sa_warnings, ta_warnings))) AS wn FROM sig QUALIFY rank <= 5)
+SELECT date, ticker, rank, array_to_string(list_filter([CASE WHEN ok_s THEN 'signal' END, CASE WHEN ok_t THEN 'technical' END, CASE WHEN ok_p THEN 'political' END], lambda x: x IS NOT NULL), ',') AS approved,
+  array_to_string(list_filter([CASE WHEN NOT ok_s THEN 'signal' END, CASE WHEN NOT ok_t THEN 'technical' END, CASE WHEN NOT ok_p THEN 'political' END], lambda x: x IS NOT NULL), ',') AS flagged,
+  array_to_string(wn, ',') AS warnings, array_to_string(wn[1:3], ',') AS first_warnings, CASE WHEN weight > 0.01 THEN 'LONG' WHEN weight < -0.01 THEN 'SHORT' ELSE 'NEUTRAL' END AS direction,
+  sa_risk AS risk, ta_bias AS bias, CASE WHEN regime_feature > 1.5 THEN 'high_volatility' WHEN regime_feature < -0.5 THEN 'low_volatility' ELSE 'normal' END AS volatility, drift_state AS drift, political_label AS political,
+  {rnd('weight', 4)} AS weight, {rnd('hybrid', 4)} AS hybrid FROM tk""",
 )
 def q_j7(s: SparkSession, d: str) -> DataFrame:
     df = scoring.rationale(scoring.top_k(agents(panel(s, d))))
-    return df.select("date", "ticker", F.array_join("approved", ",").alias("approved"), F.size("flagged").alias("n_flagged"))
+    told = F.from_json("selection", "rank int, hybrid double, direction string, risk string, bias string, volatility string, drift string, political string, weight double, warnings array<string>")
+    df = df.select("date", "ticker", told.alias("t"), *[F.array_join(c, ",").alias(c) for c in ("approved", "flagged", "warnings")])
+    same = ["rank", "direction", "risk", "bias", "volatility", "drift", "political"]
+    return out(df.select("date", "ticker", "approved", "flagged", "warnings", F.array_join("t.warnings", ",").alias("first_warnings"), *[f"t.{c}" for c in same], "t.hybrid", "t.weight"), digits=4)
 
 
 _SEL = """sel AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY hybrid DESC, ticker) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY date, sector ORDER BY hybrid DESC, ticker) AS k FROM sig) WHERE k <= 2 QUALIFY rk <= 5)"""
@@ -249,7 +288,7 @@ def q_j8(s: SparkSession, d: str) -> DataFrame:
     f"""WITH {_PANEL}, {_EXPO}, {_SEL}, sec AS (SELECT date, sector, string_agg(ticker, '+' ORDER BY ticker) AS names FROM sel GROUP BY ALL), secs AS (SELECT date, string_agg(sector || ':' || names, ',' ORDER BY sector) AS sectors FROM sec GROUP BY date),
 rk AS (SELECT date, string_agg(sa_risk || ':' || n, ',' ORDER BY sa_risk) AS risks FROM (SELECT date, sa_risk, count(*) AS n FROM sel GROUP BY ALL) GROUP BY date),
 f AS (SELECT date, avg(sa_confidence) AS c, stddev_pop(sa_confidence) AS cd, stddev_pop(hybrid) AS hd, max(abs(weight)) AS w, count(*) FILTER (sa_signal = 'LONG') AS long_positions, count(*) FILTER (sa_signal = 'SHORT') AS short_positions,
-  count(*) FILTER (len(list_filter(list_concat(sa_warnings, ta_warnings), lambda x: contains(lower(x), 'liquidity'))) > 0) AS liquidity_warnings FROM sel GROUP BY date)
+  count(*) FILTER (list_contains(ta_warnings, 'low_liquidity')) AS liquidity_warnings FROM sel GROUP BY date)
 SELECT f.date, {rnd('c', 4)} AS average_confidence, {rnd('cd', 4)} AS confidence_dispersion, {rnd('hd', 4)} AS hybrid_dispersion, CASE WHEN net > 0.05 THEN 'long_bias' WHEN net < -0.05 THEN 'short_bias' ELSE 'market_neutral' END AS bias,
   CASE WHEN w > 0.18 THEN 'high' WHEN w > 0.12 THEN 'moderate' ELSE 'low' END AS concentration, liquidity_warnings, long_positions, short_positions,
   CASE WHEN severity > 7 THEN 'high' WHEN severity > 3 THEN 'moderate' ELSE 'low' END AS drift_risk, risks, sectors FROM f JOIN ex ON ex.date = f.date JOIN rk ON rk.date = f.date JOIN secs ON secs.date = f.date""",
@@ -274,6 +313,7 @@ def q_j10(s: SparkSession, d: str) -> DataFrame:
 
 _LEX = {"high": ["sch", "tion"], "medium": ["der", "que"], "low": ["the", "en"]}
 _RISK = "least(1.0, " + " + ".join(f"CASE WHEN contains(lower(title), '{w}') THEN CAST({v} AS DOUBLE) ELSE 0 END" for k, v in (("high", 0.4), ("medium", 0.2), ("low", 0.1)) for w in _LEX[k]) + ")"
+_WHOLE = f"hd AS (SELECT doc_id, text AS title FROM documents), hs AS (SELECT *, {_RISK} AS risk FROM hd)"
 _HEAD = f"hd AS (SELECT doc_id, lang, source, substring(trim(text), 1, 200) AS title FROM documents), hs AS (SELECT *, {_RISK} AS risk FROM hd)"
 
 
@@ -281,26 +321,21 @@ def headlines(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", "lang", "source", F.col("text").alias("title"))
 
 
-@register("j11_headline_score", f"WITH {_HEAD} SELECT doc_id, {rnd('risk')} AS risk FROM hs")
+@register("j11_headline_score_whole", f"WITH {_WHOLE} SELECT doc_id, {rnd('risk')} AS risk FROM hs")
+@register("j11_headline_score", f"WITH {_WHOLE} SELECT doc_id, {rnd('risk')} AS risk FROM hs")
 def q_j11(s: SparkSession, d: str) -> DataFrame:
-    return out(scoring.headline_score(headlines(s, d).withColumn("title", F.substring(F.trim("title"), 1, 200)), _LEX), "doc_id", "risk")
-
-
-@register("j11_headline_score_whole")
-def q_j11_whole(s: SparkSession, d: str) -> DataFrame:
-    """The operator as it is, without the cut to 200 characters that ``j11_headline_score`` shares with its oracle."""
     return out(scoring.headline_score(headlines(s, d), _LEX), "doc_id", "risk")
 
 
 @register(
     "j12_political_risk",
     f"""WITH {_HEAD}, r AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY risk DESC, doc_id) AS b, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS e FROM hs WHERE length(title) > 0),
-g AS (SELECT lang, source, least(1, 0.6 * max(risk) FILTER (b <= 5) + 0.4 * avg(risk) FILTER (b <= 5)) AS s, count(*) FILTER (e <= 5) AS n_events FROM r GROUP BY ALL)
-SELECT lang, source, {rnd('s')} AS score, CASE WHEN s >= 0.75 THEN 'CRITICAL' WHEN s >= 0.5 THEN 'HIGH' WHEN s >= 0.25 THEN 'MEDIUM' ELSE 'LOW' END AS label, n_events FROM g""",
+g AS (SELECT lang, source, least(1, 0.6 * max(risk) FILTER (b <= 5) + 0.4 * avg(risk) FILTER (b <= 5)) AS s, count(*) FILTER (e <= 5) AS n_events, string_agg(title, '|' ORDER BY e) FILTER (e <= 5) AS events FROM r GROUP BY ALL)
+SELECT lang, source, events, {rnd('s')} AS score, CASE WHEN s >= 0.75 THEN 'CRITICAL' WHEN s >= 0.5 THEN 'HIGH' WHEN s >= 0.25 THEN 'MEDIUM' ELSE 'LOW' END AS label, n_events FROM g""",
 )
 def q_j12(s: SparkSession, d: str) -> DataFrame:
     df = scoring.political_risk(headlines(s, d), _LEX, ["lang", "source"], ["doc_id"])
-    return out(df.withColumn("n_events", F.size("events").cast("long")).drop("events"))
+    return out(df.withColumns({"n_events": F.size("events").cast("long"), "events": F.array_join("events", "|")}))
 
 
 _PRIO = ["src3", "src0", "src7"]
@@ -335,13 +370,31 @@ def q_j14(s: SparkSession, d: str) -> DataFrame:
     return out(signals.join(exposure.select("date", "longs", "shorts", "bias"), "date"), "date", "ticker", "hybrid", "weight", "longs", "shorts", "bias")
 
 
-@register("a11_snapshot_documents", f"WITH {_PANEL}, {_EXPO} SELECT s.date, count(*) AS n_signals, any_value(bias) AS bias FROM sig s JOIN ex ON ex.date = s.date GROUP BY s.date")
+@register(
+    "a11_snapshot_documents",
+    f"""WITH {_PANEL}, {_EXPO}, rk AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS k FROM sig)
+SELECT s.date, count(*) AS n_signals, any_value(bias) AS bias, {rnd('any_value(gross)', 4)} AS gross, {rnd('any_value(net)', 4)} AS net, any_value(longs) AS longs, any_value(shorts) AS shorts,
+  any_value(s.drift_state) AS drift_state, any_value(s.severity) AS severity, string_agg(ticker, ',' ORDER BY k) FILTER (k <= 5) AS top_5, string_agg(ticker, ',' ORDER BY k) AS tickers, {rnd('sum(weight)', 4)} AS weight, 'm20' AS model_version
+FROM rk s JOIN ex ON ex.date = s.date GROUP BY s.date""",
+)
 def q_a11(s: SparkSession, d: str) -> DataFrame:
+    """Snapshots written, a file a date, and read again."""
     rows = panel(s, d)
     signals = agents(rows)
     state = rows.groupBy("date").agg(F.first("severity").alias("severity"), F.first("drift_state").alias("drift_state"), F.first("exposure_scale").alias("exposure_scale"))
     docs = feeds.snapshot_documents(signals, scoring.exposure_summary(signals).join(state, "date"))
-    return docs.select("date", F.col("n_signals").cast("long").alias("n_signals"), F.get_json_object("document", "$.executive_summary.portfolio_bias").alias("bias"))
+    path = f"{shared_folder(s)}/snapshots-{uuid.uuid4().hex}"
+    feeds.write_snapshot(docs.repartition("date"), path)
+    schema = """meta struct<model_version:string,drift_state:string,long_signals:long,short_signals:long>, executive_summary struct<top_5_tickers:array<string>,portfolio_bias:string,gross_exposure:double,net_exposure:double>,
+      snapshot struct<snapshot_date:date,drift:struct<drift_state:string,severity_score:int>,signals:array<struct<ticker:string,weight:double>>>"""
+    told = feeds.read_snapshots(s, path).select("date", F.from_json("document", schema).alias("j")).where("date = j.snapshot.snapshot_date")
+    total = F.aggregate("j.snapshot.signals", F.lit(0.0), lambda x, e: x + e["weight"])
+    return out(told.select(
+        "date", F.size("j.snapshot.signals").cast("long").alias("n_signals"), F.col("j.executive_summary.portfolio_bias").alias("bias"), F.col("j.executive_summary.gross_exposure").alias("gross"),
+        F.col("j.executive_summary.net_exposure").alias("net"), F.col("j.meta.long_signals").alias("longs"), F.col("j.meta.short_signals").alias("shorts"), F.col("j.snapshot.drift.drift_state").alias("drift_state"),
+        F.col("j.snapshot.drift.severity_score").alias("severity"), F.array_join("j.executive_summary.top_5_tickers", ",").alias("top_5"), F.array_join("j.snapshot.signals.ticker", ",").alias("tickers"),
+        total.alias("weight"), F.col("j.meta.model_version").alias("model_version"),
+    ), digits=4)
 
 
 # Walk-forward
@@ -544,8 +597,7 @@ def requests(s: SparkSession, d: str) -> DataFrame:
 
 @register("s1_stream_bars", f"WITH {O.RAW} SELECT ticker, date, {rnd('close')} AS close, {rnd('greatest(high, open, close)')} AS high, 'stream' AS source FROM raw WHERE close > 0")
 def q_s1(s: SparkSession, d: str) -> DataFrame:
-    shared = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
     from .queries import raw_feed
 
     rows = raw_feed(s, d).select("ticker", "date", "open", "high", "low", "close", "volume")
@@ -555,28 +607,70 @@ def q_s1(s: SparkSession, d: str) -> DataFrame:
     return out(s.read.parquet(f"{root}/bars"), "ticker", "date", "close", "high", "source")
 
 
-@register("s2_snapshot_of_dates", f"WITH {_PANEL} SELECT date, ticker, {nums(['hybrid', 'weight'])} FROM sig WHERE year(date) = 2000")
+@register("s2_snapshot_of_dates", f"WITH {_PANEL} SELECT date, ticker, {nums(['hybrid', 'weight'])} FROM sig")
 def q_s2(s: SparkSession, d: str) -> DataFrame:
-    touched = bars(s, d).where("year(date) = 2000").select("date").distinct()
-    return out(agents(panel(s, d)).join(touched, "date", "left_semi"), "date", "ticker", "hybrid", "weight")
-
-
-_LE = ", ".join(f'count(*) FILTER (value / 100 <= {b}) AS "le_{b}"' for b in jobs.BUCKETS)
+    """Bars come as a stream of two files; each batch publishes the snapshot of the dates that it brings."""
+    root = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    rows = checkpointed(bars(s, d).select("ticker", "date"))
+    for part in (rows.where("date < '1999-01-01'"), rows.where("date >= '1999-01-01'")):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    scored = checkpointed(agents(panel(s, d)).select("date", "ticker", "hybrid", "weight"))
+    source = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    jobs.stream_snapshot(
+        source, lambda dates: scored.join(dates, "date", "left_semi"), lambda rows: rows.write.mode("append").parquet(f"{root}/out"), f"{root}/state"
+    ).awaitTermination()
+    return out(s.read.parquet(f"{root}/out"), "date", "ticker", "hybrid", "weight")
+
+
+_BOUNDS = [0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0]  # by hand, not the operator's
+_LE = ", ".join(f'count(*) FILTER (value / 100 <= {b}) AS "le_{b}"' for b in _BOUNDS)
+_P95 = "CASE " + " ".join(
+    f'WHEN "le_{hi}" >= 0.95 * requests THEN {lo} + ({hi} - {lo}) * coalesce((0.95 * requests - {below}) / nullif("le_{hi}" - {below}, 0), 0)'
+    for lo, hi, below in zip([0.0, *_BOUNDS], _BOUNDS, ["0", *(f'"le_{b}"' for b in _BOUNDS)])
+) + " ELSE 10.0 END"
 
 
 @register(
     "s3_request_metrics",
     f"""WITH w AS (SELECT date_trunc('minute', ts) - to_minutes(CAST(i AS INT)) AS s, event_type AS endpoint, value FROM events, (SELECT unnest(range(0, 5)) AS i)),
 g AS (SELECT s AS window_start, s + INTERVAL 5 MINUTE AS window_end, endpoint, count(*) AS requests, count(*) FILTER (endpoint = 'error') AS errors, {_LE} FROM w GROUP BY ALL)
-SELECT window_start, window_end, endpoint, requests, errors, {rnd('errors / requests * 100')} AS error_percent, {rnd('requests / 300')} AS rate, {', '.join(f'"le_{b}"' for b in jobs.BUCKETS)} FROM g""",
+SELECT window_start, window_end, endpoint, requests, errors, {rnd('errors / requests * 100')} AS error_percent, {rnd('requests / 300')} AS rate, {', '.join(f'"le_{b}"' for b in _BOUNDS)}, {rnd(_P95, 5)} AS p95 FROM g""",
 )
 def q_s3(s: SparkSession, d: str) -> DataFrame:
-    return out(jobs.request_metrics(requests(s, d)).drop("p95"))
+    return out(jobs.request_metrics(requests(s, d)).withColumn("p95", F.round("p95", 5)))
+
+
+_USED = """WITH RECURSIVE us AS MATERIALIZED (SELECT user_id || '|' || event_type AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS i FROM events),
+ct AS (SELECT key, t, i, t AS start, 1 AS used FROM us WHERE i = 1 UNION ALL
+  SELECT n.key, n.t, n.i, CASE WHEN n.t >= e.start + 604800 THEN n.t ELSE e.start END, CASE WHEN n.t >= e.start + 604800 THEN 1 ELSE e.used + 1 END FROM ct e JOIN us n ON n.key = e.key AND n.i = e.i + 1)"""
+_USED_ROWS = f"{_USED} SELECT key, {rnd('t', 3)} AS t, CAST(used AS INT) AS used, CAST(greatest(0, 3 - used) AS INT) AS remaining, used >= 3 AS locked, {rnd('start + 604800 - t', 3)} AS reset_in FROM ct"
 
 
-@register("s4_anchored_usage")
+@register("s4_anchored_usage", _USED_ROWS)
 def q_s4(s: SparkSession, d: str) -> DataFrame:
-    return jobs.anchored_usage(requests(s, d), ["client", "endpoint"], 7 * 86400.0, 3)
+    return out(jobs.anchored_usage(requests(s, d), ["client", "endpoint"], 7 * 86400.0, 3), digits=3)
+
+
+@register("s4_stream_usage", _USED_ROWS)
+def q_s4s(s: SparkSession, d: str) -> DataFrame:
+    rows = requests(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    middle = rows.agg(F.timestamp_micros(((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2).cast("long"))).first()[0]
+    return out(_streamed(s, rows, F.col("ts") < F.lit(middle), lambda stream: jobs.stream_anchored_usage(stream, ["client", "endpoint"], 7 * 86400.0, 3)), digits=3)
+
+
+@register(
+    "s4_locked_clients",
+    f"""{_USED}, now AS (SELECT max(epoch_us(ts)) / 1e6 AS a FROM events), ls AS (SELECT * FROM ct, now WHERE key LIKE '%|click' OR key LIKE '%|view' QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1),
+lk AS (SELECT split_part(key, '|', 1) AS client, split_part(key, '|', 2) AS f, used FROM ls WHERE start + 604800 > a),
+g AS (SELECT client, string_agg(f || ':' || used, ',' ORDER BY f) AS used, coalesce(string_agg(f, ',' ORDER BY f) FILTER (used >= 3), '') AS locked, count(*) FILTER (used >= 3) = 2 AS fully_locked FROM lk GROUP BY client)
+SELECT c.client, coalesce(used, '') AS used, coalesce(locked, '') AS locked, coalesce(fully_locked, false) AS fully_locked FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS client FROM events) c LEFT JOIN g USING (client)""",
+)
+def q_s4l(s: SparkSession, d: str) -> DataFrame:
+    rows = requests(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    now = rows.agg(F.max(F.unix_micros("ts"))).first()[0] or 0
+    df = jobs.locked_clients(rows, ["click", "view"], 7 * 86400.0, 3, now / 1e6)
+    used = F.array_join(F.transform(F.map_entries("used"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return df.select("client", F.coalesce(used, F.lit("")).alias("used"), F.array_join("locked", ",").alias("locked"), "fully_locked")
 
 
 @register(

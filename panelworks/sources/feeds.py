@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import clean_num
+from ..functions.lineage import checkpointed
 from ..operators.quality import sanitize_ticker
 
 BARS = T.StructType([
@@ -14,7 +18,7 @@ BARS = T.StructType([
     T.StructField("low", T.DoubleType()), T.StructField("close", T.DoubleType()), T.StructField("volume", T.DoubleType()), T.StructField("source", T.StringType()),
 ])
 
-#: Provider column names (lower case, blanks as underscores) that mean a canonical one.
+#: Provider column names (lower case, blanks as underscores) that mean a canonical one.
 NAMES = {"adj_close": "close", "adjclose": "close", "adjusted_close": "close", "o": "open", "h": "high", "l": "low", "c": "close", "v": "volume", "vol": "volume", "timestamp": "date", "datetime": "date", "symbol": "ticker"}
 
 
@@ -62,20 +66,47 @@ def to_store(df: DataFrame, features: list[str], version: str) -> DataFrame:
 
 def write_features(df: DataFrame, features: list[str], version: str, path: str) -> None:
     """Append the features that the store at ``path`` lacks, partitioned by version."""
-    spark = df.sparkSession
     rows = to_store(df, features, version)
-    have = read_store(spark, path)
+    have = read_store(df.sparkSession, path)
     if have is not None:
         rows = new_rows(rows, have.where(F.col("feature_version") == version), ["ticker", "date", "feature_version"], [F.lit(0)])
     rows.write.mode("append").partitionBy("feature_version").parquet(path)
 
 
+def table_at(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The parquet table at ``path``, None if there is none yet."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame | None:
-    """The store at ``path``, None if there is none yet."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    return spark.read.schema("ticker string, date date, features map<string,double>, feature_version string").parquet(path)
+    """The feature store at ``path``, None if there is none yet."""
+    return table_at(spark, path, "ticker string, date date, features map<string,double>, feature_version string")
+
+
+def stored_or_computed(bars: DataFrame, path: str, version: str, features: list[str], compute: Callable[[DataFrame], DataFrame], days: int = 380) -> DataFrame:
+    """Features of all bars from the store at ``path``; what it lacks is computed and stored first.
+
+    ``compute`` maps bars to rows (ticker, date, features). It sees the bars of
+    all tickers from ``days`` before the first missing date on, as cross-sections
+    need all of a date, and only missing keys are appended.
+    """
+    spark = bars.sparkSession
+    store = read_store(spark, path)
+    if store is None:
+        write_features(compute(bars), features, version, path)
+    else:
+        gone = checkpointed(missing_keys(bars, store, version))
+        first = gone.agg(F.min("date")).first()[0]
+        if first is not None:
+            recent = bars.where(F.col("date") >= F.date_sub(F.lit(first), days))
+            fresh = compute(recent).join(gone, ["ticker", "date"], "left_semi")
+            write_features(fresh, features, version, path)
+    return read_features(read_store(spark, path), features, version)
 
 
 def read_features(store: DataFrame, features: list[str], version: str, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -152,6 +183,11 @@ def normalize_json_feed(df: DataFrame, payload: str = "payload", start: str | No
     return rows
 
 
+def read_universe_file(spark: SparkSession, path: str, **limits) -> DataFrame:
+    """:func:`read_universe` of a JSON document at ``path``, which may span lines."""
+    return read_universe(spark.read.option("multiLine", True).json(path), **limits)
+
+
 def read_universe(documents: DataFrame, most: int = 150, final: int = 120) -> DataFrame:
     """(ticker) of a universe document (version, created_utc, description, min_history_days, tickers): clean, distinct, sorted.
 
@@ -191,6 +227,11 @@ def write_snapshot(documents: DataFrame, path: str) -> None:
     documents.select("date", "document").write.mode("append").partitionBy("date").text(path)
 
 
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """(date, document) of the snapshots at ``path``; a filter on the date prunes folders."""
+    return spark.read.schema("document string, date date").text(path).select("date", "document")
+
+
 def pick_provider(feeds: dict[str, DataFrame], priority: list[str], gate: Column) -> DataFrame:
     """Rows of the first provider, in priority order, whose feed of the ticker passes ``gate``.
 

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from ..functions.expr import clean_num
+from ..functions.lineage import small
 from ..operators.drift import decide
 from ..operators.quality import normalize_dates, sanitize_ticker
-from ..sources.feeds import append_bars
+from ..sources.feeds import append_bars, table_at
 
-BUCKETS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+#: Upper bounds of the latency buckets in seconds.
+BUCKETS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0)
 
 
 def clean_stream(source: DataFrame, overlap: str = "3 days") -> DataFrame:
@@ -31,10 +34,7 @@ def stream_bars(source: DataFrame, target: str, checkpoint: str, overlap: str =
     """Append a stream of bars to the parquet table ``target``, inserting only absent (ticker, date)."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        from ..sources.feeds import read_store  # the existence check works on any file system
-
-        have = None if read_store(spark, target) is None else spark.read.parquet(target)
+        have = table_at(batch.sparkSession, target)
         rows = normalize_dates(batch.drop("bar_ts"), "close")
         rows = append_bars(rows, have if have is not None else rows.limit(0).select("ticker", "date"), "stream")
         rows.write.mode("append").parquet(target)
@@ -47,8 +47,7 @@ def stream_snapshot(source: DataFrame, snapshot: Callable[[DataFrame], DataFrame
     """For each batch of new bars, recompute and publish the snapshot of the dates that it touches."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        touched = batch.select("date").distinct()
-        publish(snapshot(touched))
+        publish(snapshot(batch.select("date").distinct()))
 
     out = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
@@ -94,7 +93,7 @@ def prefix_lookup(events: DataFrame, rules: DataFrame, exempt: list[str] | None
     free = F.lit(False)
     for e in exempt or []:
         free = free | (p == e) | F.startswith(p, F.lit(e + "/")) | F.startswith(p, F.lit(e + "?"))
-    found = paths.where(~free).join(F.broadcast(rules), hit).groupBy(path).agg(F.min_by(F.struct("prefix", "value"), "order").alias("_r"))
+    found = paths.where(~free).join(small(rules, 10_000), hit).groupBy(path).agg(F.min_by(F.struct("prefix", "value"), "order").alias("_r"))
     return events.join(found, path, "left").select(*events.columns, F.col("_r.prefix").alias("rule"), F.col("_r.value").alias("rule_value"))
 
 
@@ -114,69 +113,108 @@ def count_anchored(times: list[float], ttl: float, limit: int, blocked_over: boo
 USAGE = "key string, t double, used int, remaining int, locked boolean, reset_in double"
 
 
+def in_order(rows: DataFrame, key: str, time: str, step: Callable[[str, pd.DataFrame, Any], tuple[pd.DataFrame, Any]], schema: str) -> DataFrame:
+    """``step(key, rows, state) -> (rows, state)`` along each key's rows in time order.
+
+    A key's rows lie in one task, sorted, and pass in Arrow batches; only the
+    state, which starts as None, stays between batches, so a key of any length fits.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = object(), None
+        for f in batches:
+            for k, g in f.groupby(key, sort=False, dropna=False):
+                if k != last and (k == k or last == last):  # a null key is not equal to itself
+                    last, state = k, None
+                out, state = step(k, g, state)
+                yield out
+
+    return rows.repartition(key).sortWithinPartitions(key, time).mapInPandas(run, schema)
+
+
+def _usage_rows(events: DataFrame, keys: list[str], time: str) -> DataFrame:
+    return events.select(F.concat_ws("|", *keys).alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("u"))
+
+
+def _usage(key: str, f: pd.DataFrame, state: tuple[float, int] | None, ttl: float, limit: int, blocked_over: bool) -> tuple[pd.DataFrame, tuple[float, int] | None]:
+    t = (f["u"] / 1e6).tolist()
+    got, state = count_anchored(t, ttl, limit, blocked_over, state)
+    out = pd.DataFrame(got, columns=["used", "remaining", "locked", "reset_in"])
+    return out.assign(key=key, t=t)[["key", "t", "used", "remaining", "locked", "reset_in"]], state
+
+
 def anchored_usage(events: DataFrame, keys: list[str], ttl: float, limit: int, blocked_over: bool = False, time: str = "ts") -> DataFrame:
     """The counter of every key after each of its events (batch twin); sequential per key."""
-    rows = events.select(F.concat_ws("|", *keys).alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("u"))
+    return in_order(_usage_rows(events, keys, time), "key", "u", lambda k, f, state: _usage(k, f, state, ttl, limit, blocked_over), USAGE)
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("u", kind="stable")
-        t = (f["u"] / 1e6).tolist()
-        got, _ = count_anchored(t, ttl, limit, blocked_over)
-        out = pd.DataFrame(got, columns=["used", "remaining", "locked", "reset_in"])
-        return out.assign(key=f["key"].iloc[0], t=t)[["key", "t", "used", "remaining", "locked", "reset_in"]]
 
-    return rows.groupBy("key").applyInPandas(run, USAGE)
+def locked_clients(events: DataFrame, features: list[str], ttl: float, limit: int, as_of: float, client: str = "client", feature: str = "endpoint", time: str = "ts") -> DataFrame:
+    """Per client at ``as_of`` (epoch seconds): used (feature -> count), locked (features, sorted) and fully_locked (all of ``features``).
 
+    A counter that has ended by then counts nothing; a feature is locked from ``limit`` uses on.
+    """
+    rows = events.where(F.col(feature).isin(features) & (F.unix_micros(F.col(time).cast("timestamp")) <= int(as_of * 1e6)))
+    usage = anchored_usage(rows, [client, feature], ttl, limit, time=time)
+    last = usage.groupBy("key").agg(F.max_by(F.struct("t", "used", "reset_in"), F.struct("t", "used")).alias("x"))
+    parts = F.split("key", "\\|")
+    live = last.where(F.col("x.t") + F.col("x.reset_in") > as_of).select(parts[0].alias(client), parts[1].alias(feature), F.col("x.used").alias("used"))
+    clients = events.select(F.col(client).cast("string").alias(client)).distinct()
+    each = live.groupBy(client).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(feature, "used")))).alias("used"),  # at most one entry a feature
+        F.array_sort(F.collect_list(F.when(F.col("used") >= limit, F.col(feature)))).alias("locked"),
+    )
+    none = F.array().cast("array<string>")
+    out = clients.join(each, client, "left").withColumn("locked", F.coalesce("locked", none))
+    return out.withColumn("fully_locked", F.size("locked") == len(set(features)))
 
-class _Usage(StatefulProcessor):
-    """State of one key: first event and count, dropped when the counter ends."""
 
-    def __init__(self, ttl: float, limit: int, blocked_over: bool):
-        self.ttl, self.limit, self.blocked_over = ttl, limit, blocked_over
+def _resume(state: GroupState) -> tuple | None:
+    return tuple(state.get) if state.exists else None
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("usage", T.StructType([T.StructField("start", T.DoubleType()), T.StructField("n", T.IntegerType())]), int(self.ttl * 1000))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(rows)).sort_values("u", kind="stable")
-        had = self.state.get() if self.state.exists() else None
-        t = (f["u"] / 1e6).tolist()
-        out, state = count_anchored(t, self.ttl, self.limit, self.blocked_over, tuple(had) if had else None)
-        self.state.update(state)
-        yield pd.DataFrame(out, columns=["used", "remaining", "locked", "reset_in"]).assign(key=key[0], t=t)[["key", "t", "used", "remaining", "locked", "reset_in"]]
+def stream_anchored_usage(events: DataFrame, keys: list[str], ttl: float, limit: int, blocked_over: bool = False, time: str = "ts", late: str = "1 hour") -> DataFrame:
+    """The counters of a stream of events; a key's state is dropped when the watermark, ``late`` behind, has passed its counter's end.
 
-    def close(self) -> None:
-        pass
+    Events of a key must come in time order from batch to batch; within a batch they are sorted.
+    """
 
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        f = pd.concat(list(batches)).sort_values("u", kind="stable")  # one key's events of one micro-batch
+        out, now = _usage(key[0], f, _resume(state), ttl, limit, blocked_over)
+        state.update(now)
+        state.setTimeoutTimestamp(max(int((now[0] + ttl) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield out
 
-def stream_anchored_usage(events: DataFrame, keys: list[str], ttl: float, limit: int, blocked_over: bool = False, time: str = "ts") -> DataFrame:
-    """The counters of a stream of events; state ends with the counter."""
-    rows = events.select(F.concat_ws("|", *keys).alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("u"))
-    return rows.groupBy("key").transformWithStateInPandas(_Usage(ttl, limit, blocked_over), USAGE, "Append", "ProcessingTime")
+    rows = events.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", late)
+    rows = rows.select(F.concat_ws("|", *keys).alias("key"), F.unix_micros("_at").alias("u"), "_at")
+    return rows.groupBy("key").applyInPandasWithState(run, USAGE, "start double, n int", "append", "EventTimeTimeout")
 
 
-class _Cooldown(StatefulProcessor):
-    """State of one key: the time of its last trigger."""
+DECISIONS = "key string, t long, severity int, decision string, retrain_required boolean"
 
-    def __init__(self, cooldown: int):
-        self.cooldown = cooldown
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("triggered", T.StructType([T.StructField("t", T.LongType())]))
+def stream_retrain_decisions(events: DataFrame, cooldown: int = 3600) -> DataFrame:
+    """Decisions on a stream of severity events (key, t, severity); the state of a key is the time of its last trigger."""
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(rows)).sort_values("t", kind="stable")
-        had = int(self.state.get()[0]) if self.state.exists() else None
-        decision, last = decide(f, self.cooldown, had)
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        f = pd.concat(list(batches)).sort_values("t", kind="stable")
+        decision, last = decide(f, cooldown, int(state.get[0]) if state.exists else None)
         if last is not None:
-            self.state.update((last,))
+            state.update((last,))
         yield f.assign(key=key[0], decision=decision, retrain_required=f["severity"] >= 10)[["key", "t", "severity", "decision", "retrain_required"]]
 
-    def close(self) -> None:
-        pass
+    return events.groupBy("key").applyInPandasWithState(run, DECISIONS, "t long", "append", "NoTimeout")
 
 
-def stream_retrain_decisions(events: DataFrame, cooldown: int = 3600) -> DataFrame:
-    """Decisions on a stream of severity events (key, t, severity)."""
-    out = "key string, t long, severity int, decision string, retrain_required boolean"
-    return events.groupBy("key").transformWithStateInPandas(_Cooldown(cooldown), out, "Append", "None")
+def retrain_decisions(events: DataFrame, cooldown: int = 3600, key: str = "key") -> DataFrame:
+    """(key, t, severity, decision, retrain_required) of severity events in time order (batch twin); sequential per key."""
+
+    def step(k: str, f: pd.DataFrame, last: int | None) -> tuple[pd.DataFrame, int | None]:
+        decision, last = decide(f, cooldown, last)
+        return f.assign(decision=decision, retrain_required=f["severity"] >= 10), last
+
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col("t").cast("long").alias("t"), F.col("severity").cast("int").alias("severity"))
+    return in_order(rows, "key", "t", step, DECISIONS)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import numpy as np
 import pandas as pd
 import pytest
 from panelworks.functions.ewm import ewm, rsi
 from panelworks.operators import drift, evaluate, features, fingerprint, indicators, model, quality, regimes, scoring, walkforward
+from panelworks.sources import feeds
 from panelworks.streaming import jobs
 from pyspark.sql import functions as F
 
@@ -81,6 +83,49 @@ def test_results_do_not_depend_on_partitions(spark, panel):
     pd.testing.assert_frame_equal(a.sort_values(key, ignore_index=True), b.sort_values(key, ignore_index=True))
 
 
+def test_one_pass_serves_the_feature_pipeline(spark):
+    plans = []
+    before = features.checkpointed
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return before(df)
+
+    features.checkpointed = kept
+    try:
+        out = features.feature_pipeline(spark.createDataFrame(series(150, "ABCDEF")))
+    finally:
+        features.checkpointed = before
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("FlatMapGroupsInPandas ") for p in plans) == 1
+    assert sum(p.count("Exchange hashpartitioning") for p in plans) <= 4
+
+
+def test_fills_of_the_pipeline_are_those_of_the_operator(spark):
+    pdf = series(90, "ABCDEF")
+    df = spark.createDataFrame(pdf)
+    got = features.feature_pipeline(df).select("ticker", "date", "momentum_60", "rsi", "dist_from_52w_high").toPandas()
+    core = features.recursive_features(features.window_features(df))
+    want = quality.fill_missing(core, ["momentum_60", "rsi", "dist_from_52w_high"]).select(*got.columns).toPandas()
+    key = ["ticker", "date"]
+    pd.testing.assert_frame_equal(got.sort_values(key, ignore_index=True), want.sort_values(key, ignore_index=True))
+
+
+def test_confirmation_by_its_definition():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        labels = rng.choice(list("abc"), rng.integers(0, 40), p=[0.6, 0.3, 0.1]).astype(object)
+        days = int(rng.integers(1, 6))
+        held, since, want = None, 0, []
+        for i, x in enumerate(labels):
+            held = x if held is None else held
+            waited = labels[max(since, i - days + 1) : i + 1]
+            if len(waited) == days and all(w != held for w in waited):
+                held, since = x, i + 1
+            want.append(held)
+        assert list(regimes.confirm(labels, days)) == want
+
+
 def test_confirmation_needs_four_differing_rows(spark):
     raw = np.array(list("aabbbbba"), dtype=object)
     assert list(regimes.confirm(raw, 4)) == list("aaaaabbb")
@@ -201,9 +246,46 @@ def test_walk_forward_with_a_trainer(spark):
 
 
 def test_headlines_are_scored_to_their_end(spark, tmp_path):
-    from panelworks.plans.queries import QUERIES
+    from panelworks.plans.queries_more import QUERIES
 
     rows = [(1, "x" * 300 + " Schule", "de", "s"), (2, "x" * 300, "de", "s")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["risk"] for r in QUERIES["j11_headline_score_whole"](spark, str(tmp_path)).collect()}
     assert got == {1: 0.4, 2: 0.0}
+
+
+def test_universe_documents_that_break_the_rules_fail(spark, tmp_path):
+    good = {"version": "1", "created_utc": "x", "description": "y", "min_history_days": 1, "tickers": [" aa ", "BB"]}
+
+    def read(change, i):
+        (tmp_path / f"{i}.json").write_text(json.dumps({**good, **change}, indent=2))
+        return [r["ticker"] for r in feeds.read_universe_file(spark, str(tmp_path / f"{i}.json")).collect()]
+
+    assert read({}, 0) == ["AA", "BB"]
+    for i, tickers in enumerate((["AA", "aa"], ["AA", "no good!"], [f"T{k}" for k in range(151)]), 1):
+        with pytest.raises(Exception, match="ticker"):
+            read({"tickers": tickers}, i)
+    assert len(read({"tickers": [f"T{k}" for k in range(150)]}, 4)) == 120
+    (tmp_path / "5.json").write_text(json.dumps({"tickers": ["AA"]}))
+    with pytest.raises(ValueError, match="universe without"):
+        feeds.read_universe_file(spark, str(tmp_path / "5.json"))
+
+
+def test_a_store_computes_only_what_it_lacks(spark, tmp_path, panel):
+    _, df = panel
+    asked = []
+
+    def compute(bars):
+        asked.append((bars.agg(F.min("date")).first()[0], bars.count()))
+        return features.window_features(bars)
+
+    path, names = str(tmp_path / "store"), ["momentum_20", "volatility"]
+    cut = START + dt.timedelta(days=250)
+    feeds.stored_or_computed(df.where(F.col("date") < cut), path, "v1", names, compute, days=100)
+    got = feeds.stored_or_computed(df, path, "v1", names, compute, days=100)
+    assert got.count() == df.count() and asked[1] == (cut - dt.timedelta(days=100), 3 * 150)
+    feeds.stored_or_computed(df, path, "v1", names, compute, days=100)
+    assert len(asked) == 2 and feeds.read_store(spark, path).count() == df.count()
+    want = {(r["ticker"], r["date"]): r["momentum_20"] or 0.0 for r in features.window_features(df).collect()}
+    assert all(abs(r["momentum_20"] - want[r["ticker"], r["date"]]) < 1e-12 for r in got.collect())
+    assert feeds.read_store(spark, str(tmp_path / "none")) is None

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+
 import oracle
 import pytest
 from panelworks.plans import queries_more  # noqa: F401
 from panelworks.plans.queries import ORACLE_SQL, QUERIES
 
-#: Slow to plan and run; compared at a larger scale outside the suite.
-SLOW = {"k8_positions", "k9_period_returns", "k10_turnover", "k11_equity", "k12_fold_metrics", "i1_i2_fit_predict", "h3_psi", "h4_time_weighted_mean", "h6_drift_state", "e4_winsorize", "e5_zscore"}
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, name):
     if name in ORACLE_SQL:
         assert oracle.compare(spark, QUERIES[name], ORACLE_SQL[name], sf_dir) == ""
@@ -24,3 +22,14 @@ def test_entry_has_every_query():
 
     assert set(QUERIES) <= set(entry.queries())
     assert set(ORACLE_SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_other_queries_work_without_the_corpus_operators(monkeypatch):
+    import __spark_entry__ as entry
+
+    for name in [m for m in sys.modules if m.startswith(("panelworks.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    for hidden in ("public_tokenizers", "panelworks.llm.queries"):  # what the pipeline needs, then all of it
+        monkeypatch.setitem(sys.modules, hidden, None)
+        assert set(QUERIES) <= set(entry.queries()) and "pipeline" not in entry.queries()
+    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLE_SQL)

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-import pandas as pd
 import pytest
-from panelworks.operators import drift
 from panelworks.streaming import jobs
+from pyspark.sql import functions as F
 
 @pytest.fixture()
 def feed(spark, tmp_path):
@@ -36,36 +35,49 @@ def test_request_metrics(spark, feed):
     assert rows(got) == rows(jobs.request_metrics(df)) and got.count() > 50
 
 
-class State:
-    """A value state in memory."""
-
-    def __init__(self):
-        self.value = None
-
-    def exists(self):
-        return self.value is not None
-
-    def get(self):
-        return self.value
-
-    def update(self, value):
-        self.value = value
-
-
-def replay(processor, batches):
-    processor.state = State()
-    return [tuple(r) for b in batches for out in processor.handleInputRows(("k",), iter([b]), None) for r in out.itertuples(index=False)]
-
-
-def test_usage_state_carries_over_batches():
-    times = [0.0, 10.0, 59.0, 60.0, 61.0]
-    f = pd.DataFrame({"u": [int(t * 1e6) for t in times]})
-    whole = replay(jobs._Usage(60.0, 2, False), [f])
-    assert replay(jobs._Usage(60.0, 2, False), [f[:2], f[2:4], f[4:]]) == whole
-    assert [(r[2], r[3], r[4]) for r in whole] == [r[:3] for r in jobs.count_anchored(times, 60, 2, False)[0]]
+def test_usage_of_a_stream_is_that_of_its_batch_twin(spark, feed):
+    df, stream, path = feed
+    got = drain(spark, jobs.stream_anchored_usage(stream, ["client", "endpoint"], 600.0, 2), "usage", path)
+    want = jobs.anchored_usage(df, ["client", "endpoint"], 600.0, 2)
+    assert rows(got) == rows(want) and got.where("locked").count() > 10 and got.where("used = 1").count() > 6
 
 
-def test_cooldown_state_carries_over_batches():
-    f = pd.DataFrame({"t": [0, 10, 3700, 3800], "severity": [8, 9, 10, 7]})
-    got = replay(jobs._Cooldown(3600), [f[:1], f[1:3], f[3:]])
-    assert [r[3] for r in got] == drift.decide(f, 3600)[0] and [r[4] for r in got] == [False, False, True, False]
+def test_decisions_of_a_stream_are_those_of_their_batch_twin(spark, feed):
+    df, stream, path = feed
+    def severity(d):
+        return d.select(F.col("endpoint").alias("key"), F.unix_timestamp("ts").alias("t"), (F.second("ts") % 12).cast("int").alias("severity"))
+    got = drain(spark, jobs.stream_retrain_decisions(severity(stream), 900), "decisions", path)
+    assert rows(got) == rows(jobs.retrain_decisions(severity(df), 900)) and got.select("decision").distinct().count() == 4
+
+
+def test_a_stream_publishes_the_snapshot_of_each_batchs_dates(spark, feed):
+    df, _, path = feed
+    days = df.select(F.date_add(F.to_date("ts"), F.minute("ts")).alias("date"))
+    for part in (days.where("date < '2024-01-20'"), days.where("date >= '2024-01-20'")):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/days")
+    source = spark.readStream.schema(days.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/days")
+    seen = []
+    jobs.stream_snapshot(source, lambda dates: dates.groupBy().agg(F.count("*").alias("n"), F.min("date").alias("first")), lambda s: seen.append(tuple(s.first())), f"{path}/snap").awaitTermination()
+    assert len(seen) == 2 and sum(n for n, _ in seen) == days.distinct().count() and seen[0][1] < dt.date(2024, 1, 20) <= seen[1][1]
+
+
+def test_state_passes_from_batch_to_batch(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = spark.createDataFrame([(f"k{i % 3}" if i % 4 else None, 10 * i, i % 13) for i in range(200)], "key string, t long, severity int")
+    whole = rows(jobs.retrain_decisions(df, 300))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert rows(jobs.retrain_decisions(df, 300)) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_client_is_fully_locked_when_all_its_features_are(spark):
+    at = dt.datetime(2024, 1, 1)
+    uses = [("x", "a")] * 3 + [("x", "b")] * 3 + [("y", "a")] * 3 + [("z", "c")] * 9
+    df = spark.createDataFrame([(at + dt.timedelta(seconds=i), c, f) for i, (c, f) in enumerate(uses)], "ts timestamp, client string, endpoint string")
+    now = df.agg(F.max(F.unix_micros("ts"))).first()[0] / 1e6
+    got = {r["client"]: (r["locked"], r["fully_locked"]) for r in jobs.locked_clients(df, ["a", "b"], 600.0, 3, now).collect()}
+    assert got == {"x": (["a", "b"], True), "y": (["a"], False), "z": ([], False)}
+    later = {r["client"]: r["fully_locked"] for r in jobs.locked_clients(df, ["a", "b"], 600.0, 3, now + 700).collect()}
+    assert not any(later.values())
