@@ -7,13 +7,13 @@ pieces. Between stages the rows are written as Parquet and read again.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from panelworks.llm.common import shared_folder
 from panelworks.llm.decontamination import decontaminate
 from panelworks.llm.near_dedup import deduplicate
 from panelworks.llm.packing import pack_documents
@@ -66,10 +66,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the table ``documents`` in ``sf_dir``."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{root}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
