@@ -390,7 +390,8 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     def same(rows: DataFrame) -> Column:
         return (keyed["doc_id"].cast("long") == rows["id"]) & (keyed[key] == rows["key"])
 
-    out = keyed.join(rows, same(rows), "left_anti")
+    gone = small(rows, 500_000)
+    out = keyed.join(gone, same(gone), "left_anti")
     twice = checkpoint(rows.where("kept"))  # kept, but more than one row of it
     if twice.limit(1).count():
         twice = small(twice, 500_000)

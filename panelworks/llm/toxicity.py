@@ -42,10 +42,11 @@ def features(ws: set[bytes]) -> set[int]:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Weights of hashed features and a bias."""
+    """Weights of hashed features, a bias and the number of labelled rows that they were fitted on."""
 
     weights: dict[int, float]
     bias: float
+    rows: int = 0
 
     def scorer(self):
         """A function text -> score that keeps what it has found of words."""
@@ -168,7 +169,7 @@ def train_toxicity(
     named = got.column("swapped").is_valid().to_numpy()
     swapped = [s if has else o for o, s, has in zip(own, _rows(got.column("swapped")), named)]
     w, b = fit_logistic(own, swapped, got.column("toxic").to_numpy().astype(float), max(len(chosen), 1), ridge, penalty)
-    return ToxicityModel({f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-6}, b)
+    return ToxicityModel({f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-6}, b, n)
 
 
 def toxicity_score(text: Column, model: ToxicityModel) -> Column:
@@ -202,6 +203,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **optio
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """``docs`` without the documents that score ``threshold`` or more; learns as :func:`toxicity` does."""
+    """``docs`` without the documents that score ``threshold`` or more; learns as :func:`toxicity` does.
+
+    Repeated rows and rows with null ids or texts are scored like others. Without
+    labels nothing is learnt and all documents stay.
+    """
     model = train_toxicity(docs, labels.where(in_training_fold(F.col("doc_id"))), **options)
-    return docs.where(toxicity_score(F.col("text"), model) < threshold)
+    return docs.where(toxicity_score(F.col("text"), model) < threshold) if model.rows else docs

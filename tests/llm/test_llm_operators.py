@@ -8,9 +8,11 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import oracle
 import public_tokenizers as tokenizers
 import pytest
 from panelworks.llm import common, decontamination, html_text, licenses, near_dedup, packing, perplexity, sharding, token_counts, toxicity, vector_dedup
+from panelworks.llm.queries import ORACLE_SQL, QUERIES
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -522,7 +524,7 @@ def test_civil_rows_stay_as_they_are(spark, odd, empty):
     left = Counter((r["doc_id"], r["text"]) for r in kept.collect())
     assert kept.columns == docs.columns and not any("vilestuff" in (t or "") for _, t in left)
     assert all(left[r] == n for r, n in Counter(ODD).items())
-    assert toxicity.keep_civil(empty, labels).count() == 0 and toxicity.keep_civil(odd, labels.limit(0)).count() == 0
+    assert toxicity.keep_civil(empty, labels).count() == 0 and toxicity.keep_civil(odd, labels.limit(0)).count() == len(ODD)
 
 
 # Licences
@@ -707,6 +709,20 @@ def test_large_cells_are_compared_part_by_part(spark, block):
     assert {r["id"]: r["others"] for r in got} == {i: copies - 1 - i % 3 for i in range(60)}
 
 
+def test_sql_of_the_vector_query_links_as_the_operator(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(40, 16))
+    x = np.concatenate([base, base[:10] + rng.normal(size=(10, 16)) * 0.1, base[:10] + rng.normal(size=(10, 16)) * 0.3, base[:3]])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(100, None), (101, [0.0] * 16), (102, [float("nan"), 1.0]), (103, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert oracle.compare(spark, QUERIES["op6_vector_dedup"], ORACLE_SQL["op6_vector_dedup"], str(tmp_path)) == ""
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_with_sql_give_its_rows(spark, name):
+    assert oracle.compare(spark, QUERIES[name], ORACLE_SQL[name], "/root/testdata/sf0.01") == ""
+
+
 def test_e8_points_are_lattice_points_and_nearest():
     rng = np.random.default_rng(0)
     z = rng.normal(size=(300, 8)) * 2
