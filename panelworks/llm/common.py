@@ -123,14 +123,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = compact(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     while True:
         parts = parts_of(e)  # few edges need few tasks, whatever the number of shuffle partitions
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(parts)
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(parts)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        near = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = compact(near.coalesce(parts).union(low.coalesce(parts).select("a", F.col("m").alias("b"))).distinct())
+        hang = F.when(F.col("b") == F.col("m"), F.array(F.struct("a", F.col("m").alias("b")))).otherwise(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+        e = compact(large.join(low, "a").select(F.inline(hang)).coalesce(parts).distinct().coalesce(parts))
         ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("x"))
-        each = ends.groupBy("x.node").agg(F.sum("x.up").alias("up"), F.min("x.up").alias("root"))
+        each = ends.groupBy("x.node").agg(F.sum("x.up").alias("up"), F.min("x.up").alias("root")).coalesce(parts)
         if not each.where("up > 1 or (up = 1 and root = 0)").limit(1).count():
             break
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))

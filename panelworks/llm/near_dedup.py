@@ -14,6 +14,8 @@ from .common import checkpoint, compact, connected_components, join_on_hot, mix,
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BINS = 256
+#: Pairs that one task aligns.
+_PAIRS = 5_000
 
 
 def labelled(s: np.ndarray) -> np.ndarray:
@@ -190,14 +192,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa")), "a")
     both = both.join(texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb")), "b")
-    both = both.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
+    both = both.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9).coalesce(parts_of(pairs))
     return both.select("a", "b", "wa", "wb").mapInArrow(check, "a long, b long")
 
 
 def _joined(clusters: DataFrame, links: DataFrame) -> DataFrame:
     """(node, cluster) of the nodes in ``clusters``, by all links."""
     found = connected_components(links).withColumnRenamed("component", "now")
-    named = clusters.select("node").join(found, "node", "left")
+    named = clusters.select("node").join(found, "node", "left").coalesce(parts_of(links))
     return compact(named.select("node", F.coalesce("now", "node").alias("cluster")))
 
 
@@ -247,13 +249,13 @@ def _across(shared: DataFrame, sketched: DataFrame, clusters: DataFrame, least:
     band = F.floor(F.log(F.col("n")) / -math.log(threshold)).cast("int")
     named = checkpoint(_named_cells(shared, clusters, band.alias("band")))
     parts = parts_of(named)
-    sizes = named.groupBy("h", "band").agg(F.count("*").alias("size"), F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("size > 0")
-    sizes = compact(sizes)
+    sizes = named.groupBy("h", "band").agg(F.count("*").alias("size"), F.min("cluster").alias("x"), F.max("cluster").alias("y"))
+    sizes = compact(sizes.coalesce(parts))
     mixed = sizes.groupBy("h").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x < y").select("h")
     wide = sizes.select("h", "band", "size").join(mixed, "h").coalesce(parts)
     rows = named.join(wide, ["h", "band"]).coalesce(parts).join(sketched, "node").coalesce(parts)
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).cast("int").alias("part")
-    blocks = compact(rows.groupBy("h", "band", part).agg(F.collect_list(F.struct("node", "cluster", "n", "sketch", "bins")).alias("rows")), 2_000)
+    blocks = compact(rows.groupBy("h", "band", part).agg(F.collect_list(F.struct("node", "cluster", "n", "sketch", "bins")).alias("rows")).coalesce(parts), 2_000)
     left = blocks.select("h", F.struct("band", "part").alias("p"), F.col("rows").alias("xs"))
     right = blocks.select("h", F.struct("band", "part").alias("q"), F.col("rows").alias("ys"))
     both = left.join(right, "h").where("q.band <= p.band + 1 and (p < q or (p = q and size(xs) > 1))")
@@ -300,12 +302,12 @@ def _clusters(docs: DataFrame, classes: DataFrame, repeated: bool, threshold: fl
         if tried is not None:
             done = tried.join(clusters, "node").coalesce(parts).select("h", "cluster").distinct()
             free = named.join(done, ["h", "cluster"], "left_anti").coalesce(parts)
-        centre = free.groupBy("h").agg(F.max_by(F.struct("node", "cluster"), F.struct("weight", -F.col("node"))).alias("c"))
+        centre = free.groupBy("h").agg(F.max_by(F.struct("node", "cluster"), F.struct("weight", -F.col("node"))).alias("c")).coalesce(parts)
         centre = compact(centre.select("h", F.col("c.node").alias("a"), F.col("c.cluster").alias("of")))
         pairs = named.join(centre, "h").where("cluster <> of").coalesce(parts).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = compact(pairs)
+        pairs = compact(pairs.coalesce(parts), _PAIRS)
         if not pairs.limit(1).count():
             break
         seen = pairs if seen is None else seen.union(pairs)
@@ -315,12 +317,12 @@ def _clusters(docs: DataFrame, classes: DataFrame, repeated: bool, threshold: fl
     sketched = texts.select("node", "n", "bins").join(one.select("node", "sketch"), "node")
     rest = compact(_across(shared, sketched, clusters, least, threshold))
     if seen is not None:
-        rest = compact(rest.join(seen, ["a", "b"], "left_anti"))
+        rest = compact(rest.join(seen, ["a", "b"], "left_anti").coalesce(parts_of(rest)))
     turn = F.pmod(F.xxhash64("a", "b"), F.lit(100))
     for low, high in ((0, 2), (2, 20), (20, 100)):  # a few of a dense group's pairs join it, and its others drop out
         ca, cb = clusters.toDF("a", "ca"), clusters.toDF("b", "cb")
         wave = rest.where(turn.between(low, high - 1)).join(ca, "a").join(cb, "b").where("ca <> cb")
-        wave = compact(wave.select("a", "b"))
+        wave = compact(wave.select("a", "b").coalesce(parts_of(rest)), _PAIRS)
         if wave.limit(1).count():
             add(wave)
     return clusters
