@@ -49,6 +49,12 @@ def compact(df: DataFrame, rows: int = 50_000, least: int = 8) -> DataFrame:
     return df.coalesce(parts)
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` checkpointed, in partitions of about ``rows`` rows whatever it came in: for rows that each cost much."""
+    df = checkpoint(df)
+    return df.repartition(max(8, df.count() // rows))
+
+
 def parts_of(df: DataFrame) -> int:
     """Partitions of a checkpointed table, 1 at least: as many tasks serve what is joined to it."""
     return max(1, df.rdd.getNumPartitions())

@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, compact, connected_components, join_on_hot, mix, parts_of, shingles, signed, small, word_hashes, words
+from .common import checkpoint, compact, connected_components, join_on_hot, mix, parts_of, shingles, signed, small, spread, word_hashes, words
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BINS = 256
 #: Pairs that one task aligns.
-_PAIRS = 5_000
+_PAIRS = 2_000
 
 
 def labelled(s: np.ndarray) -> np.ndarray:
@@ -192,7 +192,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa")), "a")
     both = both.join(texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb")), "b")
-    both = both.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9).coalesce(parts_of(pairs))
+    both = both.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
     return both.select("a", "b", "wa", "wb").mapInArrow(check, "a long, b long")
 
 
@@ -290,7 +290,7 @@ def _clusters(docs: DataFrame, classes: DataFrame, repeated: bool, threshold: fl
 
     def add(pairs: DataFrame) -> None:
         nonlocal links, clusters
-        good = compact(_verified(pairs, texts, threshold))
+        good = compact(_verified(spread(pairs, _PAIRS), texts, threshold))
         if good.limit(1).count():
             links = good if links is None else links.union(good)
             clusters = _joined(clusters, links)
@@ -307,7 +307,7 @@ def _clusters(docs: DataFrame, classes: DataFrame, repeated: bool, threshold: fl
         pairs = named.join(centre, "h").where("cluster <> of").coalesce(parts).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = compact(pairs.coalesce(parts), _PAIRS)
+        pairs = checkpoint(pairs.coalesce(parts))
         if not pairs.limit(1).count():
             break
         seen = pairs if seen is None else seen.union(pairs)
@@ -322,13 +322,13 @@ def _clusters(docs: DataFrame, classes: DataFrame, repeated: bool, threshold: fl
     for low, high in ((0, 2), (2, 20), (20, 100)):  # a few of a dense group's pairs join it, and its others drop out
         ca, cb = clusters.toDF("a", "ca"), clusters.toDF("b", "cb")
         wave = rest.where(turn.between(low, high - 1)).join(ca, "a").join(cb, "b").where("ca <> cb")
-        wave = compact(wave.select("a", "b").coalesce(parts_of(rest)), _PAIRS)
+        wave = checkpoint(wave.select("a", "b").coalesce(parts_of(rest)))
         if wave.limit(1).count():
             add(wave)
     return clusters
 
 
-def _grouped(docs: DataFrame, k: int = 5, threshold: float = 0.8, samples: int = 32, least: int = 1, rounds: int = 2) -> DataFrame:
+def _grouped(docs: DataFrame, k: int = 5, threshold: float = 0.8, samples: int = 32, least: int = 2, rounds: int = 2) -> DataFrame:
     """(doc_id, text_key, copies, class_id, cluster_id, kept) of every different (doc_id, text)."""
     members, classes = _classes(docs, k, samples)
     repeated = members.where("copies > 1").limit(1).count() > 0
@@ -350,7 +350,7 @@ def _grouped(docs: DataFrame, k: int = 5, threshold: float = 0.8, samples: int =
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """Groups of near-duplicate documents: doc_id, class_id, cluster_id, kept.
 
-    Options: k (5), threshold (0.8), samples (32), least (1), rounds (2).
+    Options: k (5), threshold (0.8), samples (32), least (2), rounds (2).
 
     Equal texts form a class, named by its smallest doc_id, of which one goes
     on. Each of ``samples`` Order MinHash samples (two minimum labelled ``k``-word
