@@ -190,8 +190,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb")), "b")
+    # Whole texts: never broadcast, so only a partition's of them are in memory.
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa")).hint("merge"), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb")).hint("merge"), "b")
     both = both.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
     return both.select("a", "b", "wa", "wb").mapInArrow(check, "a long, b long")
 
