@@ -198,10 +198,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
 
 def _joined(clusters: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, cluster) of the nodes in ``clusters``, by all links."""
-    found = connected_components(links).withColumnRenamed("component", "now")
-    named = clusters.select("node").join(found, "node", "left").coalesce(parts_of(links))
-    return compact(named.select("node", F.coalesce("now", "node").alias("cluster")))
+    """(node, cluster) after ``links`` (a, b) between nodes, which join whole clusters: only links between two of them count."""
+    ca, cb = clusters.toDF("a", "ca"), clusters.toDF("b", "cb")
+    edges = links.join(ca, "a").join(cb, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+    edges = compact(edges.coalesce(parts_of(links)).distinct())
+    if not edges.limit(1).count():
+        return clusters
+    found = connected_components(edges).select(F.col("node").alias("cluster"), F.col("component").alias("now"))
+    named = clusters.join(found, "cluster", "left").coalesce(parts_of(links))
+    return compact(named.select("node", F.coalesce("now", "cluster").alias("cluster")))
 
 
 def _named_cells(shared: DataFrame, clusters: DataFrame, *more: str) -> DataFrame:
@@ -287,14 +292,13 @@ def _clusters(docs: DataFrame, classes: DataFrame, repeated: bool, threshold: fl
     wanted = shared.select("node").join(classes.select("node", "text_key", "doc_id"), "node")
     texts = _hashed_texts(docs, checkpoint(wanted), repeated)
     clusters = shared.select("node", F.col("node").alias("cluster"))
-    links = tried = seen = None
+    tried = seen = None
 
     def add(pairs: DataFrame) -> None:
-        nonlocal links, clusters
+        nonlocal clusters
         good = compact(_verified(spread(pairs, _PAIRS), texts, threshold))
         if good.limit(1).count():
-            links = good if links is None else links.union(good)
-            clusters = _joined(clusters, links)
+            clusters = _joined(clusters, good)
 
     for _ in range(rounds):
         named = checkpoint(_named_cells(shared, clusters, "weight"))
