@@ -57,3 +57,25 @@ more AS (SELECT row, list(DISTINCT label) AS ml, max(cover) AS cover FROM best G
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(bl, []), coalesce(ml, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(cover, 0.0) END::DOUBLE AS score
 FROM d LEFT JOIN base USING (row) LEFT JOIN more USING (row)"""
+
+FILL_IN_MIDDLE = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS s FROM documents),
+h AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l, ('0x' || s[1:8])::UBIGINT AS h1, ('0x' || s[9:16])::UBIGINT AS h2, ('0x' || s[17:24])::UBIGINT AS h3, ('0x' || s[25:32])::UBIGINT AS h4 FROM d),
+c AS (SELECT *, CAST(least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS BIGINT) AS a, CAST(greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS BIGINT) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(l[1:a], '') AS prefix, array_to_string(l[a + 1:b], '') AS middle, array_to_string(l[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p"""
+
+SPELLING = f"""WITH RECURSIVE {_CRC}, runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UP}', '{_UP.lower()}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents WHERE text IS NOT NULL),
+each_run AS (SELECT doc_id, run, count(*) AS k, list_transform(regexp_extract_all(hex(encode(doc_id || ':' || run)), '..'), lambda h: ('0x' || h)::UBIGINT) AS b FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run),
+hashed AS (SELECT run, k, CAST(xor(list_reduce(list_concat([4294967295::UBIGINT], b), lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS BIGINT)])), 4294967295::UBIGINT) AS BIGINT) AS h FROM each_run, remainders),
+spelt AS (SELECT CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, k FROM hashed),
+v AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+cuts AS MATERIALIZED (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS MATERIALIZED (SELECT DISTINCT a, b, nb FROM (SELECT c.word AS a, v.word AS b, v.n AS nb FROM cuts c JOIN v ON c.rest = v.word UNION ALL SELECT v.word, c.word, c.n FROM cuts c JOIN v ON c.rest = v.word
+  UNION ALL SELECT x.word, y.word, y.n FROM cuts x JOIN cuts y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word)),
+best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, {{'n': -nb, 'w': encode(b)}}) AS b, max(nb) AS nb FROM near GROUP BY a),
+forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN nb >= 5 * n THEN b END AS form, CASE WHEN nb >= 5 * n THEN nb END AS form_n FROM v LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS root, form FROM forms UNION ALL SELECT u.word, f.word, f.form FROM up u JOIN forms f ON u.form = f.word)
+SELECT f.word, f.form, u.root, f.n, f.n_near, f.form_n FROM forms f JOIN up u ON u.word = f.word AND u.form IS NULL"""

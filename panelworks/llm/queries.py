@@ -81,11 +81,32 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    from .bpe import token_digests
+
+    return token_digests(_table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import fill_in_middle_digests
+
+    return fill_in_middle_digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_near_dedup, op2_shards, op3_packing, op4_quality, op5_token_counts,
         op6_vector_dedup, op7_toxicity, op8_licenses, op9_html_text, op10_decontamination,
+        op11_bpe, op12_fill_in_middle, op13_spelling,
     )
 }
 
@@ -95,4 +116,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_vector_dedup": oracles.VECTORS,
     "op8_licenses": oracles.LICENSES,
     "op10_decontamination": oracles.DECONTAMINATION,
+    "op12_fill_in_middle": oracles.FILL_IN_MIDDLE,
+    "op13_spelling": oracles.SPELLING,
 }

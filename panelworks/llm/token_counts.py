@@ -18,7 +18,7 @@ _LATIN = 0x250
 _STRETCH = re.compile("[^\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
-def _byte_chars() -> dict[int, str]:
+def byte_chars() -> dict[int, str]:
     """The byte-to-character table of byte-level BPE: printable bytes stand for
     themselves, the others for the characters from 256 on, in order."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -58,7 +58,7 @@ class PrefixCounter:
         # The pre-tokenizer's pattern, for Latin text without white space.
         self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}]+")
         self.plain = re.compile(f"[\\t-\\r\\x20-\\x7e\\x80-{chr(_LATIN - 1)}]*\\Z")
-        self.chars = _byte_chars()
+        self.chars = byte_chars()
         self.fits: dict[tuple[str, str], bool] = {}
         self.kept: dict[str, int] = {}  # of chunks
         self.words: dict[str, int] = {}

@@ -51,4 +51,4 @@ def test_pipeline_runs(spark, sf_dir):
 
 
 def test_queries_are_registered_once_for_each_operator():
-    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(range(1, 11))
+    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(range(1, 14))
