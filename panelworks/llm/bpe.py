@@ -7,6 +7,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,10 @@ _SPACE = "\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _STRETCH = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
+#: Bytes of texts that a task encodes at a time.
+_BYTES = 2_000_000
+
+
 class PairIndex:
     """A byte-level BPE of a ``tokenizers`` file, applied to many words at once.
 
@@ -35,7 +40,7 @@ class PairIndex:
     the file is read), each word gets its merges in the order of the rule.
     """
 
-    def __init__(self, path: str, most_kept: int = 400_000, block: int = 1_000_000):
+    def __init__(self, path: str, most_kept: int = 200_000, block: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, before = spec["model"], spec.get("pre_tokenizer") or {}
@@ -180,13 +185,13 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     Nothing is added, truncated or padded. Null and empty texts have no ids. Rows
     with null or repeated doc_ids are encoded as they are; other columns are not
-    read. A task holds a few MB of texts, and up to 400,000 stretches and words with their ids.
+    read. A task holds a few MB of texts at a time, and about 200,000 stretches and words with their ids.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_for(path)
         for batch in batches:
-            for a, b in _runs(pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist(), 8_000_000):
+            for a, b in _runs(pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist(), _BYTES):
                 some = batch.slice(a, b - a)
                 ids = pa.array(index.encode(some.column(1).to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([some.column(0), ids], names=["doc_id", "ids"])
@@ -201,7 +206,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_for(path)
         for batch in batches:
-            for a, b in _runs(pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist(), 8_000_000):
+            for a, b in _runs(pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist(), _BYTES):
                 some = batch.slice(a, b - a)
                 texts = pa.array([index.decode(x.as_buffer() if x.is_valid else b"") for x in some.column(1)], pa.string())
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), texts], names=["doc_id", "ids", "text"])
@@ -211,7 +216,18 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, encoded and decoded again."""
-    both = decode_documents(encode_documents(docs, path), path)
-    n = (F.octet_length("ids") / 4).cast("long")
-    return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document: encoded and decoded again where it lies, so that neither ids nor texts leave the task."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = index_for(path)
+        for batch in batches:
+            for a, b in _runs(pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist(), _BYTES):
+                some = batch.slice(a, b - a)
+                ids = index.encode(some.column(1).to_pylist())
+                n = pa.array([len(x) // 4 for x in ids], pa.int64())
+                hashes = (pa.array([sha256(x).hexdigest() for x in xs], pa.string()) for xs in (ids, (index.decode(x).encode() for x in ids)))
+                yield pa.RecordBatch.from_arrays([some.column(0), n, *hashes], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(digests, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
