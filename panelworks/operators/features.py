@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.ewm import ewm, per_entity, rsi
+from ..functions import windows
+from ..functions.chunks import CHUNK, chunked, own_rows
+from ..functions.ewm import Mean, Stage, Values, rsi, rsi_means, scan, scan_chunks
 from ..functions.expr import clip, median3, pct_rank, ratio, with_least
 from ..functions.lineage import checkpointed, small
-from ..functions.windows import by_date, by_entity, ranked, trailing
-from .quality import price_gates
+from ..functions.wide import WIDE, quantiles, rank_shares
+from ..functions.windows import by_date, ranked
+from .quality import fill_missing, price_gates
 from .regimes import regime_by_date
 
 #: The order of the model's columns.
@@ -28,9 +33,27 @@ MODEL_FEATURES = [*CORE_FEATURES, *(f"{c}_z" for c in CROSS_SECTIONAL), *(f"{c}_
 _TINY = 1e-9
 
 
-def window_features(bars: DataFrame) -> DataFrame:
-    """All features of a ticker's own history that frames can express; one shuffle and one sort by (ticker, date)."""
-    w = by_entity()
+#: Bars before a chunk that its frames reach: the 52-week high looks 253 back; the level of volatility 60 + 21 + 3.
+REACH = 256
+
+
+def window_features(bars: DataFrame, size: int | None = None) -> DataFrame:
+    """All features of a ticker's own history that frames can express; one shuffle and one sort by (ticker, date).
+
+    With ``size``, histories of over that many bars are cut into chunks, so that
+    one ticker is the work of many tasks; else a ticker is one task's, which spills.
+    """
+    if size is None:
+        return _windows(bars, "ticker")
+    rows, _ = chunked(checkpointed(bars), REACH, size)
+    return own_rows(_windows(rows, ["ticker", "_chunk"]))
+
+
+def _windows(bars: DataFrame, entity: str | list[str]) -> DataFrame:
+    def trailing(n: int, lag: int = 0) -> WindowSpec:
+        return windows.trailing(n, lag, entity)
+
+    w = windows.by_entity(entity)
     r0 = F.coalesce(ratio(F.col("close"), F.lag("close").over(w)) - 1, F.lit(0.0))
     df = bars.withColumn("_r", r0)
     df = df.withColumn("return", clip(median3(F.col("_r"), F.lag("_r").over(w), F.lag("_r", 2).over(w)), -0.5, 0.5))
@@ -75,19 +98,30 @@ def window_features(bars: DataFrame) -> DataFrame:
     return df.drop("_r", "_volume", "_illiquid")
 
 
-def _recursions(f: pd.DataFrame) -> dict[str, pd.Series]:
-    fast, slow = ewm(f["close"], span=10), ewm(f["close"], span=50)
-    return {"rsi": rsi(f["close"]).clip(0, 100), "ema_10": fast, "ema_50": slow, "ema_ratio": (fast / (slow + _TINY)).clip(0.5, 1.5)}
+#: Means behind the recursive features: one pass over a chunk, which the bar before it leads.
+RECURSIONS = Stage(
+    ("fast", "slow", "gain", "loss"), lambda f, _: {"fast": Mean.of_span(f["close"], 10), "slow": Mean.of_span(f["close"], 50), **rsi_means(f["close"])}, skip=1
+)
 
 
-def recursive_features(df: DataFrame) -> DataFrame:
-    """rsi, ema_10, ema_50 and ema_ratio of every ticker, in one grouped pass."""
-    return per_entity(df, _recursions, ["rsi", "ema_10", "ema_50", "ema_ratio"])
+def _recursions(f: pd.DataFrame, got: Values) -> dict[str, pd.Series]:
+    return {"rsi": rsi(f, got), "ema_10": got["fast"], "ema_50": got["slow"], "ema_ratio": (got["fast"] / (got["slow"] + _TINY)).clip(0.5, 1.5)}
 
 
-def core_features(bars: DataFrame) -> DataFrame:
+_RECURSIVE = "rsi double, ema_10 double, ema_50 double, ema_ratio double"
+
+
+def recursive_features(df: DataFrame, size: int = CHUNK) -> DataFrame:
+    """rsi, ema_10, ema_50 and ema_ratio of every ticker: a prefix scan over chunks of ``size`` bars, one pass where a ticker has no more."""
+    return scan(df, [RECURSIONS], _recursions, _RECURSIVE, reach=1, size=size)
+
+
+def core_features(bars: DataFrame, size: int = CHUNK) -> DataFrame:
     """Window and recursive features and the market regime of every (ticker, date)."""
-    return regime_by_date(checkpointed(recursive_features(window_features(bars))))
+    rows, several = chunked(checkpointed(bars), REACH, size)
+    rows = _windows(rows, ["ticker", "_chunk"]).where("_lead <= 1")
+    rows = checkpointed(rows) if several else rows
+    return regime_by_date(checkpointed(scan_chunks(rows, several, [RECURSIONS], _recursions, _RECURSIVE, 1, size)))
 
 
 def min_width(df: DataFrame, n: int = 5) -> DataFrame:
@@ -95,47 +129,103 @@ def min_width(df: DataFrame, n: int = 5) -> DataFrame:
     return df.withColumn("_n", F.count("*").over(by_date())).where(F.col("_n") >= n).drop("_n")
 
 
-def market_width(df: DataFrame) -> DataFrame:
-    """market_dispersion and breadth of every date."""
+def market_width(df: DataFrame, wide: int | None = None) -> DataFrame:
+    """market_dispersion and breadth of every date.
+
+    With ``wide``, ``df`` is read twice (checkpoint it): sums of each date, which
+    tasks add up first, join its rows. Without, they are windows over the date.
+    """
+    spread = F.coalesce(F.greatest(F.stddev_samp("return"), F.lit(1e-6)), F.lit(0.0))
+    up = F.coalesce(F.avg(F.when(F.col("return") > 0, 1.0).otherwise(0.0)), F.lit(0.5))
+    if wide is not None:
+        each = df.groupBy("date").agg(spread.alias("market_dispersion"), up.alias("breadth"))
+        return df.drop("market_dispersion", "breadth").join(small(checkpointed(each)), "date")
     w = by_date()
     spread = F.coalesce(F.greatest(F.stddev_samp("return").over(w), F.lit(1e-6)), F.lit(0.0))
     up = F.coalesce(F.avg(F.when(F.col("return") > 0, 1.0).otherwise(0.0)).over(w), F.lit(0.5))
     return df.withColumns({"market_dispersion": spread, "breadth": up})
 
 
-def cs_winsorize(df: DataFrame, cols: list[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    """Each value clipped to its date's interpolated quantiles; one window over the date for all columns."""
-    rows = df.withColumns({f"_{c}": F.percentile(c, F.array(F.lit(lo), F.lit(hi))).over(by_date()) for c in cols})
-    return rows.withColumns({c: clip(F.col(c), F.col(f"_{c}")[0], F.col(f"_{c}")[1]) for c in cols}).drop(*[f"_{c}" for c in cols])
+def _each_width(df: DataFrame, wide: int | None, narrow_: Callable[[DataFrame], DataFrame], broad: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``narrow_`` of the dates' rows, but ``broad`` of those of dates with over ``wide`` tickers; None: no date is."""
+    if wide is None:
+        return narrow_(df)
+    df = checkpointed(df)
+    dates = checkpointed(df.groupBy(F.col("date").alias("_d")).agg(F.count("*").alias("_n")).where(F.col("_n") > wide).select("_d"))
+    if not dates.limit(1).count():
+        return narrow_(df)
+    dates, same = small(dates), F.col("date").eqNullSafe(F.col("_d"))
+    return narrow_(df.join(dates, same, "left_anti")).unionByName(broad(checkpointed(df.join(dates, same, "left_semi"))))
 
 
-def cs_zscore(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``{col}_z``: standardised within the date, missing 0, held to +-5."""
-    w = by_date()
-    rows = df.withColumns({f"_{k}_{c}": f(c).over(w) for c in cols for k, f in (("m", F.avg), ("s", F.stddev_samp))})
+def cs_winsorize(df: DataFrame, cols: list[str], lo: float = 0.01, hi: float = 0.99, wide: int | None = WIDE) -> DataFrame:
+    """Each value clipped to its date's interpolated quantiles.
+
+    Dates of up to ``wide`` tickers are windows over the date; those of more are
+    ranked value by value over many tasks (:mod:`panelworks.functions.wide`).
+    """
+
+    def narrow(df: DataFrame) -> DataFrame:
+        rows = df.withColumns({f"_{c}": F.percentile(c, F.array(F.lit(lo), F.lit(hi))).over(by_date()) for c in cols})
+        return rows.withColumns({c: clip(F.col(c), F.col(f"_{c}")[0], F.col(f"_{c}")[1]) for c in cols}).drop(*[f"_{c}" for c in cols])
+
+    def broad(df: DataFrame) -> DataFrame:
+        bounds = small(checkpointed(quantiles(df, cols, [lo, hi])))
+        rows = df.join(bounds, F.col("date").eqNullSafe(F.col("_d")), "left")
+        return rows.withColumns({c: clip(F.col(c), F.col("_q")[c][0], F.col("_q")[c][1]) for c in cols}).drop("_d", "_q")
+
+    return _each_width(df, wide, narrow, broad)
+
+
+def cs_zscore(df: DataFrame, cols: list[str], wide: int | None = WIDE) -> DataFrame:
+    """``{col}_z``: standardised within the date, missing 0, held to +-5; dates of over ``wide`` tickers by sums that tasks add up first."""
 
     def z(c: str) -> Column:
         x = clip((F.col(c) - F.col(f"_m_{c}")) / (F.greatest(F.col(f"_s_{c}"), F.lit(1e-6)) + _TINY), -5, 5)
         return F.when(F.abs(x) > 1e-9, x).otherwise(0.0)  # the rounding of a mean of equal values is no deviation
 
-    return rows.withColumns({f"{c}_z": z(c) for c in cols}).drop(*[f"_{k}_{c}" for c in cols for k in "ms"])
+    sums = {f"_{k}_{c}": f(c) for c in cols for k, f in (("m", F.avg), ("s", F.stddev_samp))}
+
+    def scored(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({f"{c}_z": z(c) for c in cols}).drop("_d", *sums)
+
+    def broad(df: DataFrame) -> DataFrame:
+        each = df.groupBy(F.col("date").alias("_d")).agg(*[x.alias(k) for k, x in sums.items()])
+        return scored(df.join(small(checkpointed(each)), F.col("date").eqNullSafe(F.col("_d"))))
 
+    return _each_width(df, wide, lambda df: scored(df.withColumns({k: x.over(by_date()) for k, x in sums.items()})), broad)
 
-def cs_pct_rank(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``{col}_rank``: average rank within the date as a share, missing 0.5."""
-    return df.withColumns({f"{c}_rank": F.coalesce(pct_rank(F.col(c), ranked(c)), F.lit(0.5)) for c in cols})
 
+def cs_pct_rank(df: DataFrame, cols: list[str], wide: int | None = WIDE) -> DataFrame:
+    """``{col}_rank``: average rank within the date as a share, missing 0.5; dates of over ``wide`` tickers over many tasks."""
+
+    def narrow(df: DataFrame) -> DataFrame:
+        return df.withColumns({f"{c}_rank": F.coalesce(pct_rank(F.col(c), ranked(c)), F.lit(0.5)) for c in cols})
+
+    def broad(df: DataFrame) -> DataFrame:
+        rows = rank_shares(df, cols)
+        return rows.withColumns({f"{c}_rank": F.coalesce(F.col("_ranks")[c], F.lit(0.5)) for c in cols}).drop("_ranks")
+
+    return _each_width(df, wide, narrow, broad)
+
+
+def cross_section(df: DataFrame, cols: list[str], wide: int | None = None) -> DataFrame:
+    """``_z`` and ``_rank`` of winsorised columns; the columns themselves stay as they were.
+
+    With ``wide``, dates of more tickers are spread over many tasks; ``df`` is then read more than once.
+    """
+
+    def scored(wide: int | None) -> Callable[[DataFrame], DataFrame]:
+        return lambda df: cs_pct_rank(cs_zscore(cs_winsorize(df, cols, wide=wide), cols, wide), cols, wide)
 
-def cross_section(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``_z`` and ``_rank`` of winsorised columns; the columns themselves stay as they were."""
     kept = df.withColumns({f"_raw_{c}": F.col(c) for c in cols})
-    out = cs_pct_rank(cs_zscore(cs_winsorize(kept, cols), cols), cols)
+    out = _each_width(kept, wide, scored(None), scored(0))
     return out.withColumns({c: F.col(f"_raw_{c}") for c in cols}).drop(*[f"_raw_{c}" for c in cols])
 
 
-def _with_fills(f: pd.DataFrame, cols: list[str], window: int = 20) -> dict[str, pd.Series]:
+def _with_fills(f: pd.DataFrame, got: Values, cols: list[str], window: int = 20) -> dict[str, pd.Series]:
     """Recursive features of one ticker, and for rows of wide dates each column in ``cols`` with its holes filled, as :func:`fill_missing` does."""
-    made = _recursions(f)
+    made = _recursions(f, got)
     wide = f["_wide"].to_numpy()
     for c in cols:
         x = made[c] if c in made else f[c]
@@ -146,25 +236,34 @@ def _with_fills(f: pd.DataFrame, cols: list[str], window: int = 20) -> dict[str,
     return made
 
 
-def feature_pipeline(bars: DataFrame, width: int = 5, gate: bool = True) -> DataFrame:
+def feature_pipeline(bars: DataFrame, width: int = 5, gate: bool = True, size: int = CHUNK, wide: int = WIDE) -> DataFrame:
     """ticker, date, close and the 64 model columns of every bar on dates of at least ``width`` tickers.
 
     The bars are checkpointed once, and their dates counted on them. One exchange
-    by ticker serves all windows of its history and the one pandas pass, which
-    adds the recursions and fills holes. That panel is checkpointed, as its
-    returns give the dates' regimes before they join it. One exchange by date
-    serves the cross-section, which reads the unfilled columns.
+    by ticker and chunk serves all windows and the pandas pass, which adds the
+    recursions and fills holes; where histories are cut, the holes are filled after
+    it, chunk by chunk of the wide dates' rows. The panel is checkpointed, as its
+    returns give the dates' regimes and widths before they join it. The
+    cross-section reads the unfilled columns.
     """
     bars = checkpointed(bars.select("ticker", "date", "close", "volume"))
     if gate and not price_gates(bars).first()["ok"]:
         raise ValueError("too few bars, or closes of 0 or less")
-    dates = checkpointed(bars.groupBy("date").agg((F.count("*") >= width).alias("_wide")))
-    rows = window_features(bars).join(small(dates), "date")
+    dates = checkpointed(bars.groupBy("date").agg((F.count("*") >= width).alias("_wide"), (F.count("*") > wide).alias("_split")))
+    split = wide if dates.where("_split").limit(1).count() else None
+    dates = dates.drop("_split")
+    cut, several = chunked(bars, REACH, size)
+    rows = _windows(cut, ["ticker", "_chunk"]).where("_lead <= 1").join(small(dates), "date")
     filled = [c for c in CORE_FEATURES if c not in ("market_dispersion", "breadth", "regime_multiplier")]
-    names = ["rsi", "ema_10", "ema_50", "ema_ratio", *(f"_f_{c}" for c in filled)]
-    panel = checkpointed(per_entity(rows, lambda f: _with_fills(f, filled), names))
+    if several:
+        panel = checkpointed(scan_chunks(checkpointed(rows), True, [RECURSIONS], _recursions, _RECURSIVE, 1, size))
+    else:
+        added = ", ".join([_RECURSIVE, *(f"_f_{c} double" for c in filled)])
+        panel = checkpointed(scan_chunks(rows, False, [RECURSIONS], lambda f, got: _with_fills(f, got, filled), added, 1, size))
     df = regime_by_date(panel).where("_wide")
-    df = cross_section(market_width(df), CROSS_SECTIONAL)
+    if several:
+        df = checkpointed(fill_missing(df.withColumns({f"_f_{c}": F.col(c) for c in filled}), [f"_f_{c}" for c in filled], size=size))
+    df = cross_section(market_width(df, wide), CROSS_SECTIONAL, split)
     return df.select("ticker", "date", "close", *[F.col(f"_f_{c}").alias(c) if c in filled else c for c in MODEL_FEATURES])
 
 

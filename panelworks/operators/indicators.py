@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ewm as E
+from ..functions.chunks import CHUNK
+from ..functions.ewm import Mean, Stage
 from ..functions.expr import clean_num, clip, ratio, with_least
 from ..functions.windows import by_entity, trailing
 
@@ -27,24 +29,29 @@ def bollinger(df: DataFrame, col: str = "close", window: int = 20, width: float
     return df.withColumn("bb_mid", mid).withColumn("_s", spread).withColumns({"bb_upper": F.col("bb_mid") + F.col("_s"), "bb_lower": F.col("bb_mid") - F.col("_s")}).drop("_s")
 
 
-def ema(df: DataFrame, col: str = "close", span: int = 20) -> DataFrame:
-    """``ema``: exponentially weighted mean."""
-    return E.per_entity(df, lambda f: {"ema": E.ewm(f[col], span=span)}, ["ema"])
+def ema(df: DataFrame, col: str = "close", span: int = 20, size: int = CHUNK) -> DataFrame:
+    """``ema``: exponentially weighted mean; histories of over ``size`` bars are cut into chunks."""
+    stage = Stage(("ema",), lambda f, _: {"ema": Mean.of_span(f[col], span)})
+    return E.scan(df, [stage], lambda f, got: {"ema": got["ema"]}, "ema double", size=size)
 
 
-def rsi(df: DataFrame, col: str = "close", window: int = 14) -> DataFrame:
+def rsi(df: DataFrame, col: str = "close", window: int = 14, size: int = CHUNK) -> DataFrame:
     """``rsi``: Wilder's index, 0 to 100."""
-    return E.per_entity(df, lambda f: {"rsi": E.rsi(f[col], window).clip(0, 100)}, ["rsi"])
+    stage = Stage(("gain", "loss"), lambda f, _: E.rsi_means(f[col], window), skip=1)
+    return E.scan(df, [stage], lambda f, got: {"rsi": E.rsi(f, got, window)}, "rsi double", reach=1, size=max(size, window))
 
 
-def macd(df: DataFrame, col: str = "close") -> DataFrame:
-    """``macd`` and ``macd_signal``."""
+def macd(df: DataFrame, col: str = "close", size: int = CHUNK) -> DataFrame:
+    """``macd`` (EWM12 - EWM26) and ``macd_signal`` (its EWM9); missing 0, held to +-500."""
 
-    def make(f: pd.DataFrame) -> dict[str, pd.Series]:
-        line, signal = E.macd(f[col])
-        return {"macd": line, "macd_signal": signal}
+    def line(got: E.Values) -> pd.Series:
+        return got["fast"] - got["slow"]
 
-    return E.per_entity(df, make, ["macd", "macd_signal"])
+    stages = [
+        Stage(("fast", "slow"), lambda f, _: {"fast": Mean.of_span(f[col], 12), "slow": Mean.of_span(f[col], 26)}),
+        Stage(("signal",), lambda _, got: {"signal": Mean.of_span(line(got), 9)}),
+    ]
+    return E.scan(df, stages, lambda _, got: {"macd": E.held(line(got)), "macd_signal": E.held(got["signal"])}, "macd double, macd_signal double", size=size)
 
 
 def sanitize_close(df: DataFrame, limit: float = 0.80) -> DataFrame:

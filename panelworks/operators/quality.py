@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.chunks import chunked, own_rows
 from ..functions.expr import clean_num, ratio
-from ..functions.windows import by_entity
+from ..functions.lineage import checkpointed
+from ..functions.windows import by_entity, trailing
 
 TICKER = r"^[A-Z0-9._-]{1,12}$"
 #: Words that give away a look into the future.
@@ -190,7 +192,14 @@ def sync_report(results: DataFrame) -> DataFrame:
     return results.groupBy("status").agg(F.count("*").alias("tickers"), F.coalesce(F.sum("inserted"), F.lit(0)).alias("inserted"))
 
 
-def fill_missing(df: DataFrame, cols: list[str], window: int = 20) -> DataFrame:
-    """Missing values replaced by the trailing median of the ticker, else 0."""
-    w = by_entity().rowsBetween(-(window - 1), 0)
-    return df.withColumns({c: F.coalesce(F.col(c), F.percentile(c, F.lit(0.5)).over(w), F.lit(0.0)) for c in cols})
+def fill_missing(df: DataFrame, cols: list[str], window: int = 20, size: int | None = None) -> DataFrame:
+    """Missing values replaced by the trailing median of the ticker, else 0. With ``size``, histories of over that many rows are cut into chunks."""
+
+    def filled(df: DataFrame, entity: str | list[str]) -> DataFrame:
+        w = trailing(window, entity=entity)
+        return df.withColumns({c: F.coalesce(F.col(c), F.percentile(c, F.lit(0.5)).over(w), F.lit(0.0)) for c in cols})
+
+    if size is None:
+        return filled(df, "ticker")
+    rows, _ = chunked(checkpointed(df), window - 1, size)
+    return own_rows(filled(rows, ["ticker", "_chunk"]))

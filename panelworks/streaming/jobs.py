@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
+from ..functions.chunks import in_order
 from ..functions.expr import clean_num
 from ..functions.lineage import small
 from ..operators.drift import decide
@@ -113,25 +114,6 @@ def count_anchored(times: list[float], ttl: float, limit: int, blocked_over: boo
 USAGE = "key string, t double, used int, remaining int, locked boolean, reset_in double"
 
 
-def in_order(rows: DataFrame, key: str, time: str, step: Callable[[str, pd.DataFrame, Any], tuple[pd.DataFrame, Any]], schema: str) -> DataFrame:
-    """``step(key, rows, state) -> (rows, state)`` along each key's rows in time order.
-
-    A key's rows lie in one task, sorted, and pass in Arrow batches; only the
-    state, which starts as None, stays between batches, so a key of any length fits.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = object(), None
-        for f in batches:
-            for k, g in f.groupby(key, sort=False, dropna=False):
-                if k != last and (k == k or last == last):  # a null key is not equal to itself
-                    last, state = k, None
-                out, state = step(k, g, state)
-                yield out
-
-    return rows.repartition(key).sortWithinPartitions(key, time).mapInPandas(run, schema)
-
-
 def _usage_rows(events: DataFrame, keys: list[str], time: str) -> DataFrame:
     return events.select(F.concat_ws("|", *keys).alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("u"))
 

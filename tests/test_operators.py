@@ -8,7 +8,7 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
-from panelworks.functions.ewm import ewm, rsi
+from panelworks.functions import ewm as E
 from panelworks.operators import drift, evaluate, features, fingerprint, indicators, model, quality, regimes, scoring, walkforward
 from panelworks.sources import feeds
 from panelworks.streaming import jobs
@@ -37,7 +37,11 @@ def test_ewm_and_rsi_follow_the_recursion():
     want, alpha = [1.0], 2 / 4
     for v in x[1:]:
         want.append(alpha * v + (1 - alpha) * want[-1])
-    assert np.allclose(ewm(x, span=3), want)
+    assert np.allclose(E.plain(E.Mean.of_span(x, 3)), want)
+
+    def rsi(close):
+        return E.rsi(pd.DataFrame({"_lead": 0}, index=close.index), {k: E.plain(m) for k, m in E.rsi_means(close).items()})
+
     assert (rsi(pd.Series(np.linspace(100, 200, 60))).iloc[20:] > 70).all()
     assert (rsi(pd.Series(np.linspace(200, 100, 60))).iloc[20:] < 30).all()
     assert (rsi(pd.Series([1.0] * 5)) == 50).all()
