@@ -6,7 +6,7 @@ import tempfile
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that belong to words: 0-9, a-z and every byte of a non-ASCII character.
@@ -122,22 +122,39 @@ def signed(x: np.ndarray) -> np.ndarray:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node that it reaches.
 
-    Alternating large-star and small-star rounds on DataFrames, each of them
-    checkpointed, until every node hangs on one root; only whether that is so
-    reaches the driver. Nodes must not be null; self loops are ignored.
+    Rounds of contraction. Each label takes the first label, in the round's
+    order, of itself and its neighbours; then the one that that label takes. An
+    edge from a label to the one it took lies between their new labels, so none
+    of the links is lost; edges inside a label go, others become one. The first
+    round's order is that of the nodes, which ends stars at once; later ones are
+    by a hash, so that no shape makes many rounds. Minima are found where the
+    edges lie before they meet, so a hub's edges need not. Every round is
+    checkpointed, and only whether edges are left reaches the driver. Nodes must
+    not be null; self loops are ignored.
     """
     e = compact(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    while True:
+    named, turn = None, 0
+    while e.limit(1).count():
         parts = parts_of(e)  # few edges need few tasks, whatever the number of shuffle partitions
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(parts)
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(parts)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        hang = F.when(F.col("b") == F.col("m"), F.array(F.struct("a", F.col("m").alias("b")))).otherwise(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
-        e = compact(large.join(low, "a").select(F.inline(hang)).coalesce(parts).distinct().coalesce(parts))
-        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("x"))
-        each = ends.groupBy("x.node").agg(F.sum("x.up").alias("up"), F.min("x.up").alias("root")).coalesce(parts)
-        if not each.where("up > 1 or (up = 1 and root = 0)").limit(1).count():
-            break
-    nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+        def first(x: str) -> Column:
+            order = F.lit(0) if turn == 0 else F.xxhash64(F.col(x), F.lit(turn))
+            return F.struct(order.alias("o"), F.col(x).cast("long").alias("x"))
+
+        both = e.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        took = both.groupBy("a").agg(F.least(first("a"), F.min(first("b"))).getField("x").alias("m")).coalesce(parts)
+        took = compact(took.select(F.col("a").alias("label"), "m"))
+        again = took.select(F.col("label").alias("m"), F.col("m").alias("mm"))
+        took = compact(took.join(again, "m").coalesce(parts).select("label", F.col("mm").alias("now")))
+        if named is None:
+            named = took.select(F.col("label").alias("node"), F.col("now").alias("label"))
+        else:
+            named = compact(named.join(took, "label", "left").coalesce(parts_of(named)).select("node", F.coalesce("now", "label").alias("label")))
+        x, y = took.toDF("a", "x"), took.toDF("b", "y")
+        left = e.join(x, "a").coalesce(parts).join(y, "b").where("x <> y")
+        e = compact(left.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).coalesce(parts).distinct().coalesce(parts))
+        turn += 1
+    if named is None:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    smallest = named.groupBy("label").agg(F.min("node").alias("component")).coalesce(parts_of(named))
+    return named.join(smallest, "label").select("node", "component")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,12 +18,23 @@ _BLOCK = frozenset(
 )
 #: Elements that may hold others and must be closed; a missing end tag ends with the parent.
 _CONTAINER = frozenset("article aside body details dialog div dl fieldset figure footer form head header main menu nav ol search section table ul".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BOILERPLATE = frozenset("aside dialog footer form head header menu nav search fieldset".split())
-_MARKED = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header "
-    "masthead menu modal nav navbar navigation newsletter notice notices notification pagination paywall popup promo promoted promotion "
-    "recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
+#: Words that name boilerplate wherever they stand in a class name or id.
+_SURE = frozenset(
+    "ad ads advert advertisement adverts advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu "
+    "modal nav navbar navigation newsletter pagination paywall popup sidebar signup sponsored subscribe subscription".split()
 )
+#: Words that name it alone or beside words of layout; beside others ("related-work", "share-price") the links in the element decide.
+_MAYBE = frozenset(
+    "banner header notice notices notification promo promoted promotion recommended related replies reply respond share sharing skip social sponsor toolbar widget".split()
+)
+_LAYOUT = frozenset("area bar block bottom box button buttons container content global items left link links list main page posts right section site top wrap wrapper".split())
+#: A name that begins so says that something else exists, or does not.
+_ELSEWHERE = frozenset("has hide is no not show with without".split())
+#: Characters outside links up to which an element is never the page's layout.
+_LITTLE = 400
+_OF_ARTICLE = frozenset("article content entry page post story".split())
 #: Comments, scripts and styles run to the end of the page if nothing closes them; other elements that show no text are
 #: left out only up to their own end tag.
 _TOKEN = re.compile(
@@ -33,27 +45,58 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*>|</?[a-zA-Z][^<>]*>",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+")
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters outside links, boilerplate, inside an article) of each block of a page, in page order."""
-    out: list[tuple[str, int, bool, bool]] = []
+class Line(NamedTuple):
+    text: str
+    own: int  #: characters outside links; none if they are few
+    bad: bool  #: of a menu, header, footer, advert and the like
+    inside: bool  #: of an article
+    heading: bool
+
+
+def named(attributes: str, inside: bool) -> int:
+    """What the names of an element say: 0 nothing, 1 that it may be boilerplate, 2 that it is."""
+    out = 0
+    for kind, *values in _NAMES.findall(attributes):
+        value = "".join(values)
+        for token in [value] if kind.lower() == "aria-label" else value.split():
+            parts = [w.lower() for w in _PARTS.findall(token)]
+            if not parts or parts[0] in _ELSEWHERE or (inside and "header" in parts and not _OF_ARTICLE.isdisjoint(parts)):
+                continue
+            if not _SURE.isdisjoint(parts):
+                return 2
+            if not _MAYBE.isdisjoint(parts):
+                out = max(out, 2 if all(w in _MAYBE or w in _LAYOUT for w in parts) else 1)
+    return out
+
+
+def lines(page: str) -> list[Line]:
+    """The blocks of a page, in page order.
+
+    An element is boilerplate by its tag or by its names. Names alone never
+    condemn an element that holds more than half of the page's text outside links
+    (and over 400 characters of it), and doubtful ones only an element half of whose
+    characters are links.
+    """
+    found: list[tuple[str, int, int, tuple[int, ...], bool, bool]] = []  # text, linked, own, marks, inside, heading
     text: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
-    link = at = 0
+    stack: list[tuple[str, tuple[int, ...], bool]] = []  # tag, marks (0: by its tag), inside
+    doubts: list[int] = [0]  # of each mark, what named() says
+    linked = link = at = 0
+    heading = False
 
     def flush() -> None:
         nonlocal linked
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                bad, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                marks, inside = (stack[-1][1], stack[-1][2]) if stack else ((), False)
                 own = len(line) - linked
-                out.append((line, own if 4 * own >= len(line) else 0, bad, inside))  # a little between links is none
+                found.append((line, min(linked, len(line)), own if 4 * own >= len(line) else 0, marks, inside, heading))  # a little between links is none
             text.clear()
         linked = 0
 
@@ -73,49 +116,51 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             text.append(" ")
         elif tag in _BLOCK:
             flush()
+            heading = not m[3] and tag in _HEADINGS
             if tag in _CONTAINER:
                 if m[3]:
                     if any(s[0] == tag for s in stack):
                         while stack.pop()[0] != tag:
                             pass
                 elif not m[5].rstrip().endswith("/"):
-                    _, bad, inside = stack[-1] if stack else ("", False, False)
+                    _, marks, inside = stack[-1] if stack else ("", (), False)
                     if tag in ("article", "main", "body"):
-                        marked = False
-                        if tag != "body" and bad and not any(s[2] for s in stack):
-                            bad = False  # a menu or advert that was never closed
+                        if tag != "body" and marks and not any(s[2] for s in stack):
+                            marks = ()  # a menu or advert that was never closed
                         inside = inside or tag != "body"
-                    else:
-                        attributes = m[5]
-                        marked = tag in _BOILERPLATE and not (tag == "header" and inside)
-                        if attributes and not marked:
-                            names = {w.lower() for a in _NAMES.findall(attributes) for w in _PARTS.findall("".join(a))}
-                            marked = not names.isdisjoint(_MARKED) or bool(_HIDDEN.search(attributes))
-                    stack.append((tag, bad or marked, inside))
+                    elif tag in _BOILERPLATE and not (tag == "header" and inside):
+                        marks = (*marks, 0)
+                    elif m[5]:
+                        says = 2 if _HIDDEN.search(m[5]) else named(m[5], inside)
+                        if says:
+                            marks = (*marks, len(doubts))
+                            doubts.append(says)
+                    stack.append((tag, marks, inside))
     if at < len(page):
         text.append(page[at:])
     flush()
-    return out
-
-
-def weights(rows: list[tuple[str, int, bool, bool]], lift: int) -> list[int]:
-    """The weight of each line of :func:`lines` in the text distribution.
-
-    Its characters outside links, and none for a line of a menu, header, footer,
-    advert and the like. Markup is a weight as well: where a page says which part
-    is its article (``<article>``, ``<main>``), a line inside weighs its whole
-    length and ``lift`` more, and other lines weigh nothing.
+    size, links, own_ = ([0] * len(doubts) for _ in range(3))
+    whole = 0
+    for line, in_links, own, marks, _, _ in found:
+        whole += 0 if 0 in marks else own
+        for k in marks:
+            size[k] += len(line)
+            links[k] += in_links
+            own_[k] += own
+    kept = {k for k, says in enumerate(doubts) if k and (own_[k] > max(whole / 2, _LITTLE) or (says == 1 and 2 * links[k] < size[k]))}
+    return [Line(line, own, not kept.issuperset(marks), inside, head) for line, _, own, marks, inside, head in found]
+
+
+def weights(rows: list[Line]) -> list[int]:
+    """The weight of each line in the text distribution.
+
+    Its characters outside links. Markup is a weight as well: where a page says
+    which part is its article (``<article>``, ``<main>``), all characters of a line
+    inside count, twice, and those of other lines do not.
     """
-    marked = any(inside and not bad for _, _, bad, inside in rows)
-    out = []
-    for text, own, bad, inside in rows:
-        if bad:
-            out.append(0)
-        elif marked:
-            out.append(len(text) + lift if inside else 0)
-        else:
-            out.append(own)
-    return out
+    if any(r.inside for r in rows):
+        return [2 * len(r.text) if r.inside else 0 for r in rows]
+    return [r.own for r in rows]
 
 
 def text_runs(weight: list[int], window: int, surge: int) -> list[tuple[int, int]]:
@@ -145,16 +190,31 @@ def text_runs(weight: list[int], window: int, surge: int) -> list[tuple[int, int
     return out if start is None else [*out, (start, n)]
 
 
+def with_openings(rows: list[Line], weight: list[int], runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """``runs`` with the light lines that stand directly before them: inside an article all that weigh, elsewhere those from a heading on."""
+    out: list[tuple[int, int]] = []
+    for start, end in runs:
+        least = out[-1][1] if out else 0
+        k = first = start
+        while k > least and weight[k - 1]:
+            k -= 1
+            if rows[k].inside or rows[k].heading:
+                first = k
+        out.append((first, end))
+    return out
+
+
 def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     """The blocks between surge and dive points of a page's text distribution, joined by newlines.
 
-    Between the two points every block stays, however short or full of links,
-    but those of menus, headers, footers, adverts and the like, which :func:`lines`
-    tells by their elements and names.
+    Menus, headers, footers, adverts and the like, which :func:`lines` tells by
+    their elements, names and links, are taken out first. Between a surge and the
+    next dive every other block stays, however short or full of links.
     """
-    rows = lines(page or "")
-    runs = text_runs(weights(rows, surge), window, surge)
-    return "\n".join(rows[k][0] for i, j in runs for k in range(i, j) if not rows[k][2])
+    rows = [r for r in lines(page or "") if not r.bad]
+    weight = weights(rows)
+    runs = with_openings(rows, weight, text_runs(weight, window, surge))
+    return "\n".join(r.text for i, j in runs for r in rows[i:j])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

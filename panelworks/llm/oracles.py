@@ -7,15 +7,20 @@ from .licenses import PHRASES, TEMPLATES
 _WORDS = r"'[0-9a-z\x{80}-\x{10FFFF}]+'"
 
 
-def _shingled(name: str, table: str, key: str) -> str:
-    """CTEs up to ``name``: (key, s) of the different five-word shingles of a table's texts."""
-    return f"""{name}_w AS (SELECT {key}, regexp_extract_all(lower(text), {_WORDS}) AS w FROM {table} WHERE text IS NOT NULL AND {key} IS NOT NULL),
-{name} AS (SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM {name}_w WHERE len(w) >= 5)"""
+def _shingled(name: str, table: str, key: str, sizes: str) -> str:
+    """CTEs up to ``name``: (key, n, s) of the different n-word shingles of a table's texts, n from ``sizes``."""
+    return f"""{name} AS (SELECT DISTINCT {key}, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s FROM {table}_w, {sizes} WHERE len(w) >= n)"""
 
 
-DECONTAMINATION = f"""WITH {_shingled("ds", "documents", "doc_id")}, {_shingled("qs", "benchmark", "item_id")}, size AS (SELECT item_id, count(*) AS n FROM qs GROUP BY item_id)
-SELECT doc_id, item_id, any_value(n) AS n_item_shingles, count(*) AS n_shared, count(*) / any_value(n) AS containment
-FROM qs JOIN ds USING (s) JOIN size USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n) - 1e-9"""
+def _worded(table: str, key: str) -> str:
+    return f"{table}_w AS (SELECT {key}, regexp_extract_all(lower(text), {_WORDS}) AS w FROM {table} WHERE text IS NOT NULL AND {key} IS NOT NULL)"
+
+
+DECONTAMINATION = f"""WITH {_worded("documents", "doc_id")}, {_worded("benchmark", "item_id")}, sizes AS (SELECT DISTINCT least(5, len(w)) AS n FROM benchmark_w WHERE len(w) > 0),
+{_shingled("ds", "documents", "doc_id", "sizes")}, {_shingled("all_qs", "benchmark", "item_id", "sizes")}, qs AS (SELECT q.* FROM all_qs q JOIN benchmark_w b ON q.item_id = b.item_id AND q.n = least(5, len(b.w))),
+size AS (SELECT item_id, count(*) AS m FROM qs GROUP BY item_id)
+SELECT doc_id, item_id, any_value(m) AS n_item_shingles, count(*) AS n_shared, count(*) / any_value(m) AS containment
+FROM qs JOIN ds USING (n, s) JOIN size USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(m) - 1e-9"""
 
 #: CRC-32 byte by byte: the table of the 256 remainders, then a fold over the text's bytes.
 _CRC = """remainders AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i::UBIGINT], list_transform(range(8), lambda k: 0::UBIGINT)),

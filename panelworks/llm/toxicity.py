@@ -123,7 +123,7 @@ def train_toxicity(
 ) -> ToxicityModel:
     """Fit on at most ``most_rows`` labelled documents, those with the smallest hashes of their doc_ids.
 
-    labels: doc_id and toxic (0/1; null: unlabelled). Features are found on the
+    labels: doc_id and toxic (0/1; null: unlabelled; of several labels of a doc_id the greatest counts). Features are found on the
     executors; those kept stand in at least ``least_rows`` documents of the sample
     and have a share of toxic ones that lies ``least_z`` standard errors or more
     from the sample's, so that words that stand in few documents by chance weigh
@@ -134,7 +134,7 @@ def train_toxicity(
     labels every score is 0.5; with one class, that class's prior.
     """
     marked = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int"))
-    marked = marked.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # at most most_rows rows of 12 bytes
     groups = [[t.lower().encode() for t in group] for group in identity_terms]
     swap = {a: b for group in groups for a, b in zip(group, group[1:] + group[:1])}

@@ -220,17 +220,18 @@ def vector_duplicates(vectors: DataFrame, cosine: float = 0.95, tables: int = 10
 
     Null, zero or empty vectors, and those with null or non-finite components,
     link with nothing; vectors of different lengths do not link. Rows with null
-    vec_ids give no row; repeated vec_ids give one, linked as its smallest key.
+    vec_ids give no row. Repeated vec_ids give one: of their vectors that can link,
+    the one of the smallest key stands for the id, and the others are not compared.
     """
-    rows = checkpoint(prepared(vectors))
-    each = rows.groupBy("vec_id").agg(F.min("key").alias("key"))
-    valid = rows.where("key is not null")
-    classes = checkpoint(valid.groupBy("key").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("n"), F.first("unit").alias("unit")))
+    one = F.min_by(F.struct("key", "unit"), "key").alias("v")
+    each = checkpoint(prepared(vectors).groupBy("vec_id").agg(one).select("vec_id", "v.key", "v.unit"))
+    valid = each.where("key is not null")
+    classes = checkpoint(valid.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("unit").alias("unit")))
     found = checkpoint(linked(classes.select(F.col("rep").alias("id"), "n", "unit"), cosine, tables, blocks, scale, block))
     links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("others").alias("others"))
     component = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
     named = classes.select("key", "rep", "n").join(links, "rep", "left").join(component, "rep", "left")
     named = checkpoint(named.select("key", "n", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    out = join_on_hot(each.where("key is not null"), named, "key", "n").select("vec_id", "n_links", "component_id")
+    out = join_on_hot(valid.select("vec_id", "key"), named, "key", "n").select("vec_id", "n_links", "component_id")
     out = out.union(each.where("key is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))

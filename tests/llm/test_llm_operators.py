@@ -310,13 +310,19 @@ def test_components(spark):
     assert got == {i: c for i, c in want.items() if any(i in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_of_stars_paths_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(1000, 1400)] + [(9000, i) for i in range(2000, 2300)] + [(5, i) for i in range(3000, 3200)] + [(3000, 2000), (7, 7)]
+    got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: c for i, c in closure({x for e in edges for x in e}, edges).items() if i != 7}
+
+
 # Decontamination
 
 
 def test_contamination_is_exact_containment(spark, odd, empty):
-    items = [(i, prose(500 + i, 12 + 9 * i, 5000)) for i in range(8)] + [(90, None), (91, "too short"), (3, prose(77, 40, 5000))]
+    items = [(i, prose(500 + i, 12 + 9 * i, 5000)) for i in range(8)] + [(90, None), (91, "too short"), (3, prose(77, 40, 5000)), (92, "..."), (93, "Paris is nice."), (94, "zzyzx"), (95, "one two three four")]
     rng = random.Random(8)
-    rows = [*ODD]
+    rows = [*ODD, (60, "They say PARIS is: nice every day"), (61, "paris is not nice"), (62, "ab zzyzx"), (63, "one two three four"), (64, "two three four one"), (65, "paris is")]
     for i in range(40):
         words = prose(i, rng.choice([20, 300, 6000]), 5000).split()
         quote = (items[i % 8][1]).split()
@@ -328,15 +334,20 @@ def test_contamination_is_exact_containment(spark, odd, empty):
 
     def sets(t):
         w = common.words(t or "")
-        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        return {tuple(w[k : k + n]) for n in range(1, 6) for k in range(len(w) - n + 1)}
+
+    def asked(q):
+        n = min(5, len(common.words(q or "")))
+        return {x for x in sets(q) if len(x) == n}
 
-    want = {(d, i) for d, t in rows if d is not None for i, q in items if sets(q) and len(sets(q) & sets(t)) >= 0.8 * len(sets(q))}
+    want = {(d, i) for d, t in rows if d is not None for i, q in items if asked(q) and len(asked(q) & sets(t)) >= 0.8 * len(asked(q))}
+    assert {(60, 93), (62, 94), (63, 95)} <= want and not {(61, 93), (64, 95)} & want
     got = decontamination.contaminated_pairs(table(spark, rows), bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want) > 15
     shuffled = decontamination.contaminated_pairs(table(spark, rows), bench, most_broadcast=0).collect()
     assert {(r["doc_id"], r["item_id"]) for r in shuffled} == want
     assert decontamination.contaminated_pairs(empty, bench).count() == 0 and decontamination.contaminated_pairs(odd, bench.limit(0)).count() == 0
-    bad = {t for d, t in rows if d in {p[0] for p in want} and d >= 100}
+    bad = {t for d, t in rows if d in {p[0] for p in want} and d >= 60}
     again = [*rows, (None, sorted(bad)[0]), (101, "an innocent text of the same doc_id"), (8, sorted(bad)[1])]
     left = decontamination.decontaminate(table(spark, again).withColumn("_text_hash", F.lit(3)), bench)
     assert Counter((r["doc_id"], r["text"], r["_text_hash"]) for r in left.collect()) == Counter((i, t, 3) for i, t in again if t not in bad)
