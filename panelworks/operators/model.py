@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,14 +13,40 @@ from ..functions.expr import clip
 from .features import standardize_scores
 
 
+def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
+    """Rounds up to the least error, and whether ``patience`` rounds without a lesser one came after it; later rounds are not looked at."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The ensemble of the first ``n`` trees of a model."""
+    gateway, java = SparkContext._active_spark_context._gateway, model._java_obj
+    regression = gateway.jvm.org.apache.spark.ml.regression
+    trees = gateway.new_array(regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(list(java.trees())[:n], list(java.treeWeights())[:n])):
+        trees[i], weights[i] = tree, weight
+    cut = GBTRegressionModel(regression.GBTRegressionModel(java.uid(), trees, weights, model.numFeatures))
+    return cut.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
+
+
 def fit_model(
-    train: DataFrame, features: list[str], target: str = "target", valid: float = 0.15, trees: int = 2000, depth: int = 3, eta: float = 0.01, seed: int = 42, least_gain: float = 1e-4
+    train: DataFrame, features: list[str], target: str = "target", valid: float = 0.15, trees: int = 2000, depth: int = 3, eta: float = 0.01, seed: int = 42, patience: int = 50, first: int = 100
 ) -> PipelineModel:
-    """Boosted trees on ``features``; the last ``valid`` share of dates decides when to stop.
+    """Boosted trees on ``features``, cut to the round whose error on the last ``valid`` share of dates is the least.
 
-    Trees are added, at most ``trees``, until the error on the held dates falls by
-    less than ``least_gain`` of itself. Fails on fewer than 80 rows or a target
-    that hardly varies; targets are held to +-50.
+    The search ends when ``patience`` rounds have brought no lesser error, or at
+    ``trees`` rounds. It fits ``first`` rounds, and twice as many while it has not
+    ended: the same seed gives the same trees again, so that at most as many
+    rounds are built in vain as are needed. Fails on fewer than 80 rows or a target
+    that hardly varies; targets are held to +-50. Without rows on the held dates
+    all rounds stay.
     """
     rows = train.select("date", *features, clip(F.col(target), -50, 50).alias("label")).where("label is not null").persist()
     try:
@@ -28,10 +55,24 @@ def fit_model(
             raise ValueError(f"{n} rows with a target spread of {spread}: too little to fit")
         dates = rows.select("date").distinct()
         share = F.percent_rank().over(Window.orderBy("date"))  # a row a date
-        held = rows.join(dates.select("date", (share > 1 - valid).alias("held")), "date")
+        split = rows.join(dates.select("date", (share > 1 - valid).alias("held")), "date")
         assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
-        gbt = GBTRegressor(maxDepth=depth, maxIter=trees, stepSize=eta, seed=seed, validationIndicatorCol="held", validationTol=least_gain, predictionCol="score")
-        return PipelineModel([assembler, gbt.fit(assembler.transform(held))])
+        # Every round reads the rows once a level: few rows in few partitions.
+        ready = assembler.transform(split).select("features", "label", "held").coalesce(max(1, n // 2_000)).persist()
+        try:
+            held = ready.where("held")
+            checked = held.limit(1).count() > 0
+            rounds = min(first, trees) if checked else trees
+            while True:
+                gbt = GBTRegressor(maxDepth=depth, maxIter=rounds, stepSize=eta, seed=seed, predictionCol="score")
+                fitted = gbt.fit(ready.where("not held") if checked else ready)
+                best, ended = best_round(fitted.evaluateEachIteration(held, "squared"), patience) if checked else (rounds, True)
+                if ended or rounds >= trees:
+                    break
+                rounds = min(2 * rounds, trees)
+        finally:
+            ready.unpersist()
+        return PipelineModel([assembler, first_trees(fitted, best)])
     finally:
         rows.unpersist()
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip
@@ -151,13 +154,29 @@ def walk_forward_metrics(each: DataFrame, curve: DataFrame) -> DataFrame:
 Trainer = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 
 
-def walk_forward(panel: DataFrame, score: Column | Trainer, window: int = 252, step: int = 63, **plan_options) -> dict[str, DataFrame]:
+def side_by_side(tasks: list[Callable[[], DataFrame]], spark: SparkSession, at_once: int, pool: str = "folds") -> list[DataFrame]:
+    """What the tasks give, in their order; up to ``at_once`` of them submit their jobs from threads of their own, to a scheduler pool of their own."""
+
+    def run(task: Callable[[], DataFrame]) -> DataFrame:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
+        try:
+            return task()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max_workers=at_once) as threads:
+        return [f.result() for f in [threads.submit(inheritable_thread_target(spark)(run), t) for t in tasks]]
+
+
+def walk_forward(panel: DataFrame, score: Column | Trainer, window: int = 252, step: int = 63, at_once: int = 1, **plan_options) -> dict[str, DataFrame]:
     """positions, periods, folds, curve and summary of a walk-forward run.
 
     score: a column expression, which needs no fit and keeps all folds in one
     job, or a trainer, called once a fold with the fold's training rows, whose
-    result adds ``score`` to the fold's test rows. The panel is read several
-    times: hand over a table or a checkpointed frame.
+    result adds ``score`` to the fold's test rows. Folds do not depend on each
+    other: up to ``at_once`` are fitted side by side, and the scores of each are
+    checkpointed where it is fitted. The panel is read several times: hand over a
+    table or a checkpointed frame.
     """
     dates = checkpointed(date_index(panel))  # a row a date, a fold, a period
     plan = checkpointed(folds(dates, window, step, **plan_options))
@@ -166,14 +185,18 @@ def walk_forward(panel: DataFrame, score: Column | Trainer, window: int = 252, s
         scored = panel.select("ticker", "date", score.alias("score"))
         positions = long_short_positions(scored, trades)
     else:
-        parts = None
-        for row in sorted(plan.select("fold").collect()):  # tens of folds
-            one = plan.where(F.col("fold") == row["fold"])
+
+        def fold(number: int) -> DataFrame:
+            one = plan.where(F.col("fold") == number)
             predict = score(assign(panel, dates, one, "train"))
-            test = predict(assign(panel, dates, one, "test")).select("ticker", "date", "score")
-            got = long_short_positions(test, trades.where(F.col("fold") == row["fold"]))
-            parts = got if parts is None else parts.unionByName(got)
-        positions = parts
+            test = checkpointed(predict(assign(panel, dates, one, "test")).select("ticker", "date", "score"))
+            return long_short_positions(test, trades.where(F.col("fold") == number))
+
+        numbers = sorted(r["fold"] for r in plan.select("fold").collect())  # tens of folds
+        if not numbers:
+            raise ValueError("too few dates for a fold")
+        parts = side_by_side([lambda k=k: fold(k) for k in numbers], panel.sparkSession, at_once)
+        positions = reduce(DataFrame.unionByName, parts)
     positions = checkpointed(positions)  # a few names a period
     periods = checkpointed(period_returns(positions, panel))
     each = fold_metrics(periods, checkpointed(turnover(positions)))

@@ -130,11 +130,11 @@ def _severities(s: SparkSession, d: str) -> DataFrame:
     return hourly.select("key", F.unix_timestamp("h").alias("t"), "severity")
 
 
-def _streamed(s: SparkSession, rows: DataFrame, early: Column, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What ``job`` makes of ``rows`` as a stream of two files, ``early`` ones first."""
+def _streamed(s: SparkSession, rows: DataFrame, early: Column, end: DataFrame, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``job`` makes of ``rows`` as a stream of two files, ``early`` ones first; a third one with ``end`` moves the watermark past them."""
     root = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
     rows = checkpointed(rows)
-    for part in (rows.where(early), rows.where(~early)):
+    for part in (rows.where(early), rows.where(~early), end.select(*[F.col(c).cast(t).alias(c) for c, t in rows.dtypes])):
         part.coalesce(1).write.mode("append").parquet(f"{root}/in")
     source = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     job(source).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
@@ -148,17 +148,16 @@ def q_h8(s: SparkSession, d: str) -> DataFrame:
 
 @register("h8_stream_decisions", _DECIDED)
 def q_h8s(s: SparkSession, d: str) -> DataFrame:
-    rows = _severities(s, d)
-    middle = rows.agg(((F.min("t") + F.max("t")) / 2).cast("long")).first()[0] or 0
-    return _streamed(s, rows, F.col("t") < middle, lambda stream: jobs.stream_retrain_decisions(stream, 3 * 3600))
+    """Two files that overlap by four hours: the second one has events of every fifth hour of the first one's last four, late."""
+    rows = checkpointed(_severities(s, d))
+    middle, last = rows.agg(((F.min("t") + F.max("t")) / 2).cast("long"), F.max("t")).first()
+    end = s.createDataFrame([(None, (last or 0) + 30 * 86400, 0)], "key string, t long, severity int")
+    late = F.col("t").between(middle - 4 * 3600, middle) & (F.floor(F.col("t") / 3600) % 2 == 0)
+    return _streamed(s, rows, (F.col("t") < middle) & ~late, end, lambda stream: jobs.stream_retrain_decisions(stream, 3 * 3600, "6 hours"))
 
 
 # Models
 
-#: Rounds of the registered fits; the operator's own limit is 2000.
-TREES = 100
-
-
 def _training(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The model columns of all bars, and those with a target before 2000."""
     panel = checkpointed(feature_pipeline(bars(s, d)).drop("close"))
@@ -169,7 +168,7 @@ def _training(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @register("i1_i2_fit_predict")
 def q_i1(s: SparkSession, d: str) -> DataFrame:
     panel, train = _training(s, d)
-    fitted = model.fit_model(train, MODEL_FEATURES, trees=TREES)
+    fitted = model.fit_model(train, MODEL_FEATURES)
     return out(model.predict(fitted, panel.where("date >= '2000-01-01'"), MODEL_FEATURES), "ticker", "date", "score")
 
 
@@ -181,7 +180,7 @@ def q_i2(s: SparkSession, d: str) -> DataFrame:
 
 @register("i3_importance")
 def q_i3(s: SparkSession, d: str) -> DataFrame:
-    return model.feature_importance(model.fit_model(_training(s, d)[1], MODEL_FEATURES, trees=TREES), MODEL_FEATURES, s)
+    return model.feature_importance(model.fit_model(_training(s, d)[1], MODEL_FEATURES), MODEL_FEATURES, s)
 
 
 # Scoring
@@ -215,7 +214,11 @@ sig AS (SELECT *, round(h, 6) AS hybrid, round(greatest(-1, least(1, h * exposur
 
 def panel(s: SparkSession, d: str) -> DataFrame:
     """The scored panel with made-up signals, drift states and political labels."""
-    df = scored_panel(bars(s, d))
+    return marked(scored_panel(bars(s, d)))
+
+
+def marked(df: DataFrame) -> DataFrame:
+    """A scored panel with made-up signals, drift states and political labels."""
     m, day = F.month("date"), F.dayofmonth("date")
     return df.withColumns({
         "signal": F.when(F.col("score") > 0.5, "LONG").when(F.col("score") < -0.5, "SHORT").otherwise("NEUTRAL"),
@@ -495,6 +498,21 @@ def q_k13(s: SparkSession, d: str) -> DataFrame:
     return out(_walk(s, d)["summary"].withColumn("final_equity", F.round("final_equity", 3)), digits=5)
 
 
+@register("k13_fitted_folds")
+def q_k13f(s: SparkSession, d: str) -> DataFrame:
+    """A model fitted on every fold, two folds at a time."""
+    panel = checkpointed(feature_pipeline(bars(s, d)))
+    target = cs_target(bars(s, d)).select("ticker", "date", "target")
+    rows = checkpointed(panel.join(target, ["ticker", "date"], "left"))
+
+    def trainer(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        fitted = model.fit_model(train, MODEL_FEATURES, eta=0.1, patience=5, first=10)
+        return lambda test: model.predict(fitted, test, MODEL_FEATURES)
+
+    found = walkforward.walk_forward(rows, trainer, 180, 60, at_once=2)
+    return out(found["folds"], digits=5)
+
+
 # Performance
 
 _PF = O.PREDICTIONS + """, wt AS (SELECT date, ticker, 0.2 AS weight FROM (SELECT p.date, p.ticker, sector, score, row_number() OVER (PARTITION BY p.date, sector ORDER BY score DESC, p.ticker) AS k FROM pred p JOIN bars b ON b.ticker = p.ticker AND b.date = p.date)
@@ -612,16 +630,18 @@ def q_s1(s: SparkSession, d: str) -> DataFrame:
 
 @register("s2_snapshot_of_dates", f"WITH {_PANEL} SELECT date, ticker, {nums(['hybrid', 'weight'])} FROM sig")
 def q_s2(s: SparkSession, d: str) -> DataFrame:
-    """Bars come as a stream of two files; each batch publishes the snapshot of the dates that it brings."""
+    """Bars come as a stream of two files, the second one with late bars of the first one's dates; each batch publishes all dates that it moves."""
     root = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
-    rows = checkpointed(bars(s, d).select("ticker", "date"))
-    for part in (rows.where("date < '1999-01-01'"), rows.where("date >= '1999-01-01'")):
+    rows = checkpointed(bars(s, d))
+    early = (F.col("date") < "1999-01-01") & ~(F.col("ticker").endswith("3") & (F.col("date") > "1998-03-01"))
+    for part in (rows.where(early), rows.where(~early)):
         part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    scored = checkpointed(agents(panel(s, d)).select("date", "ticker", "hybrid", "weight"))
     source = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    jobs.stream_snapshot(
-        source, lambda dates: scored.join(dates, "date", "left_semi"), lambda rows: rows.write.mode("append").parquet(f"{root}/out"), f"{root}/state"
-    ).awaitTermination()
+
+    def snapshot(part: DataFrame) -> DataFrame:
+        return agents(marked(scored_panel(part))).select("date", "ticker", "score", "hybrid", "weight")
+
+    jobs.stream_snapshot(source, f"{root}/bars", snapshot, f"{root}/out", f"{root}/state", log=f"{root}/log").awaitTermination()
     return out(s.read.parquet(f"{root}/out"), "date", "ticker", "hybrid", "weight")
 
 
@@ -656,9 +676,13 @@ def q_s4(s: SparkSession, d: str) -> DataFrame:
 
 @register("s4_stream_usage", _USED_ROWS)
 def q_s4s(s: SparkSession, d: str) -> DataFrame:
-    rows = requests(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    middle = rows.agg(F.timestamp_micros(((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2).cast("long"))).first()[0]
-    return out(_streamed(s, rows, F.col("ts") < F.lit(middle), lambda stream: jobs.stream_anchored_usage(stream, ["client", "endpoint"], 7 * 86400.0, 3)), digits=3)
+    """Two files, the second one with every third event of the first one's last two hours."""
+    rows = checkpointed(requests(s, d).withColumn("ts", F.col("ts").cast("timestamp")))
+    middle, last = rows.agg(F.timestamp_micros(((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2).cast("long")), F.max("ts")).first()
+    late = F.col("ts").between(F.lit(middle) - F.expr("INTERVAL 2 HOURS"), F.lit(middle)) & (F.xxhash64("ts") % 3 == 0)
+    end = rows.limit(1).withColumns({"ts": F.lit(last) + F.expr("INTERVAL 30 DAYS"), "client": F.lit(None).cast("string"), "endpoint": F.lit("end")})
+    usage = _streamed(s, rows, (F.col("ts") < F.lit(middle)) & ~late, end, lambda stream: jobs.stream_anchored_usage(stream, ["client", "endpoint"], 7 * 86400.0, 3, late="3 hours"))
+    return out(usage, digits=3)
 
 
 @register(

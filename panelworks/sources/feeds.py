@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.expr import clean_num
 from ..functions.lineage import checkpointed
 from ..operators.quality import sanitize_ticker
+from .partitions import MONTH, absent, first_of, month, remove, table_at
 
 BARS = T.StructType([
     T.StructField("ticker", T.StringType()), T.StructField("date", T.DateType()), T.StructField("open", T.DoubleType()), T.StructField("high", T.DoubleType()),
@@ -43,8 +43,7 @@ def new_rows(new: DataFrame, target: DataFrame, keys: list[str], order: list[Col
 
     The target is cut to the batch's range of ``prune`` before the anti join.
     """
-    first = Window.partitionBy(*keys).orderBy(*order)
-    fresh = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    fresh = first_of(new, keys, order)
     have = target.select(*keys)
     if prune:
         span = new.agg(F.min(prune).alias("_lo"), F.max(prune).alias("_hi"))
@@ -65,42 +64,45 @@ def to_store(df: DataFrame, features: list[str], version: str) -> DataFrame:
 
 
 def write_features(df: DataFrame, features: list[str], version: str, path: str) -> None:
-    """Append the features that the store at ``path`` lacks, partitioned by version."""
-    rows = to_store(df, features, version)
+    """Append the features that the store at ``path`` lacks, partitioned by version and month.
+
+    A (ticker, date) that is there without some of the features gets another row
+    with all of them; readers take each feature from the row that has it.
+    """
+    rows = checkpointed(first_of(to_store(df, features, version).withColumn(MONTH, month()), ["ticker", "date"], [F.lit(0)]))
     have = read_store(df.sparkSession, path)
     if have is not None:
-        rows = new_rows(rows, have.where(F.col("feature_version") == version), ["ticker", "date", "feature_version"], [F.lit(0)])
-    rows.write.mode("append").partitionBy("feature_version").parquet(path)
+        rows = absent(rows, with_all(have.where(F.col("feature_version") == version), features, MONTH), ["ticker", "date"])
+    rows.repartition(MONTH).write.mode("append").partitionBy("feature_version", MONTH).parquet(path)
 
 
-def table_at(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    """The parquet table at ``path``, None if there is none yet."""
-    try:
-        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+def with_all(store: DataFrame, features: list[str], *more: str) -> DataFrame:
+    """(ticker, date, *more) of the keys for which each of ``features`` is stored, in one row or in several."""
+    has = [F.max(F.map_contains_key("features", f)).alias(f"_{i}") for i, f in enumerate(features)]
+    every = F.least(*[F.col(f"_{i}") for i in range(len(features))], F.lit(True))
+    return store.groupBy("ticker", "date", *more).agg(*has).where(every).select("ticker", "date", *more)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame | None:
     """The feature store at ``path``, None if there is none yet."""
-    return table_at(spark, path, "ticker string, date date, features map<string,double>, feature_version string")
+    return table_at(spark, path, f"ticker string, date date, features map<string,double>, feature_version string, {MONTH} int")
 
 
 def stored_or_computed(bars: DataFrame, path: str, version: str, features: list[str], compute: Callable[[DataFrame], DataFrame], days: int = 380) -> DataFrame:
     """Features of all bars from the store at ``path``; what it lacks is computed and stored first.
 
-    ``compute`` maps bars to rows (ticker, date, features). It sees the bars of
-    all tickers from ``days`` before the first missing date on, as cross-sections
-    need all of a date, and only missing keys are appended.
+    A bar counts as stored if all ``features`` are. ``compute`` maps bars to rows
+    (ticker, date, features). It sees the bars of all tickers from ``days`` before
+    the first missing date on, as cross-sections need all of a date, and only
+    missing keys are appended. Recursions need more than that:
+    :func:`panelworks.operators.features.resumed_pipeline`.
     """
     spark = bars.sparkSession
     store = read_store(spark, path)
     if store is None:
         write_features(compute(bars), features, version, path)
     else:
-        gone = checkpointed(missing_keys(bars, store, version))
+        gone = checkpointed(missing_keys(bars, store, version, features))
         first = gone.agg(F.min("date")).first()[0]
         if first is not None:
             recent = bars.where(F.col("date") >= F.date_sub(F.lit(first), days))
@@ -116,12 +118,14 @@ def read_features(store: DataFrame, features: list[str], version: str, start: st
         rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
     if end:
         rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
-    return rows.select("ticker", "date", *[F.col("features")[f].alias(f) for f in features])
+    return rows.groupBy("ticker", "date").agg(*[F.max(F.col("features")[f]).alias(f) for f in features])  # a row each time that columns were added
 
 
-def missing_keys(bars: DataFrame, store: DataFrame, version: str) -> DataFrame:
-    """(ticker, date) of bars without stored features of the version."""
-    return bars.select("ticker", "date").join(store.where(F.col("feature_version") == version).select("ticker", "date"), ["ticker", "date"], "left_anti")
+def missing_keys(bars: DataFrame, store: DataFrame, version: str, features: list[str] | None = None) -> DataFrame:
+    """(ticker, date) of bars without stored features of the version: without any row, or without one of ``features``."""
+    have = store.where(F.col("feature_version") == version)
+    have = have.select("ticker", "date") if features is None else with_all(have, features)
+    return bars.select("ticker", "date").join(have, ["ticker", "date"], "left_anti")
 
 
 def with_warmup(bars: DataFrame, missing: DataFrame, days: int = 380) -> DataFrame:
@@ -135,6 +139,11 @@ def drop_feature_version(store: DataFrame, version: str) -> DataFrame:
     return store.where(F.col("feature_version") != version)
 
 
+def drop_version_on_disk(spark: SparkSession, path: str, version: str) -> None:
+    """Delete a version's folder of the store at ``path``; the files of other versions stay as they are."""
+    remove(spark, path, [f"feature_version={version}"])
+
+
 def append_predictions(new: DataFrame, target: DataFrame) -> DataFrame:
     """Predictions that ``target`` lacks by (ticker, date, model_version), defaults in place of missing values."""
     filled = new.withColumns({"model_version": F.coalesce("model_version", F.lit("unknown")), "score": F.coalesce("score", F.lit(0.0))})

@@ -6,17 +6,18 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from ..functions.chunks import in_order
 from ..functions.expr import clean_num
-from ..functions.lineage import small
+from ..functions.lineage import checkpointed, small
 from ..operators.drift import decide
+from ..operators.features import REACH
 from ..operators.quality import normalize_dates, sanitize_ticker
-from ..sources.feeds import append_bars, table_at
+from ..sources.partitions import MONTH, insert, replace, table_at
 
 #: Upper bounds of the latency buckets in seconds.
 BUCKETS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0)
@@ -31,27 +32,70 @@ def clean_stream(source: DataFrame, overlap: str = "3 days") -> DataFrame:
     return rows.withWatermark("bar_ts", overlap).dropDuplicatesWithinWatermark(["ticker", "date"])
 
 
+def _started(writer: DataStreamWriter, checkpoint: str, every: str | None) -> StreamingQuery:
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def stream_bars(source: DataFrame, target: str, checkpoint: str, overlap: str = "3 days", once: bool = True) -> StreamingQuery:
-    """Append a stream of bars to the parquet table ``target``, inserting only absent (ticker, date)."""
+    """Append a stream of bars to the table ``target``, partitioned by month, inserting only absent (ticker, date); a batch reads the months that it touches."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        have = table_at(batch.sparkSession, target)
         rows = normalize_dates(batch.drop("bar_ts"), "close")
-        rows = append_bars(rows, have if have is not None else rows.limit(0).select("ticker", "date"), "stream")
-        rows.write.mode("append").parquet(target)
+        rows = rows.withColumns({"volume": F.coalesce("volume", F.lit(0.0)), "source": F.lit("stream")})
+        insert(rows, target, ["ticker", "date"], ["close"])
+
+    return _started(clean_stream(source, overlap).writeStream.foreachBatch(write), checkpoint, None if once else "1 minute")
 
-    out = clean_stream(source, overlap).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (out.trigger(availableNow=True) if once else out.trigger(processingTime="1 minute")).start()
 
+def moved_dates(bars: DataFrame, keys: DataFrame, reach: int) -> tuple[Any, Any, Any]:
+    """(warm, lo, hi) for new bars ``keys`` (ticker, date): the dates from lo to hi that they can move, and the first date needed to compute those.
 
-def stream_snapshot(source: DataFrame, snapshot: Callable[[DataFrame], DataFrame], publish: Callable[[DataFrame], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """For each batch of new bars, recompute and publish the snapshot of the dates that it touches."""
+    A bar moves its own date and the ``reach`` following bars of its ticker, and by
+    the cross-section all tickers of these dates; every ticker's frames reach
+    ``reach`` bars back. Both tables should be checkpointed or stored.
+    """
+    ends = checkpointed(keys.groupBy("ticker").agg(F.min("date").alias("_from"), F.max("date").alias("_to")))  # a row a ticker of the batch
+    lo, last = ends.agg(F.min("_from"), F.max("_to")).first()
+    if lo is None:
+        return None, None, None
+    at = bars.select("ticker", "date")
+    ahead, back = Window.partitionBy("ticker").orderBy("date"), Window.partitionBy("ticker").orderBy(F.desc("date"))
+    later = at.where(F.col("date") > F.lit(lo)).join(small(ends.select("ticker", "_to")), "ticker").where("date > _to")
+    hi = later.withColumn("_n", F.row_number().over(ahead)).where(F.col("_n") <= reach).agg(F.max("date")).first()[0]
+    before = at.where(F.col("date") < F.lit(lo)).withColumn("_n", F.row_number().over(back)).where(F.col("_n") <= reach)
+    return before.agg(F.min("date")).first()[0] or lo, lo, max(x for x in (hi, last) if x is not None)
+
+
+def stream_snapshot(
+    source: DataFrame, bars: str, snapshot: Callable[[DataFrame], DataFrame], published: str, checkpoint: str, reach: int = REACH, log: str | None = None, version: str = "live", every: str | None = None
+) -> StreamingQuery:
+    """For each batch of bars: store the absent ones at ``bars``, compute the snapshot of all dates that they move, and replace these dates at ``published``.
+
+    ``snapshot`` maps bars to rows with a date. It sees the bars from the warm-up
+    before those dates on, so that a late bar changes the dates after it as a
+    computation of everything would. Dates are partitions and replaced whole: a
+    batch that comes twice leaves the same table. With ``log``, the scores of the
+    dates (column ``score``) go to the prediction log there, unless it has them.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        publish(snapshot(batch.select("date").distinct()))
+        spark = batch.sparkSession
+        rows = checkpointed(batch)
+        insert(rows, bars, ["ticker", "date"])
+        stored = table_at(spark, bars)
+        if stored is None:
+            return
+        warm, lo, hi = moved_dates(stored, rows.select("ticker", "date"), reach)
+        if lo is None:
+            return
+        part = stored.where(F.col("date").between(F.lit(warm), F.lit(hi)) & F.col(MONTH).between(*(100 * x.year + x.month for x in (warm, hi)))).drop(MONTH)
+        made = checkpointed(snapshot(part).where(F.col("date").between(F.lit(lo), F.lit(hi))))
+        replace(made.repartition("date"), published, ["date"])
+        if log:
+            insert(made.select("ticker", "date", "score", F.lit(version).alias("model_version")), log, ["ticker", "date", "model_version"])
 
-    out = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+    return _started(source.writeStream.foreachBatch(write), checkpoint, every)
 
 
 def bucket_quantile(q: float) -> Column:
@@ -150,45 +194,66 @@ def locked_clients(events: DataFrame, features: list[str], ttl: float, limit: in
     return out.withColumn("fully_locked", F.size("locked") == len(set(features)))
 
 
-def _resume(state: GroupState) -> tuple | None:
-    return tuple(state.get) if state.exists else None
+def _in_time_order(rows: DataFrame, step: Callable[[Any, pd.DataFrame, list | None], tuple[pd.DataFrame, list | None]], ends: Callable[[list], float], schema: str) -> DataFrame:
+    """``step(key, rows, state)`` along each key's rows (key, u, x, _at) of a stream, in the order of ``u`` (microseconds), however they come.
 
-
-def stream_anchored_usage(events: DataFrame, keys: list[str], ttl: float, limit: int, blocked_over: bool = False, time: str = "ts", late: str = "1 hour") -> DataFrame:
-    """The counters of a stream of events; a key's state is dropped when the watermark, ``late`` behind, has passed its counter's end.
-
-    Events of a key must come in time order from batch to batch; within a batch they are sorted.
+    Events wait in the key's state until the watermark has passed them, as none
+    can come before them any more; they are then taken in time order. The state
+    (numbers) that the last event left stays until the watermark has passed
+    ``ends`` of it, when it can change nothing more, and goes.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        us, xs, now = (list(c) for c in state.get) if state.exists else ([], [], [])
+        if not state.hasTimedOut:
+            for f in batches:
+                us += f["u"].tolist()
+                xs += f["x"].tolist()
+        passed = state.getCurrentWatermarkMs() * 1000
+        f = pd.DataFrame({"u": pd.Series(us, dtype="int64"), "x": pd.Series(xs, dtype="int64")}).sort_values("u", kind="stable")
+        ready, wait = f[f["u"] <= passed], f[f["u"] > passed]
+        out = None
+        if len(ready):
+            out, left = step(key[0], ready, now or None)
+            now = list(left or [])
+        due = -(-int(wait["u"].min()) // 1000) if len(wait) else int(ends(now) * 1000) if now else 0
+        if len(wait) or due * 1000 > passed:
+            state.update((wait["u"].tolist(), wait["x"].tolist(), [float(v) for v in now]))
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-            return
-        f = pd.concat(list(batches)).sort_values("u", kind="stable")  # one key's events of one micro-batch
-        out, now = _usage(key[0], f, _resume(state), ttl, limit, blocked_over)
-        state.update(now)
-        state.setTimeoutTimestamp(max(int((now[0] + ttl) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield out
+        if out is not None:
+            yield out
+
+    return rows.groupBy("key").applyInPandasWithState(run, schema, "us array<long>, xs array<long>, now array<double>", "append", "EventTimeTimeout")
+
+
+def stream_anchored_usage(events: DataFrame, keys: list[str], ttl: float, limit: int, blocked_over: bool = False, time: str = "ts", late: str = "1 hour") -> DataFrame:
+    """The counters of a stream of events, which may come in any order within ``late``; a counter is kept until the watermark has passed its end."""
+
+    def step(key: str, f: pd.DataFrame, state: list | None) -> tuple[pd.DataFrame, list | None]:
+        out, now = _usage(key, f, (state[0], int(state[1])) if state else None, ttl, limit, blocked_over)
+        return out, list(now)
 
     rows = events.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", late)
-    rows = rows.select(F.concat_ws("|", *keys).alias("key"), F.unix_micros("_at").alias("u"), "_at")
-    return rows.groupBy("key").applyInPandasWithState(run, USAGE, "start double, n int", "append", "EventTimeTimeout")
+    rows = rows.select(F.concat_ws("|", *keys).alias("key"), F.unix_micros("_at").alias("u"), F.lit(0).cast("long").alias("x"), "_at")
+    return _in_time_order(rows, step, lambda now: now[0] + ttl, USAGE)
 
 
 DECISIONS = "key string, t long, severity int, decision string, retrain_required boolean"
 
 
-def stream_retrain_decisions(events: DataFrame, cooldown: int = 3600) -> DataFrame:
-    """Decisions on a stream of severity events (key, t, severity); the state of a key is the time of its last trigger."""
+def stream_retrain_decisions(events: DataFrame, cooldown: int = 3600, late: str = "1 hour") -> DataFrame:
+    """Decisions on a stream of severity events (key, t, severity), which may come in any order within ``late``; a trigger is remembered for the cooldown."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(batches)).sort_values("t", kind="stable")
-        decision, last = decide(f, cooldown, int(state.get[0]) if state.exists else None)
-        if last is not None:
-            state.update((last,))
-        yield f.assign(key=key[0], decision=decision, retrain_required=f["severity"] >= 10)[["key", "t", "severity", "decision", "retrain_required"]]
+    def step(key: str, f: pd.DataFrame, state: list | None) -> tuple[pd.DataFrame, list | None]:
+        f = pd.DataFrame({"key": key, "t": f["u"] // 1_000_000, "severity": f["x"].astype("int32")})
+        decision, last = decide(f, cooldown, int(state[0]) if state else None)
+        return f.assign(decision=decision, retrain_required=f["severity"] >= 10), None if last is None else [last]
 
-    return events.groupBy("key").applyInPandasWithState(run, DECISIONS, "t long", "append", "NoTimeout")
+    rows = events.withColumn("_at", F.timestamp_seconds("t")).withWatermark("_at", late)
+    rows = rows.select("key", (F.col("t").cast("long") * 1_000_000).alias("u"), F.col("severity").cast("long").alias("x"), "_at")
+    return _in_time_order(rows, step, lambda now: now[0] + cooldown, DECISIONS)
 
 
 def retrain_decisions(events: DataFrame, cooldown: int = 3600, key: str = "key") -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from panelworks.functions import ewm as E
 from panelworks.operators import drift, evaluate, features, fingerprint, indicators, model, quality, regimes, scoring, walkforward
-from panelworks.sources import feeds
+from panelworks.sources import feeds, partitions
 from panelworks.streaming import jobs
 from pyspark.sql import functions as F
 
@@ -217,6 +217,29 @@ def test_fitted_model_and_importance(spark):
         model.fit_model(df.limit(50), ["a", "b", "c"])
 
 
+def test_patience_decides_the_rounds(spark):
+    assert model.best_round([5, 4, 3, 3.5, 3.2, 2, 9], 2) == (3, True) and model.best_round([5, 4, 3, 3.5, 2.9], 2) == (5, False)
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame(rng.uniform(-1, 1, size=(600, 2)), columns=["a", "b"]).assign(date=[START + dt.timedelta(days=i // 10) for i in range(600)])
+    pdf["target"] = np.sin(3 * pdf["a"]) * (1 + pdf["b"]) + rng.normal(0, 0.1, 600)
+    df = spark.createDataFrame(pdf)
+    held = df.where(F.col("date") > START + dt.timedelta(days=51))
+
+    def error(fitted):
+        scored = fitted.transform(held).toPandas()
+        return float(((scored["score"] - scored["target"]) ** 2).mean())
+
+    few, many = (model.fit_model(df, ["a", "b"], trees=n, eta=0.05, first=40, patience=20) for n in (40, 100))
+    assert few.stages[-1].getNumTrees <= 40 and many.stages[-1].getNumTrees > 60  # the best round lies beyond the first fit
+    assert error(many) < error(few)
+    whole = model.fit_model(df, ["a", "b"], trees=100, eta=0.05, first=100, patience=100).stages[-1]
+    rules = [[t.toDebugString.split("\n", 1)[1] for t in m.trees] for m in (many.stages[-1], whole)]
+    n = min(map(len, rules))
+    assert rules[0][:n] == rules[1][:n]
+    cut = model.first_trees(whole, 7)
+    assert cut.getNumTrees == 7 and cut.treeWeights == whole.treeWeights[:7] and abs(sum(cut.featureImportances.toArray()) - 1) < 1e-9
+
+
 def test_fingerprint_ignores_order_and_sees_changes(spark, panel):
     _, df = panel
     a = fingerprint.dataset_fingerprint(df).first()
@@ -246,6 +269,10 @@ def test_walk_forward_with_a_trainer(spark):
     want = walkforward.walk_forward(df, 2 * F.col("f"), 150, 60)["summary"].first()
     assert got["num_windows"] == want["num_windows"] == 2 and abs(got["final_equity"] - want["final_equity"]) < 1e-6
     assert seen[0] < START + dt.timedelta(days=145)
+    pooled = walkforward.walk_forward(df, trainer, 150, 60, at_once=4)["summary"].first()
+    assert pooled == got and len(seen) == 4 and spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+    with pytest.raises(ValueError):
+        walkforward.walk_forward(df, trainer, 9_000, 60)
     assert -1 <= got["max_drawdown"] <= 0 and 0 <= got["avg_win_rate"] <= 1
 
 
@@ -293,3 +320,72 @@ def test_a_store_computes_only_what_it_lacks(spark, tmp_path, panel):
     want = {(r["ticker"], r["date"]): r["momentum_20"] or 0.0 for r in features.window_features(df).collect()}
     assert all(abs(r["momentum_20"] - want[r["ticker"], r["date"]]) < 1e-12 for r in got.collect())
     assert feeds.read_store(spark, str(tmp_path / "none")) is None
+
+
+def test_an_added_column_is_computed_for_a_filled_store(spark, tmp_path, panel):
+    _, df = panel
+    path, asked = str(tmp_path / "store"), []
+
+    def compute(bars):
+        asked.append(bars.count())
+        return features.window_features(bars)
+
+    feeds.stored_or_computed(df, path, "v1", ["momentum_20"], compute)
+    got = feeds.stored_or_computed(df, path, "v1", ["momentum_20", "volatility"], compute)
+    want = features.window_features(df).select("ticker", "date", F.coalesce("momentum_20", F.lit(0.0)).alias("momentum_20"), "volatility")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.where("volatility is null").count() == 0
+    feeds.stored_or_computed(df, path, "v1", ["volatility"], compute)
+    assert len(asked) == 2 and feeds.missing_keys(df, feeds.read_store(spark, path), "v1", ["volatility", "momentum_20"]).count() == 0
+
+
+def _files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_versions_and_old_rows_are_deleted_on_disk(spark, tmp_path, panel):
+    _, df = panel
+    store = tmp_path / "store"
+    for version in ("v1", "v2"):
+        feeds.write_features(df, ["close"], version, str(store))
+    before = _files(store)
+    feeds.drop_version_on_disk(spark, str(store), "v1")
+    assert _files(store) == {f: t for f, t in before.items() if "v2" in f} and feeds.read_store(spark, str(store)).select("feature_version").distinct().collect() == [("v2",)]
+
+    bars = tmp_path / "bars"
+    assert partitions.insert(df, str(bars), ["ticker", "date"]) == df.count()
+    before = _files(bars)
+    as_of, days = START + dt.timedelta(days=299), 150
+    partitions.retain(spark, str(bars), str(as_of), days)
+    left = spark.read.parquet(str(bars))
+    first = as_of - dt.timedelta(days=days)
+    assert left.agg(F.min("date")).first()[0] == first and left.count() == df.where(F.col("date") >= first).count()
+    edge = f"month={first.year * 100 + first.month}"
+    after = _files(bars)
+    assert {f: t for f, t in after.items() if edge not in f} == {f: t for f, t in before.items() if f.split("/")[0] > edge}
+    partitions.retain(spark, str(bars), str(as_of), days)
+    assert _files(bars).keys() - {f for f in _files(bars) if edge in f} == after.keys() - {f for f in after if edge in f}
+    partitions.retain(spark, str(tmp_path / "none"), str(as_of))
+
+
+def test_a_failed_replacement_leaves_the_table(spark, tmp_path, panel):
+    _, df = panel
+    path = tmp_path / "bars"
+    partitions.insert(df, str(path), ["ticker", "date"])
+    before = _files(path)
+    bad = df.withColumn("month", partitions.month()).withColumn("close", F.when(F.col("close") > 0, F.raise_error(F.lit("no"))).cast("double"))
+    with pytest.raises(Exception, match="no"):
+        partitions.replace(bad, str(path), ["month"])
+    assert _files(path) == before and spark.read.parquet(str(path)).count() == df.count()
+
+
+def test_an_insert_reads_only_the_months_that_it_touches(spark, tmp_path, panel):
+    _, df = panel
+    path = str(tmp_path / "bars")
+    partitions.insert(df.where("date <> '2022-03-15'"), path, ["ticker", "date"])
+    batch = df.where("date between '2022-03-10' and '2022-04-05'").union(df.where("date = '2022-03-15'")).withColumn("month", partitions.month()).checkpoint()
+    read = partitions.touched(spark.read.parquet(path), batch)
+    assert {r[0].split("month=")[1].split("/")[0] for r in read.select(F.input_file_name()).distinct().collect()} == {"202203", "202204"}
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [month#" in plan or "PartitionFilters: [isnotnull(month#" in plan
+    assert partitions.insert(batch, path, ["ticker", "date"]) == 3 and spark.read.parquet(path).count() == df.count()
+    assert partitions.insert(df, path, ["ticker", "date"]) == 0 and partitions.insert(df.limit(0), path, ["ticker", "date"]) == 0

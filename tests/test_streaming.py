@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from panelworks.streaming import jobs
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+
 @pytest.fixture()
 def feed(spark, tmp_path):
     """Requests as a table and as a stream of two files, the second one later."""
@@ -35,30 +38,77 @@ def test_request_metrics(spark, feed):
     assert rows(got) == rows(jobs.request_metrics(df)) and got.count() > 50
 
 
-def test_usage_of_a_stream_is_that_of_its_batch_twin(spark, feed):
-    df, stream, path = feed
-    got = drain(spark, jobs.stream_anchored_usage(stream, ["client", "endpoint"], 600.0, 2), "usage", path)
+def shuffled(spark, df, path, end):
+    """``df`` as a stream of four files in which events come up to half an hour late, and a fifth one with ``end``, which moves the watermark past all."""
+    at = F.unix_timestamp("ts") + F.pmod(F.xxhash64("ts", "client"), F.lit(1800))  # when it comes
+    files = df.withColumn("_file", F.floor(F.percent_rank().over(Window.orderBy(at)) * 3.999)).cache()
+    for k in range(4):
+        files.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(f"{path}/late")
+    spark.createDataFrame([end], df.schema).coalesce(1).write.mode("append").parquet(f"{path}/late")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/late")
+
+
+END = (dt.datetime(2024, 3, 1), "end", "/end", 0.0, False)
+
+
+def drained(spark, stream, name, path):
+    query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{path}/{name}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name), query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_usage_of_a_shuffled_stream_is_that_of_its_batch_twin(spark, feed):
+    df, _, path = feed
+    stream = shuffled(spark, df, path, END)
+    got, left = drained(spark, jobs.stream_anchored_usage(stream, ["client", "endpoint"], 600.0, 2, late="40 minutes"), "usage", path)
     want = jobs.anchored_usage(df, ["client", "endpoint"], 600.0, 2)
     assert rows(got) == rows(want) and got.where("locked").count() > 10 and got.where("used = 1").count() > 6
+    assert left == 1  # the last event waits; all other state is gone
 
 
-def test_decisions_of_a_stream_are_those_of_their_batch_twin(spark, feed):
-    df, stream, path = feed
+def test_decisions_of_a_shuffled_stream_are_those_of_their_batch_twin(spark, feed):
+    df, _, path = feed
+
     def severity(d):
         return d.select(F.col("endpoint").alias("key"), F.unix_timestamp("ts").alias("t"), (F.second("ts") % 12).cast("int").alias("severity"))
-    got = drain(spark, jobs.stream_retrain_decisions(severity(stream), 900), "decisions", path)
+
+    got, left = drained(spark, jobs.stream_retrain_decisions(severity(shuffled(spark, df, path, END)), 900, "40 minutes"), "decisions", path)
     assert rows(got) == rows(jobs.retrain_decisions(severity(df), 900)) and got.select("decision").distinct().count() == 4
+    assert left == 1
 
 
-def test_a_stream_publishes_the_snapshot_of_each_batchs_dates(spark, feed):
-    df, _, path = feed
-    days = df.select(F.date_add(F.to_date("ts"), F.minute("ts")).alias("date"))
-    for part in (days.where("date < '2024-01-20'"), days.where("date >= '2024-01-20'")):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/days")
-    source = spark.readStream.schema(days.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/days")
+def test_a_late_bar_moves_the_dates_after_it(spark, tmp_path):
+    start = dt.date(2023, 1, 2)
+    rng = np.random.default_rng(5)
+    all_ = [(t, start + dt.timedelta(days=i), 100 + float(rng.normal())) for t in "ABCD" for i in range(60) if t != "D" or i < 40]
+    schema = "ticker string, date date, close double"
+    late = [r for r in all_ if r[0] == "B" and r[1] == start + dt.timedelta(days=20)]
+    first, second = [r for r in all_ if r not in late and r[1] < start + dt.timedelta(days=50)], late
+    third = [r for r in all_ if r[1] >= start + dt.timedelta(days=50)]
     seen = []
-    jobs.stream_snapshot(source, lambda dates: dates.groupBy().agg(F.count("*").alias("n"), F.min("date").alias("first")), lambda s: seen.append(tuple(s.first())), f"{path}/snap").awaitTermination()
-    assert len(seen) == 2 and sum(n for n, _ in seen) == days.distinct().count() and seen[0][1] < dt.date(2024, 1, 20) <= seen[1][1]
+
+    def snapshot(bars):
+        seen.append(bars.agg(F.min("date"), F.max("date")).first())
+        mean = F.avg("close").over(Window.partitionBy("ticker").orderBy("date").rowsBetween(-7, 0))
+        return bars.withColumn("m", mean).withColumn("score", F.col("m") - F.avg("m").over(Window.partitionBy("date"))).select("date", "ticker", "score")
+
+    whole = {(r["ticker"], r["date"]): round(r["score"], 9) for r in snapshot(spark.createDataFrame(all_, schema)).collect()}
+    seen.clear()
+    for part in (first, second, third):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    paths = [f"{tmp_path}/{x}" for x in ("bars", "out", "state", "log")]
+
+    def run(state):
+        jobs.stream_snapshot(source, paths[0], snapshot, paths[1], state, reach=7, log=paths[3]).awaitTermination()
+        return {(r["ticker"], r["date"]): round(r["score"], 9) for r in spark.read.parquet(paths[1]).collect()}
+
+    assert run(paths[2]) == whole
+    assert seen[1] == (start + dt.timedelta(days=13), start + dt.timedelta(days=27))  # the late bar: its date and seven bars after it, from seven before
+    count = spark.read.parquet(paths[1]).count()
+    assert run(f"{tmp_path}/again") == whole and spark.read.parquet(paths[1]).count() == count == len(all_)  # every batch once more
+    log = spark.read.parquet(paths[3])
+    assert log.count() == log.select("ticker", "date").distinct().count() == len(all_)
 
 
 def test_state_passes_from_batch_to_batch(spark):
