@@ -6,7 +6,7 @@ import tempfile
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that belong to words: 0-9, a-z and every byte of a non-ASCII character.
@@ -42,22 +42,34 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` checkpointed, and its rows, which are counted as they are written."""
+    seen = Observation()
+    out = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
+def compacted(df: DataFrame, rows: int = 50_000, least: int = 8) -> tuple[DataFrame, int]:
+    """``df`` checkpointed, in partitions of about ``rows`` rows, and its rows: few rows in very many partitions cost a file each at every shuffle."""
+    df, n = counted(df)
+    parts = max(least, n // rows)
+    out = df.coalesce(parts)
+    out._parts = min(parts, df.rdd.getNumPartitions())
+    return out, n
+
+
 def compact(df: DataFrame, rows: int = 50_000, least: int = 8) -> DataFrame:
-    """``df`` checkpointed, in partitions of about ``rows`` rows: few rows in very many partitions cost a file each at every shuffle."""
-    df = checkpoint(df)
-    parts = max(least, df.count() // rows)
-    return df.coalesce(parts)
+    return compacted(df, rows, least)[0]
 
 
-def spread(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` checkpointed, in partitions of about ``rows`` rows whatever it came in: for rows that each cost much."""
-    df = checkpoint(df)
-    return df.repartition(max(8, df.count() // rows))
+def spread(df: DataFrame, n: int, rows: int) -> DataFrame:
+    """``df``, which has ``n`` rows, in partitions of about ``rows`` rows whatever it came in: for rows that each cost much."""
+    return df.repartition(max(8, n // rows))
 
 
 def parts_of(df: DataFrame) -> int:
     """Partitions of a checkpointed table, 1 at least: as many tasks serve what is joined to it."""
-    return max(1, df.rdd.getNumPartitions())
+    return max(1, getattr(df, "_parts", 0) or df.rdd.getNumPartitions())
 
 
 def small(df: DataFrame, most: int) -> DataFrame:
@@ -132,29 +144,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
     checkpointed, and only whether edges are left reaches the driver. Nodes must
     not be null; self loops are ignored.
     """
-    e = compact(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    named, turn = None, 0
-    while e.limit(1).count():
-        parts = parts_of(e)  # few edges need few tasks, whatever the number of shuffle partitions
+    e, n = compacted(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    turns: list[DataFrame] = []
+    while n:
+        parts, turn = parts_of(e), len(turns)  # few edges need few tasks, whatever the number of shuffle partitions
 
-        def first(x: str) -> Column:
+        def first(x: str, turn: int = turn) -> Column:
             order = F.lit(0) if turn == 0 else F.xxhash64(F.col(x), F.lit(turn))
             return F.struct(order.alias("o"), F.col(x).cast("long").alias("x"))
 
         both = e.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         took = both.groupBy("a").agg(F.least(first("a"), F.min(first("b"))).getField("x").alias("m")).coalesce(parts)
-        took = compact(took.select(F.col("a").alias("label"), "m"))
-        again = took.select(F.col("label").alias("m"), F.col("m").alias("mm"))
-        took = compact(took.join(again, "m").coalesce(parts).select("label", F.col("mm").alias("now")))
-        if named is None:
-            named = took.select(F.col("label").alias("node"), F.col("now").alias("label"))
-        else:
-            named = compact(named.join(took, "label", "left").coalesce(parts_of(named)).select("node", F.coalesce("now", "label").alias("label")))
+        again = took.select(F.col("a").alias("m"), F.col("m").alias("mm"))
+        took = compact(took.join(again, "m").coalesce(parts).select(F.col("a").alias("label"), F.col("mm").alias("now")))
+        turns.append(took)
         x, y = took.toDF("a", "x"), took.toDF("b", "y")
         left = e.join(x, "a").coalesce(parts).join(y, "b").where("x <> y")
-        e = compact(left.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).coalesce(parts).distinct().coalesce(parts))
-        turn += 1
-    if named is None:
+        e, n = compacted(left.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).coalesce(parts).distinct().coalesce(parts))
+    if not turns:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    named = turns[0].toDF("node", "label")  # the labels of the rounds, one after another
+    for took in turns[1:]:
+        named = named.join(took, "label", "left").coalesce(parts_of(turns[0])).select("node", F.coalesce("now", "label").alias("label"))
+    if len(turns) == 1:  # labels are the smallest nodes
+        return named.withColumnRenamed("label", "component")
+    named = compact(named)
     smallest = named.groupBy("label").agg(F.min("node").alias("component")).coalesce(parts_of(named))
     return named.join(smallest, "label").select("node", "component")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, compact, connected_components, join_on_hot, mix, parts_of, shingles, signed, small, spread, word_hashes, words
+from .common import checkpoint, compact, compacted, connected_components, counted, join_on_hot, mix, parts_of, shingles, signed, small, spread, word_hashes, words
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BINS = 256
@@ -201,11 +201,8 @@ def _joined(clusters: DataFrame, links: DataFrame) -> DataFrame:
     """(node, cluster) after ``links`` (a, b) between nodes, which join whole clusters: only links between two of them count."""
     ca, cb = clusters.toDF("a", "ca"), clusters.toDF("b", "cb")
     edges = links.join(ca, "a").join(cb, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
-    edges = compact(edges.coalesce(parts_of(links)).distinct())
-    if not edges.limit(1).count():
-        return clusters
-    found = connected_components(edges).select(F.col("node").alias("cluster"), F.col("component").alias("now"))
-    named = clusters.join(found, "cluster", "left").coalesce(parts_of(links))
+    found = connected_components(edges.coalesce(parts_of(links)).distinct()).select(F.col("node").alias("cluster"), F.col("component").alias("now"))
+    named = clusters.join(found, "cluster", "left").coalesce(parts_of(clusters))
     return compact(named.select("node", F.coalesce("now", "cluster").alias("cluster")))
 
 
@@ -286,18 +283,19 @@ def _clusters(docs: DataFrame, classes: DataFrame, repeated: bool, threshold: fl
     cells = one.select("node", F.explode("sketch").alias("h"))  # samples have seeds of their own: h tells them apart
     full = cells.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     shared = cells.join(full, "h").groupBy("node").agg(F.collect_list("h").alias("cells"), F.sum("size").alias("weight"))
-    shared = compact(shared.join(one.select("node", "n"), "node"), 10_000)  # at most a row a sample in a group
-    if not shared.limit(1).count():
+    shared, n = compacted(shared.join(one.select("node", "n"), "node"), 10_000)  # at most a row a sample in a group
+    if not n:
         return None
     wanted = shared.select("node").join(classes.select("node", "text_key", "doc_id"), "node")
     texts = _hashed_texts(docs, checkpoint(wanted), repeated)
     clusters = shared.select("node", F.col("node").alias("cluster"))
+    clusters._parts = parts_of(shared)
     tried = seen = None
 
-    def add(pairs: DataFrame) -> None:
+    def add(pairs: DataFrame, n: int) -> None:
         nonlocal clusters
-        good = compact(_verified(spread(pairs, _PAIRS), texts, threshold))
-        if good.limit(1).count():
+        good, n = compacted(_verified(spread(pairs, n, _PAIRS), texts, threshold))
+        if n:
             clusters = _joined(clusters, good)
 
     for _ in range(rounds):
@@ -312,24 +310,23 @@ def _clusters(docs: DataFrame, classes: DataFrame, repeated: bool, threshold: fl
         pairs = named.join(centre, "h").where("cluster <> of").coalesce(parts).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs.coalesce(parts))
-        if not pairs.limit(1).count():
+        pairs, n = counted(pairs.coalesce(parts))
+        if not n:
             break
         seen = pairs if seen is None else seen.union(pairs)
-        add(pairs)
+        add(pairs, n)
         now = centre.select("h", F.col("a").alias("node"))
         tried = now if tried is None else tried.union(now)
     sketched = texts.select("node", "n", "bins").join(one.select("node", "sketch"), "node")
-    rest = compact(_across(shared, sketched, clusters, least, threshold))
-    if seen is not None:
-        rest = compact(rest.join(seen, ["a", "b"], "left_anti").coalesce(parts_of(rest)))
+    rest = _across(shared, sketched, clusters, least, threshold)
+    rest = compact(rest if seen is None else rest.join(seen, ["a", "b"], "left_anti"))
     turn = F.pmod(F.xxhash64("a", "b"), F.lit(100))
     for low, high in ((0, 2), (2, 20), (20, 100)):  # a few of a dense group's pairs join it, and its others drop out
         ca, cb = clusters.toDF("a", "ca"), clusters.toDF("b", "cb")
         wave = rest.where(turn.between(low, high - 1)).join(ca, "a").join(cb, "b").where("ca <> cb")
-        wave = checkpoint(wave.select("a", "b").coalesce(parts_of(rest)))
-        if wave.limit(1).count():
-            add(wave)
+        wave, n = counted(wave.select("a", "b").coalesce(parts_of(rest)))
+        if n:
+            add(wave, n)
     return clusters
 
 
