@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 
 
 def dataset_fingerprint(df: DataFrame, digits: int = 8) -> DataFrame:
-    """One row (rows, fingerprint): row hashes summed and xor-ed, so partitions combine in any order.
+    """One row (rows, fingerprint): two parts of each row's MD5 summed, so partitions combine in any order and repeated rows count.
 
     Doubles are rounded to ``digits``, missing values are 0 or ''.
     """
+    scale = 10.0**digits
     cols = []
     for f in sorted(df.schema, key=lambda f: f.name):
-        kind = f.dataType.typeName()
-        c = F.col(f"`{f.name}`")
-        cols.append(F.coalesce(F.round(c.cast("double"), digits) + 0.0, F.lit(0.0)) if kind in ("double", "float") else F.coalesce(c.cast("string"), F.lit("")))
-    row = F.xxhash64(*cols)
-    one = df.select(row.alias("h")).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).alias("s"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("x"))
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("double", "float"):
+            x = F.coalesce(c.cast("double"), F.lit(0.0))
+            whole = F.floor(x * scale + 0.5).cast("string")
+            cols.append(F.when(F.abs(x) * scale < 9e18, whole).otherwise(x.cast("string")))
+        else:
+            cols.append(F.coalesce(c.cast("string"), F.lit("")))
+    row = F.md5(F.concat_ws("\x1f", *cols).cast("binary"))
+    sums = {k: F.coalesce(F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for k, at in (("s", 1), ("t", 17))}
+    one = df.select(row.alias("h")).agg(F.count("*").alias("rows"), *[x.alias(k) for k, x in sums.items()])
     names = ",".join(sorted(df.columns))
-    return one.select("rows", F.sha2(F.concat_ws("|", F.lit(names), F.col("rows").cast("string"), F.col("s").cast("string"), F.col("x").cast("string")), 256).alias("fingerprint"))
+    return one.select("rows", F.sha2(F.concat_ws("|", F.lit(names), F.col("rows").cast("string"), "s", "t"), 256).alias("fingerprint"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import rounded
 from ..functions.lineage import checkpointed, shared_folder
 from ..operators import evaluate, features, indicators, quality, regimes, targets
-from ..sources import feeds
+from ..sources import feeds, partitions
 from ..sources.tables import bars, table
 from . import oracles as O
 from .oracles import nums, rnd
@@ -154,9 +154,13 @@ def q_a4(s: SparkSession, d: str) -> DataFrame:
 
 @register("a5_drop_version", f"WITH {O.BARS} SELECT ticker, date, 'v2' AS feature_version FROM bars WHERE year(date) % 2 <> 0")
 def q_a5(s: SparkSession, d: str) -> DataFrame:
-    rows = bars(s, d)
-    store = feeds.to_store(rows.where("year(date) % 2 = 0"), ["close"], "v1").union(feeds.to_store(rows.where("year(date) % 2 <> 0"), ["close"], "v2"))
-    return feeds.drop_feature_version(store, "v1").select("ticker", "date", "feature_version")
+    """Two versions on disk, of which one goes."""
+    path = f"{shared_folder(s)}/store-{uuid.uuid4().hex}"
+    rows = checkpointed(bars(s, d))
+    feeds.write_features(rows.where("year(date) % 2 = 0"), ["close"], "v1", path)
+    feeds.write_features(rows.where("year(date) % 2 <> 0"), ["close"], "v2", path)
+    feeds.drop_version_on_disk(s, path, "v1")
+    return feeds.read_store(s, path).select("ticker", "date", "feature_version")
 
 
 @register(
@@ -180,7 +184,11 @@ def q_a6r(s: SparkSession, d: str) -> DataFrame:
 
 @register("a7_retention", f"WITH {O.BARS} SELECT ticker, date, {rnd('close')} AS close FROM bars WHERE date >= DATE '2000-06-01' - 760")
 def q_a7(s: SparkSession, d: str) -> DataFrame:
-    return out(feeds.apply_retention(bars(s, d), "2000-06-01"), "ticker", "date", "close")
+    """Bars on disk, by month; the months before the boundary go whole."""
+    path = f"{shared_folder(s)}/bars-{uuid.uuid4().hex}"
+    partitions.insert(bars(s, d), path, KEY)
+    partitions.retain(s, path, "2000-06-01")
+    return out(s.read.parquet(path), "ticker", "date", "close")
 
 
 @register("a8_wide_feed", f"WITH {O.BARS} SELECT ticker, date, {rnd('close * 0.5')} AS close, {rnd('open')} AS open, {rnd('volume')} AS volume FROM bars")
@@ -261,16 +269,18 @@ def q_b4(s: SparkSession, d: str) -> DataFrame:
 
 @register(
     "b5_check_contract",
-    f"""WITH {O.RAW}, r AS (SELECT CASE WHEN k = 40 THEN ' ' ELSE ticker END AS ticker, date, open, high, low, close FROM raw)
+    f"""WITH {O.RAW}, r AS (SELECT CASE WHEN k = 40 THEN ' ' ELSE ticker END AS ticker, date, open, CASE WHEN k = 41 THEN 'Infinity'::DOUBLE ELSE high END AS high, CASE WHEN k = 42 THEN '-Infinity'::DOUBLE ELSE low END AS low, close FROM raw)
 SELECT 'missing' AS rule, count(*) FILTER (open IS NULL) + count(*) FILTER (high IS NULL) + count(*) FILTER (low IS NULL) + count(*) FILTER (close IS NULL) AS violations FROM r
-UNION ALL SELECT 'non_finite', CAST(0 AS BIGINT)
+UNION ALL SELECT 'non_finite', count(*) FILTER (isinf(high)) + count(*) FILTER (isinf(low)) FROM r
 UNION ALL SELECT 'high_below', count(*) FILTER (high + 1e-6 < greatest(open, close, low)) FROM r
 UNION ALL SELECT 'low_above', count(*) FILTER (low - 1e-6 > least(open, close, high)) FROM r
 UNION ALL SELECT 'empty_ticker', count(*) FILTER (trim(ticker) = '') FROM r
 UNION ALL SELECT 'duplicate_key', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM r GROUP BY ticker, date HAVING count(*) > 1)""",
 )
 def q_b5(s: SparkSession, d: str) -> DataFrame:
-    return quality.check_contract(raw_feed(s, d).withColumn("ticker", F.when(F.col("k") == 40, " ").otherwise(F.col("ticker"))))
+    k, inf = F.col("k"), float("inf")
+    rows = raw_feed(s, d).withColumns({"high": F.when(k == 41, inf).otherwise(F.col("high")), "low": F.when(k == 42, -inf).otherwise(F.col("low"))})
+    return quality.check_contract(rows.withColumn("ticker", F.when(k == 40, " ").otherwise(F.col("ticker"))))
 
 
 @register(
@@ -691,6 +701,14 @@ def q_k4(s: SparkSession, d: str) -> DataFrame:
     return out(one.withColumn("t_value", F.round("t_value", 4)))
 
 
-@register("k5_ic_p_values")
+#: The two-sided tail of Student's t for whole degrees of freedom v, as a finite series in the angle's cosine.
+_TAIL = """x AS (SELECT date, ic, n, n - 2 AS v, CASE WHEN n > 2 AND abs(ic) < 1 THEN atan(abs(ic) / sqrt(1 - ic * ic)) END AS a FROM ic),
+terms AS (SELECT date, sum(c * cos(a) ^ (CASE WHEN v % 2 = 1 THEN 2 * k + 1 ELSE 2 * k END)) AS s FROM (
+  SELECT date, a, v, k, coalesce(list_aggregate(list_transform(range(1, k + 1), lambda j: CASE WHEN v % 2 = 1 THEN 2 * j / (2 * j + 1) ELSE (2 * j - 1) / (2 * j) END), 'product'), 1.0) AS c
+  FROM (SELECT date, a, v, unnest(range(0, CASE WHEN v % 2 = 1 THEN (v - 1) // 2 ELSE v // 2 END)) AS k FROM x WHERE a IS NOT NULL)) GROUP BY date),
+tail AS (SELECT x.*, CASE WHEN n > 2 AND abs(ic) >= 1 THEN 0.0 WHEN a IS NULL THEN NULL WHEN v % 2 = 1 THEN 1 - 2 / pi() * (a + sin(a) * coalesce(s, 0)) ELSE 1 - sin(a) * s END AS p FROM x LEFT JOIN terms USING (date))"""
+
+
+@register("k5_ic_p_values", f"WITH {O.IC}, {_TAIL} SELECT date, {rnd('ic')} AS ic, n, {rnd('p')} AS p_value FROM tail")
 def q_k5(s: SparkSession, d: str) -> DataFrame:
     return out(evaluate.ic_p_values(evaluate.daily_ic(pairs(s, d))))

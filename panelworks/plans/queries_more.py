@@ -327,7 +327,6 @@ def headlines(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", "lang", "source", F.col("text").alias("title"))
 
 
-@register("j11_headline_score_whole", f"WITH {_WHOLE} SELECT doc_id, {rnd('risk')} AS risk FROM hs")
 @register("j11_headline_score", f"WITH {_WHOLE} SELECT doc_id, {rnd('risk')} AS risk FROM hs")
 def q_j11(s: SparkSession, d: str) -> DataFrame:
     return out(scoring.headline_score(headlines(s, d), _LEX), "doc_id", "risk")
@@ -603,7 +602,16 @@ def q_k22(s: SparkSession, d: str) -> DataFrame:
     return out(performance.promotion_gates(report, 2.0).withColumn("failed", F.array_join("failed", ",")).drop("drift"))
 
 
-@register("m1_fingerprint")
+_PRINTED = ["close", "date", "high", "low", "open", "sector", "ticker", "volume"]
+_PRINT = ", ".join(f"CAST(CAST(floor({c} * 1e8 + 0.5) AS BIGINT) AS VARCHAR)" if c not in ("date", "sector", "ticker") else f"coalesce(CAST({c} AS VARCHAR), '')" for c in _PRINTED)
+
+
+@register(
+    "m1_fingerprint",
+    f"""WITH {O.BARS}, h AS (SELECT md5(concat_ws(chr(31), {_PRINT})) AS h FROM bars),
+sums AS (SELECT count(*) AS rows, coalesce(sum(('0x' || h[1:15])::UBIGINT), 0) AS s, coalesce(sum(('0x' || h[17:31])::UBIGINT), 0) AS t FROM h)
+SELECT rows, sha256('{",".join(_PRINTED)}|' || rows || '|' || s || '|' || t) AS fingerprint FROM sums""",
+)
 def q_m1(s: SparkSession, d: str) -> DataFrame:
     return fingerprint.dataset_fingerprint(bars(s, d))
 
@@ -663,6 +671,14 @@ def q_s3(s: SparkSession, d: str) -> DataFrame:
     return out(jobs.request_metrics(requests(s, d)).withColumn("p95", F.round("p95", 5)))
 
 
+@register(
+    "s3_minute_rates",
+    f"""SELECT date_trunc('minute', ts) AS window_start, event_type AS endpoint, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, {rnd('count(*) / 60')} AS rate FROM events GROUP BY ALL""",
+)
+def q_s3m(s: SparkSession, d: str) -> DataFrame:
+    return out(jobs.request_metrics(requests(s, d), "1 minute", "1 minute"), "window_start", "endpoint", "requests", "errors", "rate")
+
+
 _USED = """WITH RECURSIVE us AS MATERIALIZED (SELECT user_id || '|' || event_type AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS i FROM events),
 ct AS (SELECT key, t, i, t AS start, 1 AS used FROM us WHERE i = 1 UNION ALL
   SELECT n.key, n.t, n.i, CASE WHEN n.t >= e.start + 604800 THEN n.t ELSE e.start END, CASE WHEN n.t >= e.start + 604800 THEN 1 ELSE e.used + 1 END FROM ct e JOIN us n ON n.key = e.key AND n.i = e.i + 1)"""
@@ -712,3 +728,23 @@ def q_s6(s: SparkSession, d: str) -> DataFrame:
     events = table(s, d, "events").select("event_id", F.concat(F.lit("/api/"), F.col("event_type"), tail).alias("path"))
     rules = s.createDataFrame([(1, "/api/click", 10), (2, "/api/error/", 1), (3, "/api/error", 5), (4, "/api", 60)], "order int, prefix string, value int")
     return jobs.prefix_lookup(events, rules, ["/api/view"])
+
+
+_RATED = """p AS (SELECT user_id AS client, epoch_us(ts) / 1e6 AS t, '/api/' || event_type || CASE WHEN user_id % 3 = 0 THEN '/' || user_id WHEN user_id % 3 = 1 THEN '?u=' || user_id ELSE 'x' END AS path FROM events), r(o, prefix, lim) AS (VALUES (1, '/api/click', 2), (2, '/api/error', 1), (3, '/api', 3)),
+m AS (SELECT client, t, path, arg_min({'p': prefix, 'v': lim}, o) AS b FROM p JOIN r ON (path = prefix OR starts_with(path, prefix || '/') OR starts_with(path, prefix || '?')) WHERE NOT (path = '/api/view' OR starts_with(path, '/api/view/') OR starts_with(path, '/api/view?')) GROUP BY ALL),
+us AS MATERIALIZED (SELECT client, b.p AS rule, b.v AS lim, t, row_number() OVER (PARTITION BY client, b.p ORDER BY t) AS i FROM m)"""
+
+
+@register(
+    "s4_rate_limits",
+    f"""WITH RECURSIVE {_RATED}, ct AS (SELECT client, rule, lim, t, i, t AS start, 1 AS used FROM us WHERE i = 1 UNION ALL
+  SELECT n.client, n.rule, n.lim, n.t, n.i, CASE WHEN n.t >= c.start + 86400 THEN n.t ELSE c.start END, CASE WHEN n.t >= c.start + 86400 THEN 1 ELSE c.used + 1 END FROM ct c JOIN us n ON n.client = c.client AND n.rule = c.rule AND n.i = c.i + 1)
+SELECT CAST(client AS VARCHAR) AS client, rule, {rnd('t', 3)} AS t, used, lim AS "limit", greatest(0, lim - used) AS remaining, used > lim AS blocked, {rnd('start + 86400 - t', 3)} AS reset_in FROM ct""",
+)
+def q_s4r(s: SparkSession, d: str) -> DataFrame:
+    """The rate preset (one counter a client and rule), with a day in place of its minute, as the events of a client are days apart."""
+    u = F.col("user_id")
+    tail = F.when(u % 3 == 0, F.concat(F.lit("/"), u)).when(u % 3 == 1, F.concat(F.lit("?u="), u)).otherwise("x")
+    events = table(s, d, "events").select("ts", u.alias("client"), F.concat(F.lit("/api/"), F.col("event_type"), tail).alias("path"))
+    rules = s.createDataFrame([(1, "/api/click", 2), (2, "/api/error", 1), (3, "/api", 3)], "order int, prefix string, value int")
+    return out(jobs.rate_limits(events, rules, ["/api/view"], 86400.0), digits=3)

@@ -174,6 +174,22 @@ def anchored_usage(events: DataFrame, keys: list[str], ttl: float, limit: int, b
     return in_order(_usage_rows(events, keys, time), "key", "u", lambda k, f, state: _usage(k, f, state, ttl, limit, blocked_over), USAGE)
 
 
+def rate_limits(events: DataFrame, rules: DataFrame, exempt: list[str] | None = None, ttl: float = 60.0, client: str = "client", path: str = "path", time: str = "ts") -> DataFrame:
+    """(client, rule, t, used, limit, remaining, blocked, reset_in) after each request that a rule (order, prefix, value) limits.
+
+    A request counts for the first rule whose prefix it has; a client has one
+    counter a rule, which starts with its first request and ends ``ttl`` seconds
+    later. Requests without a rule, or exempt, are not counted.
+    """
+    ruled = prefix_lookup(events, rules, exempt, path).where("rule is not null")
+    usage = anchored_usage(ruled, [client, "rule"], ttl, 1, True, time)
+    limits = small(rules.select(F.col("prefix").alias("rule"), F.col("value").alias("limit")), 10_000)
+    at = F.instr("key", "|")
+    rows = usage.select(F.substring("key", F.lit(1), at - 1).alias(client), F.substring("key", at + 1, F.length("key")).alias("rule"), "t", "used", "reset_in").join(limits, "rule")
+    left = F.greatest(F.lit(0), F.col("limit") - F.col("used"))
+    return rows.select(client, "rule", "t", "used", "limit", left.alias("remaining"), (F.col("used") > F.col("limit")).alias("blocked"), "reset_in")
+
+
 def locked_clients(events: DataFrame, features: list[str], ttl: float, limit: int, as_of: float, client: str = "client", feature: str = "endpoint", time: str = "ts") -> DataFrame:
     """Per client at ``as_of`` (epoch seconds): used (feature -> count), locked (features, sorted) and fully_locked (all of ``features``).
 
