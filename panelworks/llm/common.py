@@ -43,10 +43,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``df`` checkpointed, and its rows, which are counted as they are written."""
+    """``df`` checkpointed, and its rows, which are counted as they are written.
+
+    A checkpoint keeps the size that its plan was estimated at, and a join's
+    estimate is the product of its sides': over rounds of joins the estimates grow
+    to numbers of millions of digits, which the driver multiplies. The frame given
+    back stands on the checkpoint's rows alone and has none.
+    """
     seen = Observation()
     out = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("n")))
-    return out, seen.get["n"]
+    session = df.sparkSession
+    rows = session._jsparkSession.internalCreateDataFrame(out._jdf.queryExecution().toRdd(), out._jdf.schema(), False)
+    return DataFrame(rows, session), seen.get["n"]
 
 
 def compacted(df: DataFrame, rows: int = 50_000, least: int = 8) -> tuple[DataFrame, int]:
