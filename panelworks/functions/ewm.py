@@ -122,6 +122,60 @@ def _sorted(f: pd.DataFrame, time: str) -> pd.DataFrame:
     return f.sort_values(time, kind="stable", ignore_index=True)
 
 
+def _chunk_sums(rows: DataFrame, done: list[Stage], reach: int, size: int, entity: str, time: str, last: bool = False) -> DataFrame:
+    """(entity, _chunk, _sum): the affine maps of the last stage of ``done``, 8 numbers a mean, of every chunk that another one follows (of all, if ``last``)."""
+    stage = done[-1]
+
+    def summed(f: pd.DataFrame) -> pd.DataFrame:
+        f = _sorted(f, time)
+        own = (f["_lead"] == 0).sum()
+        if not own or (own < size and not last):  # no chunk comes behind it
+            return f.iloc[:0][[entity, "_chunk"]].assign(_sum=pd.Series(dtype=object))
+        _, means = _values(f, done)
+        end = len(f) - reach + stage.skip  # where the next chunk's rows begin for this stage
+        sums = []
+        for name in stage.names:
+            m = means[name]
+            sums += [*affine(Mean(m.x.loc[: end - 1], m.alpha)), m.alpha]
+        return f.iloc[:1][[entity, "_chunk"]].assign(_sum=[sums])
+
+    kind = rows.schema[entity].dataType.simpleString()
+    return checkpointed(rows.groupBy(entity, "_chunk").applyInPandas(summed, f"`{entity}` {kind}, _chunk long, _sum array<double>"))
+
+
+def _compose(state: list | None, x: list | None) -> list | None:
+    """The state of all means of a stage, 3 numbers each, after a chunk; a chunk without a sum asks only, one with 3 numbers a mean says where to begin."""
+    if x is None:
+        return state
+    if len(x) % 8:
+        return list(x)
+    out: list[float] = []
+    for k in range(len(x) // 8):
+        before = NEW if state is None else tuple(state[3 * k : 3 * k + 3])
+        out += after(before, list(x[8 * k : 8 * k + 7]), x[8 * k + 7])
+    return out
+
+
+def end_states(rows: DataFrame, stage: Stage, size: int = CHUNK, begun: DataFrame | None = None, entity: str = "ticker", time: str = "date") -> DataFrame:
+    """(entity, _carry0): the state of a stage's means behind the last row of each entity.
+
+    For stages whose inputs reach back as many rows as lead a chunk (``skip``).
+    ``begun``: (entity, time, inputs, _carry0), the row before the first one and
+    the state behind it, of entities that have more history than ``rows``.
+    """
+    cut, _ = chunked(checkpointed(rows), stage.skip, size, entity, time)
+    if begun is not None:
+        cut = cut.unionByName(begun.select(*rows.columns).withColumns({"_chunk": F.lit(0).cast("long"), "_lead": F.lit(1)}))
+    sums = _chunk_sums(cut, [stage], stage.skip, size, entity, time, last=True)
+    last = sums.groupBy(entity).agg((F.max("_chunk") + 1).alias("_chunk")).withColumn("_sum", F.lit(None).cast("array<double>"))
+    sums = sums.unionByName(last)
+    if begun is not None:  # also of those without new rows
+        sums = sums.unionByName(begun.select(entity, F.lit(-1).cast("long").alias("_chunk"), F.col("_carry0").alias("_sum")))
+        sums = sums.unionByName(begun.join(last, entity, "left_anti").select(entity, F.lit(0).cast("long").alias("_chunk"), F.lit(None).cast("array<double>").alias("_sum")))
+    states = passed_on(sums, entity, _compose, "array<double>")
+    return states.groupBy(F.col("_e").alias(entity)).agg(F.max_by("_carry", "_k").alias("_carry0"))
+
+
 def scan_chunks(
     rows: DataFrame, several: bool, stages: list[Stage], finish: Callable[[pd.DataFrame, Values], dict], added: str, reach: int = 0, size: int = CHUNK, entity: str = "ticker", time: str = "date"
 ) -> DataFrame:
@@ -132,41 +186,15 @@ def scan_chunks(
     each chunk is entered; then all chunks are filled side by side. Entities of a
     single chunk take the last step alone.
     """
-    names = [f.name for f in rows.schema if f.name not in ("_chunk", "_lead")]
+    names = [f.name for f in rows.schema if f.name not in ("_chunk", "_lead", "_carry0")]
     fields = [f for f in rows.schema if f.name in names]
-    kind = rows.schema[entity].dataType.simpleString()
 
-    def sums_of(done: list[Stage]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        stage = done[-1]
-
-        def summed(f: pd.DataFrame) -> pd.DataFrame:
-            f = _sorted(f, time)
-            if (f["_lead"] == 0).sum() < size:  # no chunk comes behind it
-                return f.iloc[:0][[entity, "_chunk"]].assign(_sum=pd.Series(dtype=object))
-            _, means = _values(f, done)
-            end = len(f) - reach + stage.skip  # where the next chunk's rows begin for this stage
-            sums = []
-            for name in stage.names:
-                m = means[name]
-                sums += [*affine(Mean(m.x.loc[: end - 1], m.alpha)), m.alpha]
-            return f.iloc[:1][[entity, "_chunk"]].assign(_sum=[sums])
-
-        return summed
-
-    for i, stage in enumerate(stages if several else []):
-
-        def step(state: list | None, x: list, n: int = len(stage.names)) -> list:
-            out: list[float] = []
-            for k in range(n):
-                before = NEW if state is None else tuple(state[3 * k : 3 * k + 3])
-                out += after(before, list(x[8 * k : 8 * k + 7]), x[8 * k + 7])
-            return out
-
-        sums = checkpointed(rows.groupBy(entity, "_chunk").applyInPandas(sums_of(stages[: i + 1]), f"`{entity}` {kind}, _chunk long, _sum array<double>"))
+    for i in range(len(stages) if several else 0):
+        sums = _chunk_sums(rows, stages[: i + 1], reach, size, entity, time)
         # The last chunk has no sum of its own: an empty one asks for the state before it.
         asked = sums.unionByName(sums.selectExpr(f"`{entity}`", "_chunk + 1 AS _chunk", "cast(null AS array<double>) AS _sum"))
         asked = asked.groupBy(entity, "_chunk").agg(F.first("_sum", ignorenulls=True).alias("_sum"))
-        rows = with_carry(rows, passed_on(asked, entity, lambda s, x, step=step: s if x is None else step(s, x), "array<double>"), entity, f"_carry{i}")
+        rows = with_carry(rows, passed_on(asked, entity, _compose, "array<double>"), entity, f"_carry{i}")
 
     def fill(f: pd.DataFrame) -> pd.DataFrame:
         f = _sorted(f, time)

@@ -236,7 +236,9 @@ def _with_fills(f: pd.DataFrame, got: Values, cols: list[str], window: int = 20)
     return made
 
 
-def feature_pipeline(bars: DataFrame, width: int = 5, gate: bool = True, size: int = CHUNK, wide: int = WIDE) -> DataFrame:
+def feature_pipeline(
+    bars: DataFrame, width: int = 5, gate: bool = True, size: int = CHUNK, wide: int = WIDE, begun: DataFrame | None = None, widths: DataFrame | None = None
+) -> DataFrame:
     """ticker, date, close and the 64 model columns of every bar on dates of at least ``width`` tickers.
 
     The bars are checkpointed once, and their dates counted on them. One exchange
@@ -245,15 +247,29 @@ def feature_pipeline(bars: DataFrame, width: int = 5, gate: bool = True, size: i
     it, chunk by chunk of the wide dates' rows. The panel is checkpointed, as its
     returns give the dates' regimes and widths before they join it. The
     cross-section reads the unfilled columns.
+
+    ``begun`` (ticker, date, close, volume, _carry0) is the bar before the first
+    one of each ticker whose history began earlier, with the state of its
+    recursions (:func:`panelworks.functions.ewm.end_states`); ``widths``: (date, n)
+    of all tickers, where ``bars`` are not all of them.
     """
-    bars = checkpointed(bars.select("ticker", "date", "close", "volume"))
+    names = ["ticker", "date", "close", "volume"]
+    bars = checkpointed(bars.select(*names))
     if gate and not price_gates(bars).first()["ok"]:
         raise ValueError("too few bars, or closes of 0 or less")
-    dates = checkpointed(bars.groupBy("date").agg((F.count("*") >= width).alias("_wide"), (F.count("*") > wide).alias("_split")))
+    counts = bars.groupBy("date").agg(F.count("*").alias("n")) if widths is None else widths
+    dates = checkpointed(counts.select("date", (F.col("n") >= width).alias("_wide"), (F.col("n") > wide).alias("_split")))
     split = wide if dates.where("_split").limit(1).count() else None
     dates = dates.drop("_split")
     cut, several = chunked(bars, REACH, size)
-    rows = _windows(cut, ["ticker", "_chunk"]).where("_lead <= 1").join(small(dates), "date")
+    if begun is not None:
+        if several:
+            raise ValueError(f"over {size} new bars of a ticker: compute its whole history")
+        cut = cut.unionByName(begun.select(*names).withColumns({"_chunk": F.lit(0).cast("long"), "_lead": F.lit(1)}))
+    rows = _windows(cut, ["ticker", "_chunk"]).where("_lead <= 1").join(small(dates), "date", "inner" if begun is None else "left")
+    if begun is not None:
+        carry = small(begun.select(F.col("ticker").alias("_t"), "_carry0"))
+        rows = rows.withColumn("_wide", F.coalesce("_wide", F.lit(False))).join(carry, F.col("ticker").eqNullSafe(F.col("_t")), "left").drop("_t")
     filled = [c for c in CORE_FEATURES if c not in ("market_dispersion", "breadth", "regime_multiplier")]
     if several:
         panel = checkpointed(scan_chunks(checkpointed(rows), True, [RECURSIONS], _recursions, _RECURSIVE, 1, size))

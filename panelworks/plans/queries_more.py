@@ -19,6 +19,19 @@ from . import oracles as O
 from .oracles import nums, rnd
 from .queries import MODEL, QUERIES, forward, out, pairs, predictions, register  # noqa: F401
 from .snapshot import agents, scored_panel, snapshot_all_dates
+from .stored import stored_pipeline
+
+# The stored pipeline
+
+
+@register("a4_stored_pipeline", f"WITH RECURSIVE {MODEL} SELECT ticker, date, {nums(MODEL_FEATURES, 4)} FROM mf")
+def q_a4p(s: SparkSession, d: str) -> DataFrame:
+    """All model columns, stored in two steps: the bars up to 2000, and then all."""
+    path = f"{shared_folder(s)}/store-{uuid.uuid4().hex}"
+    rows = checkpointed(bars(s, d))
+    stored_pipeline(rows.where("date < '2000-09-01'"), path, "v1")
+    return out(stored_pipeline(rows, path, "v1"), digits=4)
+
 
 # Drift
 
