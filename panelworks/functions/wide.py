@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,3 +66,15 @@ def rank_shares(df: DataFrame, cols: list[str]) -> DataFrame:
     same = F.col("_d").eqNullSafe(F.col("_e")) & (F.col("_f") == F.col("_g")) & (F.col("_x") == F.col("_y"))
     ranks = long.join(at, same).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_f", "_share"))).alias("_ranks"))  # an entry a column
     return df.join(ranks, "_row", "left").drop("_row")
+
+
+def each_width(df: DataFrame, wide: int | None, narrow_: Callable[[DataFrame], DataFrame], broad: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``narrow_`` of the dates' rows, but ``broad`` of those of dates with over ``wide`` tickers; None: no date is."""
+    if wide is None:
+        return narrow_(df)
+    df = checkpointed(df)
+    dates = checkpointed(df.groupBy(F.col("date").alias("_d")).agg(F.count("*").alias("_n")).where(F.col("_n") > wide).select("_d"))
+    if not dates.limit(1).count():
+        return narrow_(df)
+    dates, same = small(dates), F.col("date").eqNullSafe(F.col("_d"))
+    return narrow_(df.join(dates, same, "left_anti")).unionByName(broad(checkpointed(df.join(dates, same, "left_semi"))))

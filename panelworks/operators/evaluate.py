@@ -8,14 +8,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import pct_rank
+from ..functions.wide import each_width, rank_shares
 from ..functions.windows import by_date, ranked
 
 
-def daily_ic(df: DataFrame, score: str = "score", ret: str = "forward_return", least: int = 5, by: str | list[str] = "date") -> DataFrame:
-    """ic (Spearman) and n of every date with ``least`` pairs and two different returns."""
+def daily_ic(df: DataFrame, score: str = "score", ret: str = "forward_return", least: int = 5, by: str | list[str] = "date", wide: int | None = None) -> DataFrame:
+    """ic (Spearman) and n of every date with ``least`` pairs and two different returns.
+
+    With ``wide``, dates of more pairs are ranked over many tasks; ``by`` is then the date.
+    """
     keys = [by] if isinstance(by, str) else by
     pairs = df.where(F.col(score).isNotNull() & F.col(ret).isNotNull())
-    ranks = pairs.select(*keys, ret, pct_rank(F.col(score), ranked(score, keys)).alias("_a"), pct_rank(F.col(ret), ranked(ret, keys)).alias("_b"))
+
+    def narrow(rows: DataFrame) -> DataFrame:
+        return rows.select(*keys, ret, pct_rank(F.col(score), ranked(score, keys)).alias("_a"), pct_rank(F.col(ret), ranked(ret, keys)).alias("_b"))
+
+    def broad(rows: DataFrame) -> DataFrame:
+        rows = rank_shares(rows.select("date", score, ret), [score, ret])
+        return rows.select("date", ret, F.col("_ranks")[score].alias("_a"), F.col("_ranks")[ret].alias("_b"))
+
+    if wide is not None and keys != ["date"]:
+        raise ValueError("wide groups are dates")
+    ranks = each_width(pairs, wide, narrow, broad)
     each = ranks.groupBy(*keys).agg(F.corr("_a", "_b").alias("ic"), F.count("*").alias("n"), F.min(ret).alias("_lo"), F.max(ret).alias("_hi"))
     return each.where((F.col("n") >= least) & (F.col("_lo") < F.col("_hi"))).select(*keys, "ic", "n")
 

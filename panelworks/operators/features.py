@@ -13,7 +13,7 @@ from ..functions.chunks import CHUNK, chunked, own_rows
 from ..functions.ewm import Mean, Stage, Values, rsi, rsi_means, scan, scan_chunks
 from ..functions.expr import clip, median3, pct_rank, ratio, with_least
 from ..functions.lineage import checkpointed, small
-from ..functions.wide import WIDE, quantiles, rank_shares
+from ..functions.wide import WIDE, each_width, quantiles, rank_shares
 from ..functions.windows import by_date, ranked
 from .quality import fill_missing, price_gates
 from .regimes import regime_by_date
@@ -146,18 +146,6 @@ def market_width(df: DataFrame, wide: int | None = None) -> DataFrame:
     return df.withColumns({"market_dispersion": spread, "breadth": up})
 
 
-def _each_width(df: DataFrame, wide: int | None, narrow_: Callable[[DataFrame], DataFrame], broad: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``narrow_`` of the dates' rows, but ``broad`` of those of dates with over ``wide`` tickers; None: no date is."""
-    if wide is None:
-        return narrow_(df)
-    df = checkpointed(df)
-    dates = checkpointed(df.groupBy(F.col("date").alias("_d")).agg(F.count("*").alias("_n")).where(F.col("_n") > wide).select("_d"))
-    if not dates.limit(1).count():
-        return narrow_(df)
-    dates, same = small(dates), F.col("date").eqNullSafe(F.col("_d"))
-    return narrow_(df.join(dates, same, "left_anti")).unionByName(broad(checkpointed(df.join(dates, same, "left_semi"))))
-
-
 def cs_winsorize(df: DataFrame, cols: list[str], lo: float = 0.01, hi: float = 0.99, wide: int | None = WIDE) -> DataFrame:
     """Each value clipped to its date's interpolated quantiles.
 
@@ -174,7 +162,7 @@ def cs_winsorize(df: DataFrame, cols: list[str], lo: float = 0.01, hi: float = 0
         rows = df.join(bounds, F.col("date").eqNullSafe(F.col("_d")), "left")
         return rows.withColumns({c: clip(F.col(c), F.col("_q")[c][0], F.col("_q")[c][1]) for c in cols}).drop("_d", "_q")
 
-    return _each_width(df, wide, narrow, broad)
+    return each_width(df, wide, narrow, broad)
 
 
 def cs_zscore(df: DataFrame, cols: list[str], wide: int | None = WIDE) -> DataFrame:
@@ -193,7 +181,7 @@ def cs_zscore(df: DataFrame, cols: list[str], wide: int | None = WIDE) -> DataFr
         each = df.groupBy(F.col("date").alias("_d")).agg(*[x.alias(k) for k, x in sums.items()])
         return scored(df.join(small(checkpointed(each)), F.col("date").eqNullSafe(F.col("_d"))))
 
-    return _each_width(df, wide, lambda df: scored(df.withColumns({k: x.over(by_date()) for k, x in sums.items()})), broad)
+    return each_width(df, wide, lambda df: scored(df.withColumns({k: x.over(by_date()) for k, x in sums.items()})), broad)
 
 
 def cs_pct_rank(df: DataFrame, cols: list[str], wide: int | None = WIDE) -> DataFrame:
@@ -206,7 +194,7 @@ def cs_pct_rank(df: DataFrame, cols: list[str], wide: int | None = WIDE) -> Data
         rows = rank_shares(df, cols)
         return rows.withColumns({f"{c}_rank": F.coalesce(F.col("_ranks")[c], F.lit(0.5)) for c in cols}).drop("_ranks")
 
-    return _each_width(df, wide, narrow, broad)
+    return each_width(df, wide, narrow, broad)
 
 
 def cross_section(df: DataFrame, cols: list[str], wide: int | None = None) -> DataFrame:
@@ -219,7 +207,7 @@ def cross_section(df: DataFrame, cols: list[str], wide: int | None = None) -> Da
         return lambda df: cs_pct_rank(cs_zscore(cs_winsorize(df, cols, wide=wide), cols, wide), cols, wide)
 
     kept = df.withColumns({f"_raw_{c}": F.col(c) for c in cols})
-    out = _each_width(kept, wide, scored(None), scored(0))
+    out = each_width(kept, wide, scored(None), scored(0))
     return out.withColumns({c: F.col(f"_raw_{c}") for c in cols}).drop(*[f"_raw_{c}" for c in cols])
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from panelworks.functions import chunks, wide
 from panelworks.functions import ewm as E
-from panelworks.operators import features, indicators, quality, regimes
+from panelworks.operators import evaluate, features, indicators, quality, regimes
 from panelworks.sources.tables import bars
 from pyspark.sql import functions as F
 
@@ -155,6 +155,10 @@ def test_wide_cross_sections_are_exact(spark):
         assert np.allclose(out[f"{c}_z"], z, atol=1e-9)
         # Values held to a bound differ in their last digits between the two ways: ranks of the rows between the bounds are compared.
         assert np.allclose(out[f"{c}_rank"], out[c].groupby("date").rank(pct=True).fillna(0.5), rtol=1e-12)
+    pairs = df.where("x is not null").withColumn("score", F.col("x")).withColumn("forward_return", F.col("x") + F.sin("y") + 0.3 * F.sign(F.col("x") - 0.2))
+    split = {r["date"]: (r["ic"], r["n"]) for r in evaluate.daily_ic(pairs, wide=1_000).collect()}
+    whole = {r["date"]: (r["ic"], r["n"]) for r in evaluate.daily_ic(pairs).collect()}
+    assert split.keys() == whole.keys() and all(abs(split[d][0] - whole[d][0]) < 1e-9 and split[d][1] == whole[d][1] for d in whole)
     counts = spark.range(100_000).select((F.col("id") % 2).alias("d"), (F.col("id") % 5000).cast("double").alias("v"))
     at = wide.value_places(counts, ["d"], "v", most=500)
     f = at.toPandas().sort_values(["d", "v"])
