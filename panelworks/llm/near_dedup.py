@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from .common import checkpoint, compact, compacted, connected_components, counted, join_on_hot, mix, parts_of, shingles, signed, small, spread, word_hashes, words
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_BINS = 256
+#: Bins of a text's words, and the count that stands for all larger ones.
+_BITS, _MOST = 9, 65_535
+_BINS = 1 << _BITS
 #: Pairs that one task aligns.
 _PAIRS = 2_000
 
@@ -127,15 +129,15 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = 0.8) -> float:
 
 
 def histogram(w: np.ndarray) -> np.ndarray:
-    """Words in each of 256 bins, 255 standing for all larger counts. Two texts share at most the sum of the lesser counts."""
-    return np.minimum(np.bincount((w >> np.uint32(24)).astype(np.intp), minlength=_BINS), 255).astype(np.uint8)
+    """Words in each bin, ``_MOST`` standing for all larger counts. Two texts share at most the sum of the lesser counts."""
+    return np.minimum(np.bincount((w >> np.uint32(32 - _BITS)).astype(np.intp), minlength=_BINS), _MOST).astype(np.uint16)
 
 
 def may_reach(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
     """Whether texts of histograms ``a`` and ``b`` and ``n`` and ``m`` words, row by row, can have a similarity of ``threshold``."""
     longer, shorter = np.maximum(n, m), np.minimum(n, m)
     shared = np.minimum(np.minimum(a, b).sum(1, dtype=np.int64), shorter)
-    return (shared >= threshold * longer - 1e-9) | (shorter >= threshold * longer - 1e-9) & ((a == 255).any(1) | (b == 255).any(1))
+    return (shared >= threshold * longer - 1e-9) | (shorter >= threshold * longer - 1e-9) & ((a == _MOST).any(1) | (b == _MOST).any(1))
 
 
 def text_key(text: Column, doc_id: Column) -> Column:
@@ -225,7 +227,7 @@ def _across(shared: DataFrame, sketched: DataFrame, clusters: DataFrame, least:
         def plain(x: pa.StructScalar) -> tuple[np.ndarray, ...]:
             rows = x.values
             ids, of, n = (np.asarray(rows.field(c)) for c in ("node", "cluster", "n"))
-            bins = np.frombuffer(b"".join(rows.field("bins").to_pylist()), np.uint8)
+            bins = np.frombuffer(b"".join(rows.field("bins").to_pylist()), np.uint16)
             return ids, of, n, np.asarray(rows.field("sketch").flatten()).reshape(len(ids), -1), bins.reshape(len(ids), -1)
 
         for batch in batches:
