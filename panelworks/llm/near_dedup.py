@@ -14,7 +14,7 @@ from .common import checkpoint, compact, compacted, connected_components, counte
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Bins of a text's words, and the count that stands for all larger ones.
-_BITS, _MOST = 9, 65_535
+_BITS, _MOST = 10, 65_535
 _BINS = 1 << _BITS
 #: Pairs that one task aligns.
 _PAIRS = 2_000
