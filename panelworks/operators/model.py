@@ -42,9 +42,8 @@ def fit_model(
     """Boosted trees on ``features``, cut to the round whose error on the last ``valid`` share of dates is the least.
 
     The search ends when ``patience`` rounds have brought no lesser error, or at
-    ``trees`` rounds. It fits ``first`` rounds, and twice as many while it has not
-    ended: the same seed gives the same trees again, so that at most as many
-    rounds are built in vain as are needed. Fails on fewer than 80 rows or a target
+    ``trees`` rounds. It fits ``first`` rounds, and two and a half times as many
+    while it has not ended; the same seed gives the same trees again. Fails on fewer than 80 rows or a target
     that hardly varies; targets are held to +-50. Without rows on the held dates
     all rounds stay.
     """
@@ -69,7 +68,7 @@ def fit_model(
                 best, ended = best_round(fitted.evaluateEachIteration(held, "squared"), patience) if checked else (rounds, True)
                 if ended or rounds >= trees:
                     break
-                rounds = min(2 * rounds, trees)
+                rounds = min(rounds * 5 // 2 + 1, trees)
         finally:
             ready.unpersist()
         return PipelineModel([assembler, first_trees(fitted, best)])
