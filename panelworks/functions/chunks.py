@@ -16,21 +16,26 @@ from .lineage import checkpointed, small
 CHUNK = 50_000
 
 
-def in_order(rows: DataFrame, key: str, time: str, step: Callable[[Any, pd.DataFrame, Any], tuple[pd.DataFrame, Any]], schema: str) -> DataFrame:
-    """``step(key, rows, state) -> (rows, state)`` along each key's rows in time order.
+def in_order(rows: DataFrame, key: str, time: str, step: Callable[..., tuple[Any, tuple]], schema: str) -> DataFrame:
+    """``step(state, *row) -> (state, made)`` along each key's rows in time order: a row of ``schema`` each, from the row's values in the order of its columns.
 
     A key's rows lie in one task, sorted, and pass in Arrow batches; only the
-    state, which starts as None, stays between batches, so a key of any length fits.
+    state, which starts as None, stays between rows, so a key of any length fits
+    and many short keys cost no more than as many rows of a long one.
     """
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = object(), None
         for f in batches:
-            for k, g in f.groupby(key, sort=False, dropna=False):
+            made = []
+            for k, row in zip(f[key].tolist(), zip(*(f[c].tolist() for c in f.columns))):
                 if k != last and (k == k or last == last):  # a null key is not equal to itself
                     last, state = k, None
-                out, state = step(k, g, state)
-                yield out
+                state, one = step(state, *row)
+                made.append(one)
+            if made:
+                yield pd.DataFrame(dict(zip(names, zip(*made))))
 
     return rows.repartition(key).sortWithinPartitions(key, time).mapInPandas(run, schema)
 
@@ -86,12 +91,8 @@ def passed_on(summaries: DataFrame, entity: str, step: Callable[[Any, list], Any
     start. ``kind``: the state's type. There is a row a chunk.
     """
 
-    def run(_: Any, f: pd.DataFrame, state: Any) -> tuple[pd.DataFrame, Any]:
-        carry = []
-        for x in f["_sum"]:
-            carry.append(state)
-            state = step(state, x)
-        return f[["_e", "_k"]].assign(_carry=pd.Series(carry, index=f.index, dtype=object)), state
+    def run(state: Any, e: Any, k: int, x: Any) -> tuple[Any, tuple]:
+        return step(state, x), (e, k, state)
 
     rows = summaries.select(F.col(entity).alias("_e"), F.col("_chunk").alias("_k"), "_sum")
     return checkpointed(in_order(rows, "_e", "_k", run, f"_e {rows.schema['_e'].dataType.simpleString()}, _k long, _carry {kind}"))

@@ -130,17 +130,21 @@ def drift_history(panel: DataFrame, baseline: DataFrame, cols: list[str], keys:
     return drift_state(report, len(cols), keys)
 
 
+def decision(t: int, severity: int, cooldown: int, triggered: int | None = None) -> tuple[str, int | None]:
+    """Decision for a severity at ``t`` (epoch seconds), and the last trigger."""
+    if severity < 6:
+        return "none", triggered
+    if severity < 8:
+        return "logged", triggered
+    if triggered is not None and t - triggered < cooldown:
+        return "suppressed", triggered
+    return "triggered", int(t)
+
+
 def decide(rows: pd.DataFrame, cooldown: int, triggered: int | None = None) -> tuple[list[str], int | None]:
     """Decisions for severities in time order (epoch seconds ``t``), and the last trigger."""
     out = []
     for t, severity in zip(rows["t"], rows["severity"]):
-        if severity < 6:
-            out.append("none")
-        elif severity < 8:
-            out.append("logged")
-        elif triggered is not None and t - triggered < cooldown:
-            out.append("suppressed")
-        else:
-            out.append("triggered")
-            triggered = int(t)
+        one, triggered = decision(t, severity, cooldown, triggered)
+        out.append(one)
     return out, triggered

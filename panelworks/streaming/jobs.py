@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
@@ -14,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState
 from ..functions.chunks import in_order
 from ..functions.expr import clean_num
 from ..functions.lineage import checkpointed, small
-from ..operators.drift import decide
+from ..operators.drift import decision
 from ..operators.features import REACH
 from ..operators.quality import normalize_dates, sanitize_ticker
 from ..sources.partitions import MONTH, insert, replace, table_at
@@ -142,16 +144,18 @@ def prefix_lookup(events: DataFrame, rules: DataFrame, exempt: list[str] | None
     return events.join(found, path, "left").select(*events.columns, F.col("_r.prefix").alias("rule"), F.col("_r.value").alias("rule_value"))
 
 
+def count_one(state: tuple[float, float] | None, t: float, ttl: float, limit: int, blocked_over: bool) -> tuple[tuple[float, int], tuple[int, int, bool, float]]:
+    """The counter (start, used) after an event at ``t``, and its (used, remaining, locked, seconds to reset): it starts with the first event and ends ``ttl`` later."""
+    start, used = (t, 1) if state is None or t >= state[0] + ttl else (state[0], int(state[1]) + 1)
+    return (start, used), (used, max(0, limit - used), used > limit if blocked_over else used >= limit, start + ttl - t)
+
+
 def count_anchored(times: list[float], ttl: float, limit: int, blocked_over: bool, state: tuple[float, int] | None = None) -> tuple[list[tuple[int, int, bool, float]], tuple[float, int] | None]:
-    """(used, remaining, locked, seconds to reset) after each event, for a counter that starts with the first event and ends ``ttl`` later."""
+    """What :func:`count_one` gives after each event, and the last counter."""
     out = []
     for t in times:
-        if state is None or t >= state[0] + ttl:
-            state = (t, 0)
-        state = (state[0], state[1] + 1)
-        used = state[1]
-        locked = used > limit if blocked_over else used >= limit
-        out.append((used, max(0, limit - used), locked, state[0] + ttl - t))
+        state, one = count_one(state, t, ttl, limit, blocked_over)
+        out.append(one)
     return out, state
 
 
@@ -162,16 +166,20 @@ def _usage_rows(events: DataFrame, keys: list[str], time: str) -> DataFrame:
     return events.select(F.concat_ws("|", *keys).alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("u"))
 
 
-def _usage(key: str, f: pd.DataFrame, state: tuple[float, int] | None, ttl: float, limit: int, blocked_over: bool) -> tuple[pd.DataFrame, tuple[float, int] | None]:
-    t = (f["u"] / 1e6).tolist()
-    got, state = count_anchored(t, ttl, limit, blocked_over, state)
-    out = pd.DataFrame(got, columns=["used", "remaining", "locked", "reset_in"])
-    return out.assign(key=key, t=t)[["key", "t", "used", "remaining", "locked", "reset_in"]], state
+def _usage(ttl: float, limit: int, blocked_over: bool) -> Callable[..., tuple[Any, tuple]]:
+    """A step along a key's events (key, u in microseconds), which gives a row of ``USAGE`` each."""
+
+    def step(state: Any, key: str, u: int, _: int = 0) -> tuple[Any, tuple]:
+        t = u / 1e6
+        state, made = count_one(state, t, ttl, limit, blocked_over)
+        return state, (key, t, *made)
+
+    return step
 
 
 def anchored_usage(events: DataFrame, keys: list[str], ttl: float, limit: int, blocked_over: bool = False, time: str = "ts") -> DataFrame:
     """The counter of every key after each of its events (batch twin); sequential per key."""
-    return in_order(_usage_rows(events, keys, time), "key", "u", lambda k, f, state: _usage(k, f, state, ttl, limit, blocked_over), USAGE)
+    return in_order(_usage_rows(events, keys, time), "key", "u", _usage(ttl, limit, blocked_over), USAGE)
 
 
 def rate_limits(events: DataFrame, rules: DataFrame, exempt: list[str] | None = None, ttl: float = 60.0, client: str = "client", path: str = "path", time: str = "ts") -> DataFrame:
@@ -210,74 +218,86 @@ def locked_clients(events: DataFrame, features: list[str], ttl: float, limit: in
     return out.withColumn("fully_locked", F.size("locked") == len(set(features)))
 
 
-def _in_time_order(rows: DataFrame, step: Callable[[Any, pd.DataFrame, list | None], tuple[pd.DataFrame, list | None]], ends: Callable[[list], float], schema: str) -> DataFrame:
-    """``step(key, rows, state)`` along each key's rows (key, u, x, _at) of a stream, in the order of ``u`` (microseconds), however they come.
+#: Groups of keys whose state a stream keeps together.
+GROUPS = 1024
 
-    Events wait in the key's state until the watermark has passed them, as none
-    can come before them any more; they are then taken in time order. The state
-    (numbers) that the last event left stays until the watermark has passed
-    ``ends`` of it, when it can change nothing more, and goes.
+
+def _in_time_order(rows: DataFrame, step: Callable[..., tuple[Any, tuple]], ends: Callable[[list], float], schema: str, groups: int = GROUPS) -> DataFrame:
+    """``step(state, key, u, x) -> (state, made)`` along each key's rows (key, u, x, _at) of a stream, in the order of ``u`` (microseconds), however they come.
+
+    Events wait in the state until the watermark has passed them, as none can come
+    before them any more; they are then taken in time order. The state (numbers)
+    that the last event left stays until the watermark has passed ``ends`` of it,
+    when it can change nothing more, and goes. Keys are dealt by their hash to
+    ``groups`` and their state lies in that of the group, as a call of Python costs
+    far more than a key's few events; a group without any goes as well.
     """
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        us, xs, now = (list(c) for c in state.get) if state.exists else ([], [], [])
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {k: (us, xs, now) for k, us, xs, now in zip(*state.get)} if state.exists else {}
         if not state.hasTimedOut:
             for f in batches:
-                us += f["u"].tolist()
-                xs += f["x"].tolist()
-        passed = state.getCurrentWatermarkMs() * 1000
-        f = pd.DataFrame({"u": pd.Series(us, dtype="int64"), "x": pd.Series(xs, dtype="int64")}).sort_values("u", kind="stable")
-        ready, wait = f[f["u"] <= passed], f[f["u"] > passed]
-        out = None
-        if len(ready):
-            out, left = step(key[0], ready, now or None)
-            now = list(left or [])
-        due = -(-int(wait["u"].min()) // 1000) if len(wait) else int(ends(now) * 1000) if now else 0
-        if len(wait) or due * 1000 > passed:
-            state.update((wait["u"].tolist(), wait["x"].tolist(), [float(v) for v in now]))
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+                for k, u, x in zip(f["key"].tolist(), f["u"].tolist(), f["x"].tolist()):
+                    if k not in held:
+                        held[k] = ([], [], [])
+                    held[k][0].append(u)
+                    held[k][1].append(x)
+        mark = state.getCurrentWatermarkMs()
+        passed, made, left, dues = mark * 1000, [], [], []
+        for k, (us, xs, now) in held.items():
+            waiting = sorted(zip(us, xs), key=itemgetter(0))
+            n = bisect_right(waiting, passed, key=itemgetter(0))
+            now = now or None
+            for u, x in waiting[:n]:
+                now, one = step(now, k, u, x)
+                made.append(one)
+            due = -(-waiting[n][0] // 1000) if n < len(waiting) else int(ends(now) * 1000) if now else 0
+            if n < len(waiting) or due > mark:
+                left.append((k, [u for u, _ in waiting[n:]], [x for _, x in waiting[n:]], [float(v) for v in now or []]))
+                dues.append(due)
+        if left:
+            state.update(tuple(map(list, zip(*left))))
+            state.setTimeoutTimestamp(max(min(dues), mark + 1))
         elif state.exists:
             state.remove()
-        if out is not None:
-            yield out
+        if made:
+            yield pd.DataFrame(dict(zip(names, zip(*made))))
 
-    return rows.groupBy("key").applyInPandasWithState(run, schema, "us array<long>, xs array<long>, now array<double>", "append", "EventTimeTimeout")
+    grouped = rows.withColumn("_group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("_group")
+    kept = "keys array<string>, us array<array<long>>, xs array<array<long>>, now array<array<double>>"
+    return grouped.applyInPandasWithState(run, schema, kept, "append", "EventTimeTimeout")
 
 
 def stream_anchored_usage(events: DataFrame, keys: list[str], ttl: float, limit: int, blocked_over: bool = False, time: str = "ts", late: str = "1 hour") -> DataFrame:
     """The counters of a stream of events, which may come in any order within ``late``; a counter is kept until the watermark has passed its end."""
-
-    def step(key: str, f: pd.DataFrame, state: list | None) -> tuple[pd.DataFrame, list | None]:
-        out, now = _usage(key, f, (state[0], int(state[1])) if state else None, ttl, limit, blocked_over)
-        return out, list(now)
-
     rows = events.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", late)
     rows = rows.select(F.concat_ws("|", *keys).alias("key"), F.unix_micros("_at").alias("u"), F.lit(0).cast("long").alias("x"), "_at")
-    return _in_time_order(rows, step, lambda now: now[0] + ttl, USAGE)
+    return _in_time_order(rows, _usage(ttl, limit, blocked_over), lambda now: now[0] + ttl, USAGE)
 
 
 DECISIONS = "key string, t long, severity int, decision string, retrain_required boolean"
 
 
-def stream_retrain_decisions(events: DataFrame, cooldown: int = 3600, late: str = "1 hour") -> DataFrame:
-    """Decisions on a stream of severity events (key, t, severity), which may come in any order within ``late``; a trigger is remembered for the cooldown."""
+def _decided(cooldown: int) -> Callable[..., tuple[Any, tuple]]:
+    """A step along a key's severities (key, t, severity), which gives a row of ``DECISIONS`` each."""
+
+    def step(last: list | None, key: str, t: int, severity: int) -> tuple[list | None, tuple]:
+        told, at = decision(t, severity, cooldown, int(last[0]) if last else None)
+        return None if at is None else [at], (key, t, severity, told, severity >= 10)
+
+    return step
 
-    def step(key: str, f: pd.DataFrame, state: list | None) -> tuple[pd.DataFrame, list | None]:
-        f = pd.DataFrame({"key": key, "t": f["u"] // 1_000_000, "severity": f["x"].astype("int32")})
-        decision, last = decide(f, cooldown, int(state[0]) if state else None)
-        return f.assign(decision=decision, retrain_required=f["severity"] >= 10), None if last is None else [last]
 
+def stream_retrain_decisions(events: DataFrame, cooldown: int = 3600, late: str = "1 hour") -> DataFrame:
+    """Decisions on a stream of severity events (key, t, severity), which may come in any order within ``late``; a trigger is remembered for the cooldown."""
+    one = _decided(cooldown)
     rows = events.withColumn("_at", F.timestamp_seconds("t")).withWatermark("_at", late)
     rows = rows.select("key", (F.col("t").cast("long") * 1_000_000).alias("u"), F.col("severity").cast("long").alias("x"), "_at")
-    return _in_time_order(rows, step, lambda now: now[0] + cooldown, DECISIONS)
+    return _in_time_order(rows, lambda last, key, u, x: one(last, key, u // 1_000_000, x), lambda now: now[0] + cooldown, DECISIONS)
 
 
 def retrain_decisions(events: DataFrame, cooldown: int = 3600, key: str = "key") -> DataFrame:
     """(key, t, severity, decision, retrain_required) of severity events in time order (batch twin); sequential per key."""
-
-    def step(k: str, f: pd.DataFrame, last: int | None) -> tuple[pd.DataFrame, int | None]:
-        decision, last = decide(f, cooldown, last)
-        return f.assign(decision=decision, retrain_required=f["severity"] >= 10), last
-
     rows = events.select(F.col(key).cast("string").alias("key"), F.col("t").cast("long").alias("t"), F.col("severity").cast("int").alias("severity"))
-    return in_order(rows, "key", "t", step, DECISIONS)
+    return in_order(rows, "key", "t", _decided(cooldown), DECISIONS)

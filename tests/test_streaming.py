@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
@@ -131,3 +132,32 @@ def test_a_client_is_fully_locked_when_all_its_features_are(spark):
     assert got == {"x": (["a", "b"], True), "y": (["a"], False), "z": ([], False)}
     later = {r["client"]: r["fully_locked"] for r in jobs.locked_clients(df, ["a", "b"], 600.0, 3, now + 700).collect()}
     assert not any(later.values())
+
+
+def many_clients(spark, clients, n):
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + (F.col("id") * 7_919_000_003) % 10_000_000_000)
+    return spark.range(n).select(at.alias("ts"), F.concat(F.lit("c"), F.col("id") % clients).alias("client"), F.lit("/a").alias("endpoint"))
+
+
+def test_many_short_keys_cost_no_more_than_few_long_ones(spark):
+    def seconds(clients):
+        start = time.monotonic()
+        got = jobs.anchored_usage(many_clients(spark, clients, 40_000), ["client", "endpoint"], 600.0, 2).agg(F.count("*"), F.countDistinct("key"), F.count_if(F.col("used") == 1)).first()
+        assert got[:2] == (40_000, clients) and got[2] >= clients
+        return time.monotonic() - start
+
+    seconds(10)
+    few = min(seconds(10) for _ in range(2))
+    assert min(seconds(20_000) for _ in range(2)) < 3 * few + 2
+
+
+def test_a_stream_keeps_the_state_of_many_keys_in_few_groups(spark, tmp_path):
+    df = many_clients(spark, 3000, 9000).cache()
+    for k in range(2):
+        df.where(F.pmod(F.xxhash64("ts"), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    _, left = drained(spark, jobs.stream_anchored_usage(stream, ["client", "endpoint"], 600.0, 2, late="6 hours"), "waiting", str(tmp_path))
+    assert 0 < left <= 1024  # not a row a key
+    spark.createDataFrame([(END[0], "end", "/end")], df.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got, left = drained(spark, jobs.stream_anchored_usage(stream, ["client", "endpoint"], 600.0, 2, late="6 hours"), "whole", str(tmp_path))
+    assert rows(got) == rows(jobs.anchored_usage(df, ["client", "endpoint"], 600.0, 2)) and left == 1
