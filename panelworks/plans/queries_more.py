@@ -144,13 +144,15 @@ def _severities(s: SparkSession, d: str) -> DataFrame:
 
 
 def _streamed(s: SparkSession, rows: DataFrame, early: Column, end: DataFrame, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What ``job`` makes of ``rows`` as a stream of two files, ``early`` ones first; a third one with ``end`` moves the watermark past them."""
+    """What ``job`` makes of ``rows``, read twice, as a stream of two parts, ``early`` ones first; a third one with ``end`` moves the watermark past them.
+
+    A part is as many files as it has tasks, and one batch: the stream stops after it and goes on from its checkpoint.
+    """
     root = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
-    rows = checkpointed(rows)
     for part in (rows.where(early), rows.where(~early), end.select(*[F.col(c).cast(t).alias(c) for c, t in rows.dtypes])):
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    source = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    job(source).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = job(s.readStream.schema(rows.schema).parquet(f"{root}/in")).writeStream.format("parquet").option("path", f"{root}/out")
+        stream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(f"{root}/out")
 
 
@@ -161,7 +163,7 @@ def q_h8(s: SparkSession, d: str) -> DataFrame:
 
 @register("h8_stream_decisions", _DECIDED)
 def q_h8s(s: SparkSession, d: str) -> DataFrame:
-    """Two files that overlap by four hours: the second one has events of every fifth hour of the first one's last four, late."""
+    """Two parts that overlap by four hours: the second one has events of every second hour of the first one's last four, late."""
     rows = checkpointed(_severities(s, d))
     middle, last = rows.agg(((F.min("t") + F.max("t")) / 2).cast("long"), F.max("t")).first()
     end = s.createDataFrame([(None, (last or 0) + 30 * 86400, 0)], "key string, t long, severity int")
@@ -705,8 +707,8 @@ def q_s4(s: SparkSession, d: str) -> DataFrame:
 
 @register("s4_stream_usage", _USED_ROWS)
 def q_s4s(s: SparkSession, d: str) -> DataFrame:
-    """Two files, the second one with every third event of the first one's last two hours."""
-    rows = checkpointed(requests(s, d).withColumn("ts", F.col("ts").cast("timestamp")))
+    """Two parts, the second one with every third event of the first one's last two hours."""
+    rows = requests(s, d).select(F.col("ts").cast("timestamp").alias("ts"), "client", "endpoint")
     middle, last = rows.agg(F.timestamp_micros(((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2).cast("long")), F.max("ts")).first()
     late = F.col("ts").between(F.lit(middle) - F.expr("INTERVAL 2 HOURS"), F.lit(middle)) & (F.xxhash64("ts") % 3 == 0)
     end = rows.limit(1).withColumns({"ts": F.lit(last) + F.expr("INTERVAL 30 DAYS"), "client": F.lit(None).cast("string"), "endpoint": F.lit("end")})
