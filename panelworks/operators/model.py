@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark import SparkContext
+import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor, wait
+
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip
@@ -36,16 +40,53 @@ def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
     return cut.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
 
 
+def lengths(first: int, most: int) -> list[int]:
+    """Ensemble sizes to fit while the patience is not used up: ``first``, two and a half times as many ..., ``most``; none over half of ``most`` but that."""
+    out = []
+    while first < most and (not out or first <= most / 2):
+        out.append(first)
+        first = first * 5 // 2 + 1
+    return [*out, most]
+
+
+def in_turn(tasks: list[Callable[[], GBTRegressionModel]], spark: SparkSession, at_once: int) -> Iterator[GBTRegressionModel]:
+    """What the tasks give, in their order, ``at_once`` of them running ahead; when the caller ends the iteration, the jobs of those that still run are cancelled."""
+    sc, started = spark.sparkContext, []
+
+    def run(task: Callable[[], GBTRegressionModel], tag: str) -> GBTRegressionModel:
+        sc.addJobTag(tag)
+        return task()
+
+    def start(task: Callable[[], GBTRegressionModel]) -> tuple[Future, str]:
+        tag = f"fit-{uuid.uuid4().hex}"
+        return threads.submit(inheritable_thread_target(spark)(run), task, tag), tag
+
+    with ThreadPoolExecutor(max_workers=at_once) as threads:
+        try:
+            for i in range(len(tasks)):
+                started += [start(t) for t in tasks[len(started) : i + at_once]]
+                yield started[i][0].result()
+        finally:
+            for future, tag in started:
+                future.cancel()
+                while not future.done():  # a fit may be between two jobs
+                    sc.cancelJobsWithTag(tag)
+                    wait([future], 0.1)
+
+
 def fit_model(
-    train: DataFrame, features: list[str], target: str = "target", valid: float = 0.15, trees: int = 2000, depth: int = 3, eta: float = 0.01, seed: int = 42, patience: int = 50, first: int = 100
+    train: DataFrame, features: list[str], target: str = "target", valid: float = 0.15, trees: int = 2000, depth: int = 3, eta: float = 0.01, seed: int = 42, patience: int = 50, first: int = 100, at_once: int = 4
 ) -> PipelineModel:
     """Boosted trees on ``features``, cut to the round whose error on the last ``valid`` share of dates is the least.
 
     The search ends when ``patience`` rounds have brought no lesser error, or at
-    ``trees`` rounds. It fits ``first`` rounds, and two and a half times as many
-    while it has not ended; the same seed gives the same trees again. Fails on fewer than 80 rows or a target
-    that hardly varies; targets are held to +-50. Without rows on the held dates
-    all rounds stay.
+    ``trees`` rounds. MLlib cannot go on with an ensemble, and the same seed gives
+    the same trees again: ensembles of ``lengths(first, trees)`` are fitted,
+    ``at_once`` of them side by side, as a round is a few short jobs that leave
+    most cores idle. The shortest one in which the patience is used up counts;
+    the fits of longer ones are then cancelled, so the search takes the time of that one.
+    Fails on fewer than 80 rows or a target that hardly varies; targets are held
+    to +-50. Without rows on the held dates all rounds stay.
     """
     rows = train.select("date", *features, clip(F.col(target), -50, 50).alias("label")).where("label is not null").persist()
     try:
@@ -61,14 +102,21 @@ def fit_model(
         try:
             held = ready.where("held")
             checked = held.limit(1).count() > 0
-            rounds = min(first, trees) if checked else trees
-            while True:
-                gbt = GBTRegressor(maxDepth=depth, maxIter=rounds, stepSize=eta, seed=seed, predictionCol="score")
-                fitted = gbt.fit(ready.where("not held") if checked else ready)
-                best, ended = best_round(fitted.evaluateEachIteration(held, "squared"), patience) if checked else (rounds, True)
-                if ended or rounds >= trees:
-                    break
-                rounds = min(rounds * 5 // 2 + 1, trees)
+            part = ready.where("not held") if checked else ready
+            part.count()  # all rows are kept before fits read them side by side
+
+            def fit(rounds: int) -> GBTRegressionModel:
+                return GBTRegressor(maxDepth=depth, maxIter=rounds, stepSize=eta, seed=seed, predictionCol="score").fit(part)
+
+            sizes = lengths(first, trees) if checked else [trees]
+            fits = in_turn([lambda k=k: fit(k) for k in sizes], train.sparkSession, at_once)
+            try:
+                for rounds, fitted in zip(sizes, fits):
+                    best, ended = best_round(fitted.evaluateEachIteration(held, "squared"), patience) if checked else (rounds, True)
+                    if ended:
+                        break
+            finally:
+                fits.close()
         finally:
             ready.unpersist()
         return PipelineModel([assembler, first_trees(fitted, best)])

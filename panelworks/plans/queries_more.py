@@ -520,7 +520,7 @@ def q_k13f(s: SparkSession, d: str) -> DataFrame:
     rows = checkpointed(panel.join(target, ["ticker", "date"], "left"))
 
     def trainer(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        fitted = model.fit_model(train, MODEL_FEATURES, eta=0.1, patience=5, first=10)
+        fitted = model.fit_model(train, MODEL_FEATURES, eta=0.1, patience=5, first=10, at_once=1)
         return lambda test: model.predict(fitted, test, MODEL_FEATURES)
 
     found = walkforward.walk_forward(rows, trainer, 180, 60, at_once=2)

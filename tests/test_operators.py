@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import time
 
 import numpy as np
 import pandas as pd
@@ -240,6 +241,40 @@ def test_patience_decides_the_rounds(spark):
     assert cut.getNumTrees == 7 and cut.treeWeights == whole.treeWeights[:7] and abs(sum(cut.featureImportances.toArray()) - 1) < 1e-9
 
 
+def test_fits_of_several_lengths_run_side_by_side_and_longer_ones_end_with_the_search(spark):
+    assert model.lengths(100, 2000) == [100, 251, 628, 2000] and model.lengths(40, 40) == [40] and model.lengths(40, 100) == [40, 100]
+    sc, ran, ended = spark.sparkContext, [], []
+
+    def task(n):
+        def run():
+            ran.append(n)
+            try:
+                for _ in range(n):
+                    sc.parallelize(range(4), 4).map(lambda x: time.sleep(0.02) or x).count()
+                return n
+            finally:
+                ended.append(n)
+
+        return run
+
+    found = []
+    turns = model.in_turn([task(n) for n in (2, 4, 5000, 6000)], spark, 3)
+    for n in turns:
+        found.append(n)
+        if n == 4:
+            break
+    turns.close()
+    assert found == [2, 4] and 5000 in ran and set(ended) == set(ran)  # a longer one began meanwhile, and none goes on
+    assert list(model.in_turn([task(1), task(3), task(2)], spark, 1)) == [1, 3, 2]
+    with pytest.raises(ZeroDivisionError):
+        list(model.in_turn([task(1), lambda: 1 / 0, task(5000)], spark, 3))
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame(rng.uniform(-1, 1, size=(300, 2)), columns=["a", "b"]).assign(date=[START + dt.timedelta(days=i // 5) for i in range(300)])
+    pdf["target"] = np.sin(3 * pdf["a"]) + rng.normal(0, 0.1, 300)
+    one, four = (model.fit_model(spark.createDataFrame(pdf).coalesce(1), ["a", "b"], trees=60, eta=0.2, first=5, patience=5, at_once=n).stages[-1] for n in (1, 4))
+    assert one.getNumTrees == four.getNumTrees and one.toDebugString.split("\n", 1)[1] == four.toDebugString.split("\n", 1)[1]
+
+
 def test_fingerprint_ignores_order_and_sees_changes(spark, panel):
     _, df = panel
     a = fingerprint.dataset_fingerprint(df).first()
