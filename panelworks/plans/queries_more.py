@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import checkpointed, shared_folder
+from ..functions.lineage import checkpointed, shared_folder, small
 from ..operators import drift, fingerprint, model, performance, scoring, walkforward
 from ..operators.features import MODEL_FEATURES, feature_pipeline, window_features
 from ..operators.targets import cs_target
@@ -175,8 +175,9 @@ def q_h8s(s: SparkSession, d: str) -> DataFrame:
 
 def _training(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The model columns of all bars, and those with a target before 2000."""
-    panel = checkpointed(feature_pipeline(bars(s, d)).drop("close"))
-    rows = cs_target(bars(s, d)).select("ticker", "date", "target").join(panel, ["ticker", "date"])
+    given = checkpointed(bars(s, d))
+    panel = checkpointed(feature_pipeline(given).drop("close"))
+    rows = cs_target(given).select("ticker", "date", "target").join(small(panel), ["ticker", "date"])  # in the order of the targets: sums, and ties of mirrored columns, follow it
     return panel, rows.where("date < '2000-01-01'")
 
 
