@@ -275,6 +275,16 @@ def test_fits_of_several_lengths_run_side_by_side_and_longer_ones_end_with_the_s
     assert one.getNumTrees == four.getNumTrees and one.toDebugString.split("\n", 1)[1] == four.toDebugString.split("\n", 1)[1]
 
 
+def test_training_rows_read_the_line_items_once(spark, sf_dir, monkeypatch):
+    from panelworks.plans import queries_more
+
+    asked, bars = [], queries_more.bars
+    monkeypatch.setattr(queries_more, "bars", lambda *a: asked.append(a) or bars(*a))
+    panel, rows = queries_more._training(spark, sf_dir)
+    assert len(asked) == 1 and "l_shipdate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < rows.count() < panel.count()
+
+
 def test_fingerprint_ignores_order_and_sees_changes(spark, panel):
     _, df = panel
     a = fingerprint.dataset_fingerprint(df).first()
